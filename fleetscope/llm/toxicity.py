@@ -116,7 +116,7 @@ def learnt_words(sample: DataFrame, most: int = LEARNT_WORDS) -> list[str]:
     nt, no = total["t"], total["o"]
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("o") + 0.5) / (no + 1))
     sure = (F.col("t") - F.sqrt("t")) / nt > 4 * (F.col("o") + 1) / no
-    best = sums.where((F.col("word") != "") & (F.col("t") >= max(4, 0.05 * nt)) & sure).select("word", (odds * F.col("t")).alias("gain"))
+    best = sums.where((F.col("word") != "") & (F.col("t") >= max(5, 0.08 * nt)) & sure).select("word", (odds * F.col("t")).alias("gain"))
     out = [r["word"] for r in best.orderBy(F.desc("gain"), "word").limit(most).collect()]
     sums.unpersist()
     return out
@@ -146,18 +146,19 @@ def vote_counts(docs: DataFrame, voters: Voters, text_col: str = "text") -> dict
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of toxic documents, rates of firing (voters by class 0, 1), correlations left, and the weight each voter keeps."""
+    """Share of toxic documents, rates of firing (voters by class 0, 1), rates of no vote at all, correlations left, and the weight each voter keeps."""
 
     prior: float
     rates: np.ndarray
+    quiet: np.ndarray
     correlations: np.ndarray
     weights: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of toxic for rows of 0/1 votes."""
-        yes, no = np.log(self.rates), np.log1p(-self.rates)
-        ratio = votes * (yes[:, 1] - yes[:, 0]) + (1 - votes) * (no[:, 1] - no[:, 0])
-        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + ratio @ self.weights)))
+        """Probability of toxic for rows of 0/1 votes. A voter that abstains says nothing; that all abstain is evidence of its own."""
+        fired = votes @ (self.weights * (np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])))
+        none = (votes.sum(1) == 0) * (np.log(self.quiet[1]) - np.log(self.quiet[0]))
+        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + fired + none)))
 
 
 def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60) -> LabelModel:
@@ -165,19 +166,20 @@ def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps:
     sets = np.asarray(sorted(counts), np.int64)
     votes = (sets[:, None] >> np.arange(voters) & 1).astype(float)
     n = np.asarray([counts[int(s)] for s in sets], float)
-    model = LabelModel(0.1, np.tile([0.02, 0.3], (voters, 1)), np.eye(voters), np.ones(voters))
+    model = LabelModel(0.1, np.tile([0.02, 0.3], (voters, 1)), np.asarray([0.9, 0.1]), np.eye(voters), np.ones(voters))
     if not n.sum():
         return model
     start = model
     for _ in range(rounds):
-        model = LabelModel(start.prior, start.rates, model.correlations, model.weights)
+        model = LabelModel(start.prior, start.rates, start.quiet, model.correlations, model.weights)
         for _ in range(steps):
             p = model.posterior(votes)
             mass = np.stack([n * (1 - p), n * p])
             # A weak prior keeps rates inside (0, 1), and a toxic document the likelier one to make a voter fire.
             rates = ((mass @ votes + [[0.2], [3.0]]) / (mass.sum(1)[:, None] + 10)).T
             rates[:, 1] = np.maximum(rates[:, 1], rates[:, 0])
-            model = LabelModel(float(np.clip(mass[1].sum() / n.sum(), 1e-4, 0.5)), rates, model.correlations, model.weights)
+            quiet = (mass @ (votes.sum(1) == 0) + [9.0, 0.5]) / (mass.sum(1) + 10)
+            model = LabelModel(float(np.clip(mass[1].sum() / n.sum(), 1e-4, 0.5)), rates, quiet, model.correlations, model.weights)
         p = model.posterior(votes)
         left = np.zeros((voters, voters))
         for k, m in enumerate((n * (1 - p), n * p)):
@@ -185,7 +187,7 @@ def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps:
             left += (m[:, None] * rest).T @ rest
         scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
         correlations = left / np.outer(scale, scale)
-        model = LabelModel(model.prior, model.rates, correlations, 1 / (1 + np.maximum(np.abs(correlations) - np.eye(voters) - 0.1, 0).sum(1)))
+        model = LabelModel(model.prior, model.rates, model.quiet, correlations, 1 / (1 + np.maximum(np.abs(correlations) - np.eye(voters) - 0.1, 0).sum(1)))
     return model
 
 
@@ -222,25 +224,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of ``docs``. Without labelled rows the fixed lists alone vote and every listed word weighs the same."""
     sample = labelled_sample(docs, labels, id_col, text_col)
     voters = make_voters(learnt_words(sample))
-    model = fit_label_model(vote_counts(docs, voters, text_col), len(voters.names))
     member = voters.member()
 
     def read_all(rows: Iterator[tuple]) -> Iterator[tuple]:
         read = voters.reader()
-        for text, _ in rows:
+        for text, toxic in rows:
             counts, flags, n = read(text)
-            yield features(counts, flags, n).tolist(), [*(member @ counts > 0).astype(float).tolist(), *map(float, flags)]
+            yield features(counts, flags, n).tolist(), [*(member @ counts > 0).astype(float).tolist(), *map(float, flags)], float(toxic)
 
-    schema = pa.schema([("x", pa.list_(pa.float64())), ("votes", pa.list_(pa.float64()))])
-    rows = map_rows(sample, read_all, "x array<double>, votes array<double>", schema).collect()  # MOST_LABELLED rows at most
+    schema = pa.schema([("x", pa.list_(pa.float64())), ("votes", pa.list_(pa.float64())), ("toxic", pa.float64())])
+    rows = map_rows(sample, read_all, "x array<double>, votes array<double>, toxic double", schema).collect()  # MOST_LABELLED rows at most
     if not rows:
         return ToxicityModel(voters, np.concatenate([np.ones(len(voters.words)), [1.0, 1.0], np.zeros(len(voters.patterns))]), -2.5)
     rows.sort()
-    x, votes = (np.asarray([r[k] for r in rows]) for k in range(2))
-    weights, bias = fit_linear(x, model.posterior(votes))
+    x, votes, toxic = (np.asarray([r[k] for r in rows]) for k in range(3))
+    heard = worth_hearing(votes, toxic)
+    sets: Counter = Counter()
+    for fired, n in vote_counts(docs, voters, text_col).items():
+        sets[sum(1 << j for j, k in enumerate(heard) if fired >> k & 1)] += n
+    model = fit_label_model(sets, len(heard))
+    x[:, len(voters.words) + 2 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists), heard)
+    weights, bias = fit_linear(x, model.posterior(votes[:, heard]))
     return ToxicityModel(voters, weights, bias)
 
 
+def worth_hearing(votes: np.ndarray, toxic: np.ndarray, lift: float = 2.0) -> np.ndarray:
+    """Voters that fire on labelled toxic texts ``lift`` times as often as on the others, or on too few to tell."""
+    yes, no = ((own.sum(0) + 0.5) / (len(own) + 1) for own in (votes[toxic > 0], votes[toxic <= 0]))
+    return np.flatnonzero((yes >= lift * no) | (votes.sum(0) < 5))
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 from ``THRESHOLD`` on).
 

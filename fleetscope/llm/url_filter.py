@@ -1,12 +1,13 @@
 """URL verdicts by rules and, where none fits, by a logistic regression on hashed character n-grams of host and path.
 
 DataFrame functions only: n-grams are hashed, weights looked up and gradients summed by SQL expressions. The model is
-trained from a small labelled URL table by full-batch gradient descent, one aggregation a step.
+trained from a small labelled URL table by full-batch gradient descent from naive Bayes weights, one aggregation a step.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +24,11 @@ class UrlModel:
 
 
 #: N-gram lengths, number of hashed features, and the training's steps, rate and ridge. The labelled table may hold this many rows at most.
-SIZES, BUCKETS, STEPS, RATE, RIDGE, MOST_LABELLED = (3, 4, 5), 4096, 30, 8.0, 1e-3, 100_000
+SIZES, BUCKETS, STEPS, RATE, RIDGE, MOST_LABELLED = (3, 4, 5), 1 << 14, 10, 8.0, 1e-3, 100_000
 
 # Words in hosts and paths by which the small labelled table marks unwanted and ordinary URLs.
 UNWANTED = "adult-x adult-video ads-track ad-server ads-click casino-win casino-online free-bets bets-live cheap-pills pills-shop spam-farm spam-mail tracker-pixel xxx-cams porn-tube poker-bonus lottery-win payday-loan replica-watch viagra-store warez-crack torrent-keygen malware-kit phishing-login click-farm free-money win-prize".split()
-ORDINARY = "library history garden museum weather science recipes travel university school kitchen archive journal daily-news health forum research cycling painting novels music theatre climate biology maps village harbour theology thinking there station nation other thanks season region orchard reading".split()
+ORDINARY = "library history garden museum weather science recipes travel university school kitchen archive journal daily-news health forum research cycling painting novels music theatre climate biology maps village harbour theology thinking there station nation other thanks season region orchard reading mother weather-map father brother northern southern eastern western thunder leather feather gather hither wither bother theory therapy thesis thermal anthem method path bath earth month north south width length truth youth growth health-care action motion lotion notion potion section mention tension pension mission session vision fusion edition tradition condition position question answer letter lettering printing planting painting-club writing making meeting morning evening building wedding running swimming sailing walking talking singing the-hand the-tree then-there this-that with-them sheriff shelter shadow shepherd nation-wide wholesome thimble thistle trouble double table cable noble able humble bundle handle candle thou-art hour-glass our-town hands lands islands brands inner thread-shop enter center winter summer".split()
 
 
 def seed_urls(spark: SparkSession) -> DataFrame:
@@ -84,10 +85,14 @@ def train(labelled: DataFrame) -> UrlModel:
     if not n or positives in (0, n):
         return UrlModel(tuple(weights), 5.0 if n and positives == n else -5.0)
     rows = rows.select("label", ngram_buckets(host_of(F.col("url")), path_of(F.col("url"))).alias("grams")).cache()
+    # Start from half the naive Bayes log odds of each n-gram, so that a few steps do; unseen n-grams weigh nothing.
+    seen = rows.select("label", F.explode(F.array_distinct("grams")).alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("yes"), F.count("*").alias("all"))
+    for bucket, yes, every in seen.collect():
+        weights[bucket] = 0.5 * (math.log((yes + 0.5) / (positives + 1)) - math.log((every - yes + 0.5) / (n - positives + 1)))
+    bias = math.log(positives / (n - positives))
     for _ in range(STEPS):
         error = F.col("label") - 1 / (1 + F.exp(-_margin(F.col("grams"), _literal(weights), bias)))
-        balance = F.when(F.col("label") > 0.5, n / (2 * positives)).otherwise(n / (2 * (n - positives)))
-        pulled = rows.select((error * balance).alias("pull"), (error * balance / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))).alias("gram_pull"), "grams")
+        pulled = rows.select(error.alias("pull"), (error / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))).alias("gram_pull"), "grams")
         # One row a bucket, BUCKETS at most, and one for the bias.
         terms = pulled.select(F.explode(F.concat(F.transform("grams", lambda b: F.struct(b.alias("bucket"), F.col("gram_pull").alias("g"))), F.array(F.struct(F.lit(-1).alias("bucket"), F.col("pull").alias("g"))))).alias("t"))
         for bucket, g in terms.groupBy("t.bucket").agg(F.sum("t.g")).collect():
