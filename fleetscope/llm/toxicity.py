@@ -115,7 +115,7 @@ def learnt_words(sample: DataFrame, most: int = LEARNT_WORDS) -> list[str]:
         return []
     nt, no = total["t"], total["o"]
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("o") + 0.5) / (no + 1))
-    sure = (F.col("t") - F.sqrt("t")) / nt > 4 * (F.col("o") + 1) / no
+    sure = (F.col("t") - F.sqrt("t")) / nt > 10 * (F.col("o") + 1) / no
     best = sums.where((F.col("word") != "") & (F.col("t") >= max(5, 0.08 * nt)) & sure).select("word", (odds * F.col("t")).alias("gain"))
     out = [r["word"] for r in best.orderBy(F.desc("gain"), "word").limit(most).collect()]
     sums.unpersist()
@@ -199,9 +199,9 @@ class ToxicityModel:
 
 
 def features(counts: np.ndarray, flags: list[bool], n: int) -> np.ndarray:
-    """Logarithm of each word's count and of all, share of all, and the patterns."""
+    """Logarithm of each word's count; whether there is any, the logarithm of all, their share; and the patterns."""
     total = counts.sum()
-    return np.concatenate([np.log1p(counts), [np.log1p(total), min(1.0, 20 * total / max(n, 1))], flags]).astype(float)
+    return np.concatenate([np.log1p(counts), [float(total > 0), np.log1p(total), min(1.0, 20 * total / max(n, 1))], flags]).astype(float)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = pa.schema([("x", pa.list_(pa.float64())), ("votes", pa.list_(pa.float64())), ("toxic", pa.float64())])
     rows = map_rows(sample, read_all, "x array<double>, votes array<double>, toxic double", schema).collect()  # MOST_LABELLED rows at most
     if not rows:
-        return ToxicityModel(voters, np.concatenate([np.ones(len(voters.words)), [1.0, 1.0], np.zeros(len(voters.patterns))]), -2.5)
+        return ToxicityModel(voters, np.concatenate([np.ones(len(voters.words)), [1.0, 1.0, 1.0], np.zeros(len(voters.patterns))]), -2.5)
     rows.sort()
     x, votes, toxic = (np.asarray([r[k] for r in rows]) for k in range(3))
     heard = worth_hearing(votes, toxic)
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for fired, n in vote_counts(docs, voters, text_col).items():
         sets[sum(1 << j for j, k in enumerate(heard) if fired >> k & 1)] += n
     model = fit_label_model(sets, len(heard))
-    x[:, len(voters.words) + 2 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists), heard)
+    x[:, len(voters.words) + 3 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists), heard)
     weights, bias = fit_linear(x, model.posterior(votes[:, heard]))
     return ToxicityModel(voters, weights, bias)
 
