@@ -28,7 +28,7 @@ def _middle(values: Column) -> Column:
 
 def rolling(samples: DataFrame, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline()) -> DataFrame:
     """Adds median, mad, sigma, samples, least, most over [ts - window, ts]. For windows of up to some 2000 samples; ``rolling_dense`` is for more."""
-    frame = Window.partitionBy(*keys).orderBy(ts).rangeBetween(-config.window, 0)
+    frame = Window.partitionBy(*keys).orderBy(ts).rangeBetween(-int(config.window), 0)
     held = samples.withColumn("median", F.expr(f"percentile({value}, 0.5)").over(frame)).withColumn("_list", F.collect_list(value).over(frame))
     held = held.withColumn("samples", F.count(value).over(frame)).withColumn("least", F.min(value).over(frame)).withColumn("most", F.max(value).over(frame))
     return with_sigma(held.withColumn("mad", _middle(F.transform("_list", lambda x: F.abs(x - F.col("median"))))).drop("_list"), config)

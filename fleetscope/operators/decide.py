@@ -20,7 +20,7 @@ def fuse(signals: DataFrame, gap: float = 120.0, keys: Sequence[str] = ("source"
 def fold(fused: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """One incident a session: bounds, count, peak, detectors, and severity: the largest so far, one step up for every further signal once two detectors have spoken."""
     rows = fused.withColumn("_s", severity_rank(F.col("severity")))
-    start = F.struct(F.lit(-1).alias("rank"), F.array().cast("array<string>").alias("names"))
+    start = F.struct(F.lit(-1).cast("long").alias("rank"), F.array().cast("array<string>").alias("names"))
 
     def merge(acc, x):
         names = F.array_union(acc["names"], F.array(x["detector"]))

@@ -78,7 +78,7 @@ def near_marks(points: DataFrame, marks: DataFrame, tolerance: float, keys: Sequ
 def touched_buckets(spans: DataFrame, size: float, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Every bucket (keys, bucket) that a span touches, once."""
     cells = F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))
-    return spans.select(*keys, (F.explode(cells) * size).alias("bucket")).distinct()
+    return spans.select(*keys, F.explode(cells).alias("_cell")).select(*keys, (F.col("_cell") * size).alias("bucket")).distinct()
 
 
 def outside(buckets: DataFrame, windows: DataFrame, size: float, column: str = "bucket", keys: Sequence[str] = ("source",)) -> DataFrame:
