@@ -11,8 +11,8 @@ from ..functions.columns import bucket_of
 from . import intervals
 
 
-def mean3(c: Column | str) -> Column:
-    return F.round(F.avg(c), 3)
+def mean3(c: Column | str, places: int = 3) -> Column:
+    return F.round(F.avg(c), places)
 
 
 def max3(c: Column | str) -> Column:
@@ -23,8 +23,8 @@ def min3(c: Column | str) -> Column:
     return F.round(F.min(c), 3)
 
 
-def std3(c: Column | str) -> Column:
-    return F.round(F.stddev_pop(c), 3)
+def std3(c: Column | str, places: int = 3) -> Column:
+    return F.round(F.stddev_pop(c), places)
 
 
 def pct_index(c: str, q: float) -> Column:
@@ -86,11 +86,11 @@ def metrics_1m(metrics: DataFrame, gpu: DataFrame, processes: DataFrame, gaps: D
     return out.withColumn("has_gap", F.coalesce("_gap", F.lit(False))).drop("_gap")
 
 
-def process_rollup(processes: DataFrame, size: float = 300.0, top: int = 20, value: str = "cpu_percent", second: str = "rss_mb", pid: str = "pid") -> DataFrame:
+def process_rollup(processes: DataFrame, size: float = 300.0, top: int = 20, value: str = "cpu_percent", second: str = "rss_mb", pid: str = "pid", places: int = 3) -> DataFrame:
     """Two stages: sums over the pids of a name at each tick, then statistics per (source, bucket, name); the leaders by mean ``value`` and by largest ``second`` stay."""
     ticks = processes.groupBy("source", "name", "ts").agg(F.sum(value).alias("_v"), F.sum(second).alias("_w"), F.countDistinct(pid).alias("_pids"))
     stats = ticks.groupBy("source", bucket_of(F.col("ts"), size).alias("bucket"), "name").agg(
-        F.count("*").alias("sample_count"), mean3("_v").alias("value_mean"), pct_index("_v", 0.5).alias("value_p50"), pct_index("_v", 0.95).alias("value_p95"), pct_index("_v", 0.99).alias("value_p99"), max3("_v").alias("value_max"), mean3("_w").alias("second_mean"), max3("_w").alias("second_max"), F.max("_pids").alias("pids_max")
+        F.count("*").alias("sample_count"), mean3("_v", places).alias("value_mean"), pct_index("_v", 0.5).alias("value_p50"), pct_index("_v", 0.95).alias("value_p95"), pct_index("_v", 0.99).alias("value_p99"), max3("_v").alias("value_max"), mean3("_w", places).alias("second_mean"), max3("_w").alias("second_max"), F.max("_pids").alias("pids_max")
     )
     bucket = Window.partitionBy("source", "bucket")
     a = F.row_number().over(bucket.orderBy(F.col("value_mean").desc_nulls_last(), "name"))

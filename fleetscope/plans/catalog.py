@@ -40,7 +40,7 @@ def rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
 
 def rollup_hourly(spark, sf_dir):
     s = samples(spark, sf_dir)
-    out = s.groupBy("source", bucket_of(F.col("ts"), HOUR).cast("long").alias("bucket")).agg(F.count("value").alias("n"), rollup.mean3("value").alias("mean"), rollup.max3("value").alias("max"), rollup.std3("value").alias("std"), rollup.pct_index("value", 0.95).alias("p95"), F.round(rollup.pct_rank("value", 0.5), 3).alias("p50"))
+    out = s.groupBy("source", bucket_of(F.col("ts"), HOUR).cast("long").alias("bucket")).agg(F.count("value").alias("n"), rollup.mean3("value", 6).alias("mean"), rollup.max3("value").alias("max"), rollup.std3("value", 6).alias("std"), rollup.pct_index("value", 0.95).alias("p95"), F.round(rollup.pct_rank("value", 0.5), 3).alias("p50"))
     return out
 
 
@@ -51,7 +51,7 @@ def dominant_and_top(spark, sf_dir):
 
 def two_stage_rollup(spark, sf_dir):
     s = samples(spark, sf_dir).select(F.lit("all").alias("source"), bucket_of(F.col("ts"), HOUR).alias("ts"), "pid", F.col("source").alias("name"), "value", F.abs("value").alias("size"))
-    return as_long(rollup.process_rollup(s, 6 * HOUR, 2, "value", "size"), "bucket")
+    return as_long(rollup.process_rollup(s, 6 * HOUR, 2, "value", "size", places=6), "bucket")
 
 
 def distinct_activity(spark, sf_dir):
@@ -326,9 +326,9 @@ SIGNAL = "g AS (SELECT ts, source AS detector, least(value / 200, 1.0) AS score,
 ALARM = f"{SIGNAL}, a1 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY detector ORDER BY ts, score) > 3600 THEN 1 ELSE 0 END AS nw FROM g), a2 AS (SELECT *, sum(nw) OVER (PARTITION BY detector ORDER BY ts, score) AS k FROM a1), a AS (SELECT detector, k, min(ts) AS first, max(ts) AS last, max(score) AS peak, count(*) AS n FROM a2 GROUP BY detector, k)"
 
 ORACLE_SQL: dict[str, str] = {
-    "rollup_hourly": f"WITH {S} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(value) AS n, CAST(round(CAST(avg(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS mean, round(max(value), 3) AS max, CAST(round(CAST(stddev_pop(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS std, round(list_sort(list(value))[CAST(round_even(0.95 * (count(value) - 1), 0) AS BIGINT) + 1], 3) AS p95, round(quantile_disc(value, 0.5), 3) AS p50 FROM s GROUP BY 1, 2",
+    "rollup_hourly": f"WITH {S} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(value) AS n, round(avg(value), 6) AS mean, round(max(value), 3) AS max, round(stddev_pop(value), 6) AS std, round(list_sort(list(value))[CAST(round_even(0.95 * (count(value) - 1), 0) AS BIGINT) + 1], 3) AS p95, round(quantile_disc(value, 0.5), 3) AS p50 FROM s GROUP BY 1, 2",
     "dominant_and_top": f"WITH {S}, b AS (SELECT CAST(floor(ts / 86400) * 86400 AS BIGINT) AS bucket, source AS name, value, ts FROM s), c AS (SELECT bucket, name, count(*) AS n, sum(value) AS v FROM b GROUP BY 1, 2), t AS (SELECT bucket, count(DISTINCT ts) AS ticks, count(*) AS al FROM b GROUP BY 1), d AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, name) AS rn, row_number() OVER (PARTITION BY bucket ORDER BY v DESC, name) AS rv FROM c) SELECT 'all' AS source, t.bucket, x.name AS dominant, round(x.n / t.al, 3) AS dominant_ratio, y.name AS top_name, round(y.v / t.ticks, 3) AS top_share FROM t JOIN d x ON x.bucket = t.bucket AND x.rn = 1 JOIN d y ON y.bucket = t.bucket AND y.rv = 1",
-    "two_stage_rollup": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) * 3600 AS ts, pid, value, abs(value) AS size FROM s), t AS (SELECT name, ts, sum(value) AS v, sum(size) AS w, count(DISTINCT pid) AS p FROM b GROUP BY 1, 2), u AS (SELECT CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket, name, count(*) AS sample_count, CAST(round(CAST(avg(v) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS value_mean, list_sort(list(v)) AS l, round(max(v), 3) AS value_max, CAST(round(CAST(avg(w) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS second_mean, round(max(w), 3) AS second_max, max(p) AS pids_max FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value_mean DESC, name) AS a, row_number() OVER (PARTITION BY bucket ORDER BY second_max DESC, name) AS b FROM u) SELECT 'all' AS source, bucket, name, sample_count, value_mean, round(l[CAST(round_even(0.5 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p50, round(l[CAST(round_even(0.95 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p95, round(l[CAST(round_even(0.99 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p99, value_max, second_mean, second_max, pids_max FROM r WHERE a <= 2 OR b <= 2",
+    "two_stage_rollup": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) * 3600 AS ts, pid, value, abs(value) AS size FROM s), t AS (SELECT name, ts, sum(value) AS v, sum(size) AS w, count(DISTINCT pid) AS p FROM b GROUP BY 1, 2), u AS (SELECT CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket, name, count(*) AS sample_count, round(avg(v), 6) AS value_mean, list_sort(list(v)) AS l, round(max(v), 3) AS value_max, round(avg(w), 6) AS second_mean, round(max(w), 3) AS second_max, max(p) AS pids_max FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value_mean DESC, name) AS a, row_number() OVER (PARTITION BY bucket ORDER BY second_max DESC, name) AS b FROM u) SELECT 'all' AS source, bucket, name, sample_count, value_mean, round(l[CAST(round_even(0.5 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p50, round(l[CAST(round_even(0.95 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p95, round(l[CAST(round_even(0.99 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p99, value_max, second_mean, second_max, pids_max FROM r WHERE a <= 2 OR b <= 2",
     "distinct_activity": f"WITH {S} SELECT source, {DAYS} AS day, count(DISTINCT pid) AS users, count(*) AS n FROM s GROUP BY 1, 2",
     "counter_rate": f"WITH {S}, d AS (SELECT id, value - lag(value) OVER w AS dv, ts - lag(ts) OVER w AS dt FROM s WINDOW w AS (PARTITION BY pid ORDER BY ts)) SELECT id, round(CASE WHEN dt > 0 AND dv >= 0 THEN dv / dt END, 6) AS rate FROM d",
     "snapshot_diff": f"WITH {S}, p AS (SELECT DISTINCT source, {DAYS} AS ts, pid FROM s), t AS (SELECT source, ts, row_number() OVER (PARTITION BY source ORDER BY ts) AS i, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS nx FROM (SELECT DISTINCT source, ts FROM p)), q AS (SELECT p.*, i, nx, lag(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS b, lead(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS a FROM p JOIN t ON t.source = p.source AND t.ts = p.ts) SELECT source, ts, pid, 'start' AS event FROM q WHERE i > 1 AND (b IS NULL OR b < i - 1) UNION ALL SELECT source, nx, pid, 'exit' FROM q WHERE nx IS NOT NULL AND (a IS NULL OR a > i + 1)",
@@ -345,6 +345,7 @@ ORACLE_SQL: dict[str, str] = {
     "latest_orders": "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "descendants": "WITH RECURSIVE e AS (SELECT CAST(floor(p_partkey / 7) AS BIGINT) AS ppid, p_partkey AS pid FROM part), r AS (SELECT pid AS root, pid, CAST(0 AS BIGINT) AS depth FROM e WHERE pid IN (1, 2, 3) UNION ALL SELECT r.root, e.pid, r.depth + 1 FROM r JOIN e ON e.ppid = r.pid AND e.pid <> e.ppid) SELECT root, pid, depth FROM r",
     "sessions": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {_islands('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
+    "daily_usage": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {_islands('x', 'm')}, st AS (SELECT pid AS source, ts, source AS name, coalesce(lead(ts) OVER (PARTITION BY pid, source ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('click', 'view')), sp AS (SELECT st.source, st.name, st.ts AS lo, least(st.nx, coalesce(m.hi, st.nx), {START + 30 * DAY}) AS hi FROM st ASOF LEFT JOIN m ON m.source = st.source AND st.ts >= m.lo), us AS (SELECT source || '/' || name AS source, lo, hi FROM sp WHERE hi > lo), {_islands('us', 'un')}, sh AS (SELECT m.source, split_part(un.source, '/', 2) AS name, greatest(un.lo, m.lo) AS lo, least(un.hi, m.hi) AS hi FROM un JOIN m ON m.source = CAST(split_part(un.source, '/', 1) AS BIGINT) AND un.lo < m.hi AND un.hi > m.lo), dd AS (SELECT unnest(range({int(START // DAY)}, {int(START // DAY) + 31})) AS d), u AS (SELECT source, d, name, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS seconds FROM sh JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2, 3), o AS (SELECT source, d, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS observed FROM m JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2), c AS (SELECT st.source, CAST(floor(ts / 86400) AS BIGINT) AS d, name, count(*) AS launches FROM st WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = st.source AND abs(m.lo - st.ts) <= 60) GROUP BY 1, 2, 3) SELECT u.source, CAST(DATE '1970-01-01' + CAST(u.d AS INTEGER) AS DATE) AS day, u.name, round(seconds, 1) AS seconds, round(observed, 1) AS observed_seconds, coalesce(launches, 0) AS launches FROM u JOIN o ON o.source = u.source AND o.d = u.d LEFT JOIN c ON c.source = u.source AND c.d = u.d AND c.name = u.name",
     "foreground_gap": f"WITH {S}, b AS (SELECT {DAYS} AS day, source AS name, ts, lead(ts) OVER w - ts AS a, ts - lag(ts) OVER w AS p FROM s WINDOW w AS (PARTITION BY floor(ts / 86400) ORDER BY ts, source)) SELECT day, name, round(sum(least(coalesce(a, p), 600)), 1) AS seconds FROM b WHERE coalesce(a, p) IS NOT NULL GROUP BY 1, 2",
     "fingerprints": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) AS bucket, {DAYS} AS day, round(avg(value), 6) AS level, round(max(value), 6) AS peak FROM s GROUP BY 1, 2, 3), d AS (SELECT name, count(*) AS days FROM (SELECT name, day FROM b GROUP BY 1, 2 HAVING count(DISTINCT bucket) >= 12) GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT name, 'level' AS stat, level AS v FROM b UNION ALL SELECT name, 'peak', peak FROM b) SELECT t.name, stat, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, max(v) AS maximum, count(*) AS samples, any_value(days) AS days FROM t JOIN d ON d.name = t.name WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100",
     "day_index": f"WITH {S} SELECT source AS name, {DAYS} AS day, count(DISTINCT floor(ts / 3600)) AS buckets FROM s GROUP BY 1, 2",
