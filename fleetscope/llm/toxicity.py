@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters (word lists and patterns, some of the lists learnt from labelled texts) vote on every document or abstain. A
+Voters (word lists, word beginnings and patterns, some learnt from labelled texts) vote on every document or abstain. A
 generative label model is fitted to how often each set of votes occurs over the whole corpus: it estimates each voter's
 rate of firing on toxic and other documents by expectation maximisation, and the correlations that this leaves between
 voters, by which correlated voters count less. Its posteriors label a bounded sample, on which a linear classifier over
@@ -37,6 +37,8 @@ PATTERNS = {
 }
 #: Labelled rows that are learnt from at most, words learnt at most, voters that share them, and the classifier's ridge.
 MOST_LABELLED, LEARNT_WORDS, LEARNT_VOTERS, RIDGE = 20_000, 40, 4, 1.0
+#: Lengths of word beginnings (stems, for languages that inflect and compound), stems learnt at most, and from which count and share of a text's words on they vote.
+STEM_SIZES, LEARNT_STEMS, STEM_COUNT, STEM_SHARE = (4, 5, 6), 40, 2, 0.01
 THRESHOLD = 0.3
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 
@@ -52,30 +54,38 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Voters:
-    """Word lists by voter name and the patterns; voters number 12 at most, so sets of votes number 4096 at most."""
+    """Word lists by voter name, the stems (one voter) and the patterns; voters number 12 at most, so sets of votes number 4096 at most."""
 
     lists: dict[str, list[str]]
     patterns: dict[str, str] = field(default_factory=lambda: dict(PATTERNS))
+    stems: list[str] = field(default_factory=list)
 
     @property
     def names(self) -> list[str]:
-        return [*self.lists, *self.patterns]
+        return [*self.lists, "stems", *self.patterns]
 
     @property
     def words(self) -> list[str]:
         return sorted({w for words in self.lists.values() for w in words})
 
     def reader(self):
-        """A function from a text to (word counts, pattern flags, number of words)."""
+        """A function from a text to (word counts, stem counts, pattern flags, number of words)."""
         index = {w: k + 1 for k, w in enumerate(self.words)}
-        memo = Memo(lambda chunk: index.get(chunk.lower().strip(_TRIM), 0), 400_000)
+        stems = {stem: len(index) + k + 1 for k, stem in enumerate(self.stems)}
+        width = len(index) + len(stems)
+
+        def known(chunk: str) -> int:
+            word = chunk.lower().strip(_TRIM)
+            return index.get(word) or next((stems[word[:n]] for n in STEM_SIZES if len(word) > n and word[:n] in stems), 0)
+
+        memo = Memo(known, 400_000)
         patterns = [re.compile(p) for p in self.patterns.values()]
 
-        def read(text: str | None) -> tuple[np.ndarray, list[bool], int]:
+        def read(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bool], int]:
             chunks = (text or "").split()
             found = [k for k in map(memo.__getitem__, chunks) if k]
-            counts = np.bincount(found, minlength=len(index) + 1)[1:] if found else np.zeros(len(index), np.int64)
-            return counts, [bool(p.search(text or "")) for p in patterns], len(chunks)
+            counts = np.bincount(found, minlength=width + 1)[1:] if found else np.zeros(width, np.int64)
+            return counts[: len(index)], counts[len(index) :], [bool(p.search(text or "")) for p in patterns], len(chunks)
 
         return read
 
@@ -95,15 +105,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
 
 
-def learnt_words(sample: DataFrame, most: int = LEARNT_WORDS) -> list[str]:
-    """Words far more frequent in toxic sample texts than in others, best first."""
+def learnt_words(sample: DataFrame, most: int = LEARNT_WORDS, most_stems: int = LEARNT_STEMS) -> tuple[list[str], list[str]]:
+    """Words far more frequent in toxic sample texts than in others, best first, and stems that repeat in them and hardly in others.
+
+    A text speaks for a stem whose words number two or more and half of ``STEM_SHARE`` of all. Stems of listed words are left out.
+    """
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen = (Counter(), Counter())
         for text, toxic in rows:
-            kind = seen[toxic > 0]
-            kind.update(set(words_of(text)))
+            kind, words = seen[toxic > 0], words_of(text)
+            kind.update(set(words))
             kind[""] += 1
+            # A star marks a stem; words end with none.
+            stems = Counter(w[:n] + "*" for w in words for n in STEM_SIZES if len(w) > n)
+            kind.update(k for k, n in stems.items() if n >= STEM_COUNT and n >= STEM_SHARE / 2 * len(words))
         for word in seen[0].keys() | seen[1].keys():
             yield word, seen[1][word], seen[0][word]
 
@@ -112,19 +128,30 @@ def learnt_words(sample: DataFrame, most: int = LEARNT_WORDS) -> list[str]:
     total = sums.where("word = ''").first()
     if not total or not total["t"] or not total["o"]:
         sums.unpersist()
-        return []
+        return [], []
     nt, no = total["t"], total["o"]
     odds = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("o") + 0.5) / (no + 1))
     sure = (F.col("t") - F.sqrt("t")) / nt > 10 * (F.col("o") + 1) / no
-    best = sums.where((F.col("word") != "") & (F.col("t") >= max(5, 0.08 * nt)) & sure).select("word", (odds * F.col("t")).alias("gain"))
-    out = [r["word"] for r in best.orderBy(F.desc("gain"), "word").limit(most).collect()]
+    best = sums.where(sure).select("word", "t", (odds * F.col("t")).alias("gain")).orderBy(F.desc("gain"), "word")
+    is_stem = F.col("word").endswith("*")
+    words = [r["word"] for r in best.where(~is_stem & (F.col("word") != "") & (F.col("t") >= max(5, 0.08 * nt))).limit(most).collect()]
+    listed, stems = {*words, *(w for own in LEXICON.values() for w in own)}, []
+    for r in best.where(is_stem & (F.col("t") >= max(8, 0.02 * nt))).limit(most_stems + len(STEM_SIZES) * len(listed)).collect():
+        stem = r["word"][:-1]
+        if len(stems) < most_stems and not any(w.startswith(stem) for w in listed) and not any(x.startswith(stem) or stem.startswith(x) for x in stems):
+            stems.append(stem)
     sums.unpersist()
-    return out
+    return words, stems
 
 
-def make_voters(words: list[str]) -> Voters:
+def make_voters(words: list[str], stems: list[str]) -> Voters:
     learnt = {f"learnt{k}": own for k in range(LEARNT_VOTERS) if (own := words[k::LEARNT_VOTERS])}
-    return Voters({**LEXICON, **learnt})
+    return Voters({**LEXICON, **learnt}, stems=stems)
+
+
+def dense(stems: np.ndarray, n: int) -> bool:
+    """Whether the stems' words are many enough in a text of ``n`` words for a vote."""
+    return bool(stems.sum() >= STEM_COUNT and stems.sum() >= STEM_SHARE * n)
 
 
 def vote_counts(docs: DataFrame, voters: Voters, text_col: str = "text") -> dict[int, int]:
@@ -134,8 +161,8 @@ def vote_counts(docs: DataFrame, voters: Voters, text_col: str = "text") -> dict
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         read, seen = voters.reader(), Counter()
         for (text,) in rows:
-            counts, flags, _ = read(text)
-            fired = [*(member @ counts > 0), *flags]
+            counts, stems, flags, n = read(text)
+            fired = [*(member @ counts > 0), dense(stems, n), *flags]
             seen[sum(1 << k for k, x in enumerate(fired) if x)] += 1
         yield from seen.items()
 
@@ -162,7 +189,7 @@ class LabelModel:
 
 
 def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60) -> LabelModel:
-    """Expectation maximisation over the counts of vote sets; after each round, voters that stay correlated within the classes count less."""
+    """Expectation maximisation over the counts of vote sets; after each round, voters that stay positively correlated within the classes count less."""
     sets = np.asarray(sorted(counts), np.int64)
     votes = (sets[:, None] >> np.arange(voters) & 1).astype(float)
     n = np.asarray([counts[int(s)] for s in sets], float)
@@ -187,7 +214,7 @@ def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps:
             left += (m[:, None] * rest).T @ rest
         scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
         correlations = left / np.outer(scale, scale)
-        model = LabelModel(model.prior, model.rates, model.quiet, correlations, 1 / (1 + np.maximum(np.abs(correlations) - np.eye(voters) - 0.1, 0).sum(1)))
+        model = LabelModel(model.prior, model.rates, model.quiet, correlations, 1 / (1 + np.maximum(correlations - np.eye(voters) - 0.1, 0).sum(1)))
     return model
 
 
@@ -198,10 +225,11 @@ class ToxicityModel:
     bias: float
 
 
-def features(counts: np.ndarray, flags: list[bool], n: int) -> np.ndarray:
-    """Logarithm of each word's count; whether there is any, the logarithm of all, their share; and the patterns."""
-    total = counts.sum()
-    return np.concatenate([np.log1p(counts), [float(total > 0), np.log1p(total), min(1.0, 20 * total / max(n, 1))], flags]).astype(float)
+def features(counts: np.ndarray, stems: np.ndarray, flags: list[bool], n: int) -> np.ndarray:
+    """Logarithm of each word's count; whether there is any, the logarithm of all, their share; the stems' vote, logarithm and share; and the patterns."""
+    total, begun = counts.sum(), stems.sum()
+    sums = [float(total > 0), np.log1p(total), min(1.0, 20 * total / max(n, 1)), float(dense(stems, n)), np.log1p(begun), min(1.0, 20 * begun / max(n, 1))]
+    return np.concatenate([np.log1p(counts), sums, flags]).astype(float)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -223,19 +251,19 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """The model of ``docs``. Without labelled rows the fixed lists alone vote and every listed word weighs the same."""
     sample = labelled_sample(docs, labels, id_col, text_col)
-    voters = make_voters(learnt_words(sample))
+    voters = make_voters(*learnt_words(sample))
     member = voters.member()
 
     def read_all(rows: Iterator[tuple]) -> Iterator[tuple]:
         read = voters.reader()
         for text, toxic in rows:
-            counts, flags, n = read(text)
-            yield features(counts, flags, n).tolist(), [*(member @ counts > 0).astype(float).tolist(), *map(float, flags)], float(toxic)
+            counts, stems, flags, n = read(text)
+            yield features(counts, stems, flags, n).tolist(), [*(member @ counts > 0).astype(float).tolist(), float(dense(stems, n)), *map(float, flags)], float(toxic)
 
     schema = pa.schema([("x", pa.list_(pa.float64())), ("votes", pa.list_(pa.float64())), ("toxic", pa.float64())])
     rows = map_rows(sample, read_all, "x array<double>, votes array<double>, toxic double", schema).collect()  # MOST_LABELLED rows at most
     if not rows:
-        return ToxicityModel(voters, np.concatenate([np.ones(len(voters.words)), [1.0, 1.0, 1.0], np.zeros(len(voters.patterns))]), -2.5)
+        return ToxicityModel(voters, np.concatenate([np.ones(len(voters.words) + 3), np.zeros(3 + len(voters.patterns))]), -2.5)
     rows.sort()
     x, votes, toxic = (np.asarray([r[k] for r in rows]) for k in range(3))
     heard = worth_hearing(votes, toxic)
@@ -243,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for fired, n in vote_counts(docs, voters, text_col).items():
         sets[sum(1 << j for j, k in enumerate(heard) if fired >> k & 1)] += n
     model = fit_label_model(sets, len(heard))
-    x[:, len(voters.words) + 3 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists), heard)
+    x[:, len(voters.words) + 6 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists) + 1, heard)
     weights, bias = fit_linear(x, model.posterior(votes[:, heard]))
     return ToxicityModel(voters, weights, bias)
 
