@@ -188,15 +188,25 @@ class LabelModel:
         return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + fired + none)))
 
 
-def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60) -> LabelModel:
-    """Expectation maximisation over the counts of vote sets; after each round, voters that stay positively correlated within the classes count less."""
+def first_guess(votes: np.ndarray, toxic: np.ndarray) -> LabelModel:
+    """The label model as the labelled votes alone show it, from which the estimation over all documents starts."""
+    yes, no = votes[toxic > 0], votes[toxic <= 0]
+    share = lambda x, n: (x + 0.5) / (n + 1)
+    rates = np.column_stack([share(own.sum(0), len(own)) for own in (no, yes)])
+    quiet = np.asarray([share((own.sum(1) == 0).sum(), len(own)) for own in (no, yes)])
+    n = votes.shape[1]
+    return LabelModel(float(np.clip(share(len(yes), len(votes)), 1e-4, 0.5)), rates, quiet, np.eye(n), np.ones(n))
+
+
+def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60, start: LabelModel | None = None) -> LabelModel:
+    """Expectation maximisation over the counts of vote sets from ``start`` (default: rare voters that lean to toxic); after each round, voters that stay positively correlated within the classes count less."""
     sets = np.asarray(sorted(counts), np.int64)
     votes = (sets[:, None] >> np.arange(voters) & 1).astype(float)
     n = np.asarray([counts[int(s)] for s in sets], float)
-    model = LabelModel(0.1, np.tile([0.02, 0.3], (voters, 1)), np.asarray([0.9, 0.1]), np.eye(voters), np.ones(voters))
+    start = start or LabelModel(0.1, np.tile([0.02, 0.3], (voters, 1)), np.asarray([0.9, 0.1]), np.eye(voters), np.ones(voters))
     if not n.sum():
-        return model
-    start = model
+        return start
+    model = start
     for _ in range(rounds):
         model = LabelModel(start.prior, start.rates, start.quiet, model.correlations, model.weights)
         for _ in range(steps):
@@ -270,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sets: Counter = Counter()
     for fired, n in vote_counts(docs, voters, text_col).items():
         sets[sum(1 << j for j, k in enumerate(heard) if fired >> k & 1)] += n
-    model = fit_label_model(sets, len(heard))
+    model = fit_label_model(sets, len(heard), start=first_guess(votes[:, heard], toxic))
     x[:, len(voters.words) + 6 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists) + 1, heard)
     weights, bias = fit_linear(x, model.posterior(votes[:, heard]))
     return ToxicityModel(voters, weights, bias)
