@@ -40,6 +40,8 @@ MOST_LABELLED, LEARNT_WORDS, LEARNT_VOTERS, RIDGE = 20_000, 40, 4, 1.0
 #: Lengths of word beginnings (stems, for languages that inflect and compound), stems learnt at most, and from which count and share of a text's words on they vote.
 STEM_SIZES, LEARNT_STEMS, STEM_COUNT, STEM_SHARE = (4, 5, 6), 40, 2, 0.01
 THRESHOLD = 0.3
+#: Say of the labelled votes in the label model, as a share of the corpus's: one voter alone could not be told otherwise.
+HOLD = 0.2
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 
 
@@ -198,8 +200,8 @@ def first_guess(votes: np.ndarray, toxic: np.ndarray) -> LabelModel:
     return LabelModel(float(np.clip(share(len(yes), len(votes)), 1e-4, 0.5)), rates, quiet, np.eye(n), np.ones(n))
 
 
-def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60, start: LabelModel | None = None) -> LabelModel:
-    """Expectation maximisation over the counts of vote sets from ``start`` (default: rare voters that lean to toxic); after each round, voters that stay positively correlated within the classes count less."""
+def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps: int = 60, start: LabelModel | None = None, hold: float = 0.0) -> LabelModel:
+    """Expectation maximisation over the counts of vote sets from ``start`` (default: rare voters that lean to toxic), which weighs like ten documents and a share ``hold`` of all; after each round, voters that stay positively correlated within the classes count less."""
     sets = np.asarray(sorted(counts), np.int64)
     votes = (sets[:, None] >> np.arange(voters) & 1).astype(float)
     n = np.asarray([counts[int(s)] for s in sets], float)
@@ -213,10 +215,11 @@ def fit_label_model(counts: dict[int, int], voters: int, rounds: int = 3, steps:
             p = model.posterior(votes)
             mass = np.stack([n * (1 - p), n * p])
             # A weak prior keeps rates inside (0, 1), and a toxic document the likelier one to make a voter fire.
-            rates = ((mass @ votes + [[0.2], [3.0]]) / (mass.sum(1)[:, None] + 10)).T
+            ghosts = 10 + hold * mass.sum(1)
+            rates = ((mass @ votes + ghosts[:, None] * start.rates.T) / (mass.sum(1) + ghosts)[:, None]).T
             rates[:, 1] = np.maximum(rates[:, 1], rates[:, 0])
-            quiet = (mass @ (votes.sum(1) == 0) + [9.0, 0.5]) / (mass.sum(1) + 10)
-            model = LabelModel(float(np.clip(mass[1].sum() / n.sum(), 1e-4, 0.5)), rates, quiet, model.correlations, model.weights)
+            quiet = (mass @ (votes.sum(1) == 0) + ghosts * start.quiet) / (mass.sum(1) + ghosts)
+            model = LabelModel(float(np.clip((mass[1].sum() / n.sum() + hold * start.prior) / (1 + hold), 1e-4, 0.5)), rates, quiet, model.correlations, model.weights)
         p = model.posterior(votes)
         left = np.zeros((voters, voters))
         for k, m in enumerate((n * (1 - p), n * p)):
@@ -280,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sets: Counter = Counter()
     for fired, n in vote_counts(docs, voters, text_col).items():
         sets[sum(1 << j for j, k in enumerate(heard) if fired >> k & 1)] += n
-    model = fit_label_model(sets, len(heard), start=first_guess(votes[:, heard], toxic))
+    model = fit_label_model(sets, len(heard), start=first_guess(votes[:, heard], toxic), hold=HOLD)
     x[:, len(voters.words) + 6 :] *= np.isin(np.arange(len(voters.patterns)) + len(voters.lists) + 1, heard)
     weights, bias = fit_linear(x, model.posterior(votes[:, heard]))
     return ToxicityModel(voters, weights, bias)
