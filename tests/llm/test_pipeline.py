@@ -125,6 +125,39 @@ def test_near_copies_of_one_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
+def test_near_copies_that_are_close_to_their_base_only(spark):
+    rng = np.random.default_rng(6)
+    texts = {}
+    for group in range(6):
+        words = [f"g{group}w{k}" for k in rng.permutation(200)]
+        texts[100 * group + 50] = " ".join(words)
+        for d in range(30):
+            own = list(words)
+            for at in rng.choice(200, 4, replace=False):
+                own[int(at)] = f"new{group}x{d}x{at}"
+            texts[100 * group + d + (d >= 25) * 30] = " ".join(own)
+    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
+
+
+def test_near_copies_by_contiguous_edits(spark):
+    rng = np.random.default_rng(7)
+    texts, d = {}, 0
+    for n in (150, 400):
+        for k in range(60):
+            words = [f"v{x}" for x in rng.integers(0, 100_000, n)]
+            more = [f"u{x}" for x in rng.integers(0, 100_000, n)]
+            cut = int(n * (0.1 + 0.14 * rng.random()))
+            at = int(rng.integers(0, n - cut // 2))
+            other = (words + more[:cut], words[: n - cut], words[:at] + more[: cut // 2] + words[at + cut // 2 :])[k % 3]
+            texts |= {d: " ".join(words), d + 1: " ".join(other)}
+            d += 2
+    want = near_copy_groups(texts)
+    assert 60 < sum(d != c for d, c in want.items()) < 120
+    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
 def test_stems_of_an_inflected_language_are_learnt(spark):
     rng = np.random.default_rng(5)
     syllables = ["ka", "mo", "ri", "tel", "su", "van", "do", "ne", "lis", "ur"]
