@@ -23,8 +23,9 @@ from .tokens import Memo
 
 # Masks of weight 7 over up to 10 words; a dot is ignored.
 MASKS = ("#######", "###.##.##", "##.#.##.##")
-#: Words around a hit that are kept for the comparison; words and share of equal ones that make an overlap.
-MARGIN, LEAST_WORDS, LEAST_SHARE = 24, 13, 0.8
+#: Words and share of equal ones that make an overlap.
+LEAST_WORDS, LEAST_SHARE = 13, 0.8
+_PERCENT = round(100 * LEAST_SHARE)
 #: Test hashes (8 bytes each) sent to every executor as a first filter; above this many the join does without.
 MOST_FILTER = 1 << 22
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡·"
@@ -61,15 +62,16 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(first item word, words, equal words) of the best stretch where doc[k + shift] meets item[k]: +1 for an equal word, -2 for another."""
+    """(first item word, words, equal words) of the longest stretch where doc[k + shift] meets item[k] with ``LEAST_SHARE`` of equal words or more."""
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return 0, 0, 0
     equal = doc[low + shift : high + shift] == item[low:high]
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1])
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 100 - _PERCENT, -_PERCENT))])
+    # For each end the first start whose sum is no larger: lowest sums so far fall, so it is found by bisection.
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(np.arange(len(total)) - starts))
+    start = int(starts[end])
     return low + start, end - start, int(equal[start:end].sum())
 
 
@@ -92,15 +94,6 @@ def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return known, cut(made.distinct())
 
 
-def _regions(hits: np.ndarray, spans: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
-    """Hits in order, put together where their margins meet: (first hit, hit after the last, first word, word after the last)."""
-    low, high = np.maximum(hits - MARGIN, 0), np.minimum(hits + spans + MARGIN, n)
-    high = np.maximum.accumulate(high)
-    breaks = np.flatnonzero(low[1:] > high[:-1]) + 1
-    firsts, ends = [0, *breaks.tolist()], [*breaks.tolist(), len(hits)]
-    return [(a, b, int(low[a]), int(high[b - 1])) for a, b in zip(firsts, ends, strict=True)]
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per overlapping pair: doc_id, item_id, overlap_words, equal_words (of its longest overlap), overlaps (diagonals that have one).
 
@@ -123,7 +116,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             gate[table & 0xFFFFF] = True
         for doc_id, text in rows:
             words = word_hashes(text)
-            at, seed, span = [], [], []
+            at, seed = [], []
             for mask in MASKS:
                 made = seed_hashes(words, mask)
                 if table is not None:
@@ -134,23 +127,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     hit = np.arange(len(made))
                 at.append(hit)
                 seed.append(made[hit])
-                span.append(np.full(len(hit), len(mask)))
-            at, seed, span = map(np.concatenate, (at, seed, span))
+            at, seed = map(np.concatenate, (at, seed))
             if not len(at):
                 continue
-            order = np.argsort(at, kind="stable")
-            at, seed, span = at[order], seed[order], span[order]
-            for a, b, low, high in _regions(at, span, len(words)):
-                yield doc_id, low, words[low:high].tobytes(), seed[a:b].tolist(), (at[a:b] - low).tolist()
+            data = words.tobytes()
+            yield doc_id, xxhash.xxh3_64_intdigest(data) >> 1, data, seed.tolist(), at.tolist()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
     texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    regions = cut(map_rows(texts, find, "doc_id long, first_word long, words binary, seeds array<long>, places array<long>", schema))
-    hits = regions.select("doc_id", "first_word", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("doc_id", "first_word", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("word_place"))
+    held = cut(map_rows(texts, find, "doc_id long, content long, words binary, seeds array<long>, places array<long>", schema))
+    hits = held.select("doc_id", "content", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("doc_id", "content", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("word_place"))
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
-    diagonals = met.select("doc_id", "first_word", "item_id", (F.col("word_place") - F.col("place")).alias("shift")).distinct()
+    diagonals = met.select("doc_id", "content", "item_id", (F.col("word_place") - F.col("place")).alias("shift")).distinct()
     item_words = known.withColumnRenamed("words", "item_words")
-    pairs = diagonals.join(regions.select("doc_id", "first_word", "words").distinct(), ["doc_id", "first_word"]).join(item_words, "item_id")
+    whole = held.groupBy("doc_id", "content").agg(F.first("words").alias("words"))
+    pairs = diagonals.join(whole, ["doc_id", "content"]).join(F.broadcast(item_words) if small else item_words, "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

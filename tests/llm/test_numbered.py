@@ -191,6 +191,43 @@ def test_decontamination_tolerates_replaced_words(spark):
     assert sorted((r["doc_id"], r["item_id"], r["equal_words"]) for r in got) == [(1, 9, len(words)), (2, 9, len(words) - 2)]
 
 
+def windows_overlap(doc, item):
+    """Whether any 13 or more words of ``doc``, or all of a shorter item's, equal ``item``'s in 0.8 of the places; over all windows."""
+    need = min(13, len(item))
+    for shift in range(-len(item), len(doc)):
+        equal = [doc[k + shift] == w for k, w in enumerate(item) if 0 <= k + shift < len(doc)]
+        if any(5 * sum(equal[a:b]) >= 4 * (b - a) for a in range(len(equal)) for b in range(a + need, len(equal) + 1)):
+            return True
+    return False
+
+
+def replaced(rng, words, n):
+    out = list(words)
+    for k in rng.choice(len(words), n, replace=False):
+        out[k] = f"zebra{k}"
+    return out
+
+
+def decontamination_case(spark, lengths_and_changes):
+    rng, items, docs = np.random.default_rng(8), {}, {}
+    for n, changes in lengths_and_changes:
+        for _ in range(12):
+            i = len(items)
+            items[i] = [f"i{i}w{k}" for k in range(n)]
+            docs[i] = [*(f"d{i}a{k}" for k in range(5)), *replaced(rng, items[i], changes), *(f"d{i}b{k}" for k in range(40))]
+    frame = lambda t, name: spark.createDataFrame([(k, " ".join(w)) for k, w in t.items()], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    return got, {(i, i) for i in items if windows_overlap(docs[i], items[i])}
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_decontamination_finds_every_window(spark, monkeypatch, filtered):
+    if not filtered:
+        monkeypatch.setattr(decontaminate, "MOST_FILTER", 0)
+    got, want = decontamination_case(spark, [(13, 1), (60, 15), (100, 25)])
+    assert len(want) > 24 and got == want
+
+
 def test_best_fit_respects_every_capacity():
     lengths = np.sort(np.random.default_rng(2).integers(1, 60, 300))[::-1]
     capacity = packing.Capacity(100, 4, 4000)
