@@ -9,6 +9,7 @@ is long enough and mostly equal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,11 @@ from ..session import cut
 from .arrow import map_rows
 from .tokens import Memo
 
-# Masks of weight 7 over up to 10 words; a dot is ignored.
-MASKS = ("#######", "###.##.##", "##.#.##.##")
+# Masks of weight 6 over up to 13 words; a dot is ignored. Found by greedy choice: every stretch of 13 words
+# or more with ``LEAST_SHARE`` of equal ones is hit by one of them (a longer one than 25 holds a shorter one; a test tries all).
+MASKS = ("####.##", "##.#...#.##", "#.#...#...###")
+#: Items of fewer words are not looked for.
+LEAST_ITEM = 3
 #: Words and share of equal ones that make an overlap.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 _PERCENT = round(100 * LEAST_SHARE)
@@ -47,6 +51,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     return out[out > 0]
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over all of an item of ``n`` words, fewer than ``LEAST_WORDS``: of n words parted in e + 2, each ignores e parts, where e words may differ."""
+    others = n * (100 - _PERCENT) // 100
+    part = [k * (others + 2) // n for k in range(n)]
+    return ["".join("." if p in gone else "#" for p in part) for gone in combinations(range(others + 2), others)]
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """A 63-bit hash of the mask's places at every position where the mask fits."""
     n = len(words) - len(mask) + 1
@@ -76,7 +87,7 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
 
 
 def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(item_id, words) of each test item and its distinct (seed, item_id, place). Items shorter than the shortest mask give no seed."""
+    """(item_id, words) of each test item and its distinct (seed, item_id, place). Items of fewer than ``LEAST_ITEM`` words give no seed."""
 
     def words(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item, text in rows:
@@ -85,7 +96,7 @@ def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     def seeds(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item, data in rows:
             hashed = np.frombuffer(data, np.uint32)
-            for mask in MASKS:
+            for mask in MASKS if len(hashed) >= LEAST_WORDS else short_masks(len(hashed)) if len(hashed) >= LEAST_ITEM else ():
                 for place, seed in enumerate(seed_hashes(hashed, mask).tolist()):
                     yield seed, item, place
 
@@ -97,13 +108,17 @@ def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per overlapping pair: doc_id, item_id, overlap_words, equal_words (of its longest overlap), overlaps (diagonals that have one).
 
-    An overlap has at least ``LEAST_WORDS`` words, or all of a shorter item's, of which ``LEAST_SHARE`` are equal. Null and
+    An overlap has at least ``LEAST_WORDS`` words, or all of a shorter item's, of which ``LEAST_SHARE`` are equal; items of
+    fewer than ``LEAST_ITEM`` words overlap nothing. Null and
     empty texts overlap nothing; equal doc ids count as one document; rows without an id are left out; other columns are
     not read. Test hashes filter the texts' hashes in each task while they number ``MOST_FILTER`` at most; above that
     every hash goes to the join.
     """
     known, seeds = item_seeds(items)
     n_seeds = seeds.count()
+    # Short items' masks are used for the lengths that there are.
+    lengths = known.select((F.length("words") / 4).cast("int").alias("n")).where(F.col("n").between(LEAST_ITEM, LEAST_WORDS - 1)).distinct().collect()
+    masks = [*MASKS, *(mask for n in sorted(r[0] for r in lengths) for mask in short_masks(n))]
     small = n_seeds <= MOST_FILTER
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(np.unique(np.asarray([r[0] for r in seeds.select("seed").distinct().collect()], np.int64))) if small else None
@@ -117,7 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for doc_id, text in rows:
             words = word_hashes(text)
             at, seed = [], []
-            for mask in MASKS:
+            for mask in masks:
                 made = seed_hashes(words, mask)
                 if table is not None:
                     hit = np.flatnonzero(gate[made & 0xFFFFF])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -228,6 +229,28 @@ def test_decontamination_finds_every_window(spark, monkeypatch, filtered):
     assert len(want) > 24 and got == want
 
 
+def test_seeds_hit_every_overlap():
+    def hit(equal, masks, places):
+        return any(all(equal[at + k] for k, c in enumerate(mask) if c == "#") for mask in masks for at in places(len(equal) - len(mask) + 1))
+
+    for n in range(13, 26):
+        others = n // 5
+        for gone in itertools.combinations(range(n), others):
+            equal = [k not in gone for k in range(n)]
+            assert hit(equal, decontaminate.MASKS, range), (n, gone)
+    for n in range(decontaminate.LEAST_ITEM, 13):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert hit([k not in gone for k in range(n)], decontaminate.short_masks(n), lambda _: [0]), (n, gone)
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_decontamination_finds_short_and_much_changed_items(spark, monkeypatch, filtered):
+    if not filtered:
+        monkeypatch.setattr(decontaminate, "MOST_FILTER", 0)
+    got, want = decontamination_case(spark, [(13, 2), (15, 3), (16, 3), *((n, n // 5) for n in range(3, 13)), (8, 2)])
+    assert len(want) == 13 * 12 and got == want
+
+
 def test_best_fit_respects_every_capacity():
     lengths = np.sort(np.random.default_rng(2).integers(1, 60, 300))[::-1]
     capacity = packing.Capacity(100, 4, 4000)
