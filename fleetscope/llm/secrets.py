@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +38,11 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
 ONE_ESCAPE = re.compile(r"[\\&][uUx#]\{?([xX]?)([0-9A-Fa-f]+)[};]?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; escapes mixed with the characters that URL quoting leaves; starts of compressed data.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
+MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 
 #: A decompressed layer may have this many bytes; a larger one is counted in ``unread_layers``, not scanned.
 LAYER_BYTES = 16_000_000
@@ -93,11 +99,9 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
     return Layer("".join(out), runs or [(0, 0, 0, False)])
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    """The run's text; a byte that is not UTF-8 shows as U+FFFD and does not hide the others."""
+    return bytes.fromhex(run.replace("%", "")).decode(errors="replace")
 
 
 def _escaped(run: str) -> str | None:
@@ -153,6 +157,41 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
+def _promising(head: str) -> bool:
+    """Whether base64 that begins with ``head`` (16 characters) can be text or compressed data."""
+    data = _base64(head)
+    if data is None:
+        return False
+    return MAGIC.match(data) is not None or _readable(data.decode(errors="ignore").encode()) is not None and len(data.decode(errors="ignore").encode()) >= len(data) - 3
+
+
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of everything to try as base64: whole runs, their parts after '/', '_' and '-', and wrapped lines put together."""
+    for m in BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+        breaks = [k.end() for k in re.finditer(r"[/_-]", m[0])]
+        for at, after in zip([0, *breaks], [*breaks, len(m[0]) + 1], strict=True):
+            if len(m[0]) - at >= 16 and _promising(m[0][at : at + 16]):
+                if at:
+                    yield m.start() + at, m.end(), m[0][at:]
+                if breaks and after - 1 - at >= 16 and after <= len(m[0]):
+                    yield m.start() + at, m.start() + after - 1, m[0][at : after - 1]
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + k.start(), m.start() + k.end()) for k in LINE.finditer(m[0])]
+        k = 0
+        while k + 1 < len(lines):
+            width, last = lines[k + 1][1] - lines[k + 1][0], k + 1
+            # The second line tells the width, or the first where there are but two.
+            width = max(width, lines[k][1] - lines[k][0]) if last + 1 == len(lines) or lines[last + 1][1] - lines[last + 1][0] > width else width
+            while last + 1 < len(lines) and lines[last][1] - lines[last][0] == width:
+                last += 1
+            for start in {lines[k][0], max(lines[k][0], lines[k][1] - width)}:
+                for end in (last, last - 1):
+                    if end > k:
+                        yield start, lines[end][1], text[start : lines[k][1]] + "".join(text[a:b] for a, b in lines[k + 1 : end + 1])
+            k = max(k + 1, last - 1)
+
+
 def unwrap(layer: Layer) -> tuple[list[Layer], int]:
     """The layers directly under ``layer``, and how many were too large to read."""
     out, unread, text = [], 0, layer.text
@@ -161,14 +200,25 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
             pieces = [(m.start(), m.end(), t) for m in pattern.finditer(text) if (t := decoded(m[0])) is not None]
             if pieces:
                 out.append(_replaced(layer, pieces))
-    for m in BASE64.finditer(text):
-        data = _base64(m[0])
+
+    def read(start: int, end: int, data: bytes | None) -> None:
+        nonlocal unread
         while data is not None:
             if (shown := _readable(data)) is not None:
-                out.append(Layer(shown, [(0, *layer.origin(m.start(), m.end()), False)]))
+                out.append(Layer(shown, [(0, *layer.origin(start, end), False)]))
                 break
             data, large = _inflate(data)
             unread += large
+
+    for start, end, run in _base64_runs(text):
+        read(start, end, _base64(run))
+    if "%" in text:
+        for m in QUOTED.finditer(text):
+            if "%" in m[0] and MAGIC.search(data := unquote_to_bytes(m[0])):
+                for k in MAGIC.finditer(data):
+                    inner, large = _inflate(data[k.start() :])
+                    unread += large
+                    read(m.start(), m.end(), inner)
     return out, unread
 
 

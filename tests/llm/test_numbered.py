@@ -151,6 +151,27 @@ def test_layers():
     assert secrets.secret_spans("%2525" * 50)[3] == 0  # ends
 
 
+def test_layers_in_wrapped_lines_urls_and_quoted_bytes():
+    import base64
+    import gzip
+    import textwrap
+    from urllib.parse import quote
+
+    secret = 'filler words first, so that the lines are long enough; password = "hunter2hunter2hunter2" and then some more words to wrap'
+    found = lambda text: any(kind == 0 for _, kind, _ in secrets.secret_spans(text)[1])
+    plain, packed = base64.b64encode(secret.encode()).decode(), base64.b64encode(gzip.compress(secret.encode())).decode()
+    for width in (64, 76):
+        for payload in (plain, packed):
+            for sep in ("\n", "\r\n"):
+                assert found("before\n\n" + sep.join(textwrap.wrap(payload, width)) + "\n\nafter"), (width, payload)
+                assert "hunter2" not in (secrets.redacted(sep.join(textwrap.wrap(payload, width))) or "")
+    short = base64.b64encode(b"password=hunter2hunter2").decode()
+    for url in (f"https://h.example/files/{short}", f"https://h.example/files/{short}/raw", f"https://h.example/a_b-{packed}"):
+        assert found(url), url
+    assert found("https://h.example/?q=" + quote(gzip.compress(secret.encode()), safe=""))
+    assert found("%FF%70assword%3Dhunter2hunter2")
+
+
 def test_url_rules_and_model(spark):
     rules = queries.RULES
     model = url_filter.train(url_filter.seed_urls(spark))
