@@ -35,3 +35,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_name(*tables: DataFrame) -> str:
+    """A column name that none of ``tables`` has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"own_{k}") not in taken)

@@ -100,10 +100,10 @@ def test_blocks_are_dealt_anew_without_losing_links(spark, monkeypatch):
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
     prints = {k: base[k % 40] ^ sum(1 << int(b) for b in rng.integers(0, 64, k % 6)) for k in range(900)}
     monkeypatch.setattr(simhash, "BLOCK_NODES", 12)
-    nodes = spark.createDataFrame([(k, simhash._signed(p)) for k, p in prints.items()], "doc_id long, print long").groupBy("print").agg({"doc_id": "min"}).toDF("print", "least")
+    nodes = spark.createDataFrame([(k, simhash.signed(p)) for k, p in prints.items()], "doc_id long, print long").groupBy("print").agg({"doc_id": "min"}).toDF("print", "least")
     linked = simhash.smallest_reachable(nodes, simhash.block_links(simhash.with_pivots(nodes), 4))
     got = {r["print"]: r["component_id"] for r in nodes.join(linked, "print", "left").selectExpr("print", "coalesce(component_id, least) component_id").collect()}
-    assert {k: got[simhash._signed(p)] for k, p in prints.items()} == components(prints, 4)
+    assert {k: got[simhash.signed(p)] for k, p in prints.items()} == components(prints, 4)
 
 
 def test_sharding(spark, texts):

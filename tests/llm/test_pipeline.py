@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetscope.llm import decontaminate, secrets, simhash, toxicity
+from fleetscope.llm import decontaminate, near_copies, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,7 +121,7 @@ def test_near_copies_of_one_group(spark):
         own[int(rng.integers(0, 400))] = f"new{d}"
         texts[d] = " ".join(own)
     texts |= {100 + k: " ".join(f"v{x}" for x in rng.integers(0, 5000, 300)) for k in range(20)}
-    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
@@ -136,7 +136,7 @@ def test_near_copies_that_are_close_to_their_base_only(spark):
             for at in rng.choice(200, 4, replace=False):
                 own[int(at)] = f"new{group}x{d}x{at}"
             texts[100 * group + d + (d >= 25) * 30] = " ".join(own)
-    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
@@ -154,7 +154,7 @@ def test_near_copies_by_contiguous_edits(spark):
             d += 2
     want = near_copy_groups(texts)
     assert 60 < sum(d != c for d, c in want.items()) < 120
-    found = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
 
 
