@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, fresh_name
 from .arrow import map_rows
-from .tokens import Memo
+from .tokens import Memo, alone
 
 # Masks of weight 6 over up to 13 words; a dot is ignored. Found by greedy choice: every stretch of 13 words
 # or more with ``LEAST_SHARE`` of equal ones is hit by one of them (a longer one than 25 holds a shorter one; a test tries all).
@@ -41,7 +41,7 @@ def _word_hash(chunk: str) -> int:
     return (xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), 11) | 1) if word else 0
 
 
-_WORDS = Memo(_word_hash, 400_000)
+_WORDS = Memo(_word_hash, 200_000)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -124,6 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted = spark.sparkContext.broadcast(np.unique(np.asarray([r[0] for r in seeds.select("seed").distinct().collect()], np.int64))) if small else None
 
     def find(rows: Iterator[tuple]) -> Iterator[tuple]:
+        alone(_WORDS)
         table = gate = None
         if wanted is not None:
             table = wanted.value
@@ -174,6 +175,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that overlap a test item; all columns stay."""
-    gone = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    """``docs`` without those that overlap a test item; all columns stay, whatever their names.
+
+    Null, empty and blank texts and rows without an id stay. All rows of an id go if one of them overlaps an item.
+    """
+    gone_id = fresh_name(docs)
+    gone = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(gone_id), "left_anti")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut, fresh_name, written
 from .arrow import map_rows
 from .simhash import block_links, signed, smallest_reachable, with_pivots
+from .tokens import alone
 
 #: Hashes in a text's sketch: the smallest of its distinct shingles'. Up to so many shingles the similarity is exact,
 #: beyond it has a deviation of about 0.025; estimates within ``UNSURE`` of the limit are decided by all shingles.
@@ -197,6 +198,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
         return xxhash.xxh3_128_digest(b" ".join(words))
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+        alone()
         row = TaskContext.get().partitionId() << 33
         for doc_id, text in rows:
             words = words_of(text)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
+from .tokens import alone
 
 KINDS = ("assign", "access", "hex")
 # The patterns of the three kinds.
@@ -279,11 +280,16 @@ def redacted(text: str | None, mask: str = "[SECRET]") -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with secrets masked in ``text_col`` and ``length_col`` (if there is one) counted anew where the text changed; all rows and columns stay."""
+    """``docs`` with secrets masked in ``text_col`` and ``length_col`` (if there is one) counted anew where the text changed; all rows and columns stay.
+
+    A null text stays null, an empty one empty; equal texts are masked alike, whatever their ids.
+    """
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t) for t in texts], dtype=object)
+    def mask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        alone()
+        for texts in parts:
+            yield pd.Series([redacted(t) for t in texts], dtype=object)
 
     names = docs.columns
     out = docs.withColumn(text_col, mask(docs[text_col]))

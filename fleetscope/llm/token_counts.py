@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from tokenizers import normalizers
 
 from .arrow import map_rows
-from .tokens import BYTE_PIECES, CHUNK_MEMO, ODD_BLANKS, PIECE_MEMO, PLAIN_BELOW, WORD_PIECES, Memo, byte_level
+from .tokens import BYTE_PIECES, CHUNK_MEMO, ODD_BLANKS, PIECE_MEMO, PLAIN_BELOW, WORD_PIECES, Memo, alone, byte_level
 
 
 class MergeCounter:
@@ -85,6 +85,7 @@ _LOADED: dict[str, MergeCounter] = {}
 def counter(path: str) -> MergeCounter:
     if path not in _LOADED:
         _LOADED[path] = MergeCounter(path)
+    alone(_LOADED[path].chunks, _LOADED[path].pieces)
     return _LOADED[path]
 
 

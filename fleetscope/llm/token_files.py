@@ -26,26 +26,53 @@ BLOCK, FIT_SHARE, SEGMENT_IDS = 256, 0.9, 1 << 18
 MAGIC = 0x31464650
 
 
+_POWERS = 1 << np.arange(33, dtype=np.int64)
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values below 2^width as rows of bytes, lowest bits first: 64 values fill ``width`` 64-bit words."""
+    wide = values.astype(np.uint64).reshape(len(values), -1, 64)
+    words = np.zeros((*wide.shape[:2], width + 1), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        words[:, :, word] |= wide[:, :, k] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, :, word + 1] |= wide[:, :, k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words[:, :, :width]).astype("<u8").view(np.uint8).reshape(len(values), -1)
+
+
+def _unpacked(data: np.ndarray, width: int) -> np.ndarray:
+    """The values of ``_packed``."""
+    words = np.ascontiguousarray(data).view("<u8").astype(np.uint64).reshape(len(data), -1, width)
+    out, mask = np.empty((*words.shape[:2], 64), np.uint64), np.uint64((1 << width) - 1)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        out[:, :, k] = words[:, :, word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, k] |= words[:, :, word + 1] << np.uint64(64 - shift)
+    return (out & mask).reshape(len(data), -1)
+
+
 def pack_ids(ids: np.ndarray, share: float = FIT_SHARE) -> bytes:
     """Patched frame-of-reference blocks of unsigned 32-bit ids: count, then per block minimum, width, exceptions and start, then the blocks."""
     n = len(ids)
     blocks = -(-n // BLOCK)
-    padded = np.zeros((blocks, BLOCK), np.int64)
+    padded = np.zeros((blocks, BLOCK), np.uint32)
     padded.reshape(-1)[:n] = ids
     if n % BLOCK:
         padded[-1, n % BLOCK :] = ids[-1]
     least = padded.min(1, initial=2**32 - 1)
     above = padded - least[:, None]
-    widths = np.ceil(np.log2(np.sort(above, 1)[:, int(np.ceil(share * BLOCK)) - 1] + 1)).astype(np.int64)
-    outlier = above >> widths[:, None] > 0
+    fit = int(np.ceil(share * BLOCK)) - 1
+    widths = np.searchsorted(_POWERS, np.partition(above, fit, 1)[:, fit], "right")
+    outlier = above >= _POWERS[widths][:, None]
     n_out = outlier.sum(1)
     sizes = BLOCK // 8 * widths + 5 * n_out
     starts = np.cumsum(sizes) - sizes
     body = np.zeros(int(sizes.sum()), np.uint8)
-    for w in np.unique(widths[widths > 0]):
+    for w in np.unique(widths[widths > 0]).tolist():
         own = np.flatnonzero(widths == w)
-        bits = (above[own][:, :, None] >> np.arange(w)) & 1
-        body[starts[own][:, None] + np.arange(BLOCK // 8 * w)] = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1)
+        body[starts[own][:, None] + np.arange(BLOCK // 8 * w)] = _packed(above[own] & np.uint32((1 << w) - 1), w)
     block, place = np.nonzero(outlier)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
     at = starts[block] + BLOCK // 8 * widths[block]
@@ -60,16 +87,15 @@ def unpack_ids(data: bytes) -> np.ndarray:
     read = lambda kind, k: np.frombuffer(data, kind, blocks, k).astype(np.int64)
     least, widths, n_out, starts = read("<u4", at), read(np.uint8, at + 4 * blocks), read("<u2", at + 5 * blocks), read("<u4", at + 7 * blocks)
     body = np.frombuffer(data, np.uint8, offset=at + 11 * blocks)
-    out = np.zeros((blocks, BLOCK), np.int64)
-    for w in np.unique(widths[widths > 0]):
+    out = np.zeros((blocks, BLOCK), np.uint32)
+    for w in np.unique(widths[widths > 0]).tolist():
         own = np.flatnonzero(widths == w)
-        bits = np.unpackbits(body[starts[own][:, None] + np.arange(BLOCK // 8 * w)], axis=1).reshape(len(own), BLOCK, w)
-        out[own] = bits @ (1 << np.arange(w, dtype=np.int64))
+        out[own] = _unpacked(body[starts[own][:, None] + np.arange(BLOCK // 8 * w)], w)
     block = np.repeat(np.arange(blocks), n_out)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
     at = starts[block] + BLOCK // 8 * widths[block]
     out[block, body[at + nth]] = np.ascontiguousarray(body[(at + n_out[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
-    return (out + least[:, None]).reshape(-1)[:n].astype("<u4")
+    return (out + least[:, None].astype(np.uint32)).reshape(-1)[:n].astype("<u4")
 
 
 def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -92,7 +118,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[int], np.ndarray
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table of segments: file (range of document ids), segment's place in it, ids before it in the file, ids in it, payload.
 
-    Documents are in ascending id order over all files, null ids first, equal ids by text. A null text gives no ids of
+    Documents are in ascending id order over all files, null ids first, equal ids by the text's hash and then the text. A null text gives no ids of
     its own, only ``end_id``. An empty table gives no segment. Other columns are not read. One range shuffle.
     """
 
@@ -117,9 +143,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, id_co
             yield close()
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text") if id_col == text_col else rows.repartitionByRange("doc_id")
+    # A hash of the text parts the rows of one id, so that a frequent id (or null) fills more than one range.
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text"))
     schema = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-    return written(map_rows(ordered.sortWithinPartitions("doc_id", "text"), make, "file int, segment int, ids_before long, n_ids long, payload binary", schema), "token-files", "none")
+    return written(map_rows(ordered.sortWithinPartitions("doc_id", F.xxhash64("text"), "text"), make, "file int, segment int, ids_before long, n_ids long, payload binary", schema), "token-files", "none")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .tokens import Memo
+from .tokens import Memo, alone
 
 # General English lists for the lexicon voters.
 LEXICON = {
@@ -37,6 +37,8 @@ PATTERNS = {
 }
 #: Labelled rows that are learnt from at most, words learnt at most, voters that share them, and the classifier's ridge.
 MOST_LABELLED, LEARNT_WORDS, LEARNT_VOTERS, RIDGE = 20_000, 40, 4, 1.0
+#: Rows of a batch that are filtered at once.
+KEEP_ROWS = 1024
 #: Lengths of word beginnings (stems, for languages that inflect and compound), stems learnt at most, and from which count and share of a text's words on they vote.
 STEM_SIZES, LEARNT_STEMS, STEM_COUNT, STEM_SHARE = (4, 5, 6), 40, 2, 0.01
 THRESHOLD = 0.3
@@ -80,7 +82,8 @@ class Voters:
             word = chunk.lower().strip(_TRIM)
             return index.get(word) or next((stems[word[:n]] for n in STEM_SIZES if len(word) > n and word[:n] in stems), 0)
 
-        memo = Memo(known, 400_000)
+        alone()
+        memo = Memo(known, 150_000)
         patterns = [re.compile(p) for p in self.patterns.values()]
 
         def read(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bool], int]:
@@ -314,15 +317,20 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that the model calls toxic; all columns stay. The text is scored row by row, without a join."""
+    """``docs`` without those that the model calls toxic; all columns stay. The text is scored row by row, without a join.
+
+    Null and empty texts and rows without an id are scored and kept alike; repeated rows have one fate.
+    """
     model = train(docs, labels, id_col, text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.voters.reader()
         limit = np.log(THRESHOLD / (1 - THRESHOLD))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            kept = [bool(features(*read(t)) @ model.weights + model.bias < limit) for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for at in range(0, len(batch), KEEP_ROWS):
+                part = batch.slice(at, KEEP_ROWS)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                kept = [bool(features(*read(t)) @ model.weights + model.bias < limit) for t in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
