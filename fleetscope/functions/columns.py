@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Programs that many unrelated services share, by normalised name.
-SHARED_HOSTS = ("svchost", "rundll32", "dllhost", "runtimebroker", "wmiprvse", "conhost", "taskhostw", "backgroundtaskhost", "python", "pythonw", "node", "java")
+SHARED_HOSTS = ("svchost", "dllhost", "rundll32", "taskhostw", "wmiprvse", "runtimebroker", "backgroundtaskhost", "conhost", "sihost")
 SEVERITIES = ("info", "warning", "critical")
 # Reasons in a GPU's clock throttle mask.
 THROTTLE_BITS = {0x1: "gpu_idle", 0x2: "applications_clocks", 0x4: "sw_power_cap", 0x8: "hw_slowdown", 0x10: "sync_boost", 0x20: "sw_thermal", 0x40: "hw_thermal", 0x80: "hw_power_brake", 0x100: "display_clocks"}
 #: Kinds of bottleneck for which a program can be named.
-ATTRIBUTABLE = ("CPU", "IO", "MEMORY", "CONTENTION")
+ATTRIBUTABLE = ("CPU", "IO", "MEMORY")
 
 
 def epoch(ts: Column | str) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def rolling_dense(samples: DataFrame, value: str = "value", keys: Sequence[str]
     return with_sigma(spread.groupBy(*keys, "_chunk").applyInPandas(run, schema), config)
 
 
+def rolling_since(samples: DataFrame, since: float, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline()) -> DataFrame:
+    """``rolling_dense`` of the rows from ``since`` on, warmed up: the window before ``since`` is read back, so that the first rows have a full baseline."""
+    return rolling_dense(samples.where(F.col(ts) >= since - config.window), value, keys, ts, config).where(F.col(ts) >= since)
+
+
+def median_by(df: DataFrame, keys: Sequence[str], value: str = "value", name: str = "median") -> DataFrame:
+    """(keys, name): the median of each group. One shuffle and a sort, so that many small groups and a very large one cost alike."""
+    own = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(own.orderBy(value)))
+    return ranked.where((2 * F.col("_i")).between(F.col("_n"), F.col("_n") + 2)).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
 def z_score(value: Column, median: Column, sigma: Column) -> Column:
     return F.when(sigma > 0, (value - median) / sigma)
 
@@ -76,17 +89,39 @@ def threshold(median: Column, sigma: Column, k: float) -> Column:
 
 
 def thinned(samples: DataFrame, spacing: float, keys: Sequence[str] = ("source",), ts: str = "ts") -> DataFrame:
-    """Greedy thinning: a sample stays if ``spacing`` passed since the last that stayed. A fold over each key's times, in hourly runs joined by their last kept time."""
+    """Greedy thinning: a sample stays if ``spacing`` passed since the last that stayed."""
     kept = spaced(samples.select(*keys, ts).distinct(), spacing, keys, ts)
     return samples.join(kept, [*keys, ts], "left_semi")
 
 
 def spaced(times: DataFrame, spacing: float, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """(keys, ts) kept by greedy spacing per key."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= spacing), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-    folded = times.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(F.col(ts).cast("double"))), start, step)["kept"].alias("_k"))
-    return folded.select(*keys, F.explode("_k").alias(ts))
+    """(keys, ts) kept by greedy spacing per key. Each task streams its keys' times in order and holds one batch and the last kept time."""
+    own = times.select(*keys, F.col(ts).cast("double").alias(ts)).where(F.col(ts).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, -np.inf
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            t, kept = batch.column(len(keys)).to_numpy(), []
+            for first, end in zip(starts, starts[1:], strict=False):
+                if first == end:
+                    continue
+                if names[first] != key:
+                    key, last = names[first], -np.inf
+                at = first
+                while at < end:
+                    # The bisection may stop a rounding short of ``spacing``; the subtraction decides.
+                    at += int(np.searchsorted(t[at:end], np.nextafter(last + spacing, -np.inf)))
+                    while at < end and t[at] - last < spacing:
+                        at += 1
+                    if at < end:
+                        kept.append(at)
+                        last = t[at]
+                        at += 1
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return own.repartition(*keys).sortWithinPartitions(*keys, ts).mapInArrow(run, own.schema)
 
 
 def conditional(samples: DataFrame, program: str = "program", value: str = "value", keys: Sequence[str] = ("source", "metric"), config: Baseline = Baseline(3600.0, 60)) -> DataFrame:

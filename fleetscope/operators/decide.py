@@ -5,31 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import severity_name, severity_rank
 from . import intervals
 
 
+# Bottlenecks by which hardware cut performance, and those that a user's own program makes.
+HARDWARE_KINDS, WORKLOAD_KINDS = ("THERMAL",), ("CPU", "CONTENTION")
+
+
 def fuse(signals: DataFrame, gap: float = 120.0, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Adds ``session`` per source; a new one starts after more than ``gap`` seconds without a signal."""
     return intervals.islands(signals, gap, keys, tie=("detector", "score")).withColumnRenamed("island", "session")
 
 
 def fold(fused: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """One incident a session: bounds, count, peak, detectors, and severity: the largest so far, one step up for every further signal once two detectors have spoken."""
-    rows = fused.withColumn("_s", severity_rank(F.col("severity")))
-    start = F.struct(F.lit(-1).cast("long").alias("rank"), F.array().cast("array<string>").alias("names"))
-
-    def merge(acc, x):
-        names = F.array_union(acc["names"], F.array(x["detector"]))
-        rank = F.greatest(acc["rank"], x["_s"])
-        return F.struct(F.when((F.size(names) >= 2) & (acc["rank"] >= 0), F.least(rank + 1, F.lit(2))).otherwise(rank).alias("rank"), names.alias("names"))
+    """One incident a session: bounds, count, peak, detectors, and severity: the largest so far, one step up for every further signal once two detectors have spoken.
 
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "detector", "score", "_s"))), start, merge)
-    out = rows.groupBy(*keys, "session").agg(F.min("ts").alias("ts_start"), F.max("ts").alias("ts_end"), F.count("*").alias("signal_count"), F.max("score").alias("peak_score"), folded.alias("_f"))
-    return out.select(*keys, "session", "ts_start", "ts_end", "signal_count", "peak_score", severity_name(F.col("_f.rank")).alias("severity"), F.array_sort("_f.names").alias("detectors"))
+    So one detector gives its largest; where a second one's first signal is also the last of all, that is one step up; with any
+    further signal it is critical. Detectors are summed up before sessions are, and no session's signals are gathered.
+    """
+    order = F.struct("ts", "detector", "score", severity_rank(F.col("severity")).alias("rank"))
+    per = fused.withColumn("_o", order).groupBy(*keys, "session", "detector").agg(F.min("_o").alias("first"), F.max("_o").alias("last"), F.count("*").alias("n"), F.max("score").alias("peak"), F.max("_o.rank").alias("rank"))
+    firsts = F.array_sort(F.collect_list(F.struct("first", "n")))
+    out = per.groupBy(*keys, "session").agg(F.min("first.ts").alias("ts_start"), F.max("last.ts").alias("ts_end"), F.sum("n").alias("signal_count"), F.max("peak").alias("peak_score"), firsts.alias("_f"), F.max("last").alias("_last"), F.max("rank").alias("_rank"), F.array_sort(F.collect_list("detector")).alias("detectors"))
+    second = F.get("_f", F.lit(1))
+    rank = F.when(F.size("_f") == 1, F.col("_rank")).when((second["first"] == F.col("_last")) & (second["n"] == 1), F.least(F.col("_rank") + 1, F.lit(2))).otherwise(2)
+    return out.select(*keys, "session", "ts_start", "ts_end", "signal_count", "peak_score", severity_name(rank).alias("severity"), "detectors")
 
 
 def suppress(incidents: DataFrame) -> DataFrame:
@@ -71,19 +75,25 @@ def observer_window(incidents: DataFrame, telemetry: DataFrame) -> DataFrame:
 
 
 def auto_label(incidents: DataFrame, faults: DataFrame, seen: DataFrame, observer: DataFrame, excluded: Sequence[str] = (), observers: Sequence[str] = (), least_share: float = 0.15) -> DataFrame:
-    """Adds ``auto_label`` and ``auto_label_reason`` for notified, unlabelled incidents outside faults: hardware limits are real; a user's program in the foreground is normal; else none, with the reason."""
+    """Adds ``auto_label`` and ``auto_label_reason`` for notified, unlabelled incidents outside faults: hardware limits are real; a user's program in the foreground is normal; else none, with the reason.
+
+    A leader that may be the observer itself needs telemetry of the observer in the incident that shows neither throttling
+    nor drops; without any sample there is no label. Names are compared without case.
+    """
     marks = faults.select("source", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
     spans = incidents.select("source", "id", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
     during = intervals.touches_any(spans, marks).select("source", "id").distinct().withColumn("_fault", F.lit(True))
     top = F.get("contributors", F.lit(0))
     rows = incidents.join(during, ["source", "id"], "left").join(observer, ["source", "id"], "left").withColumn("_name", top["name"]).withColumn("_share", top["share"])
-    rows = rows.join(seen.select("source", F.col("name").alias("_name"), F.col("foreground_seen").alias("_seen")).distinct(), ["source", "_name"], "left")
-    clean = (F.coalesce("cpu_max", F.lit(0.0)) < 5) & (F.coalesce("throttle_max", F.lit(0)) == 0) & (F.coalesce("drops", F.lit(0)) == 0)
+    known = seen.groupBy("source", F.lower("name").alias("_lower")).agg(F.max("foreground_seen").alias("_seen"))
+    rows = rows.withColumn("_lower", F.lower("_name")).join(known, ["source", "_lower"], "left")
+    clean = F.coalesce((F.col("n") > 0) & (F.col("throttle_max") == 0) & (F.col("drops") == 0), F.lit(False))
+    kind = F.upper(F.coalesce("bottleneck", F.lit("")))
     reason = (
         F.when(~F.coalesce("notified", F.lit(False)), "not_notified").when(F.coalesce("user_label", "auto_label").isNotNull(), "labelled").when(F.col("_fault"), "during_fault")
-        .when(F.col("bottleneck").isin("THERMAL", "GPU_LIMIT"), "hardware_limit").when(~F.coalesce(F.col("bottleneck").isin("CPU", "IO", "MEMORY"), F.lit(False)), "no_workload")
-        .when(F.col("_name").isNull() | (F.col("_share") < least_share), "no_leader").when(F.col("_name").isin(*excluded, ""), "excluded")
-        .when(F.col("_name").isin(*observers, "") & ~clean, "observer_busy").when(~F.coalesce("_seen", F.lit(False)), "never_foreground").otherwise("user_workload")
+        .when(kind.isin(*HARDWARE_KINDS), "hardware_limit").when(~kind.isin(*WORKLOAD_KINDS), "no_workload")
+        .when(F.col("_name").isNull() | ~F.coalesce(F.col("_share") >= least_share, F.lit(False)), "no_leader").when(F.col("_lower").isin(*(x.lower() for x in excluded), ""), "excluded")
+        .when(F.col("_lower").isin(*(x.lower() for x in observers), "") & ~clean, F.when(F.coalesce("n", F.lit(0)) == 0, "observer_unseen").otherwise("observer_busy")).when(~F.coalesce("_seen", F.lit(False)), "never_foreground").otherwise("user_workload")
     )
     label = F.when(F.col("_reason") == "hardware_limit", "real").when(F.col("_reason") == "user_workload", "normal")
     own = incidents.drop("auto_label", "auto_label_reason").columns
@@ -105,7 +115,3 @@ def retention(rows: DataFrame, now: float, keep: float, watermarks: Sequence[flo
 def label_now(log: DataFrame) -> DataFrame:
     """(source, id, user_label): the last answer of an append-only label log."""
     return log.groupBy("source", "id").agg(F.max_by("label", "labeled_at").alias("user_label"))
-
-
-def severity_column(rank: Column) -> Column:
-    return severity_name(rank)

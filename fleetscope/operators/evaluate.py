@@ -48,8 +48,8 @@ def scores(alarms_: DataFrame, episodes_: DataFrame, normal: DataFrame | None =
     """
     detectors = alarms_.select(*keys).distinct()
     due = episodes_.select("source", F.col("id").alias("episode"), F.col("lo").alias("start"), (F.col("hi") + grace).alias("end")).join(detectors, "source")
-    met = due.join(alarms_.select(*keys, "first", "last"), [*keys], "left").withColumn("_hit", (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("start")))
-    per = met.groupBy(*keys, "episode", "start").agg(F.min(F.when(F.col("_hit"), F.col("first"))).alias("first"))
+    met = intervals.overlap_join(due.withColumnsRenamed({"start": "lo", "end": "hi"}), alarms_.select(*keys, F.col("first").alias("lo"), F.col("last").alias("hi")), keys, ends=True)
+    per = due.join(met.groupBy(*keys, "episode").agg(F.min("lo2").alias("first")), [*keys, "episode"], "left")
     found = per.groupBy(*keys).agg(F.count("first").alias("tp"), (F.count("*") - F.count("first")).alias("fn"), F.expr("percentile(greatest(first, start) - start, 0.5)").alias("latency"))
     blocks = episodes_.select("source", "lo", (F.col("hi") + grace).alias("hi"))
     segments = alarms_.select(*keys, F.col("alarm").alias("id"), F.col("first").alias("lo"), (F.col("last") + 1e-3).alias("hi"))
@@ -70,10 +70,6 @@ def normal_seconds(ticks: DataFrame, episodes_: DataFrame, grace: float = 90.0)
     return observed_seconds(in_spans(own, blocks, how="left_anti"))
 
 
-def scoreboard(scored: DataFrame) -> DataFrame:
-    return scored.orderBy(F.desc("f1"), "source", "detector")
-
-
 def attribution_hits(contributors: DataFrame, answers: DataFrame) -> DataFrame:
     """(source, id, hit_rank): rank of the first contributor whose pids meet the answer's (source, id, answer_pids); null for none."""
     met = answers.join(contributors.select("source", "id", "rank", "pids"), ["source", "id"], "left")

@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import group_key
-from .joins import in_spans
+from ..functions.columns import attributable, group_key
+from .baseline import median_by
+from .joins import in_spans, nearest
 
 # Kinds in the order that breaks ties, and the kind that a trigger metric speaks for.
 KINDS = ("CPU", "IO", "MEMORY", "GPU", "THERMAL", "CONTENTION")
@@ -61,6 +62,14 @@ def peak_and_prior(incidents: DataFrame, metrics: DataFrame, columns: list[str],
     return out
 
 
+def with_gpu(peaks: DataFrame, gpu: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """``peaks`` with gpu_util_percent, gpu_temp_c and throttle_reasons of the hottest GPU's sample nearest to each peak."""
+    at = F.struct(F.col("temp_c").alias("gpu_temp_c"), F.col("util_percent").alias("gpu_util_percent"), F.col("throttle_reasons").cast("string").alias("throttle_reasons"))
+    hottest = gpu.groupBy("source", "ts").agg(F.max(at).alias("_g"))
+    met = nearest(peaks.withColumnRenamed("peak_ts", "ts"), hottest, tolerance)
+    return met.select(*(F.col("ts").alias(c) if c == "peak_ts" else F.col(c) for c in peaks.columns), "_g.gpu_util_percent", "_g.gpu_temp_c", "_g.throttle_reasons")
+
+
 def _points(*terms: tuple[Column, float]) -> Column:
     out = F.lit(0.0)
     for condition, points in terms:
@@ -72,7 +81,7 @@ def classify(peaks: DataFrame) -> DataFrame:
     """Adds ``scores`` (kind and points, best first, ties in the order of ``KINDS``) and ``bottleneck`` (NONE without any evidence)."""
     c = lambda name: F.col(name) if name in peaks.columns else F.lit(None).cast("double")
     cpu, cpu_z, resp, queue, mem = c("cpu_total"), c("cpu_total_z"), c("disk_resp_ms"), c("disk_queue"), c("mem_percent")
-    hot = F.coalesce(F.arrays_overlap(c("throttle_reasons"), F.array(F.lit("hw_thermal"), F.lit("sw_thermal"))), F.lit(False)) if "throttle_reasons" in peaks.columns else F.lit(False)
+    hot = F.coalesce(F.upper(c("throttle_reasons").cast("string")).contains("THERMAL"), F.lit(False))
     points = {
         "CPU": F.when(cpu >= 70, F.lit(0.5) + F.when(cpu_z >= 3, 0.3).otherwise(0.0)).when((cpu_z >= 3) & (cpu >= 40), 0.4).otherwise(0.0),
         "IO": F.when((c("disk_resp_ms_z") >= 3) & (resp >= 5), F.lit(0.5) + F.when(queue >= 2, 0.3).otherwise(0.0)).when(queue >= 4, 0.4).otherwise(0.0),
@@ -116,7 +125,7 @@ def flow_contributors(incidents: DataFrame, processes: DataFrame, value: str, be
     rows = processes.select("source", "ts", "pid", "name", F.col(value).cast("double").alias("value"))
     prior = in_spans(rows, own.select("source", "id", (F.col("start") - before[0]).alias("lo"), (F.col("start") - before[1]).alias("hi"))).where("ts < hi")
     now = in_spans(rows, own.select("source", "id", F.col("start").alias("lo"), F.col("end").alias("hi")))
-    old = prior.groupBy("source", "id", "pid", "name").agg(F.expr("percentile(value, 0.5)").alias("b")).withColumn("a", F.lit(None).cast("double"))
+    old = median_by(prior, ("source", "id", "pid", "name"), name="b").withColumn("a", F.lit(None).cast("double"))
     new = now.groupBy("source", "id", "pid", "name").agg(F.avg("value").alias("a")).withColumn("b", F.lit(None).cast("double"))
     both = old.unionByName(new).groupBy("source", "id", "pid", "name").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     keyed = both.withColumn("name", group_key(F.col("name"), F.col("pid"))).groupBy("source", "id", "name")
@@ -151,16 +160,27 @@ def lead_time(contributors: DataFrame, incidents: DataFrame, processes: DataFram
     return out.select("source", "id", F.col("contributor").alias("name"), F.when(F.col("reached") > F.col("first"), F.col("start") - F.col("reached")).alias("lead_s"))
 
 
-def analyze(incidents: DataFrame, metrics: DataFrame, baselines: DataFrame, processes: DataFrame) -> DataFrame:
-    """Incidents (with ``trigger_metric``) with refined bounds, bottleneck and contributors by CPU."""
+def analyze(incidents: DataFrame, metrics: DataFrame, baselines: DataFrame, processes: DataFrame, gpu: DataFrame | None = None) -> DataFrame:
+    """Incidents (with ``trigger_metric``) with refined bounds, bottleneck, and contributors by the bottleneck's resource.
+
+    IO is told by bytes written, MEMORY by what programs hold more (a stock), every other kind by CPU, for which
+    ``attributable`` says whether it names a cause.
+    """
     bounds = refined_bounds(incidents, baselines)
     columns = [c for c in ("cpu_total", "disk_resp_ms", "disk_queue", "mem_percent", "swap_used_mb", "ctx_switches_ps", "cpu_perf_percent") if c in metrics.columns]
-    kinds = choose_kind(classify(peak_and_prior(incidents, metrics, columns).join(incidents.select("source", "id", "trigger_metric"), ["source", "id"])))
-    found = flow_contributors(bounds, processes, "cpu_percent")
-    leads = lead_time(found, bounds, processes, "cpu_percent")
+    peaks = peak_and_prior(incidents, metrics, columns)
+    peaks = peaks if gpu is None else with_gpu(peaks, gpu)
+    kinds = choose_kind(classify(peaks.join(incidents.select("source", "id", "trigger_metric"), ["source", "id"])))
+    of_kind = bounds.join(kinds.select("source", "id", "bottleneck"), ["source", "id"], "left").withColumn("bottleneck", F.coalesce("bottleneck", F.lit("NONE")))
+    parts = []
+    for condition, column, find in ((F.col("bottleneck") == "IO", "io_write_bps", flow_contributors), (F.col("bottleneck") == "MEMORY", "rss_mb", stock_contributors), (~F.col("bottleneck").isin("IO", "MEMORY"), "cpu_percent", flow_contributors)):
+        own = of_kind.where(condition).drop("bottleneck")
+        found = find(own, processes, column)
+        parts.append(found.join(lead_time(found, own, processes, column), ["source", "id", "name"], "left").select("source", "id", "rank", "name", "share", "delta", "after", "pids", "lead_s", "is_new"))
     entry = F.struct("rank", "name", "share", "delta", "after", "pids", "lead_s", "is_new")
-    named = found.join(leads, ["source", "id", "name"], "left").groupBy("source", "id").agg(F.array_sort(F.collect_list(entry)).alias("contributors"))
-    return bounds.join(kinds.select("source", "id", "bottleneck", "overridden_from", "scores"), ["source", "id"], "left").join(named, ["source", "id"], "left")
+    named = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "id").agg(F.array_sort(F.collect_list(entry)).alias("contributors"))
+    out = bounds.join(kinds.select("source", "id", "bottleneck", "overridden_from", "scores"), ["source", "id"], "left")
+    return out.withColumn("attributable", attributable(F.col("bottleneck"))).join(named, ["source", "id"], "left")
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,12 @@ def _days(df: DataFrame, lo: str, hi: str, size: float) -> DataFrame:
     return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("source",), cell: float = 86_400.0) -> DataFrame:
-    """Pairs of overlapping spans: left's columns, ``lo2``, ``hi2`` and right's other columns; each pair once, in the cell where the overlap starts."""
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("source",), cell: float = 86_400.0, ends: bool = False) -> DataFrame:
+    """Pairs of overlapping spans: left's columns, ``lo2``, ``hi2`` and right's other columns; each pair once, in the cell where the overlap starts. With ``ends`` touching spans overlap."""
     a = _days(left, "lo", "hi", cell)
     b = _days(right.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}), "lo2", "hi2", cell)
-    met = a.join(b, [*keys, "_cell"]).where((F.col("lo") < F.col("hi2")) & (F.col("hi") > F.col("lo2")))
+    lo, hi, lo2, hi2 = map(F.col, ("lo", "hi", "lo2", "hi2"))
+    met = a.join(b, [*keys, "_cell"]).where((lo <= hi2) & (hi >= lo2) if ends else (lo < hi2) & (hi > lo2))
     return met.where(F.floor(F.greatest("lo", "lo2") / cell) == F.col("_cell")).drop("_cell")
 
 
@@ -39,7 +40,8 @@ def intersection_seconds(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("sou
 def complement(merged: DataFrame, span: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """What merged spans leave free of each span (keys, lo, hi)."""
     ends = span.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    blocks = merged.join(ends, list(keys)).where((F.col("lo") < F.col("_hi")) & (F.col("hi") > F.col("_lo"))).select(*keys, "_lo", "_hi", "lo", "hi")
+    met = overlap_join(span.select(*keys, "lo", "hi"), merged.select(*keys, "lo", "hi"), keys)
+    blocks = met.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))
     marks = blocks.unionByName(ends.select(*keys, "_lo", "_hi", F.col("_lo").alias("lo"), F.col("_lo").alias("hi"))).unionByName(ends.select(*keys, "_lo", "_hi", F.col("_hi").alias("lo"), F.col("_hi").alias("hi")))
     order = Window.partitionBy(*keys, "_lo", "_hi").orderBy("lo", "hi")
     free = marks.select(*keys, F.greatest(F.col("hi"), F.col("_lo")).alias("_from"), F.lead("lo").over(order).alias("_to"))
@@ -54,10 +56,9 @@ def subtract(segments: DataFrame, blocks: DataFrame, keys: Sequence[str] = ("sou
 
 
 def touches_any(spans: DataFrame, others: DataFrame, keys: Sequence[str] = ("source",), how: str = "left_semi") -> DataFrame:
-    """Spans that overlap another, ends included (``left_semi``), or that overlap none (``left_anti``)."""
-    b = others.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("lo").alias("_lo2"), F.col("hi").alias("_hi2"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return spans.join(b, [*same, F.col("_lo2") <= F.col("hi"), F.col("_hi2") >= F.col("lo")], how)
+    """Spans (keys, id, lo, hi) that overlap another, ends included (``left_semi``), or that overlap none (``left_anti``)."""
+    met = overlap_join(spans.select(*keys, "id", "lo", "hi"), others.select(*keys, "lo", "hi"), keys, ends=True).select(*keys, "id").distinct()
+    return spans.join(met, [*keys, "id"], how)
 
 
 def longest_overlap(spans: DataFrame, others: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
@@ -82,9 +83,10 @@ def touched_buckets(spans: DataFrame, size: float, keys: Sequence[str] = ("sourc
 
 
 def outside(buckets: DataFrame, windows: DataFrame, size: float, column: str = "bucket", keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Buckets that overlap no window: ``column < hi`` and ``column > lo - size`` for none of them."""
-    b = windows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    """Buckets that overlap no window: ``column < hi`` and ``column > lo - size`` for none of them. Windows are laid out in cells of ``size``."""
+    cells = F.explode(F.sequence(F.floor((F.col("lo") - size) / size), F.floor(F.col("hi") / size)))
+    b = windows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), cells.alias("_cell"))
+    same = [*(F.col(k) == F.col(f"_{k}") for k in keys), F.floor(F.col(column) / size) == F.col("_cell")]
     return buckets.join(b, [*same, F.col(column) < F.col("_hi"), F.col(column) > F.col("_lo") - size], "left_anti")
 
 
@@ -93,7 +95,3 @@ def islands(df: DataFrame, gap: float, keys: Sequence[str] = ("source",), ts: st
     order = Window.partitionBy(*keys).orderBy(ts, *tie)
     new = F.when(F.col(ts) - F.lag(ts).over(order) > gap, 1).otherwise(0)
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order)).drop("_new")
-
-
-def clip(lo: Column, hi: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    return F.greatest(lo, low), F.least(hi, high)

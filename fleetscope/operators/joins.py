@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -63,7 +64,7 @@ def pending_lookups(names: DataFrame, info: DataFrame, most_attempts: int) -> Da
     return left.where(F.col("i.description").isNull() & (F.coalesce("i.attempts", F.lit(0)) < most_attempts)).select("source", "name")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most_depth: int = 32) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(source, root, pid, depth) of all processes below the roots (source, pid), by parent edges (source, ppid, pid).
 
     One join a level, until a level brings nothing new; a process that was reached stays at its first depth, so cycles end.
@@ -71,7 +72,7 @@ def descendants(edges: DataFrame, roots: DataFrame, most_depth: int = 32) -> Dat
     links = edges.select("source", F.col("ppid").alias("_parent"), F.col("pid").alias("_child")).where("_parent <> _child").distinct()
     reached = cut(roots.select("source", F.col("pid").alias("root"), "pid", F.lit(0).alias("depth")).distinct())
     front = reached
-    for depth in range(1, most_depth + 1):
+    for depth in itertools.count(1):
         found = front.join(links, [front["source"] == links["source"], F.col("pid") == F.col("_parent")]).select(front["source"], "root", F.col("_child").alias("pid")).distinct()
         front = cut(found.join(reached, ["source", "root", "pid"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -80,7 +81,7 @@ def descendants(edges: DataFrame, roots: DataFrame, most_depth: int = 32) -> Dat
     return reached
 
 
-def to_dimension(facts: DataFrame, info: DataFrame, key: str = "name") -> DataFrame:
-    """Facts with the dimension's columns; one dimension row a key (the least by all columns), so the facts' grain stays."""
-    one = info.groupBy(key).agg(F.min(F.struct(*[c for c in info.columns if c != key])).alias("_d")).select(key, "_d.*")
-    return facts.join(one, key, "left")
+def to_dimension(facts: DataFrame, info: DataFrame, keys: Sequence[str] = ("source", "name")) -> DataFrame:
+    """Facts with the dimension's columns; one dimension row per keys (the least by all columns), so the facts' grain stays."""
+    one = info.groupBy(*keys).agg(F.min(F.struct(*[c for c in info.columns if c not in keys])).alias("_d")).select(*keys, "_d.*")
+    return facts.join(one, list(keys), "left")

@@ -99,10 +99,11 @@ def ram_gate(delta: float, ram_mb: Column, share: float = 0.02, least: float = 1
 
 
 def leak_risk(last: Column, p99: Column, monotone: Column) -> tuple[Column, Column]:
-    """(severity rank, label): by position against the program's own p99, one step down if it isn't steady; unknown programs are info."""
+    """(severity rank, label): by position against the program's own p99, one step down if it isn't steady; a program without a p99 above 0 is unknown, a warning."""
+    unknown = p99.isNull() | (p99 <= 0)
     rank = F.when(last >= 2 * p99, 2).when(last >= p99, 1).otherwise(0)
-    rank = F.when(p99.isNull(), 0).when(monotone < 0.95, F.greatest(rank - 1, F.lit(0))).otherwise(rank)
-    return rank, F.when(p99.isNull(), "unknown_leak").otherwise("leak")
+    rank = F.when(unknown, 1).when(monotone < 0.95, F.greatest(rank - 1, F.lit(0))).otherwise(rank)
+    return rank, F.when(unknown, "unknown_leak").otherwise("leak")
 
 
 def clock_loss(now: Column, usual: Column) -> Column:

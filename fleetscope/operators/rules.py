@@ -101,18 +101,23 @@ def rule_signals(ticks: DataFrame, rules: Sequence[Rule], detector: str = "rules
     return out.withColumn("fired", names).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("source", "ts", F.lit(detector).alias("detector"), "score", "severity", "rule", "fired", "explanation")
 
 
-# The default rule pack.
+def _above(metric: str, sigmas: float) -> Condition:
+    return Condition(metric, ">", f"{metric}_median + {sigmas} * {metric}_sigma")
+
+
+# The default rule pack. Ticks carry ``cores`` and ``ram_mb`` of their host and, for the GPU, the median of
+# its temperature under load (``gpu_temp_c_load_median``) and the names of its throttle reasons as one text.
 DEFAULT_RULES = (
-    Rule("cpu_overload", (Condition("cpu_total", ">=", "85"), Condition("cpu_total", ">", "cpu_total_median + 3 * cpu_total_sigma")), 30, 300, "warning", "all", "CPU {cpu_total} %, usually {cpu_total.median} %", ("cpu_total",)),
-    Rule("single_core", (Condition("cpu_max_core", ">=", "95"), Condition("cpu_total", "<", "50")), 60, 600, "info", "all", "one core at {cpu_max_core} %"),
-    Rule("memory_pressure", (Condition("mem_percent", ">=", "90"),), 60, 600, "warning", "all", "memory {mem_percent} %"),
-    Rule("memory_growth", (Condition("mem_used_mb", ">", "mem_used_mb_median + 4 * mem_used_mb_sigma"),), 120, 900, "info", "all", "memory {mem_used_mb} MB, usually {mem_used_mb.median} MB", ("mem_used_mb",)),
-    Rule("disk_response", (Condition("disk_resp_ms", ">=", "20"), Condition("disk_resp_ms", ">", "disk_resp_ms_median + 4 * disk_resp_ms_sigma")), 15, 300, "warning", "all", "disk answers in {disk_resp_ms} ms", ("disk_resp_ms",)),
-    Rule("disk_queue", (Condition("disk_queue", ">=", "4"),), 30, 300, "warning", "all", "disk queue {disk_queue}"),
-    Rule("context_switches", (Condition("ctx_switches_ps", ">", "ctx_switches_ps_median + 5 * ctx_switches_ps_sigma"),), 30, 300, "info", "all", "{ctx_switches_ps} context switches a second", ("ctx_switches_ps",)),
-    Rule("gpu_heat", (Condition("gpu_temp_c", ">=", "83"),), 60, 900, "warning", "all", "GPU at {gpu_temp_c} degrees"),
-    Rule("gpu_critical_heat", (Condition("gpu_temp_c", ">=", "90"),), 10, 300, "critical", "all", "GPU at {gpu_temp_c} degrees"),
-    Rule("swap_use", (Condition("swap_used_mb", ">", "0.25 * swap_total_mb"),), 60, 900, "info", "all", "swap {swap_used_mb} MB"),
+    Rule("cpu_overload", (_above("cpu_total", 5), Condition("cpu_total", ">", "60")), 30, 600, "warning", "all", "CPU {cpu_total} %, usually {cpu_total.median} %", ("cpu_total",)),
+    Rule("single_core", (Condition("cpu_max_core", ">", "90"), Condition("cpu_total", "<", "50")), 60, 900, "info", "all", "one core at {cpu_max_core} %, all at {cpu_total} %"),
+    Rule("memory_pressure", (_above("mem_percent", 4), Condition("mem_percent", ">", "80")), 60, 900, "warning", "all", "memory {mem_percent} %, usually {mem_percent.median} %, {mem_avail_mb} MB free", ("mem_percent",)),
+    Rule("memory_growth", (_above("mem_percent", 5), Condition("mem_percent", ">", "mem_percent_median + 5")), 90, 1200, "info", "all", "memory {mem_percent} %, usually {mem_percent.median} %", ("mem_percent",)),
+    Rule("disk_response", (_above("disk_resp_ms", 6), Condition("disk_resp_ms", ">", "5")), 30, 600, "warning", "all", "disk answers in {disk_resp_ms} ms, usually {disk_resp_ms.median} ms", ("disk_resp_ms",)),
+    Rule("disk_queue", (Condition("disk_queue", ">", "4"),), 30, 600, "warning", "all", "disk queue {disk_queue}"),
+    Rule("context_switches", (_above("ctx_switches_ps", 8), Condition("ctx_switches_ps", ">", "cores * 8000")), 60, 1200, "info", "all", "{ctx_switches_ps} context switches a second, usually {ctx_switches_ps.median}", ("ctx_switches_ps",)),
+    Rule("gpu_heat", (Condition("gpu_temp_c", ">", "gpu_temp_c_load_median + 5"), Condition("gpu_temp_c", ">", "90"), Condition("gpu_throttle_reasons", "contains", "THERMAL")), 300, 3600, "warning", "all", "GPU at {gpu_temp_c} degrees"),
+    Rule("gpu_critical_heat", (Condition("gpu_temp_c", ">", "95"), Condition("gpu_throttle_reasons", "contains", "THERMAL")), 60, 3600, "critical", "all", "GPU at {gpu_temp_c} degrees"),
+    Rule("swap_use", (Condition("swap_used_mb", ">", "ram_mb * 0.05"), Condition("mem_percent", ">", "75")), 120, 1800, "warning", "all", "swap {swap_used_mb} MB, memory {mem_percent} %"),
 )
 
 

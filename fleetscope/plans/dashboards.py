@@ -54,10 +54,10 @@ def _during(incidents: DataFrame, faults: DataFrame) -> DataFrame:
     return incidents.join(hit, ["source", "id"], "left").withColumn("during_injection", F.coalesce("during_injection", F.lit(False)))
 
 
-def answer_queue(incidents: DataFrame, faults: DataFrame, now: float, kinds: Sequence[str] = ("CPU", "IO", "MEMORY")) -> DataFrame:
+def answer_queue(incidents: DataFrame, faults: DataFrame, now: float, kinds: Sequence[str] = ("THERMAL",)) -> DataFrame:
     """Incidents that wait for an answer: notified within 14 days, or of a listed kind within 7; without a label; not during a fault."""
     day = 86_400.0
-    fresh = (F.col("notified") & (F.col("ts_start") >= now - 14 * day)) | (~F.coalesce("notified", F.lit(False)) & F.col("bottleneck").isin(*kinds) & (F.col("ts_start") >= now - 7 * day))
+    fresh = (F.col("notified") & (F.col("ts_start") >= now - 14 * day)) | (~F.coalesce("notified", F.lit(False)) & F.upper("bottleneck").isin(*kinds) & (F.col("ts_start") >= now - 7 * day))
     return _during(incidents, faults).where(fresh & F.coalesce("user_label", "auto_label").isNull() & ~F.col("during_injection"))
 
 
@@ -83,11 +83,14 @@ def health(incidents: DataFrame, metrics: DataFrame, queue: DataFrame, now: floa
 
 
 def usage_board(usage: DataFrame, info: DataFrame, since: str, exclude: Sequence[str] = (), user_only: bool = False, limit: int = 30) -> DataFrame:
-    """A top-k report of programs by seconds in use, with descriptions, hours and share of the time observed."""
-    own = usage.where((F.col("day") >= F.lit(since).cast("date")) & ~F.col("name").isin(*exclude, ""))
-    total = observed_total(own)
+    """A top-k report of programs by seconds in use, with descriptions, hours and share of the time observed.
+
+    The time observed counts all days, also those that hold excluded programs alone; descriptions are those of the same source.
+    """
+    recent = usage.where(F.col("day") >= F.lit(since).cast("date"))
+    total, own = observed_total(recent), recent.where(~F.col("name").isin(*exclude, ""))
     sums = own.groupBy("source", "name").agg(F.sum("seconds").alias("seconds"), F.sum("launches").alias("launches"), F.countDistinct("day").alias("days"))
-    out = to_dimension(sums, info.drop("source")).join(total, "source").withColumn("hours", F.col("seconds") / 3600).withColumn("share", F.try_divide(F.col("seconds"), F.col("observed_seconds")))
+    out = to_dimension(sums, info, ("source", "name")).join(total, "source").withColumn("hours", F.col("seconds") / 3600).withColumn("share", F.try_divide(F.col("seconds"), F.col("observed_seconds")))
     out = out.where("foreground_seen") if user_only else out
     return out.orderBy(F.desc("seconds"), "source", "name").limit(limit)
 
