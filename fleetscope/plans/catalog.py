@@ -8,43 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, bucket_of, epoch, severity_name
 from ..operators import baseline, decide, derive, evaluate, explain, history, intervals, joins, leak, rollup, rules, usage
-from . import dashboards
-
-DAY, HOUR = 86_400.0, 3600.0
-#: 2024-01-01 in epoch seconds, the first day of ``events``.
-START = 1_704_067_200.0
-
-
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as (source, ts, pid, name, value, id)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("event_type").alias("source"), epoch("ts").alias("ts"), F.col("user_id").alias("pid"), F.concat(F.lit("u"), F.col("user_id")).alias("name"), "value", F.col("event_id").alias("id"))
-
-
-S = "s AS (SELECT event_type AS source, epoch(ts) AS ts, user_id AS pid, 'u' || user_id AS name, value, event_id AS id FROM events)"
-DAYS = "CAST(floor(ts / 86400) AS BIGINT)"
-
-
-def host_of() -> Column:
-    """A machine of 25 users, so that there are more machines where there are more users."""
-    return F.concat(F.lit("h"), F.floor(F.col("pid") / 25)).alias("source")
-
-
-H = "'h' || CAST(floor(pid / 25) AS BIGINT)"
-
-
-def as_long(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
-
-
-def rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
-
+from . import boards, dashboards
+from .base import DAY, DAYS, HOUR, START, H, S, as_long, host_of, islands_sql, rounded, samples
 
 def rollup_hourly(spark, sf_dir):
     s = samples(spark, sf_dir)
@@ -321,11 +291,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 )}
 
 
-def _islands(source: str, name: str) -> str:
-    """CTEs that merge the spans of ``source`` (source, lo, hi) into ``name``."""
-    return f"{name}_r AS (SELECT *, max(hi) OVER (PARTITION BY source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}), {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY lo, hi) AS island FROM {name}_r), {name} AS (SELECT source, min(lo) AS lo, max(hi) AS hi FROM {name}_i GROUP BY source, island)"
-
-
 def _span(kind: str, length: float) -> str:
     return f"(SELECT pid AS source, ts AS lo, ts + {length} AS hi, id FROM s WHERE source = '{kind}')"
 
@@ -343,9 +308,9 @@ ORACLE_SQL: dict[str, str] = {
     "counter_rate": f"WITH {S}, d AS (SELECT id, value - lag(value) OVER w AS dv, ts - lag(ts) OVER w AS dt FROM s WINDOW w AS (PARTITION BY pid ORDER BY ts)) SELECT id, round(CASE WHEN dt > 0 AND dv >= 0 THEN dv / dt END, 6) AS rate FROM d",
     "snapshot_diff": f"WITH {S}, p AS (SELECT DISTINCT source, {DAYS} AS ts, pid FROM s), t AS (SELECT source, ts, row_number() OVER (PARTITION BY source ORDER BY ts) AS i, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS nx FROM (SELECT DISTINCT source, ts FROM p)), q AS (SELECT p.*, i, nx, lag(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS b, lead(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS a FROM p JOIN t ON t.source = p.source AND t.ts = p.ts) SELECT source, ts, pid, 'start' AS event FROM q WHERE i > 1 AND (b IS NULL OR b < i - 1) UNION ALL SELECT source, nx, pid, 'exit' FROM q WHERE nx IS NOT NULL AND (a IS NULL OR a > i + 1)",
     "long_gaps": f"WITH {S}, d AS (SELECT pid AS source, ts, ts - lag(ts) OVER (PARTITION BY pid ORDER BY ts) AS g FROM (SELECT DISTINCT pid, ts FROM s)) SELECT source, round(ts, 3) AS ts, round(g, 3) AS gap_seconds, 'suspend_or_stall' AS cause FROM d WHERE g > 172801",
-    "interval_union": f"WITH {S}, x AS {_span('click', DAY)}, {_islands('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
-    "interval_shared": f"WITH {S}, x AS {_span('click', DAY)}, y AS {_span('error', DAY / 2)}, {_islands('x', 'm')}, {_islands('y', 'n')} SELECT m.source, round(sum(least(m.hi, n.hi) - greatest(m.lo, n.lo)), 3) AS seconds FROM m JOIN n ON m.source = n.source AND m.lo < n.hi AND m.hi > n.lo GROUP BY 1",
-    "interval_gaps": f"WITH {S}, x AS {_span('click', DAY)}, {_islands('x', 'm')}, z AS (SELECT source, lo, hi FROM m UNION ALL SELECT DISTINCT source, {START}, {START} FROM m UNION ALL SELECT DISTINCT source, {START + 30 * DAY}, {START + 30 * DAY} FROM m), f AS (SELECT source, greatest(hi, {START}) AS lo, lead(lo) OVER (PARTITION BY source ORDER BY lo, hi) AS hi FROM z WHERE lo <= {START + 30 * DAY}) SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM f WHERE hi > lo",
+    "interval_union": f"WITH {S}, x AS {_span('click', DAY)}, {islands_sql('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
+    "interval_shared": f"WITH {S}, x AS {_span('click', DAY)}, y AS {_span('error', DAY / 2)}, {islands_sql('x', 'm')}, {islands_sql('y', 'n')} SELECT m.source, round(sum(least(m.hi, n.hi) - greatest(m.lo, n.lo)), 3) AS seconds FROM m JOIN n ON m.source = n.source AND m.lo < n.hi AND m.hi > n.lo GROUP BY 1",
+    "interval_gaps": f"WITH {S}, x AS {_span('click', DAY)}, {islands_sql('x', 'm')}, z AS (SELECT source, lo, hi FROM m UNION ALL SELECT DISTINCT source, {START}, {START} FROM m UNION ALL SELECT DISTINCT source, {START + 30 * DAY}, {START + 30 * DAY} FROM m), f AS (SELECT source, greatest(hi, {START}) AS lo, lead(lo) OVER (PARTITION BY source ORDER BY lo, hi) AS hi FROM z WHERE lo <= {START + 30 * DAY}) SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM f WHERE hi > lo",
     "span_overlaps": f"WITH {S}, x AS {_span('purchase', DAY)}, y AS {_span('error', DAY / 2)}, j AS (SELECT x.source, x.id, y.id AS id2, least(x.hi, y.hi) - greatest(x.lo, y.lo) AS o, y.lo AS lo2 FROM x JOIN y ON x.source = y.source AND x.lo < y.hi AND x.hi > y.lo) SELECT source, id, id2, round(o, 3) AS overlap_s FROM (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY o DESC, lo2, id2) AS n FROM j) WHERE n = 1",
     "excluded_buckets": f"WITH {S}, b AS (SELECT DISTINCT pid AS source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket FROM s), y AS {_span('error', 6 * HOUR)} SELECT source, bucket FROM b WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.source = b.source AND b.bucket < y.hi AND b.bucket > y.lo - 3600)",
     "near_marks": f"WITH {S} SELECT a.pid AS source, a.id FROM s a WHERE a.source = 'click' AND EXISTS (SELECT 1 FROM s b WHERE b.source = 'purchase' AND b.pid = a.pid AND abs(a.ts - b.ts) <= 21600)",
@@ -354,8 +319,8 @@ ORACLE_SQL: dict[str, str] = {
     "backward_asof": f"WITH {S}, a AS (SELECT * FROM s WHERE source = 'purchase'), b AS (SELECT * FROM s WHERE source = 'click') SELECT a.id, b.id AS click_id FROM a ASOF LEFT JOIN b ON a.pid = b.pid AND a.ts >= b.ts",
     "latest_orders": "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "descendants": "WITH RECURSIVE e AS (SELECT CAST(floor(p_partkey / 7) AS BIGINT) AS ppid, p_partkey AS pid FROM part), r AS (SELECT pid AS root, pid, CAST(0 AS BIGINT) AS depth FROM e WHERE ppid NOT IN (SELECT pid FROM e) UNION ALL SELECT r.root, e.pid, r.depth + 1 FROM r JOIN e ON e.ppid = r.pid AND e.pid <> e.ppid) SELECT root, pid, depth FROM r",
-    "sessions": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {_islands('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
-    "daily_usage": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {_islands('x', 'm')}, st AS (SELECT pid AS source, ts, source AS name, coalesce(lead(ts) OVER (PARTITION BY pid, source ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('click', 'view')), sp AS (SELECT st.source, st.name, st.ts AS lo, least(st.nx, coalesce(m.hi, st.nx), {START + 30 * DAY}) AS hi FROM st ASOF LEFT JOIN m ON m.source = st.source AND st.ts >= m.lo), us AS (SELECT source || '/' || name AS source, lo, hi FROM sp WHERE hi > lo), {_islands('us', 'un')}, sh AS (SELECT m.source, split_part(un.source, '/', 2) AS name, greatest(un.lo, m.lo) AS lo, least(un.hi, m.hi) AS hi FROM un JOIN m ON m.source = CAST(split_part(un.source, '/', 1) AS BIGINT) AND un.lo < m.hi AND un.hi > m.lo), dd AS (SELECT unnest(range({int(START // DAY)}, {int(START // DAY) + 31})) AS d), u AS (SELECT source, d, name, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS seconds FROM sh JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2, 3), o AS (SELECT source, d, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS observed FROM m JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2), c AS (SELECT st.source, CAST(floor(ts / 86400) AS BIGINT) AS d, name, count(*) AS launches FROM st WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = st.source AND abs(m.lo - st.ts) <= 60) GROUP BY 1, 2, 3) SELECT u.source, CAST(DATE '1970-01-01' + CAST(u.d AS INTEGER) AS DATE) AS day, u.name, round(seconds, 1) AS seconds, round(observed, 1) AS observed_seconds, coalesce(launches, 0) AS launches FROM u JOIN o ON o.source = u.source AND o.d = u.d LEFT JOIN c ON c.source = u.source AND c.d = u.d AND c.name = u.name",
+    "sessions": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {islands_sql('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
+    "daily_usage": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {islands_sql('x', 'm')}, st AS (SELECT pid AS source, ts, source AS name, coalesce(lead(ts) OVER (PARTITION BY pid, source ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('click', 'view')), sp AS (SELECT st.source, st.name, st.ts AS lo, least(st.nx, coalesce(m.hi, st.nx), {START + 30 * DAY}) AS hi FROM st ASOF LEFT JOIN m ON m.source = st.source AND st.ts >= m.lo), us AS (SELECT source || '/' || name AS source, lo, hi FROM sp WHERE hi > lo), {islands_sql('us', 'un')}, sh AS (SELECT m.source, split_part(un.source, '/', 2) AS name, greatest(un.lo, m.lo) AS lo, least(un.hi, m.hi) AS hi FROM un JOIN m ON m.source = CAST(split_part(un.source, '/', 1) AS BIGINT) AND un.lo < m.hi AND un.hi > m.lo), dd AS (SELECT unnest(range({int(START // DAY)}, {int(START // DAY) + 31})) AS d), u AS (SELECT source, d, name, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS seconds FROM sh JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2, 3), o AS (SELECT source, d, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS observed FROM m JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2), c AS (SELECT st.source, CAST(floor(ts / 86400) AS BIGINT) AS d, name, count(*) AS launches FROM st WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = st.source AND abs(m.lo - st.ts) <= 60) GROUP BY 1, 2, 3) SELECT u.source, CAST(DATE '1970-01-01' + CAST(u.d AS INTEGER) AS DATE) AS day, u.name, round(seconds, 1) AS seconds, round(observed, 1) AS observed_seconds, coalesce(launches, 0) AS launches FROM u JOIN o ON o.source = u.source AND o.d = u.d LEFT JOIN c ON c.source = u.source AND c.d = u.d AND c.name = u.name",
     "foreground_gap": f"WITH {S}, b AS (SELECT {DAYS} AS day, source AS name, ts, lead(ts) OVER w - ts AS a, ts - lag(ts) OVER w AS p FROM s WINDOW w AS (PARTITION BY floor(ts / 86400) ORDER BY ts, source)) SELECT day, name, round(sum(least(coalesce(a, p), 600)), 1) AS seconds FROM b WHERE coalesce(a, p) IS NOT NULL GROUP BY 1, 2",
     "fingerprints": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) AS bucket, {DAYS} AS day, round(avg(value), 6) AS level, round(max(value), 6) AS peak FROM s GROUP BY 1, 2, 3), d AS (SELECT name, count(*) AS days FROM (SELECT name, day FROM b GROUP BY 1, 2 HAVING count(DISTINCT bucket) >= 12) GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT name, 'level' AS stat, level AS v FROM b UNION ALL SELECT name, 'peak', peak FROM b) SELECT t.name, stat, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, max(v) AS maximum, count(*) AS samples, any_value(days) AS days FROM t JOIN d ON d.name = t.name WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100",
     "day_index": f"WITH {S} SELECT source AS name, {DAYS} AS day, count(DISTINCT floor(ts / 3600)) AS buckets FROM s GROUP BY 1, 2",
@@ -367,7 +332,7 @@ ORACLE_SQL: dict[str, str] = {
     "incident_severity": f"WITH RECURSIVE {S}, {SESSION}, o AS (SELECT *, row_number() OVER (PARTITION BY source, session ORDER BY ts, detector, score, rank) AS n, count(*) OVER (PARTITION BY source, session) AS m FROM k), f AS (SELECT source, session, n, m, rank, [detector] AS names, ts AS ts_start FROM o WHERE n = 1 UNION ALL SELECT o.source, o.session, o.n, o.m, CASE WHEN len(list_distinct(list_append(f.names, o.detector))) >= 2 THEN least(greatest(f.rank, o.rank) + 1, 2) ELSE greatest(f.rank, o.rank) END, list_distinct(list_append(f.names, o.detector)), f.ts_start FROM f JOIN o ON o.source = f.source AND o.session = f.session AND o.n = f.n + 1) SELECT source, session, {SEVERITY}[rank + 1] AS severity, array_to_string(list_sort(names), ',') AS detectors, round(ts_start, 3) AS ts_start FROM f WHERE n = m",
     "suppression": f"WITH RECURSIVE {S}, i AS (SELECT {H} AS source, id, ts AS lo, ts + value * 60 AS hi, CASE WHEN value >= 200 THEN 2 WHEN value >= 120 THEN 1 ELSE 0 END AS rank FROM s WHERE value > 75), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank DESC, lo, id) AS n FROM i), c AS (SELECT a.source, a.n, a.id, a.rank, list(b.n ORDER BY b.n) FILTER (WHERE b.n IS NOT NULL) AS above FROM o a LEFT JOIN o b ON b.source = a.source AND b.n < a.n AND b.lo <= a.hi AND b.hi >= a.lo GROUP BY ALL), f AS (SELECT source, n, id, rank, CAST(NULL AS BIGINT) AS by_n, [n] AS free FROM c WHERE n = 1 UNION ALL SELECT c.source, c.n, c.id, c.rank, list_min(list_intersect(f.free, c.above)), CASE WHEN len(coalesce(list_intersect(f.free, c.above), [])) > 0 THEN f.free ELSE list_append(f.free, c.n) END FROM f JOIN c ON c.source = f.source AND c.n = f.n + 1) SELECT f.source, f.id, {SEVERITY}[f.rank + 1] AS severity, o.id AS suppressed_by FROM f LEFT JOIN o ON o.source = f.source AND o.n = f.by_n",
     "cooled_rule": f"WITH RECURSIVE {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20), e AS (SELECT source, ts, id FROM t WHERE ts - since >= 3600), c AS (SELECT source, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT e.source, min(e.ts) FROM c JOIN e ON e.source = c.source AND e.ts - c.ts >= 86400 GROUP BY 1) SELECT id FROM e JOIN c ON e.source = c.source AND e.ts = c.ts",
-    "detector_scores": f"WITH {S}, {ALARM}, e AS (SELECT {H} AS source, id, ts AS lo, ts + 1800 AS hi FROM s WHERE source = 'error' AND value > 60), d AS (SELECT DISTINCT source, detector FROM a), w AS (SELECT e.source, d.detector, e.id, bool_or(a.first IS NOT NULL) AS hit FROM e JOIN d ON d.source = e.source LEFT JOIN a ON a.source = e.source AND a.detector = d.detector AND a.first <= e.hi + 90 AND a.last >= e.lo GROUP BY ALL), p AS (SELECT source, detector, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn FROM w GROUP BY 1, 2), b AS (SELECT source, lo, hi + 90 AS hi FROM e), {_islands('b', 'm')}, g2 AS (SELECT a.source, a.detector, a.k, a.first AS lo, a.last + 0.001 AS hi FROM a), z AS (SELECT g2.*, m.lo AS blo, m.hi AS bhi FROM g2 JOIN m ON m.source = g2.source AND m.lo < g2.hi AND m.hi > g2.lo UNION ALL SELECT *, lo, lo FROM g2 UNION ALL SELECT *, hi, hi FROM g2), y AS (SELECT *, greatest(bhi, lo) AS f, lead(greatest(blo, lo)) OVER (PARTITION BY source, detector, k ORDER BY greatest(blo, lo), least(bhi, hi)) AS t FROM z), q AS (SELECT source, detector, CAST(sum(greatest(1, floor((t - f) / 60))) AS BIGINT) AS fp FROM y WHERE t > f GROUP BY 1, 2), x AS (SELECT p.source, p.detector, tp, fn, coalesce(fp, 0) AS fp, tp / nullif(tp + coalesce(fp, 0), 0) AS pr, tp / (tp + fn) AS rc FROM p LEFT JOIN q ON q.source = p.source AND q.detector = p.detector) SELECT source, detector, tp, fn, fp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM x",
+    "detector_scores": f"WITH {S}, {ALARM}, e AS (SELECT {H} AS source, id, ts AS lo, ts + 1800 AS hi FROM s WHERE source = 'error' AND value > 60), d AS (SELECT DISTINCT source, detector FROM a), w AS (SELECT e.source, d.detector, e.id, bool_or(a.first IS NOT NULL) AS hit FROM e JOIN d ON d.source = e.source LEFT JOIN a ON a.source = e.source AND a.detector = d.detector AND a.first <= e.hi + 90 AND a.last >= e.lo GROUP BY ALL), p AS (SELECT source, detector, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn FROM w GROUP BY 1, 2), b AS (SELECT source, lo, hi + 90 AS hi FROM e), {islands_sql('b', 'm')}, g2 AS (SELECT a.source, a.detector, a.k, a.first AS lo, a.last + 0.001 AS hi FROM a), z AS (SELECT g2.*, m.lo AS blo, m.hi AS bhi FROM g2 JOIN m ON m.source = g2.source AND m.lo < g2.hi AND m.hi > g2.lo UNION ALL SELECT *, lo, lo FROM g2 UNION ALL SELECT *, hi, hi FROM g2), y AS (SELECT *, greatest(bhi, lo) AS f, lead(greatest(blo, lo)) OVER (PARTITION BY source, detector, k ORDER BY greatest(blo, lo), least(bhi, hi)) AS t FROM z), q AS (SELECT source, detector, CAST(sum(greatest(1, floor((t - f) / 60))) AS BIGINT) AS fp FROM y WHERE t > f GROUP BY 1, 2), x AS (SELECT p.source, p.detector, tp, fn, coalesce(fp, 0) AS fp, tp / nullif(tp + coalesce(fp, 0), 0) AS pr, tp / (tp + fn) AS rc FROM p LEFT JOIN q ON q.source = p.source AND q.detector = p.detector) SELECT source, detector, tp, fn, fp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM x",
     "notification_budget": f"WITH {S}, i AS (SELECT {H} AS source, id, ts, value FROM s WHERE value > 75), n AS (SELECT *, row_number() OVER (PARTITION BY source, floor(ts / 86400), value >= 120 ORDER BY ts, id) AS k FROM i) SELECT id, (value >= 120 AND k <= 5) OR value >= 200 AS notified, CASE WHEN value < 120 THEN 'severity' WHEN k > 5 AND value < 200 THEN 'budget' END AS notify_skipped FROM n",
     "alarm_clusters": f"WITH {S}, {ALARM} SELECT source, detector, round(first, 3) AS first, round(last, 3) AS last, round(peak, 3) AS peak, n FROM a",
     "attribution": "WITH t AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, c_mktsegment AS name, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT CAST(m + INTERVAL 1 MONTH AS DATE) AS m, name, v AS b FROM t), d AS (SELECT coalesce(t.m, b.m) AS month, coalesce(t.name, b.name) AS name, coalesce(v, 0) - coalesce(b, 0) AS delta FROM t FULL JOIN b ON t.m = b.m AND t.name = b.name), p AS (SELECT *, delta / sum(delta) OVER (PARTITION BY month) AS share, row_number() OVER (PARTITION BY month ORDER BY delta DESC, name) AS rank FROM d WHERE delta > 0) SELECT month, name, round(delta, 2) AS delta, round(share, 2) AS share, rank FROM p WHERE rank <= 8",
@@ -380,3 +345,5 @@ ORACLE_SQL: dict[str, str] = {
     "gap_markers": f"WITH {S}, d AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) - ts AS g FROM s), t AS (SELECT source, list_sort(list(g))[count(g) // 2 + 1] AS u FROM d WHERE g IS NOT NULL GROUP BY 1 HAVING count(g) >= 2) SELECT d.source, round(ts + u, 3) AS ts FROM d JOIN t ON t.source = d.source WHERE g > 5 * u",
     "table_inventory": 'SELECT \'events\' AS "table", CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last, count(*) AS rows FROM events UNION ALL SELECT \'orders\', CAST(floor(min(epoch(o_orderdate))) AS BIGINT), CAST(floor(max(epoch(o_orderdate))) AS BIGINT), count(*) FROM orders',
 }
+QUERIES |= boards.QUERIES
+ORACLE_SQL |= boards.ORACLE_SQL

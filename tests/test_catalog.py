@@ -8,7 +8,7 @@ import pytest
 
 from fleetscope.plans.catalog import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows(names, values):
