@@ -3,11 +3,12 @@
 A first pass takes SimHash fingerprints over distinct words through the pivot tables and blocks of ``simhash``; it joins
 most of a large group by few pairs. An exact prefix filter then gives every other pair that can reach the limit: shingles
 have one order, rare ones first, and two sets that are similar enough share one of their first shingles. A shared shingle's
-places in both orders bound what the sets can share from there on, and so do 256 parities of either set, since every
-parity that differs shows one shingle that is not shared. Sketches decide most pairs, all shingles of both texts the rest.
+place in both orders bounds what the sets can share from there on, and so do 256 parities of either set, since every
+parity that differs shows a shingle that is not shared.
 
-Lists of nodes that share a shingle are dealt out in cells, so a list of any length is met in tasks of bounded size; nodes
-that are joined already are not compared with each other.
+The nodes that share a shingle form a list. Pairs of a short list are judged one by one. A long list's nodes meet in units
+of work of bounded size, with all their shingles; a unit compares those that no link joins yet and gives the links that
+join them, a tree at most, so that no list makes rows in the square of its length.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ from .arrow import map_rows
 from .simhash import block_links, signed, smallest_reachable, with_pivots
 from .tokens import alone
 
-#: Hashes in a text's sketch: the smallest of its distinct shingles'. Up to so many shingles the similarity is exact,
-#: beyond it has a deviation of about 0.025; estimates within ``UNSURE`` of the limit are decided by all shingles.
-SKETCH, UNSURE = 256, 0.1
 #: Texts looked at for frequent shingles, how many of them make one frequent, and the most that are kept. Frequent ones go
 #: last in the order, which keeps lists short; the filter is exact in any order.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 17
-#: Nodes that a cell of a list holds; entries that a task meets at once.
-CELL_NODES, MEET_ENTRIES = 1024, 100_000
+#: Nodes of a short list; nodes and shingles that a cell of a long list holds; entries of short lists that a task meets at once.
+SHORT_LIST, CELL_NODES, CELL_SHINGLES, MEET_ENTRIES = 16, 1024, 250_000, 100_000
+#: Rows (of 8 to 40 bytes) up to which a counted table is broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 _FACTORS = (2 * np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) + np.uint64(1)).tolist()
 
 
@@ -100,31 +100,23 @@ def prefix_of(hashes: np.ndarray, least: float, frequent: np.ndarray, counts: np
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of two sketches."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)
-    both = both[:SKETCH] if max(len(x), len(y)) >= SKETCH else both
-    return float(np.isin(both, np.intersect1d(x, y)).sum() / max(1, len(both)))
-
-
-def whole_similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two texts by all their shingle hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared / max(1, len(x) + len(y) - shared)
 
 
-def met_pairs(units: np.ndarray, cells: np.ndarray, crossing: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray, odd: np.ndarray, least: float) -> np.ndarray:
-    """Distinct rows (smaller node, larger node) of a unit's entries, ascending by unit, that can reach ``least``.
+def met_pairs(units: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray, odd: np.ndarray, least: float) -> np.ndarray:
+    """Distinct rows (smaller node, larger node) of nodes in one unit but different groups that can reach ``least``.
 
-    Pairs of one group are none, nor are pairs of one cell in a unit of two (``crossing``). ``sizes`` are the sets' sizes,
-    ``places`` the shared shingle's places in the sets' orders, ``odd`` the sets' parities as four 64-bit words.
+    ``units`` ascends. ``sizes`` are the sets' sizes, ``places`` the shared shingle's places in the sets' orders, ``odd``
+    the sets' parities as four 64-bit words.
     """
     out, at, step = [np.zeros((0, 2), np.int64)], np.arange(len(units)), 1
     while len(at := at[at + step < len(units)]) and len(at := at[units[at] == units[at + step]]):
         other = at + step
         need = np.ceil((sizes[at] + sizes[other]) * (least / (1 + least)) - 1e-6)
-        kept = (groups[at] != groups[other]) & (~crossing[at] | (cells[at] != cells[other])) & (np.minimum(sizes[at] - places[at], sizes[other] - places[other]) >= need)
+        kept = (groups[at] != groups[other]) & (np.minimum(sizes[at] - places[at], sizes[other] - places[other]) >= need)
         a, b, need = at[kept], other[kept], need[kept]
         kept = sizes[a] + sizes[b] - np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64) >= 2 * need
         x, y = nodes[a[kept]], nodes[b[kept]]
@@ -133,54 +125,110 @@ def met_pairs(units: np.ndarray, cells: np.ndarray, crossing: np.ndarray, nodes:
     return np.unique(np.concatenate(out), axis=0)
 
 
-def prefix_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """Distinct (p, q) of ``nodes`` (node, group, n, odd, prefix) of different groups that can have a similarity of ``least``.
-
-    Lists of one group, and of one node, go first. Of a list above ``CELL_NODES`` nodes, those of its largest group meet
-    the others only; both are dealt to cells and every two cells that must meet are a unit of work.
-    """
-    entries = nodes.select("node", F.posexplode("prefix").alias("place", "hash"))
-    shared = entries.groupBy("hash").count().where("count > 1").select("hash")
-    about = nodes.select("node", "group", "n", "odd")
-    held = written(entries.join(shared, "hash").join(about, "node"), "shared-shingles")
-    lists = cut(held.groupBy("hash").agg(F.count("*").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("hash", "m"))
-    mixed = held.join(lists, "hash")
-    small = mixed.where(F.col("m") <= CELL_NODES).select("hash", *(F.lit(0).alias(c) for c in ("low", "high", "cell")), "node", "group", "n", "place", "odd")
-    parts = small
-    if not lists.where(F.col("m") > CELL_NODES).isEmpty():
-        large = mixed.where(F.col("m") > CELL_NODES)
-        main = large.groupBy("hash", "group").count().groupBy("hash").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
-        # Cells 0 .. rest - 1 hold the nodes outside the largest group, the cells after them those inside it.
-        sized = main.select("hash", "main", F.ceil((F.col("all") - F.col("most")) / CELL_NODES).cast("int").alias("rest"), F.ceil(F.col("most") / CELL_NODES).cast("int").alias("inner"))
-        own = F.when(F.col("group") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node"), "inner")).otherwise(F.pmod(F.xxhash64("node"), "rest")).cast("int")
-        celled = large.join(sized, "hash").withColumn("cell", own)
-        others = F.when(F.col("cell") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("inner") - 1))
-        units = celled.withColumn("other", F.explode(others)).select("hash", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "group", "n", "place", "odd")
-        parts = small.unionByName(units)
+def joining_links(cells: np.ndarray, crossing: bool, nodes: np.ndarray, groups: np.ndarray, odd: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Links (node, node) that join all nodes of one unit whose sets have a similarity of ``least`` and that no link joins yet."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    hashes, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), counts[ids] > 1
+    place = np.cumsum(counts > 1)[ids[shared]] - 1
+    words = np.zeros((len(sets), int((counts > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(words, (owner[shared], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    label, out = np.unique(groups, return_inverse=True)[1], []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        total = sizes[i] + sizes[j]
+        need = np.ceil(total * (least / (1 + least)) - 1e-6)
+        j = j[(label[j] != label[i]) & (np.minimum(sizes[i], sizes[j]) >= need) & (cells[j] != cells[i] if crossing else True)]
+        total, need = sizes[i] + sizes[j], np.ceil((sizes[i] + sizes[j]) * (least / (1 + least)) - 1e-6)
+        j = j[total - np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) >= 2 * need]
+        for at in range(0, len(j), 256):
+            own = j[at : at + 256]
+            both = np.bitwise_count(words[i] & words[own]).sum(1, dtype=np.int64)
+            for k in own[both >= least * (sizes[i] + sizes[own] - both)].tolist():
+                if label[k] != label[i]:
+                    out.append((nodes[i], nodes[k]))
+                    label[label == label[k]] = label[i]
+    return np.asarray(out, np.int64).reshape(-1, 2)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df``, which has been counted, to be broadcast if it has ``MOST_BROADCAST`` rows at most."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def by_unit(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole units (hash, low, high) of rows ascending by unit, some ``entries`` rows together, and each row's key."""
+    rows: list[pa.RecordBatch] = []
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        made = pa.Table.from_batches(rows).combine_chunks()
+        return made, np.column_stack([made[c].to_numpy() for c in ("hash", "low", "high")])
+
+    for batch in batches:
+        rows.append(batch)
+        if sum(map(len, rows)) >= entries:
+            made, key = table()
+            last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))[-1])  # the last unit may go on
+            if last:
+                yield made.slice(0, last), key[:last]
+                rows = made.slice(last).to_batches()
+    if sum(map(len, rows)):
+        yield table()
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in names]
+
+
+def _odd(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(-1, 4)
+
+
+def prefix_pairs(lists: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """Distinct (p, q) of the short lists' nodes that are of different groups and can have a similarity of ``least``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(table: pa.Table) -> pa.RecordBatch:
-            key = np.column_stack([table[c].to_numpy() for c in ("hash", "low", "high")])
+        for table, key in by_unit(batches, MEET_ENTRIES):
             units = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(-1, 4)
-            pairs = met_pairs(units, table["cell"].to_numpy(), key[:, 1] != key[:, 2], *(table[c].to_numpy() for c in ("node", "group", "n", "place")), odd, least)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "q"])
+            pairs = met_pairs(units, *_columns(table, "node", "group", "n", "place"), _odd(table), least)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "q"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= MEET_ENTRIES:
-                # The last unit may go on in the next batch.
-                table = pa.Table.from_batches(held).combine_chunks()
-                key = np.column_stack([table[c].to_numpy() for c in ("hash", "low", "high")])
-                last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))[-1])
-                if last:
-                    yield joined(table.slice(0, last))
-                held = table.slice(last).to_batches()
-        if sum(map(len, held)):
-            yield joined(pa.Table.from_batches(held).combine_chunks())
+    short = entries.join(held(lists.where(F.col("m") <= SHORT_LIST).select("hash")), "hash").select("hash", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "group", "n", "place", "odd")
+    return short.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(meet, "p long, q long").distinct()
+
+
+def long_links(lists: DataFrame, entries: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(p, q): links that join the long lists' nodes. ``sets`` has (node, whole).
 
-    return parts.repartition("hash", "low", "high").sortWithinPartitions("hash", "low", "high", "node").mapInArrow(meet, "p long, q long").distinct()
+    Lists with the same nodes are met once. Of a list, the nodes of its largest group meet the others only; both are dealt
+    to cells of bounded size, and every two cells that must meet are a unit.
+    """
+    alike = lists.where(F.col("m") > SHORT_LIST).groupBy("m", "all", "mix").agg(F.min("hash").alias("hash"))
+    large = cut(entries.join(held(cut(alike.select("hash"))), "hash").select("hash", "node", "group", "n", "odd"))
+    of_group = large.groupBy("hash", "group").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    cells = lambda m, s: F.ceil(F.greatest(m / CELL_NODES, s / CELL_SHINGLES)).cast("int")
+    top = F.max(F.struct("m", "group", "s")).alias("top")
+    sized = of_group.groupBy("hash").agg(top, F.sum("m").alias("m"), F.sum("s").alias("s")).select("hash", F.col("top.group").alias("main"), cells(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest"), cells(F.col("top.m"), F.col("top.s")).alias("inner"))
+    # Cells 0 .. rest - 1 hold the nodes outside the largest group, the cells after them those inside it.
+    own = F.when(F.col("group") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node"), "inner")).otherwise(F.pmod(F.xxhash64("node"), "rest")).cast("int")
+    celled = large.join(sized, "hash").withColumn("cell", own)
+    # A list that fits one unit is one; else a cell meets itself and every other one, inner cells the rest's only.
+    whole = (F.col("rest") == 1) & (F.col("inner") == 1)
+    others = F.when(whole, F.array(F.lit(0))).when(F.col("cell") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("inner") - 1))
+    at = F.when(whole, 0).otherwise(F.col("cell"))
+    units = celled.withColumn("other", F.explode(others)).withColumn("cell", at).select("hash", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "group", "odd")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in by_unit(batches, 1):
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]])).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = table.slice(a, b - a)
+                found = joining_links(part["cell"].to_numpy(), key[a, 1] != key[a, 2], *_columns(part, "node", "group"), _odd(part), [np.frombuffer(x, np.uint32) for x in part["whole"].to_pylist()], least)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["p", "q"])
+
+    # A row carries all shingles of a text; Spark bounds the bytes of an Arrow batch.
+    carried = units.join(sets, "node").repartition("hash", "low", "high").sortWithinPartitions("hash", "low", "high", "node")
+    return carried.mapInArrow(meet, "p long, q long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,12 +252,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
             words = words_of(text)
             hashed, distinct = hashed_words(words)
             hashes = shingle_hashes(hashed, shingle)
-            sketch = np.unique((hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32)).tobytes()
-            yield row, doc_id, content_of(words), signed(word_print(distinct)), len(hashes), parities(hashes), sketch, prefix_of(hashes, least, *frequent.value).view(np.int64)
+            whole = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()
+            yield row, doc_id, content_of(words), signed(word_print(distinct)), len(whole) // 4, parities(hashes), whole, prefix_of(hashes, least, *frequent.value).view(np.int64)
             row += 1
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("content", pa.binary()), ("print", pa.int64()), ("n", pa.int64()), ("odd", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-    read = written(map_rows(texts, make, "row long, doc_id long, content binary, print long, n long, odd binary, sketch binary, prefix array<long>", schema), "shingles")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("content", pa.binary()), ("print", pa.int64()), ("n", pa.int64()), ("odd", pa.binary()), ("whole", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    read = written(map_rows(texts, make, "row long, doc_id long, content binary, print long, n long, odd binary, whole binary, prefix array<long>", schema), "shingles")
     # A text's node is the smallest of its rows.
     nodes = cut(read.groupBy("content").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("print").alias("print")))
     prints = cut(nodes.groupBy("print").agg(F.min("node").alias("first")))
@@ -220,57 +268,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sure = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s = similarity(p, q)
-                sure.append(None if max(len(p), len(q)) >= 4 * (SKETCH - 1) and abs(s - least) <= UNSURE else s >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure, pa.bool_())], names=["p", "q", "near"])
-
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("p").alias("row")).unionByName(pairs.select(F.col("q").alias("row"))).distinct()
-
-    def with_ends(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-        return pairs.join(values.select(F.col("row").alias("p"), F.col(column).alias("of_p")), "p").join(values.select(F.col("row").alias("q"), F.col(column).alias("of_q")), "q").select("p", "q", "of_p", "of_q")
-
-    def by_sketch(pairs: DataFrame) -> DataFrame:
-        """(p, q, near) of the pairs that sketches call near, or leave open (null)."""
-        sketches = cut(read.select("row", "sketch").join(ends_of(pairs), "row", "left_semi"))
-        return cut(with_ends(pairs, sketches, "sketch").mapInArrow(judge, "p long, q long, near boolean").where("near is null or near"))
-
-    def groups_by(judged: DataFrame) -> DataFrame:
-        """(node, group): the smallest node that near pairs reach, for nodes that have one."""
-        return smallest_reachable(nodes.select(F.col("node").alias("print"), F.col("node").alias("least")), judged.where("near").select(F.col("p").alias("a"), F.col("q").alias("b"))).toDF("node", "group")
-
-    first = by_sketch(cut(same.unionByName(across).distinct()))
+            near = [similarity(p, q) >= least for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select([0, 1])
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """The (p, q) of ``pairs`` that are similar enough."""
+        ends = cut(pairs.select(F.col("p").alias("row")).unionByName(pairs.select(F.col("q").alias("row"))).distinct())
+        sets = cut(read.select("row", "whole").join(held(ends), "row", "left_semi"))
+        both = pairs.join(sets.select(F.col("row").alias("p"), F.col("whole").alias("of_p")), "p").join(sets.select(F.col("row").alias("q"), F.col("whole").alias("of_q")), "q")
+        return cut(both.select("p", "q", "of_p", "of_q").mapInArrow(judge, "p long, q long"))
+
+    first = judged(cut(same.unionByName(across).distinct()))
+    joined = smallest_reachable(nodes.select(F.col("node").alias("print"), F.col("node").alias("least")), first.toDF("a", "b")).toDF("node", "group")
+    all_nodes = held(cut(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("group", "node").alias("group"))))
     # A row that is no node (its text stands before) drops out here.
-    all_nodes = nodes.select("node").join(groups_by(first), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
     numbered = written(read.select(F.col("row").alias("node"), "n", "odd", "prefix").join(all_nodes, "node"), "shingle-nodes")
-    judged = first.unionByName(by_sketch(cut(prefix_pairs(numbered, least))))
-    grouped = cut(groups_by(judged))
-    group_of = lambda end: grouped.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}"))
-    unsure = judged.where("near is null").join(group_of("p"), "p", "left").join(group_of("q"), "q", "left")
-    # Of the open pairs only those matter whose ends are not joined by others; their texts are read again.
-    unsure = cut(unsure.where("group_p is null or group_q is null or group_p <> group_q").select("p", "q").distinct())
-    speakers = cut(read.select("row", "doc_id", "content").join(ends_of(unsure), "row", "left_semi"))
-
-    def make_whole(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (text,) in rows:
-            words = words_of(text)
-            yield content_of(words), shingle_hashes(hashed_words(words)[0], shingle).tobytes()
-
-    ids = speakers.select(F.col("doc_id").alias("open_id")).distinct()
-    again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("open_id")), "left_semi").select("text")
-    read_again = map_rows(again, make_whole, "content binary, whole binary", pa.schema([("content", pa.binary()), ("whole", pa.binary())]))
-    wholes = cut(read_again.join(speakers.select("row", "content"), "content").groupBy("row").agg(F.first("whole").alias("whole")))
-
-    def judge_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [whole_similarity(p, q) >= least for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
-
-    decided = with_ends(unsure, wholes, "whole").mapInArrow(judge_whole, "p long, q long")
-    sure = judged.where("near").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), cut(sure.unionByName(decided.toDF("a", "b")))).withColumnRenamed("print", "node")
+    places = numbered.select("node", "group", "n", "odd", F.posexplode("prefix").alias("place", "hash"))
+    shared = cut(places.groupBy("hash").count().where("count > 1").select("hash"))
+    entries = written(places.join(held(shared), "hash"), "shared-shingles")
+    mix = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    lists = cut(entries.groupBy("hash").agg(F.count("*").alias("m"), mix(1).alias("all"), mix(2).alias("mix"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").drop("lo", "hi"))
+    links = first.unionByName(judged(cut(prefix_pairs(lists, entries, least))))
+    links = links.unionByName(long_links(lists, entries, read.select(F.col("row").alias("node"), "whole"), least))
+    linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), cut(links.toDF("a", "b"))).withColumnRenamed("print", "node")
     components = cut(nodes.join(linked, "node", "left").select("content", F.coalesce("component_id", "least").alias("component_id")))
     return read.select("doc_id", "content").join(components, "content", "left").select("doc_id", "component_id")
 

@@ -125,7 +125,11 @@ def test_near_copies_of_one_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
-def test_near_copies_that_are_close_to_their_base_only(spark):
+@pytest.mark.parametrize(("short", "cell"), [(16, 1024), (2, 1024), (2, 7), (1000, 7)])
+def test_near_copies_that_are_close_to_their_base_only(spark, monkeypatch, short, cell):
+    """Short lists alone, long lists in one unit, and long lists over many cells give the same groups."""
+    monkeypatch.setattr(near_copies, "SHORT_LIST", short)
+    monkeypatch.setattr(near_copies, "CELL_NODES", cell)
     rng = np.random.default_rng(6)
     texts = {}
     for group in range(6):
@@ -140,6 +144,21 @@ def test_near_copies_that_are_close_to_their_base_only(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
+def test_near_copies_without_a_first_pass(spark, monkeypatch):
+    """The exact part alone, with every table joined by a shuffle."""
+    monkeypatch.setattr(near_copies, "MOST_BROADCAST", 0)
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(120)]
+    texts = {}
+    for d in range(60):
+        own = list(words)
+        for at in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+            own[int(at)] = f"new{d}x{at}"
+        texts[d] = " ".join(own)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), distance=0)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
+
+
 def test_near_copies_by_contiguous_edits(spark):
     rng = np.random.default_rng(7)
     texts, d = {}, 0
