@@ -73,10 +73,11 @@ def score(metrics: Sequence[str]) -> Column:
 
 
 def explained(rule: Rule) -> Column:
-    """The rule's template with {metric} and {metric.median} filled in; a null shows as ``?``."""
+    """The rule's template with {metric} and {metric.median} filled in, numbers to one place; a null shows as ``?``."""
     names = re.findall(r"\{([a-z_]+(?:\.[a-z]+)?)\}", rule.explain)
     text = re.sub(r"\{[a-z_]+(?:\.[a-z]+)?\}", "%s", rule.explain.replace("%", "%%"))
-    shown = [F.coalesce(F.round(F.col(n.replace(".", "_")).cast("double"), 1).cast("string"), F.lit("?")) for n in names]
+    columns = [F.col(n.replace(".", "_")).cast("string") for n in names]
+    shown = [F.coalesce(F.round(c.try_cast("double"), 1).cast("string"), c, F.lit("?")) for c in columns]
     return F.format_string(text, *shown) if shown else F.lit(rule.explain)
 
 

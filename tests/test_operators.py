@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions import columns
-from fleetscope.operators import baseline, decide, derive, evaluate, intervals, joins, leak, rollup, rules
+from fleetscope.operators import baseline, decide, derive, evaluate, explain, intervals, joins, leak, rollup, rules
 
 
 def spans(spark, *pairs):
@@ -95,3 +95,61 @@ def test_perfect_detector_scores_one(spark):
     hits = spark.createDataFrame([("h", "d", 130.0, 1.0), ("h", "d", 530.0, 1.0)], "source string, detector string, ts double, score double")
     r = evaluate.scores(evaluate.alarms(hits), episodes).first()
     assert (r["f1"], r["fp"], r["latency"]) == (1.0, 0, 30.0)
+
+
+CALM = {"cpu_total": 10.0, "cpu_max_core": 20.0, "mem_percent": 40.0, "mem_avail_mb": 9000.0, "disk_resp_ms": 0.5, "disk_queue": 0.0, "ctx_switches_ps": 20_000.0, "gpu_temp_c": 60.0, "swap_used_mb": 0.0}
+#: For each rule of the default pack what makes it fire, and the same just short of it.
+HOT = {
+    "cpu_overload": ({"cpu_total": 61.0}, {"cpu_total": 60.0}), "single_core": ({"cpu_max_core": 91.0}, {"cpu_max_core": 91.0, "cpu_total": 50.0}), "memory_pressure": ({"mem_percent": 81.0}, {"mem_percent": 44.0}),
+    "memory_growth": ({"mem_percent": 46.0}, {"mem_percent": 45.0}), "disk_response": ({"disk_resp_ms": 5.5}, {"disk_resp_ms": 5.0}), "disk_queue": ({"disk_queue": 4.5}, {"disk_queue": 4.0}),
+    "context_switches": ({"ctx_switches_ps": 64_001.0}, {"ctx_switches_ps": 64_000.0}), "gpu_heat": ({"gpu_temp_c": 91.0, "gpu_throttle_reasons": "SwThermal"}, {"gpu_temp_c": 91.0}),
+    "gpu_critical_heat": ({"gpu_temp_c": 96.0, "gpu_throttle_reasons": "hw_thermal"}, {"gpu_temp_c": 96.0, "gpu_throttle_reasons": "SwPowerCap"}), "swap_use": ({"mem_percent": 76.0, "swap_used_mb": 801.0}, {"mem_percent": 76.0, "swap_used_mb": 800.0}),
+}
+
+
+def test_default_rules_fire_where_their_limits_are_passed(spark):
+    rows = []
+    for name, cases in HOT.items():
+        for kind, change in zip(("hot", "calm"), cases, strict=True):
+            for t in range(340):
+                row = CALM | (change if t >= 20 else {})
+                rows.append((f"{name}/{kind}", float(t), *(row[m] for m in CALM), row.get("gpu_throttle_reasons")))
+    ticks = spark.createDataFrame(rows, "source string, ts double, " + ", ".join(f"{m} double" for m in CALM) + ", gpu_throttle_reasons string")
+    for m in ("cpu_total", "mem_percent", "disk_resp_ms", "ctx_switches_ps"):
+        ticks = ticks.withColumn(f"{m}_median", F.lit(CALM[m])).withColumn(f"{m}_sigma", F.lit(CALM[m] * 0.02)).withColumn(f"{m}_z", (F.col(m) - CALM[m]) / (CALM[m] * 0.02))
+    ticks = ticks.withColumns({"cores": F.lit(8), "ram_mb": F.lit(16_000.0), "gpu_temp_c_load_median": F.lit(70.0)})
+    found = {}
+    for r in rules.rule_signals(ticks, rules.DEFAULT_RULES).collect():
+        for name in r["fired"]:
+            found.setdefault(r["source"], {}).setdefault(name, r["ts"])
+    holds = {r.name: r.hold for r in rules.DEFAULT_RULES}
+    for name in HOT:
+        assert found[f"{name}/hot"][name] == 20 + holds[name]
+        assert name not in found.get(f"{name}/calm", {})
+
+
+@pytest.mark.parametrize(("last", "p99", "monotone", "want"), [(10.0, None, 1.0, (1, "unknown_leak")), (10.0, 0.0, 1.0, (1, "unknown_leak")), (9.0, 10.0, 1.0, (0, "leak")), (10.0, 10.0, 1.0, (1, "leak")), (20.0, 10.0, 1.0, (2, "leak")), (20.0, 10.0, 0.5, (1, "leak"))])
+def test_leak_risk(spark, last, p99, monotone, want):
+    made = spark.createDataFrame([(last, p99, monotone)], "last double, p99 double, monotone double")
+    assert tuple(made.select(*leak.leak_risk(F.col("last"), F.col("p99"), F.col("monotone"))).first()) == want
+
+
+def test_analysis_names_io_memory_and_gpu(spark):
+    base = {"cpu_total": 20.0, "disk_resp_ms": 0.5, "mem_percent": 40.0}
+    hot = {"io": {"disk_resp_ms": 30.0}, "memory": {"mem_percent": 95.0}, "gpu": {}}
+    metrics, processes = [], []
+    for source, change in hot.items():
+        for t in range(0, 2400):
+            row = base | (change if t >= 2000 else {})
+            metrics.append((source, float(t), row["cpu_total"] + (t == 2010), row["disk_resp_ms"] + 0.01 * (t % 3), row["mem_percent"] + 0.1 * (t % 3)))
+            for pid, name in ((1, "writer"), (2, "holder")):
+                processes.append((source, float(t), pid, name, 5.0, 1e6 if pid == 1 and t >= 2000 else 10.0, 100.0 + (t - 1900) * (pid == 2 and t >= 1900)))
+    m = spark.createDataFrame(metrics, "source string, ts double, cpu_total double, disk_resp_ms double, mem_percent double")
+    p = spark.createDataFrame(processes, "source string, ts double, pid long, name string, cpu_percent double, io_write_bps double, rss_mb double")
+    g = spark.createDataFrame([("gpu", 2011.0, 0, 99.0, 91.0, "SwThermal")], "source string, ts double, gpu_index int, util_percent double, temp_c double, throttle_reasons string")
+    i = spark.createDataFrame([(s, 1, 2000.0, 2300.0, None) for s in hot], "source string, id long, ts_start double, ts_end double, trigger_metric string")
+    none = spark.createDataFrame([], "source string, metric string, ts double, value double, median double, sigma double")
+    got = {r["source"]: r for r in explain.analyze(i, m, none, p, g).collect()}
+    assert {s: r["bottleneck"] for s, r in got.items()} == {"io": "IO", "memory": "MEMORY", "gpu": "THERMAL"}
+    assert (got["io"]["contributors"][0]["name"], got["memory"]["contributors"][0]["name"]) == ("writer", "holder")
+    assert (got["io"]["attributable"], got["gpu"]["attributable"]) == (True, False)
