@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh_name, written
+from ..session import cut, discard, fresh_name, written
 from .arrow import map_rows
 from .simhash import block_links, signed, smallest_reachable, with_pivots
 from .tokens import alone
@@ -290,7 +290,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     lists = cut(entries.groupBy("hash").agg(F.count("*").alias("m"), mix(1).alias("all"), mix(2).alias("mix"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").drop("lo", "hi"))
     links = first.unionByName(judged(cut(prefix_pairs(lists, entries, least))))
     links = links.unionByName(long_links(lists, entries, read.select(F.col("row").alias("node"), "whole"), least))
-    linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), cut(links.toDF("a", "b"))).withColumnRenamed("print", "node")
+    links = cut(links.toDF("a", "b"))
+    discard(numbered, entries)
+    linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), links).withColumnRenamed("print", "node")
     components = cut(nodes.join(linked, "node", "left").select("content", F.coalesce("component_id", "least").alias("component_id")))
     return read.select("doc_id", "content").join(components, "content", "left").select("doc_id", "component_id")
 
