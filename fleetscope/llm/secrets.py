@@ -45,8 +45,9 @@ LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
 MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 
-#: A decompressed layer may have this many bytes; a larger one is counted in ``unread_layers``, not scanned.
-LAYER_BYTES = 16_000_000
+#: Decompressed data are read in windows of so many bytes, each of which begins with the last ``OVERLAP`` bytes of the one before.
+WINDOW, OVERLAP = 16_000_000, 1_000_000
+STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -68,9 +69,11 @@ class Layer:
     text: str
     runs: list[tuple[int, int, int, bool]]
 
+    def __post_init__(self) -> None:
+        self.firsts = [r[0] for r in self.runs]
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        firsts = [r[0] for r in self.runs]
-        a, b = (self.runs[bisect_right(firsts, k) - 1] for k in (start, end - 1))
+        a, b = (self.runs[bisect_right(self.firsts, k) - 1] for k in (start, end - 1))
         return a[1] + (start - a[0] if a[3] else 0), b[1] + (end - b[0]) if b[3] else b[2]
 
 
@@ -85,12 +88,15 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
             out.append(text)
             length += len(text)
 
+    ends = [*layer.firsts[1:], len(layer.text)]
+
     def copy(start: int, end: int) -> None:
-        ends = [r[0] for r in layer.runs[1:]] + [len(layer.text)]
-        for (first, low, high, copied), after in zip(layer.runs, ends, strict=True):
-            a, b = max(start, first), min(end, after)
-            if a < b:
-                put(layer.text[a:b], (low + a - first, low + b - first, True) if copied else (low, high, False))
+        k = bisect_right(layer.firsts, start) - 1
+        while start < end:
+            first, low, high, copied = layer.runs[k]
+            b = min(end, ends[k])
+            put(layer.text[start:b], (low + start - first, low + b - first, True) if copied else (low, high, False))
+            start, k = b, k + 1
 
     for start, end, text in pieces:
         copy(at, start)
@@ -119,33 +125,64 @@ def _escaped(run: str) -> str | None:
         return None
 
 
-def _inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """What compressed data hold, and whether they hold more than a layer may; (None, False) for other data."""
-    makers = []
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        makers.append(lambda: zlib.decompressobj(47).decompress(data, LAYER_BYTES + 1))
-    if data[:3] == b"BZh":
-        makers.append(lambda: bz2.BZ2Decompressor().decompress(data, LAYER_BYTES + 1))
-    if data[:6] == b"\xfd7zXZ\0":
-        makers.append(lambda: lzma.LZMADecompressor(memlimit=1 << 28).decompress(data, LAYER_BYTES + 1))
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        makers.append(lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data).read(LAYER_BYTES + 1))
-    for make in makers:
+def _members(data: bytes) -> Iterator[bytes]:
+    """The data that compressed ``data`` hold, in parts of at most ``WINDOW`` bytes, over all members and streams that follow each other. A break ends them with ValueError."""
+    while data:
+        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+            stream, size = zlib.decompressobj(47), "max_length"
+        elif data[:3] == b"BZh":
+            stream, size = bz2.BZ2Decompressor(), "max_length"
+        elif data[:6] == b"\xfd7zXZ\0":
+            stream, size = lzma.LZMADecompressor(memlimit=1 << 28), "max_length"
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
+            stream, size = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), ""
+        else:
+            return
         try:
-            out = make()
-        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
-            continue
-        return (None, True) if len(out) > LAYER_BYTES else (out, False)
-    return None, False
+            part = data
+            while not stream.eof:
+                out = stream.decompress(part, **({size: WINDOW} if size else {}))
+                for at in range(0, len(out), WINDOW):
+                    yield out[at : at + WINDOW]
+                part = getattr(stream, "unconsumed_tail", b"")
+                if not out and not part and not stream.eof:
+                    raise ValueError("cut off")
+            data = stream.unused_data
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError) as error:
+            raise ValueError("broken") from error
+
+
+def _inflate(data: bytes) -> Iterator[bytes | None]:
+    """Windows of what compressed data hold; nothing for other data; None last where they break off after some."""
+    held = b""
+    try:
+        for part in _members(data):
+            held += part
+            if len(held) >= WINDOW:
+                yield held
+                held = held[-OVERLAP:]
+    except ValueError:
+        if held:
+            yield held
+            yield None
+        return
+    if held:
+        yield held
 
 
 def _readable(data: bytes) -> str | None:
-    """``data`` as text if it is UTF-8 without control characters other than blanks."""
+    """``data`` as text: UTF-8 without control characters other than blanks, else UTF-16, else its printable stretches of 12 bytes or more, a line each; None without any."""
     try:
         text = data.decode()
+        if not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text):
+            return text or None
     except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+        pass
+    for name, zeros in (("utf-16-le", data[1::2]), ("utf-16-be", data[::2])):
+        if len(data) >= 16 and zeros.count(0) > 0.4 * len(zeros):
+            return data[: len(data) // 2 * 2].decode(name, "replace").replace("\0", " ")
+    found = STRETCH.findall(data)
+    return b"\n".join(found).decode() if found else None
 
 
 def _base64(run: str) -> bytes | None:
@@ -193,55 +230,67 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
             k = max(k + 1, last - 1)
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers directly under ``layer``, and how many were too large to read."""
-    out, unread, text = [], 0, layer.text
+def unwrap(layer: Layer) -> Iterator[Layer | None]:
+    """The layers directly under ``layer``, one at a time; None for compressed data that break off."""
+    text = layer.text
     for sign, pattern, decoded in (("%", PERCENT, _percent), ("", ESCAPES, _escaped)):
         if sign in text and (sign or "\\" in text or "&#" in text):
             pieces = [(m.start(), m.end(), t) for m in pattern.finditer(text) if (t := decoded(m[0])) is not None]
             if pieces:
-                out.append(_replaced(layer, pieces))
-
-    def read(start: int, end: int, data: bytes | None) -> None:
-        nonlocal unread
-        while data is not None:
-            if (shown := _readable(data)) is not None:
-                out.append(Layer(shown, [(0, *layer.origin(start, end), False)]))
-                break
-            data, large = _inflate(data)
-            unread += large
+                yield _replaced(layer, pieces)
+
+    def read(start: int, end: int, data: bytes | None) -> Iterator[Layer | None]:
+        """What ``data`` say: decompressed as long as they can be, else as text."""
+        opened = False
+        if data is not None and MAGIC.match(data):
+            for window in _inflate(data):
+                opened = True
+                if window is None:
+                    yield None
+                else:
+                    yield from read(start, end, window)
+        if data is not None and not opened and (shown := _readable(data)) is not None:
+            yield Layer(shown, [(0, *layer.origin(start, end), False)])
 
     for start, end, run in _base64_runs(text):
-        read(start, end, _base64(run))
+        yield from read(start, end, _base64(run))
     if "%" in text:
         for m in QUOTED.finditer(text):
             if "%" in m[0] and MAGIC.search(data := unquote_to_bytes(m[0])):
                 for k in MAGIC.finditer(data):
-                    inner, large = _inflate(data[k.start() :])
-                    unread += large
-                    read(m.start(), m.end(), inner)
-    return out, unread
+                    for window in _inflate(data[k.start() :]):
+                        if window is None:
+                            yield None
+                        else:
+                            yield from read(m.start(), m.end(), window)
 
 
 def secret_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans, layers unwrapped and layers too large to read."""
+    """Base spans, all spans, layers unwrapped, and compressed layers that break off (what comes before the break is read).
+
+    The worklist goes down one layer at a time and holds one layer of each depth, whatever their number.
+    """
     text = text or ""
     base = scan(text)
-    spans, seen, layers, unread = set(base), {(0, len(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())}, 0, 0
-    work = [Layer(text, [(0, 0, len(text), True)])]
+    digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+    spans, seen, layers, broken = set(base), {(0, len(text), digest(text))}, 0, 0
+    work = [unwrap(Layer(text, [(0, 0, len(text), True)]))]
     while work:
-        found, large = unwrap(work.pop())
-        unread += large
-        for layer in found:
-            low, high = layer.runs[0][1], layer.runs[-1][2]
-            key = (low, high, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest())
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            spans.update((*(o := layer.origin(a, b))[:1], kind, o[1]) for a, kind, b in scan(layer.text))
-            work.append(layer)
-    return base, sorted(spans), layers, unread
+        layer = next(work[-1], StopIteration)
+        if layer is StopIteration:
+            work.pop()
+            continue
+        if layer is None:
+            broken += 1
+            continue
+        key = (layer.runs[0][1], layer.runs[-1][2], digest(layer.text))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        spans.update((*(o := layer.origin(a, b))[:1], kind, o[1]) for a, kind, b in scan(layer.text))
+        work.append(unwrap(layer))
+    return base, sorted(spans), layers, broken
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -249,7 +298,7 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex and base_sha256 of the plain text's matches, spans (all, with those of decoded layers), layers, unread_layers.
+    """Per row: doc_id, n_assign, n_access, n_hex and base_sha256 of the plain text's matches, spans (all, with those of decoded layers), layers, unread_layers (compressed data that break off).
 
     A null text counts as empty; repeated rows stay; an empty table gives no row; other columns are not read. No shuffle.
     """

@@ -172,6 +172,46 @@ def test_layers_in_wrapped_lines_urls_and_quoted_bytes():
     assert found("%FF%70assword%3Dhunter2hunter2")
 
 
+def test_layers_of_many_members_utf16_binary_and_large_data():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import time
+    import zlib as z
+
+    import zstandard
+
+    secret = b'filler and more filler; password = "hunter2hunter2" and so on'
+    found = lambda data: any(kind == 0 for _, kind, _ in secrets.secret_spans(f"before {base64.b64encode(data).decode()} after")[1])
+    zstd = zstandard.ZstdCompressor().compress
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstd, z.compress):
+        assert found(pack(secret)), pack
+        assert found(pack(b"nothing here " * 9) + pack(secret)), pack
+        assert found(pack(pack(secret))), pack
+    assert found(secret.decode().encode("utf-16")) and found(secret.decode().encode("utf-16-be"))
+    assert found(b"\x00\x01\xff" + secret + b"\x00")
+    assert found(gzip.compress(b"word " * 4_000_000 + secret))
+    cut = base64.b64encode(gzip.compress(secret + np.random.default_rng(0).bytes(5000))[:-2000]).decode()
+    assert secrets.secret_spans(cut)[3] == 1 and found(base64.b64decode(cut))
+    began = time.process_time()
+    text = "%2541 \\u0061 " * 20_000 + "%2570assword%253Dhunter2hunter2"
+    assert secrets.secret_spans(text)[1] and time.process_time() - began < 20
+
+
+def brute_base(text):
+    """The base spans of the contract, by its patterns as they stand."""
+    text, out = text or "", []
+    for kind, pattern, group, least in (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)):
+        out += [(m.start(), ["assign", "access", "hex"].index(kind), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+
+def test_base_spans_by_the_patterns_as_they_stand(spark, texts):
+    for r in queries.op2_secret_scan(spark, SF).collect():
+        assert r["base_sha256"] == hashlib.sha256(brute_base(texts[r["doc_id"]]).encode()).hexdigest()
+
+
 def test_url_rules_and_model(spark):
     rules = queries.RULES
     model = url_filter.train(url_filter.seed_urls(spark))
