@@ -18,6 +18,8 @@ from .arrow import map_rows
 
 #: Row length of the images that hold payloads, and the tile's side.
 WIDTH, TILE = 64, 16
+#: Samples that are summed at once.
+BAND_SAMPLES = 1 << 20
 
 
 def encode_pgm(gray: np.ndarray) -> bytes:
@@ -94,17 +96,34 @@ def to_gray(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.asarray([0.299, 0.587, 0.114])
 
 
+def integral_rows(gray: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows ``wanted`` (ascending) of the integral image, summed in bands, so that no copy of a large image is made."""
+    band = max(1, BAND_SAMPLES // max(1, gray.shape[1]))
+    out, running, at = np.zeros((len(wanted), gray.shape[1] + 1)), np.zeros(gray.shape[1]), 0
+    for k, row in enumerate(wanted.tolist()):
+        while at < row:
+            running += gray[at : min(row, at + band)].sum(0, dtype=np.float64)
+            at = min(row, at + band)
+        out[k, 1:] = running.cumsum()
+    return out
+
+
 def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, whole and part samples weighed by their share, from one integral image."""
+    """Mean over each target cell's area, whole and part samples weighed by their share, from an integral image."""
     rows, columns = gray.shape
-    total = np.zeros((rows + 1, columns + 1))
-    total[1:, 1:] = gray.astype(np.float64).cumsum(0).cumsum(1)
-
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), len(table) - 2)
-        return table[low] + (edges - low)[:, None] * (table[low + 1] - table[low])
 
-    sums = at(np.linspace(0, columns, width + 1), at(np.linspace(0, rows, height + 1), total).T).T
+    def edges(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.linspace(0, n, cells + 1)
+        low = np.minimum(at.astype(np.int64), n - 1)
+        return low, (at - low)[:, None]
+
+    low, part = edges(rows, height)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    table = integral_rows(gray, wanted)
+    above, below = table[np.searchsorted(wanted, low)], table[np.searchsorted(wanted, low + 1)]
+    lines = (above + part * (below - above)).T
+    low, part = edges(columns, width)
+    sums = (lines[low] + part * (lines[low + 1] - lines[low])).T
     cells = sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]
     return cells * (height * width / (rows * columns))
 
@@ -140,7 +159,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def media_features(media: DataFrame) -> DataFrame:
     """From the stored bytes of Netpbm or BMP images: the samples' digests, the NPY tile and the difference hash.
 
-    A row whose bytes are null or no readable image keeps its id and sizes; its other values are null.
+    A row whose bytes are null or no readable image keeps its id and sizes; its other values are null. Very long texts are
+    summed in bands; repeated rows stay; an empty table gives no row.
     """
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -158,3 +178,8 @@ def media_features(media: DataFrame) -> DataFrame:
     kinds = ["long", "long", "long", "string", "long", "long", "string", "string", "binary"]
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     return map_rows(media.select("doc_id", "n_bytes", "media"), make, ", ".join(map(" ".join, zip(names, kinds, strict=True))), pa.schema([(n, arrow[k]) for n, k in zip(names, kinds, strict=True)]))
+
+
+def write_tiles(media: DataFrame) -> DataFrame:
+    """The written table of ``media_features``, tiles as NPY bytes with it; read back from it."""
+    return written(media_features(media), "tiles")

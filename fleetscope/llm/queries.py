@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
+    found = media.write_tiles(media.store_texts(table(spark, sf_dir, "documents")))
     return found.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 

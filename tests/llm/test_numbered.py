@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import itertools
 import re
 import zlib
@@ -237,11 +238,32 @@ def test_media_round_trips():
     assert np.allclose(media.area_resize(exact, 2, 3), np.arange(6).reshape(2, 3))
 
 
+def slow_resize(gray, height, width):
+    """Each target cell's mean by weights of every source sample."""
+    share = lambda n, cells: np.asarray([[max(0.0, min(k + 1, (c + 1) * n / cells) - max(k, c * n / cells)) for k in range(n)] for c in range(cells)])
+    return share(gray.shape[0], height) @ gray @ share(gray.shape[1], width).T * (height * width / gray.size)
+
+
 def test_media_query(spark, texts):
     for r in queries.op7_media(spark, SF).collect():
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(raw) < 3000:
+            gray = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(float)
+            small = np.round(slow_resize(gray, 8, 9), 6)
+            assert r["feature"] == np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+            tile = np.load(io.BytesIO(media.npy_tile(gray)))
+            assert np.abs(tile - slow_resize(gray, *tile.shape)).max() <= 0.5 + 1e-6
+
+
+def test_long_images_are_summed_in_bands(monkeypatch):
+    gray = np.random.default_rng(5).integers(0, 256, (5000, 64)).astype(np.uint8)
+    whole = media.area_resize(gray, 16, 16)
+    monkeypatch.setattr(media, "BAND_SAMPLES", 1000)
+    assert np.allclose(media.area_resize(gray, 16, 16), whole) and np.allclose(whole, slow_resize(gray.astype(float), 16, 16))
 
 
 def test_decontamination_tolerates_replaced_words(spark):
