@@ -31,7 +31,7 @@ from .tokens import alone
 #: last in the order, which keeps lists short; the filter is exact in any order.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 17
 #: Nodes of a short list; nodes and shingles that a cell of a long list holds; entries of short lists that a task meets at once.
-SHORT_LIST, CELL_NODES, CELL_SHINGLES, MEET_ENTRIES = 16, 1024, 250_000, 100_000
+SHORT_LIST, CELL_NODES, CELL_SHINGLES, MEET_ENTRIES = 48, 1024, 250_000, 100_000
 #: Rows (of 8 to 40 bytes) up to which a counted table is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 _FACTORS = (2 * np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) + np.uint64(1)).tolist()
@@ -227,7 +227,8 @@ def long_links(lists: DataFrame, entries: DataFrame, sets: DataFrame, least: flo
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["p", "q"])
 
     # A row carries all shingles of a text; Spark bounds the bytes of an Arrow batch.
-    carried = units.join(sets, "node").repartition("hash", "low", "high").sortWithinPartitions("hash", "low", "high", "node")
+    own_sets = cut(sets.join(held(cut(large.select("node").distinct())), "node", "left_semi"))
+    carried = units.join(own_sets, "node").repartition("hash", "low", "high").sortWithinPartitions("hash", "low", "high", "node")
     return carried.mapInArrow(meet, "p long, q long").distinct()
 
 
@@ -285,13 +286,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     numbered = written(read.select(F.col("row").alias("node"), "n", "odd", "prefix").join(all_nodes, "node"), "shingle-nodes")
     places = numbered.select("node", "group", "n", "odd", F.posexplode("prefix").alias("place", "hash"))
     shared = cut(places.groupBy("hash").count().where("count > 1").select("hash"))
-    entries = written(places.join(held(shared), "hash"), "shared-shingles")
+    found = written(places.join(held(shared), "hash"), "shared-shingles")
+    # An entry whose place lets it share enough with not even the smallest set of its list is of no use.
+    smallest = held(cut(found.groupBy("hash").agg(F.min("n").alias("n_min"))))
+    enough = F.ceil((F.col("n") + F.greatest(F.col("n_min"), least * F.col("n"))) * (least / (1 + least)) - 1e-6)
+    entries = written(found.join(smallest, "hash").where(F.col("n") - F.col("place") >= enough).drop("n_min"), "list-entries")
     mix = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
     lists = cut(entries.groupBy("hash").agg(F.count("*").alias("m"), mix(1).alias("all"), mix(2).alias("mix"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").drop("lo", "hi"))
     links = first.unionByName(judged(cut(prefix_pairs(lists, entries, least))))
     links = links.unionByName(long_links(lists, entries, read.select(F.col("row").alias("node"), "whole"), least))
     links = cut(links.toDF("a", "b"))
-    discard(numbered, entries)
+    discard(numbered, found, entries)
     linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), links).withColumnRenamed("print", "node")
     components = cut(nodes.join(linked, "node", "left").select("content", F.coalesce("component_id", "least").alias("component_id")))
     return read.select("doc_id", "content").join(components, "content", "left").select("doc_id", "component_id")
