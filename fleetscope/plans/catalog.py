@@ -186,7 +186,7 @@ def _signals(spark, sf_dir) -> DataFrame:
 
 def fusion(spark, sf_dir):
     out = decide.fold(decide.fuse(_signals(spark, sf_dir), 3 * HOUR))
-    return rounded(out.select("source", "ts_start", "ts_end", "signal_count", "peak_score"), "ts_start", "ts_end", "peak_score")
+    return rounded(rounded(out.select("source", "ts_start", "ts_end", "signal_count", "peak_score"), "ts_start", "ts_end"), "peak_score", places=6)
 
 
 def incident_severity(spark, sf_dir):
@@ -214,7 +214,7 @@ def _episodes(spark, sf_dir) -> DataFrame:
 
 
 def alarm_clusters(spark, sf_dir):
-    return rounded(evaluate.alarms(_signals(spark, sf_dir), HOUR).drop("alarm"), "first", "last", "peak")
+    return rounded(rounded(evaluate.alarms(_signals(spark, sf_dir), HOUR).drop("alarm"), "first", "last"), "peak", places=6)
 
 
 def detector_scores(spark, sf_dir):
@@ -328,13 +328,13 @@ ORACLE_SQL: dict[str, str] = {
     "rolling_baseline": f"WITH {S}, m AS (SELECT *, median(value) OVER f AS median, mad(value) OVER f AS mad, count(value) OVER f AS samples FROM s WINDOW f AS (PARTITION BY source ORDER BY ts RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW)), g AS (SELECT *, greatest(mad * 1.4826, 0.001, abs(median) * 0.05) AS sg FROM m) SELECT id, round(median, 4) AS median, round(mad, 4) AS mad, samples, round(CASE WHEN samples >= 20 THEN (value - median) / sg END, 4) AS z FROM g",
     "sustained_rule": f"WITH {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20) SELECT id, round(ts - since, 3) AS held FROM t WHERE ts - since >= 21600",
     "drift": f"WITH {S}, l AS (SELECT source, {DAYS} AS day, median(value) AS level FROM s WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS n FROM l), d AS (SELECT source, count(*) AS days, median(CASE WHEN n <= 3 THEN level END) AS a, median(CASE WHEN n > 3 AND n <= 17 THEN level END) AS b FROM r GROUP BY 1 HAVING count(*) >= 7) SELECT source, round(a, 3) AS recent_level, round(b, 3) AS usual_level, round(a - b, 3) AS rise, round(least(1.0, (a - b) / (3 * -1e9)), 3) AS score FROM d",
-    "fusion": f"WITH {S}, {SESSION} SELECT source, round(min(ts), 3) AS ts_start, round(max(ts), 3) AS ts_end, count(*) AS signal_count, round(max(score), 3) AS peak_score FROM k GROUP BY source, session",
+    "fusion": f"WITH {S}, {SESSION} SELECT source, round(min(ts), 3) AS ts_start, round(max(ts), 3) AS ts_end, count(*) AS signal_count, round(max(score), 6) AS peak_score FROM k GROUP BY source, session",
     "incident_severity": f"WITH RECURSIVE {S}, {SESSION}, o AS (SELECT *, row_number() OVER (PARTITION BY source, session ORDER BY ts, detector, score, rank) AS n, count(*) OVER (PARTITION BY source, session) AS m FROM k), f AS (SELECT source, session, n, m, rank, [detector] AS names, ts AS ts_start FROM o WHERE n = 1 UNION ALL SELECT o.source, o.session, o.n, o.m, CASE WHEN len(list_distinct(list_append(f.names, o.detector))) >= 2 THEN least(greatest(f.rank, o.rank) + 1, 2) ELSE greatest(f.rank, o.rank) END, list_distinct(list_append(f.names, o.detector)), f.ts_start FROM f JOIN o ON o.source = f.source AND o.session = f.session AND o.n = f.n + 1) SELECT source, session, {SEVERITY}[rank + 1] AS severity, array_to_string(list_sort(names), ',') AS detectors, round(ts_start, 3) AS ts_start FROM f WHERE n = m",
     "suppression": f"WITH RECURSIVE {S}, i AS (SELECT {H} AS source, id, ts AS lo, ts + value * 60 AS hi, CASE WHEN value >= 200 THEN 2 WHEN value >= 120 THEN 1 ELSE 0 END AS rank FROM s WHERE value > 75), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank DESC, lo, id) AS n FROM i), c AS (SELECT a.source, a.n, a.id, a.rank, list(b.n ORDER BY b.n) FILTER (WHERE b.n IS NOT NULL) AS above FROM o a LEFT JOIN o b ON b.source = a.source AND b.n < a.n AND b.lo <= a.hi AND b.hi >= a.lo GROUP BY ALL), f AS (SELECT source, n, id, rank, CAST(NULL AS BIGINT) AS by_n, [n] AS free FROM c WHERE n = 1 UNION ALL SELECT c.source, c.n, c.id, c.rank, list_min(list_intersect(f.free, c.above)), CASE WHEN len(coalesce(list_intersect(f.free, c.above), [])) > 0 THEN f.free ELSE list_append(f.free, c.n) END FROM f JOIN c ON c.source = f.source AND c.n = f.n + 1) SELECT f.source, f.id, {SEVERITY}[f.rank + 1] AS severity, o.id AS suppressed_by FROM f LEFT JOIN o ON o.source = f.source AND o.n = f.by_n",
     "cooled_rule": f"WITH RECURSIVE {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20), e AS (SELECT source, ts, id FROM t WHERE ts - since >= 3600), c AS (SELECT source, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT e.source, min(e.ts) FROM c JOIN e ON e.source = c.source AND e.ts - c.ts >= 86400 GROUP BY 1) SELECT id FROM e JOIN c ON e.source = c.source AND e.ts = c.ts",
     "detector_scores": f"WITH {S}, {ALARM}, e AS (SELECT {H} AS source, id, ts AS lo, ts + 1800 AS hi FROM s WHERE source = 'error' AND value > 60), d AS (SELECT DISTINCT source, detector FROM a), w AS (SELECT e.source, d.detector, e.id, bool_or(a.first IS NOT NULL) AS hit FROM e JOIN d ON d.source = e.source LEFT JOIN a ON a.source = e.source AND a.detector = d.detector AND a.first <= e.hi + 90 AND a.last >= e.lo GROUP BY ALL), p AS (SELECT source, detector, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn FROM w GROUP BY 1, 2), b AS (SELECT source, lo, hi + 90 AS hi FROM e), {islands_sql('b', 'm')}, g2 AS (SELECT a.source, a.detector, a.k, a.first AS lo, a.last + 0.001 AS hi FROM a), z AS (SELECT g2.*, m.lo AS blo, m.hi AS bhi FROM g2 JOIN m ON m.source = g2.source AND m.lo < g2.hi AND m.hi > g2.lo UNION ALL SELECT *, lo, lo FROM g2 UNION ALL SELECT *, hi, hi FROM g2), y AS (SELECT *, greatest(bhi, lo) AS f, lead(greatest(blo, lo)) OVER (PARTITION BY source, detector, k ORDER BY greatest(blo, lo), least(bhi, hi)) AS t FROM z), q AS (SELECT source, detector, CAST(sum(greatest(1, floor((t - f) / 60))) AS BIGINT) AS fp FROM y WHERE t > f GROUP BY 1, 2), x AS (SELECT p.source, p.detector, tp, fn, coalesce(fp, 0) AS fp, tp / nullif(tp + coalesce(fp, 0), 0) AS pr, tp / (tp + fn) AS rc FROM p LEFT JOIN q ON q.source = p.source AND q.detector = p.detector) SELECT source, detector, tp, fn, fp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM x",
     "notification_budget": f"WITH {S}, i AS (SELECT {H} AS source, id, ts, value FROM s WHERE value > 75), n AS (SELECT *, row_number() OVER (PARTITION BY source, floor(ts / 86400), value >= 120 ORDER BY ts, id) AS k FROM i) SELECT id, (value >= 120 AND k <= 5) OR value >= 200 AS notified, CASE WHEN value < 120 THEN 'severity' WHEN k > 5 AND value < 200 THEN 'budget' END AS notify_skipped FROM n",
-    "alarm_clusters": f"WITH {S}, {ALARM} SELECT source, detector, round(first, 3) AS first, round(last, 3) AS last, round(peak, 3) AS peak, n FROM a",
+    "alarm_clusters": f"WITH {S}, {ALARM} SELECT source, detector, round(first, 3) AS first, round(last, 3) AS last, round(peak, 6) AS peak, n FROM a",
     "attribution": "WITH t AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, c_mktsegment AS name, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT CAST(m + INTERVAL 1 MONTH AS DATE) AS m, name, v AS b FROM t), d AS (SELECT coalesce(t.m, b.m) AS month, coalesce(t.name, b.name) AS name, coalesce(v, 0) - coalesce(b, 0) AS delta FROM t FULL JOIN b ON t.m = b.m AND t.name = b.name), p AS (SELECT *, delta / sum(delta) OVER (PARTITION BY month) AS share, row_number() OVER (PARTITION BY month ORDER BY delta DESC, name) AS rank FROM d WHERE delta > 0) SELECT month, name, round(delta, 2) AS delta, round(share, 2) AS share, rank FROM p WHERE rank <= 8",
     "contributors": f"WITH {S}, i AS (SELECT id, ts AS st FROM s WHERE source = 'error' AND value > 75), o AS (SELECT i.id, s.pid, s.name, median(s.value) AS b FROM i JOIN s ON s.ts >= st - 36000 AND s.ts < st - 3600 GROUP BY ALL), n AS (SELECT i.id, s.pid, s.name, avg(s.value) AS a FROM i JOIN s ON s.ts >= st AND s.ts <= st + 7200 GROUP BY ALL), d AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(a, 0) - coalesce(b, 0) AS delta FROM o FULL JOIN n ON o.id = n.id AND o.pid = n.pid), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delta DESC, name) AS rank FROM d WHERE delta > 0) SELECT id, name, round(delta, 3) AS delta, rank FROM r WHERE rank <= 8",
     "compare_previous": f"WITH {S}, d AS (SELECT source, {DAYS} AS day, round(sum(value), 3) AS total FROM s GROUP BY 1, 2) SELECT *, round(total - lag(total) OVER (PARTITION BY source ORDER BY day), 3) AS delta FROM d",
