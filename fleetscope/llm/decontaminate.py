@@ -31,7 +31,7 @@ LEAST_ITEM = 3
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 _PERCENT = round(100 * LEAST_SHARE)
 #: Test hashes (8 bytes each) sent to every executor as a first filter; above this many the join does without.
-MOST_FILTER = 1 << 22
+MOST_FILTER = 1 << 20
 _TRIM = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡·"
 
 
@@ -121,7 +121,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     masks = [*MASKS, *(mask for n in sorted(r[0] for r in lengths) for mask in short_masks(n))]
     small = n_seeds <= MOST_FILTER
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(np.unique(np.asarray([r[0] for r in seeds.select("seed").distinct().collect()], np.int64))) if small else None
+    wanted = spark.sparkContext.broadcast(np.unique(seeds.select("seed").distinct().toArrow()["seed"].to_numpy())) if small else None
 
     def find(rows: Iterator[tuple]) -> Iterator[tuple]:
         alone(_WORDS)

@@ -86,7 +86,11 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``pieces`` with sequence_id and offset (gapless from 0 in each sequence). An empty table stays empty."""
+    """``pieces`` with sequence_id and offset (gapless from 0 in each sequence). An empty table stays empty.
+
+    Repeated pieces are packed one by one; equal lengths go by id, piece and checksum. Of the three capacities only those
+    that a caller sets low enough bind: with the defaults a sequence is full by tokens first, as pieces have a token or more.
+    """
     pieces = cut(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
 

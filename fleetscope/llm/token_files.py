@@ -150,7 +150,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, id_co
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (little-endian unsigned 32-bit ids)."""
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (little-endian unsigned 32-bit ids).
+
+    Repeated rows and null ids come back row by row, as they were written; no files give no row.
+    """
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
         for file, before, payload in rows:

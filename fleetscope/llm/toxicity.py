@@ -265,7 +265,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """The model of ``docs``. Without labelled rows the fixed lists alone vote and every listed word weighs the same."""
+    """The model of ``docs``. Without labelled rows the fixed lists alone vote and every listed word weighs the same.
+
+    Null texts count as empty, null labels and labels without an id or a document are left out, and an id that is labelled
+    or stored more than once counts as often. An empty table gives the model of the fixed lists.
+    """
     sample = labelled_sample(docs, labels, id_col, text_col)
     voters = make_voters(*learnt_words(sample))
     member = voters.member()

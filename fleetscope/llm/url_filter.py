@@ -128,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], model: UrlModel, id_col:
     """Per row: page_id, host, path, rule, verdict (allow or block), score (the model's).
 
     A null url or one without ``://`` has an empty host and path and is judged like any other. Repeated rows stay; an
-    empty table gives no row; other columns are not read. No shuffle.
+    empty table gives no row; urls of any length are judged whole; other columns are not read. No shuffle.
     """
     parts = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     margin = _margin(ngram_buckets(F.col("host"), F.col("path")), _literal(model.weights), model.bias)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from fleetscope.llm import decontaminate, media, packing, queries, secrets, sharding, simhash, token_counts, token_files, tokens, toxicity, url_filter
+from fleetscope.llm import decontaminate, media, near_copies, packing, queries, secrets, sharding, simhash, token_counts, token_files, tokens, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -379,3 +379,79 @@ def test_odd_rows(spark, odd):
     empty = odd.limit(0)
     for made in (token_counts.token_counts(empty, path), sharding.shard_rows(empty, 3), simhash.near_duplicates(empty), secrets.secret_scan(empty), packing.pack_documents(empty, path, 1), decontaminate.contaminated(empty, items.limit(0)), toxicity.score(empty, toxicity.train(empty, labels.limit(0)))):
         assert made.count() == 0
+
+
+def test_best_fit_weighs_what_is_left():
+    """Two open sequences fit the piece; the weights choose the one with fewer documents or with fewer tokens left."""
+    lengths = np.asarray([60, 20, 20, 15])
+    by_tokens, _ = packing.best_fit(lengths, packing.Capacity(100, 3, 10**6, (1.0, 0.0, 0.0)))
+    assert by_tokens.tolist() == [0, 0, 0, 1]
+    narrow, _ = packing.best_fit(lengths, packing.Capacity(100, 2, 10**6, (1.0, 0.0, 0.0)))
+    assert narrow.tolist() == [0, 0, 1, 1]
+
+
+def test_packed_pieces_are_the_librarys_ids(spark, texts):
+    tok = Tokenizer.from_file(public_tokenizers.path(NAMES[1]))
+    want = {}
+    for doc_id, text in texts.items():
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            want[doc_id, piece] = (start, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes()))
+    rows = queries.op10_packing(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_url_model_against_its_formula(spark):
+    """The score of every sf0.001 page by a plain sum over the buckets that the operator hashes its n-grams to."""
+    from pyspark.sql import functions as F
+
+    model = url_filter.train(url_filter.seed_urls(spark))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    judged = url_filter.judge_urls(pages, queries.RULES, model)
+    buckets = judged.select("page_id", "score", "rule", "verdict", url_filter.ngram_buckets(F.col("host"), F.col("path")).alias("b"))
+    for r in buckets.collect():
+        margin = model.bias + sum(model.weights[k] for k in r["b"]) / max(1, len(r["b"])) ** 0.5
+        assert abs(r["score"] - 1 / (1 + np.exp(-margin))) < 1e-6
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if r["score"] >= model.threshold else "allow")
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 10**6, 60_000))
+    rows = [(1, long, 7), (2, long + " more", 7), (3, "short text here", 7), (None, None, None), (3, "short text here", 7)]
+    docs = spark.createDataFrame([(*r, r[2], r[2]) for r in rows], "doc_id long, text string, gone_id long, own_0 long, row long")
+    items = spark.createDataFrame([(1, " ".join(long.split()[500:530]))], "item_id long, text string")
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "3", "None"]
+    clean = decontaminate.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == ["3", "3", "None"]
+    pages = spark.createDataFrame([(1, "http://h.com/" + "a/" * 50_000)], "page_id long, url string")
+    assert url_filter.judge_urls(pages, queries.RULES, url_filter.train(url_filter.seed_urls(spark))).first()["path"] == "/" + "a/" * 50_000
+    assert url_filter.judge_urls(pages.limit(0), queries.RULES, url_filter.train(url_filter.seed_urls(spark))).count() == 0
+
+
+def test_many_rows_of_one_id(spark):
+    docs = spark.range(3000).selectExpr("5L AS doc_id", "concat('text ', id % 700) AS text")
+    path = public_tokenizers.path(NAMES[0])
+    rows = token_files.read_token_files(token_files.write_token_files(docs, path, 2)).collect()
+    starts = sorted((r["start"], r["n_tokens"]) for r in rows)
+    assert len(rows) == 3000 and [s for s, _ in starts] == np.cumsum([0, *(n for _, n in starts[:-1])]).tolist()
+    placed = sharding.shard_rows(docs, shards=7).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in placed) == [428, 428, 428, 429, 429, 429, 429]
+
+
+def test_toxicity_by_folds_of_the_rows_it_may_learn_from(spark):
+    """Rows that are held out play no part: each fold of the others is scored by a model of the rest."""
+    from pyspark.sql import functions as F
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    part, truth = F.crc32(F.col("doc_id").cast("string")) % 4, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    got = []
+    for k in (0, 1, 3):
+        model = toxicity.train(docs, labels.where(part != k))
+        got += [(truth[r["doc_id"]], r["predicted"]) for r in toxicity.score(docs.where(part == k), model).collect() if r["doc_id"] in truth]
+    found, toxic = sum(p for t, p in got if t), sum(t for t, _ in got)
+    assert found >= 0.5 * toxic and sum(p for t, p in got if t == 0) <= 0.01 * len(got)
