@@ -284,11 +284,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     all_nodes = held(cut(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("group", "node").alias("group"))))
     # A row that is no node (its text stands before) drops out here.
     numbered = written(read.select(F.col("row").alias("node"), "n", "odd", "prefix").join(all_nodes, "node"), "shingle-nodes")
-    places = numbered.select("node", "group", "n", "odd", F.posexplode("prefix").alias("place", "hash"))
+    # Most shingles are in one text alone; they go before anything but their places is read.
+    places = numbered.select("node", F.posexplode("prefix").alias("place", "hash"))
     shared = cut(places.groupBy("hash").count().where("count > 1").select("hash"))
-    found = written(places.join(held(shared), "hash"), "shared-shingles")
+    found = written(places.join(shared, "hash").join(numbered.select("node", "group", "n", "odd"), "node"), "shared-shingles")
     # An entry whose place lets it share enough with not even the smallest set of its list is of no use.
-    smallest = held(cut(found.groupBy("hash").agg(F.min("n").alias("n_min"))))
+    smallest = found.groupBy("hash").agg(F.min("n").alias("n_min"))
     enough = F.ceil((F.col("n") + F.greatest(F.col("n_min"), least * F.col("n"))) * (least / (1 + least)) - 1e-6)
     entries = written(found.join(smallest, "hash").where(F.col("n") - F.col("place") >= enough).drop("n_min"), "list-entries")
     mix = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))

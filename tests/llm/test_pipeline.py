@@ -38,7 +38,7 @@ def near_copy_groups(texts, least=0.8):
 
 
 def leaking(texts, items):
-    """Ids of texts with an overlap on any diagonal of any item, without seeds."""
+    """Ids of texts with a window on any diagonal of any item in which 0.8 of the places are equal, over all windows."""
     hashed, out = {i: decontaminate.word_hashes(t) for i, t in items.items()}, set()
     places = collections.defaultdict(list)
     for i, words in hashed.items():
@@ -49,8 +49,10 @@ def leaking(texts, items):
         diagonals = collections.Counter((i, at - k) for at, w in enumerate(doc.tolist()) for i, k in places.get(w, ()))
         for (i, shift), n in diagonals.items():
             if n >= 6:
-                _, length, equal = decontaminate.best_overlap(doc, hashed[i], shift)
-                if length >= min(13, len(hashed[i])) and equal >= 0.8 * length:
+                item = hashed[i].tolist()
+                equal = [int(0 <= k + shift < len(doc) and doc[k + shift] == w) for k, w in enumerate(item)]
+                sums, need = np.cumsum([0, *equal]), min(13, len(item))
+                if any(5 * (sums[b] - sums[a]) >= 4 * (b - a) for a in range(len(equal)) for b in range(a + need, len(equal) + 1)):
                     out.add(d)
     return out
 
