@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import backward
+from .order_stats import sorted_groups, window_stats
+
 
 @dataclass(frozen=True)
 class Baseline:
@@ -35,37 +37,34 @@ def rolling(samples: DataFrame, value: str = "value", keys: Sequence[str] = ("so
     return with_sigma(held.withColumn("mad", _middle(F.transform("_list", lambda x: F.abs(x - F.col("median"))))).drop("_list"), config)
 
 
+def sigma_of(median: Column, mad: Column, config: Baseline = Baseline()) -> Column:
+    """The scaled MAD or the larger floor; null where that is not above 0."""
+    sigma = F.greatest(mad * 1.4826, F.lit(float(config.floor)), F.abs(median) * config.relative_floor)
+    return F.when(sigma > 0, sigma)
+
+
 def with_sigma(df: DataFrame, config: Baseline = Baseline()) -> DataFrame:
     """Adds ``sigma`` from median and mad; null below the samples needed or where it is not above 0."""
-    sigma = F.greatest(F.col("mad") * 1.4826, F.lit(float(config.floor)), F.abs("median") * config.relative_floor)
-    return df.withColumn("sigma", F.when((F.col("samples") >= config.least_samples) & (sigma > 0), sigma))
+    return df.withColumn("sigma", F.when(F.col("samples") >= config.least_samples, sigma_of(F.col("median"), F.col("mad"), config)))
 
 
 def rolling_dense(samples: DataFrame, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline(), chunk: float = 6 * 3600.0) -> DataFrame:
     """``rolling`` for dense series: each (keys, chunk of time) is one task's group, with the window before it looked back to."""
     spread = samples.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col(ts) / chunk), F.floor((F.col(ts) + config.window) / chunk))))
-    fields = [f for f in samples.schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["median double", "mad double", "samples long", "least double", "most double"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ts, ignore_index=True)
-        t, x = group[ts].to_numpy(float), group[value].to_numpy(float)
-        first = np.searchsorted(t, t - config.window, "left")
-        last = np.searchsorted(t, t, "right")
-        mine = np.floor(t / chunk) == group["_chunk"].iloc[0]
-        out = np.full((len(t), 5), np.nan)
-        for i in np.flatnonzero(mine):
-            own = x[first[i] : last[i]]
-            own = own[~np.isnan(own)]
-            if len(own):
-                m = np.median(own)
-                out[i] = m, np.median(np.abs(own - m)), len(own), own.min(), own.max()
-            else:
-                out[i, 2] = 0
-        group = group.assign(median=out[:, 0], mad=out[:, 1], samples=np.nan_to_num(out[:, 2]).astype("int64"), least=out[:, 3], most=out[:, 4])
-        return group[mine].drop(columns="_chunk")
-
-    return with_sigma(spread.groupBy(*keys, "_chunk").applyInPandas(run, schema), config)
+    dealt = spread.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", ts)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields] + ["median double", "mad double", "samples long", "least double", "most double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, (*keys, "_chunk")):
+            t, x = (group.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (ts, value))
+            mine = np.flatnonzero(np.floor(t / chunk) == group.column("_chunk")[0].as_py())
+            out, own = window_stats(t, x, config.window, mine), group.drop_columns("_chunk").take(pa.array(mine))
+            none = out[:, 2] == 0
+            for k, name in enumerate(("median", "mad", "samples", "least", "most")):
+                own = own.append_column(name, pa.array(out[:, k].astype("int64")) if name == "samples" else pa.array(out[:, k], mask=none))
+            yield from own.to_batches()
+
+    return with_sigma(dealt.mapInArrow(run, schema), config)
 
 
 def rolling_since(samples: DataFrame, since: float, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline()) -> DataFrame:
@@ -124,20 +123,32 @@ def spaced(times: DataFrame, spacing: float, keys: Sequence[str], ts: str = "ts"
     return own.repartition(*keys).sortWithinPartitions(*keys, ts).mapInArrow(run, own.schema)
 
 
-def conditional(samples: DataFrame, program: str = "program", value: str = "value", keys: Sequence[str] = ("source", "metric"), config: Baseline = Baseline(3600.0, 60)) -> DataFrame:
-    """Baselines per program: a known program's own (null until it has samples enough), the metric's for rows without a program."""
-    own = rolling(samples.where(F.col(program).isNotNull()), value, [*keys, program], config=config)
-    return own.unionByName(rolling(samples, value, keys, config=config).where(F.col(program).isNull()))
+def carried_stats(samples: DataFrame, learnt: DataFrame, value: str, keys: Sequence[str], config: Baseline, spacing: float = 0.0, ts: str = "ts") -> DataFrame:
+    """``samples`` with median, mad, sigma, samples, least and most of ``learnt`` (keys, ts, value) as its last row not after theirs left them.
 
-
-def load_gated(samples: DataFrame, value: str, gate: str, least: float, keys: Sequence[str] = ("source",), config: Baseline = Baseline(6 * 3600.0, 60)) -> DataFrame:
-    """The baseline learns ``value`` only under load and is carried to the other rows; no fallback."""
-    made = rolling(samples.withColumn("_gated", F.when(F.col(gate) >= least, F.col(value))), "_gated", keys, config=config)
-    carried = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    Learnt rows closer than ``spacing`` seconds to the last that stayed are passed over; without a value a row teaches
+    nothing. Below ``least_samples`` all but the count is null, so that an unready baseline decides nothing.
+    """
+    own = learnt.where(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_learnt"))
+    own = thinned(own, spacing, keys, ts) if spacing > 0 else own
+    made = rolling_dense(own, "_learnt", keys, ts, config).dropDuplicates([*keys, ts])
     names = ("median", "mad", "sigma", "samples", "least", "most")
-    for c in names:
-        made = made.withColumn(c, F.last(F.when(F.col("_gated").isNotNull(), F.struct(c)), ignorenulls=True).over(carried)[c])
-    return made.drop("_gated")
+    ready = F.col("samples") >= config.least_samples
+    found = made.select(*keys, ts, F.struct(*(F.col(n) if n == "samples" else F.when(ready, F.col(n)).alias(n) for n in names)).alias("_stats"))
+    return backward(samples, found, "_stats", keys, ts).select(*samples.columns, *(F.col(f"_stats.{n}").alias(n) for n in names))
+
+
+def conditional(samples: DataFrame, program: str = "program", value: str = "value", keys: Sequence[str] = ("source", "metric"), config: Baseline = Baseline(3600.0, 60), spacing: float = 0.0, usual: Baseline | None = None) -> DataFrame:
+    """Baselines per program: a known program's own, as its last sample left it and null until it has samples enough; the metric's over ``usual`` for rows without a program."""
+    known = samples.where(F.col(program).isNotNull())
+    own = carried_stats(known, known, value, [*keys, program], config, spacing)
+    plain = rolling_dense(samples, value, keys, config=usual or config).where(F.col(program).isNull())
+    return own.unionByName(plain.select(*own.columns))
+
+
+def load_gated(samples: DataFrame, value: str, gate: str, least: float, keys: Sequence[str] = ("source",), config: Baseline = Baseline(6 * 3600.0, 60), spacing: float = 0.0) -> DataFrame:
+    """The baseline learns ``value`` only under load and is carried to the other rows; null until ready, no fallback."""
+    return carried_stats(samples, samples.where(F.col(gate) >= least), value, keys, config, spacing)
 
 
 def observed_seconds(ticks: DataFrame, keys: Sequence[str] = ("source",), factor: float = 3.0) -> DataFrame:

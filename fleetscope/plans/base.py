@@ -41,3 +41,21 @@ def rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
 def islands_sql(source: str, name: str) -> str:
     """CTEs that merge the spans of ``source`` (source, lo, hi) into ``name``."""
     return f"{name}_r AS (SELECT *, max(hi) OVER (PARTITION BY source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}), {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY lo, hi) AS island FROM {name}_r), {name} AS (SELECT source, min(lo) AS lo, max(hi) AS hi FROM {name}_i GROUP BY source, island)"
+
+
+def carried_sql(name: str, rows: str, keys: str, spacing: float, window: float, least: int) -> str:
+    """CTEs of a carried axis: ``{name}`` has (keys, ts, md, ma, sg, n, mx) at every row of ``rows`` (keys, ts, v) that is learnt; all but n null until ready."""
+    on = " AND ".join(f"e.{k} = f.{k}" for k in keys.split(", "))
+    of_e = ", ".join(f"e.{k}" for k in keys.split(", "))
+    return f"""
+{name}_t AS (
+    SELECT {keys}, min(ts) AS ts FROM {rows} GROUP BY {keys}
+    UNION ALL
+    SELECT {of_e}, min(e.ts) FROM {name}_t f JOIN {rows} e ON {on} AND e.ts - f.ts >= {spacing} GROUP BY {of_e}
+), {name}_w AS (
+    SELECT {keys}, ts, median(v) OVER w AS md, mad(v) OVER w AS ma, count(*) OVER w AS n, max(v) OVER w AS mx FROM {rows} JOIN {name}_t USING ({keys}, ts)
+    WINDOW w AS (PARTITION BY {keys} ORDER BY ts RANGE BETWEEN {window} PRECEDING AND CURRENT ROW)
+), {name} AS (
+    SELECT {keys}, ts, n, CASE WHEN n >= {least} THEN md END AS md, CASE WHEN n >= {least} THEN ma END AS ma,
+           CASE WHEN n >= {least} THEN greatest(ma * 1.4826, abs(md) * 0.05) END AS sg, CASE WHEN n >= {least} THEN mx END AS mx FROM {name}_w
+)"""

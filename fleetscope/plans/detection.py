@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of
 from ..operators import baseline, explain, rollup, rules
-from .base import DAY, HOUR, H, S, as_long, host_of, rounded, samples
+from .base import DAY, HOUR, H, S, as_long, carried_sql, host_of, rounded, samples
 
 #: Rules over samples of a machine: each is sustained and cooled down by itself.
 PACK = (
@@ -56,16 +56,16 @@ def backfilled(spark, sf_dir):
 
 
 def gated_baseline(spark, sf_dir):
-    """Baselines learnt under load alone (large values) and carried to the other samples."""
+    """Baselines learnt under load alone (large values), an hour apart at least, and carried to the other samples; null until five are learnt."""
     config = baseline.Baseline(DAY, 5)
-    out = baseline.load_gated(_hosts(spark, sf_dir), "value", "value", 30.0, config=config)
+    out = baseline.load_gated(_hosts(spark, sf_dir), "value", "value", 30.0, config=config, spacing=HOUR)
     return rounded(out.select("id", "median", "samples", "most"), "median", "most", places=4)
 
 
 def program_baselines(spark, sf_dir):
-    """A known program's own baselines; the machine's for samples without one."""
+    """A known program's own baselines, of samples two hours apart at least and null until there are three; the machine's for samples without one."""
     h = _hosts(spark, sf_dir).withColumn("metric", F.lit("value")).withColumn("program", F.when(F.col("name") != "view", F.col("name")))
-    out = baseline.conditional(h, config=baseline.Baseline(DAY, 3))
+    out = baseline.conditional(h, config=baseline.Baseline(DAY, 3), spacing=2 * HOUR)
     return rounded(out.select("id", "median", "mad", "samples"), "median", "mad", places=4)
 
 
@@ -106,8 +106,23 @@ ORACLE_SQL: dict[str, str] = {
     "minute_board": f"WITH {S}, {T}, b AS (SELECT *, CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket FROM h), m AS (SELECT source, bucket, count(*) AS sample_count, round(avg(value), 3) AS cpu_total_mean, round(max(value), 3) AS cpu_total_max, round(list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1], 3) AS cpu_total_p95, round(stddev_pop(value), 3) AS cpu_total_std, round(avg(value + pid % 7), 3) AS cpu_max_core_mean, round(avg((value + pid % 7) - value), 3) AS cpu_imbalance_mean FROM b GROUP BY 1, 2), g AS (SELECT source, bucket, round(avg(value), 3) AS gpu_util_mean, round(max(value), 3) AS gpu_temp_max, round(min(value), 3) AS gpu_clock_min FROM b WHERE name = 'view' GROUP BY 1, 2), c AS (SELECT source, bucket, name, count(*) AS n, sum(count(*)) OVER (PARTITION BY source, bucket) AS al, row_number() OVER (PARTITION BY source, bucket ORDER BY count(*) DESC, name) AS k FROM b WHERE value > 50 GROUP BY 1, 2, 3), d AS (SELECT source, bucket, name, sum(value * 1.00071::DOUBLE) AS v, row_number() OVER (PARTITION BY source, bucket ORDER BY sum(value * 1.00071::DOUBLE) DESC, name) AS k FROM b WHERE value > 0 GROUP BY 1, 2, 3), tk AS (SELECT source, bucket, count(DISTINCT ts) AS n FROM b WHERE value > 0 GROUP BY 1, 2), gp AS (SELECT DISTINCT source, CAST(21600 * unnest(range(CAST(floor(ts / 21600) AS BIGINT), CAST(floor((ts + 3600) / 21600) AS BIGINT) + 1)) AS BIGINT) AS bucket FROM h WHERE name = 'error' AND value > 150) SELECT m.*, gpu_util_mean, gpu_temp_max, gpu_clock_min, c.name AS fg_program, round(c.n / c.al, 3) AS fg_ratio, d.name AS top_cpu_program, round(d.v / tk.n, 3) AS top_cpu_share, gp.bucket IS NOT NULL AS has_gap FROM m LEFT JOIN g ON g.source = m.source AND g.bucket = m.bucket LEFT JOIN c ON c.source = m.source AND c.bucket = m.bucket AND c.k = 1 LEFT JOIN d ON d.source = m.source AND d.bucket = m.bucket AND d.k = 1 LEFT JOIN tk ON tk.source = m.source AND tk.bucket = m.bucket LEFT JOIN gp ON gp.source = m.source AND gp.bucket = m.bucket",
     "net_board": f"WITH {S}, {T} SELECT source, CAST(floor(floor(ts) / 86400) * 86400 AS BIGINT) AS bucket, name, round(count(*) / count(DISTINCT floor(ts)), 3) AS conns_mean, count(DISTINCT CASE WHEN value > 5 THEN pid % 11 END) AS remotes, count(DISTINCT CASE WHEN value > 5 THEN pid % 7 END) AS ports, count(*) FILTER (WHERE value < 10) AS listens FROM h GROUP BY 1, 2, 3",
     "backfilled": f"WITH {S}, {T} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS n, round(max(value), 3) AS max FROM h GROUP BY 1, 2 HAVING max(value) <= 20",
-    "gated_baseline": f"WITH {S}, {T}, g AS (SELECT *, CASE WHEN value >= 30 THEN value END AS gv FROM h), m AS (SELECT *, median(gv) OVER f AS md, count(gv) OVER f AS n, max(gv) OVER f AS mx FROM g WINDOW f AS (PARTITION BY source ORDER BY ts RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW)), k AS (SELECT *, max(CASE WHEN gv IS NOT NULL THEN ts END) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS lt FROM m) SELECT k.id, round(l.md, 4) AS median, l.n AS samples, round(l.mx, 4) AS most FROM k LEFT JOIN k l ON l.source = k.source AND l.ts = k.lt",
-    "program_baselines": f"WITH {S}, {T}, a AS (SELECT id, name, median(value) OVER f AS md, mad(value) OVER f AS ma, count(*) OVER f AS n FROM h WINDOW f AS (PARTITION BY source ORDER BY ts RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW)), b AS (SELECT id, median(value) OVER f AS md, mad(value) OVER f AS ma, count(*) OVER f AS n FROM h WHERE name <> 'view' WINDOW f AS (PARTITION BY source, name ORDER BY ts RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW)) SELECT id, round(md, 4) AS median, round(ma, 4) AS mad, n AS samples FROM b UNION ALL SELECT id, round(md, 4), round(ma, 4), n FROM a WHERE name = 'view'",
+    "gated_baseline": f"""
+WITH RECURSIVE {S}, {T}, g AS (
+    SELECT source, ts, value AS v FROM h WHERE value >= 30
+), {carried_sql("l", "g", "source", HOUR, DAY, 5)}
+SELECT h.id, round(l.md, 4) AS median, l.n AS samples, round(l.mx, 4) AS most FROM h ASOF LEFT JOIN l ON h.source = l.source AND h.ts >= l.ts
+""",
+    "program_baselines": f"""
+WITH RECURSIVE {S}, {T}, g AS (
+    SELECT source, name, ts, value AS v FROM h WHERE name <> 'view'
+), {carried_sql("p", "g", "source, name", 2 * HOUR, DAY, 3)}, a AS (
+    SELECT id, name, median(value) OVER f AS md, mad(value) OVER f AS ma, count(*) OVER f AS n FROM h
+    WINDOW f AS (PARTITION BY source ORDER BY ts RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)
+)
+SELECT h.id, round(p.md, 4) AS median, round(p.ma, 4) AS mad, p.n AS samples FROM h ASOF JOIN p ON h.source = p.source AND h.name = p.name AND h.ts >= p.ts
+UNION ALL
+SELECT id, round(md, 4), round(ma, 4), n FROM a WHERE name = 'view'
+""",
     "onsets": f"WITH {S}, {T}, i AS (SELECT source, id, ts AS st FROM h WHERE name = 'error' AND value > 100), m AS (SELECT i.source, i.id, i.st, h.ts, h.value >= 50 AS hot FROM i JOIN h ON h.source = i.source AND h.ts BETWEEN st - 86400 AND st + 86400), a AS (SELECT *, sum(hot::INT) OVER (PARTITION BY source, id ORDER BY ts DESC) AS run FROM m WHERE ts <= st), c AS (SELECT *, sum((NOT hot)::INT) OVER (PARTITION BY source, id, run ORDER BY ts DESC) AS calm FROM a), d AS (SELECT *, max((calm >= 4)::INT) OVER (PARTITION BY source, id ORDER BY ts DESC ROWS UNBOUNDED PRECEDING) AS stopped FROM c), o AS (SELECT source, id, min(ts) AS onset, count(*) AS hot FROM d WHERE stopped = 0 AND hot GROUP BY 1, 2 HAVING count(*) >= 2), e AS (SELECT *, sum(hot::INT) OVER (PARTITION BY source, id ORDER BY ts) AS run FROM m WHERE ts >= st), f AS (SELECT *, row_number() OVER (PARTITION BY source, id, run ORDER BY ts) AS n FROM e WHERE NOT hot), r AS (SELECT source, id, min(ts) AS recovery FROM f WHERE n = 3 GROUP BY 1, 2) SELECT coalesce(o.source, r.source) AS source, coalesce(o.id, r.id) AS id, round(onset, 3) AS onset, hot, round(recovery, 3) AS recovery FROM o FULL JOIN r ON r.source = o.source AND r.id = o.id",
     "stock_growth": f"WITH {S}, {T}, i AS (SELECT source, id, ts AS st FROM h WHERE name = 'error' AND value > 100), m AS (SELECT i.source, i.id, h.pid, h.name, h.ts, h.value FROM i JOIN h ON h.source = i.source AND h.ts BETWEEN st - 172800 AND st), p AS (SELECT *, max(value) OVER (PARTITION BY source, id, pid, name ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM m), t AS (SELECT *, sum(CASE WHEN value < 0.5 * pk THEN 1 ELSE 0 END) OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS tr FROM p), l AS (SELECT *, max(tr) OVER (PARTITION BY source, id, pid, name) AS lt FROM t), q AS (SELECT *, count(*) OVER (PARTITION BY source, id, pid, name) AS n, row_number() OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS k FROM l WHERE tr = lt), g AS (SELECT source, id, pid, name, median(CASE WHEN k > n - greatest(floor(n / 4), 1) THEN value END) AS af, median(CASE WHEN k <= greatest(floor(n / 4), 1) THEN value END) AS be FROM q GROUP BY 1, 2, 3, 4), u AS (SELECT source, id, name, sum(greatest(af - be, 0)) AS delta, sum(af) AS after, count(DISTINCT pid) AS n_pids FROM g GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY delta DESC, name) AS rank FROM u WHERE delta > 0) SELECT source, id, name, round(delta, 3) AS delta, round(after, 3) AS after, rank, n_pids FROM r WHERE rank <= 8",
 }
