@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .tokens import CHUNK_MEMO, Memo, alone
+from .tokens import Memo, alone
 
 #: Code points scanned at once (a longer text is a batch of its own), and places of a block of the scan.
 BATCH_POINTS, BLOCK = 1 << 19, 256
+#: Pieces whose ids a worker's memo holds; the memo changes no result.
+PIECES_HELD = 1 << 17
 
 #: States: nothing open; letters, numbers, others, one space that may lead a piece, or blanks open; letters of a contraction to come.
 CLOSED, LETTERS, NUMBERS, OTHERS, SPACE, BLANKS, ONE, TWO = range(8)
@@ -152,7 +154,7 @@ class RankEncoder:
         self.lengths = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
         for k, word in self.bytes_of.items():
             self.lengths[k] = len(word)
-        self.pieces = Memo(self._piece, CHUNK_MEMO)
+        self.pieces = Memo(self._piece, PIECES_HELD)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece: the adjacent pair of the lowest rank is merged, leftmost first, until none has a rank."""
