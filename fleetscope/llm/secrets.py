@@ -40,14 +40,21 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1
 ONE_ESCAPE = re.compile(r"[\\&][uUx#]\{?([xX]?)([0-9A-Fa-f]+)[};]?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines; escapes mixed with the characters that URL quoting leaves; starts of compressed data.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: A run is tried at its first character only and gives nothing back, so that a long one is read once.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
 MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 
+#: How base64 of compressed data begins.
+HEADS = frozenset(("H4", "eA", "eF", "eJ", "eN", "Ql", "/T", "_T", "KL"))
+
 #: Decompressed data are read in windows of so many bytes, each of which begins with the last ``OVERLAP`` bytes of the one before.
 WINDOW, OVERLAP = 16_000_000, 1_000_000
 STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
+#: Bytes looked at to see whether compressed data begin there, and characters of all layers of a text, beyond which layers are
+#: not unwrapped but counted as unread: data that expand without end must not hold a task for ever.
+PROBE, MOST_UNWRAPPED = 3072, 200_000_000
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -170,6 +177,18 @@ def _inflate(data: bytes) -> Iterator[bytes | None]:
         yield held
 
 
+def _opens(data: bytes, at: int = 0) -> bool:
+    """Whether compressed data may begin at ``at``: the right first bytes, and no error in those that follow at once."""
+    if not MAGIC.match(data, at):
+        return False
+    head = data[at : at + PROBE]
+    try:
+        next(_members(head), None)
+    except ValueError as error:
+        return str(error) == "cut off" and len(data) - at > PROBE
+    return True
+
+
 def _readable(data: bytes) -> str | None:
     """``data`` as text: UTF-8 without control characters other than blanks, else UTF-16, else its printable stretches of 12 bytes or more, a line each; None without any."""
     try:
@@ -195,25 +214,36 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
-def _promising(head: str) -> bool:
-    """Whether base64 that begins with ``head`` (16 characters) can be text or compressed data."""
-    data = _base64(head)
+def _promising(head: str) -> str:
+    """What base64 that begins with ``head`` can be: "text", "data" for compressed data, or nothing."""
+    data = _base64(head[: len(head) // 4 * 4])
     if data is None:
-        return False
-    return MAGIC.match(data) is not None or _readable(data.decode(errors="ignore").encode()) is not None and len(data.decode(errors="ignore").encode()) >= len(data) - 3
+        return ""
+    if MAGIC.match(data):
+        return "data" if _opens(data) else ""
+    shown = data[:12].decode(errors="ignore").encode()
+    return "text" if len(shown) >= min(len(data), 12) - 3 and _readable(shown) is not None else ""
 
 
 def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, run) of everything to try as base64: whole runs, their parts after '/', '_' and '-', and wrapped lines put together."""
+    """(start, end, run) of everything to try as base64: whole runs, their parts after '/', '_' and '-', and wrapped lines put together.
+
+    From a break on, a run is read to its end once for each of the four ways in which base64 can lie in it, as a later start
+    that lies alike reads the end of the same bytes; a break where compressed data begin is read on its own.
+    """
     for m in BASE64.finditer(text):
         yield m.start(), m.end(), m[0]
         breaks = [k.end() for k in re.finditer(r"[/_-]", m[0])]
+        lain = set()
         for at, after in zip([0, *breaks], [*breaks, len(m[0]) + 1], strict=True):
-            if len(m[0]) - at >= 16 and _promising(m[0][at : at + 16]):
-                if at:
-                    yield m.start() + at, m.end(), m[0][at:]
-                if breaks and after - 1 - at >= 16 and after <= len(m[0]):
-                    yield m.start() + at, m.start() + after - 1, m[0][at : after - 1]
+            if len(m[0]) - at < 16 or not (kind := _promising(m[0][at : at + PROBE] if m[0][at : at + 2] in HEADS else m[0][at : at + 16])):
+                continue
+            if at and (kind == "data" or at % 4 not in lain):
+                yield m.start() + at, m.end(), m[0][at:]
+            if kind == "text":
+                lain.add(at % 4)
+            if breaks and after - 1 - at >= 16 and after <= len(m[0]):
+                yield m.start() + at, m.start() + after - 1, m[0][at : after - 1]
     for m in WRAPPED.finditer(text):
         lines = [(m.start() + k.start(), m.start() + k.end()) for k in LINE.finditer(m[0])]
         k = 0
@@ -258,7 +288,7 @@ def unwrap(layer: Layer) -> Iterator[Layer | None]:
         for m in QUOTED.finditer(text):
             if "%" in m[0] and MAGIC.search(data := unquote_to_bytes(m[0])):
                 for k in MAGIC.finditer(data):
-                    for window in _inflate(data[k.start() :]):
+                    for window in _inflate(data[k.start() :]) if _opens(data, k.start()) else ():
                         if window is None:
                             yield None
                         else:
@@ -266,7 +296,8 @@ def unwrap(layer: Layer) -> Iterator[Layer | None]:
 
 
 def secret_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans, layers unwrapped, and compressed layers that break off (what comes before the break is read).
+    """Base spans, all spans, layers unwrapped, and layers that are not read whole: compressed data that break off (what comes
+    before the break is read), and layers found after ``MOST_UNWRAPPED`` characters of others, which are scanned but not unwrapped.
 
     The worklist goes down one layer at a time and holds one layer of each depth, whatever their number.
     """
@@ -274,7 +305,7 @@ def secret_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     base = scan(text)
     digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
     spans, seen, layers, broken = set(base), {(0, len(text), digest(text))}, 0, 0
-    work = [unwrap(Layer(text, [(0, 0, len(text), True)]))]
+    work, unwrapped = [unwrap(Layer(text, [(0, 0, len(text), True)]))], 0
     while work:
         layer = next(work[-1], StopIteration)
         if layer is StopIteration:
@@ -289,7 +320,11 @@ def secret_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
         seen.add(key)
         layers += 1
         spans.update((*(o := layer.origin(a, b))[:1], kind, o[1]) for a, kind, b in scan(layer.text))
-        work.append(unwrap(layer))
+        unwrapped += len(layer.text)
+        if unwrapped > MOST_UNWRAPPED:
+            broken += 1
+        else:
+            work.append(unwrap(layer))
     return base, sorted(spans), layers, broken
 
 
@@ -298,7 +333,7 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex and base_sha256 of the plain text's matches, spans (all, with those of decoded layers), layers, unread_layers (compressed data that break off).
+    """Per row: doc_id, n_assign, n_access, n_hex and base_sha256 of the plain text's matches, spans (all, with those of decoded layers), layers, unread_layers (those not read whole).
 
     A null text counts as empty; repeated rows stay; an empty table gives no row; other columns are not read. No shuffle.
     """
