@@ -9,19 +9,22 @@ counts, and only terms that both have are joined.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .arrow import map_rows
+from .arrow import SLICE_ROWS, map_rows
 from .tokens import alone
 
 #: Copies are summed up, and term counts held, in a task until they have so many characters, or so many entries.
-COMBINE_CHARS, COUNT_ENTRIES = 16_000_000, 250_000
+COMBINE_CHARS, COUNT_ENTRIES = 16_000_000, 400_000
+#: Texts after which a task counts the entries that it holds.
+CHECK_ROWS = 256
 #: Parts into which the sources of a language are dealt when they meet each other.
 SALTS = 16
 #: Bytes of no term become blanks, A-Z become a-z, all others stay: the bytes of letters beyond ASCII lie above 127.
@@ -60,33 +63,40 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """(lang, source, term, count, documents) of ``collapsed`` rows: occurrences, and documents that hold the term, copies counted."""
     met = rows.withColumn("h", F.xxhash64("lang", "text")).repartition("lang", "text").sortWithinPartitions("h", "lang", "text").select("lang", "source", "text", "copies")
 
-    def make(found: Iterator[tuple]) -> Iterator[tuple]:
+    def told(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, documents) in held.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            numbers = (np.fromiter(x, np.int64, len(counts)) for x in (counts.values(), map(documents.__getitem__, counts)))
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), terms, *map(pa.array, numbers)]
+            table = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "documents"])
+            yield from (table.slice(k, SLICE_ROWS * 4) for k in range(0, len(terms), SLICE_ROWS * 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
-        held: dict[tuple, list[int]] = {}
-        for (lang, text), group in groupby(found, key=lambda r: (r[0], r[2])):
-            times: dict[bytes, int] = {}
-            for term in terms_of(text):
-                times[term] = times.get(term, 0) + 1
-            for _, source, _, copies in group:
-                own = held.setdefault((lang, source), {})
-                for term, n in times.items():
-                    if (sums := own.get(term)) is None:
-                        own[term] = [n * copies, copies]
-                    else:
-                        sums[0] += n * copies
-                        sums[1] += copies
-            if sum(map(len, held.values())) >= COUNT_ENTRIES:
-                yield from told(held)
-                held = {}
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        last, terms, once = None, [], set()
+        for batch in batches:
+            for k, (lang, source, text, copies) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True), 1):
+                if (lang, text) != last:
+                    # The same text of other sources follows it, and isn't taken apart again.
+                    last, terms = (lang, text), terms_of(text)
+                    once = set(terms)
+                if not terms:
+                    continue
+                counts, documents = held.setdefault((lang, source), (Counter(), Counter()))
+                if copies == 1:
+                    counts.update(terms)
+                    documents.update(once)
+                else:
+                    for term, n in Counter(terms).items():
+                        counts[term] += n * copies
+                        documents[term] += copies
+                if k % CHECK_ROWS == 0 and sum(len(c) for c, _ in held.values()) >= COUNT_ENTRIES:
+                    yield from told(held)
+                    held = {}
         yield from told(held)
 
-    def told(held: dict) -> Iterator[tuple]:
-        for (lang, source), own in held.items():
-            for term, (count, documents) in own.items():
-                yield lang, source, term.decode(), count, documents
-
-    types = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("documents", pa.int64())])
-    made = map_rows(met, make, "lang string, source string, term string, count long, documents long", types)
+    made = met.mapInArrow(run, "lang string, source string, term string, count long, documents long")
     return made.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 

@@ -166,6 +166,7 @@ def test_divergence_odd_rows_equal_sql(spark, tmp_path, monkeypatch):
     """Null and empty columns, copies over sources, flushes in every task, sources without terms, a clashing column."""
     monkeypatch.setattr(divergence, "COMBINE_CHARS", 200)
     monkeypatch.setattr(divergence, "COUNT_ENTRIES", 5)
+    monkeypatch.setattr(divergence, "CHECK_ROWS", 2)
     rng = random.Random(1)
     words = ["Ä", "é", "Foo", "bar", "baz\x00qux", "naïve", "x9y", "[a]", "日本"]
     rows = [(rng.choice(["en", "fr", None, ""]), rng.choice(["a", "b", None, "c"]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randrange(9)))]), 1) for _ in range(900)]
