@@ -25,7 +25,7 @@ from .tokens import Memo, alone
 # Masks of weight 6 over up to 13 words; a dot is ignored. Found by greedy choice: every stretch of 13 words
 # or more with ``LEAST_SHARE`` of equal ones is hit by one of them (a longer one than 25 holds a shorter one; a test tries all).
 MASKS = ("####.##", "##.#...#.##", "#.#...#...###")
-#: Items of fewer words are not looked for.
+#: Items of fewer words are not looked for unless ``least_item`` says so.
 LEAST_ITEM = 3
 #: Words and share of equal ones that make an overlap.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
@@ -86,8 +86,14 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     return low + start, end - start, int(equal[start:end].sum())
 
 
-def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(item_id, words) of each test item and its distinct (seed, item_id, place). Items of fewer than ``LEAST_ITEM`` words give no seed."""
+def shifts(doc_places: list, item_places: list) -> np.ndarray:
+    """The diagonals of a pair, rising: document place less item place, over all its seeds (one list of places on either side for each)."""
+    parts = [np.unique(np.asarray(a, np.int64)[:, None] - np.unique(np.asarray(b, np.int64))) for a, b in zip(doc_places, item_places, strict=True)]
+    return np.unique(np.concatenate(parts))
+
+
+def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: int = LEAST_ITEM) -> tuple[DataFrame, DataFrame]:
+    """(item_id, words) of each test item and (seed, item_id, places) of each of its seeds. Items of fewer than ``least`` words give no seed."""
 
     def words(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item, text in rows:
@@ -96,28 +102,31 @@ def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     def seeds(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item, data in rows:
             hashed = np.frombuffer(data, np.uint32)
-            for mask in MASKS if len(hashed) >= LEAST_WORDS else short_masks(len(hashed)) if len(hashed) >= LEAST_ITEM else ():
+            found: dict[int, list[int]] = {}
+            for mask in MASKS if len(hashed) >= LEAST_WORDS else short_masks(len(hashed)) if len(hashed) >= max(1, least) else ():
                 for place, seed in enumerate(seed_hashes(hashed, mask).tolist()):
-                    yield seed, item, place
+                    found.setdefault(seed, []).append(place)
+            for seed, places in found.items():
+                yield seed, item, places
 
     known = cut(map_rows(items.where(items[id_col].isNotNull()).select(items[id_col].alias("item_id"), items[text_col].alias("text")), words, "item_id long, words binary", pa.schema([("item_id", pa.int64()), ("words", pa.binary())])))
-    made = map_rows(known, seeds, "seed long, item_id long, place int", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32())]))
+    made = map_rows(known, seeds, "seed long, item_id long, item_places array<int>", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("item_places", pa.list_(pa.int32()))]))
     return known, cut(made.distinct())
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_item: int = LEAST_ITEM) -> DataFrame:
     """Per overlapping pair: doc_id, item_id, overlap_words, equal_words (of its longest overlap), overlaps (diagonals that have one).
 
     An overlap has at least ``LEAST_WORDS`` words, or all of a shorter item's, of which ``LEAST_SHARE`` are equal; items of
-    fewer than ``LEAST_ITEM`` words overlap nothing. Null and
+    fewer than ``least_item`` words overlap nothing (1 finds them all; one of one or two words is found as an exact copy). Null and
     empty texts overlap nothing; equal doc ids count as one document; rows without an id are left out; other columns are
     not read. Test hashes filter the texts' hashes in each task while they number ``MOST_FILTER`` at most; above that
     every hash goes to the join.
     """
-    known, seeds = item_seeds(items)
+    known, seeds = item_seeds(items, least=least_item)
     n_seeds = seeds.count()
     # Short items' masks are used for the lengths that there are.
-    lengths = known.select((F.length("words") / 4).cast("int").alias("n")).where(F.col("n").between(LEAST_ITEM, LEAST_WORDS - 1)).distinct().collect()
+    lengths = known.select((F.length("words") / 4).cast("int").alias("n")).where(F.col("n").between(max(1, least_item), LEAST_WORDS - 1)).distinct().collect()
     masks = [*MASKS, *(mask for n in sorted(r[0] for r in lengths) for mask in short_masks(n))]
     small = n_seeds <= MOST_FILTER
     spark = docs.sparkSession
@@ -146,39 +155,45 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             at, seed = map(np.concatenate, (at, seed))
             if not len(at):
                 continue
-            data = words.tobytes()
-            yield doc_id, xxhash.xxh3_64_intdigest(data) >> 1, data, seed.tolist(), at.tolist()
+            data, order = words.tobytes(), np.argsort(seed, kind="stable")
+            names, starts = np.unique(seed[order], return_index=True)
+            yield doc_id, xxhash.xxh3_64_intdigest(data) >> 1, data, names.tolist(), [x.tolist() for x in np.split(at[order], starts[1:])]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.list_(pa.int64())))])
     texts = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    held = cut(map_rows(texts, find, "doc_id long, content long, words binary, seeds array<long>, places array<long>", schema))
-    hits = held.select("doc_id", "content", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("doc_id", "content", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("word_place"))
+    held = cut(map_rows(texts, find, "doc_id long, content long, words binary, seeds array<long>, places array<array<long>>", schema))
+    hits = held.select("doc_id", "content", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("doc_id", "content", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("places"))
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
-    diagonals = met.select("doc_id", "content", "item_id", (F.col("word_place") - F.col("place")).alias("shift")).distinct()
+    # One row for a document and an item, with the places of the seeds that they share; repeated rows of a document give the same lists.
+    shared = met.groupBy("doc_id", "content", "item_id").agg(F.collect_set(F.struct("places", "item_places")).alias("shared"))
     item_words = known.withColumnRenamed("words", "item_words")
     whole = held.groupBy("doc_id", "content").agg(F.first("words").alias("words"))
-    pairs = diagonals.join(whole, ["doc_id", "content"]).join(F.broadcast(item_words) if small else item_words, "item_id")
+    pairs = shared.join(whole, ["doc_id", "content"]).join(F.broadcast(item_words) if small else item_words, "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, item_id, shift, words, item in zip(batch["doc_id"], batch["item_id"], batch["shift"], batch["words"], batch["item_words"], strict=True):
-                item = np.frombuffer(item, np.uint32)
-                _, length, equal = best_overlap(np.frombuffer(words, np.uint32), item, int(shift))
-                if length and length >= min(LEAST_WORDS, len(item)) and equal >= LEAST_SHARE * length:
-                    out.append((doc_id, item_id, length, equal))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "overlap_words", "equal_words"]).astype("int64")
-
-    found = pairs.select("doc_id", "item_id", "shift", "words", "item_words").mapInPandas(verify, "doc_id long, item_id long, overlap_words long, equal_words long")
+            for doc_id, item_id, places, words, item in zip(batch["doc_id"], batch["item_id"], batch["shared"], batch["words"], batch["item_words"], strict=True):
+                doc, item = np.frombuffer(words, np.uint32), np.frombuffer(item, np.uint32)
+                best, overlaps = (0, 0), 0
+                for shift in shifts([x["places"] for x in places], [x["item_places"] for x in places]).tolist():
+                    _, length, equal = best_overlap(doc, item, shift)
+                    if length and length >= min(LEAST_WORDS, len(item)) and equal >= LEAST_SHARE * length:
+                        best, overlaps = max(best, (length, equal)), overlaps + 1
+                if overlaps:
+                    out.append((doc_id, item_id, *best, overlaps))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "overlap_words", "equal_words", "overlaps"]).astype("int64")
+
+    found = pairs.select("doc_id", "item_id", "shared", "words", "item_words").mapInPandas(verify, "doc_id long, item_id long, overlap_words long, equal_words long, overlaps long")
     best = F.max(F.struct("overlap_words", "equal_words"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("overlaps")).select("doc_id", "item_id", "best.overlap_words", "best.equal_words", "overlaps")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.sum("overlaps").alias("overlaps")).select("doc_id", "item_id", "best.overlap_words", "best.equal_words", "overlaps")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_item: int = LEAST_ITEM) -> DataFrame:
     """``docs`` without those that overlap a test item; all columns stay, whatever their names.
 
     Null, empty and blank texts and rows without an id stay. All rows of an id go if one of them overlaps an item.
     """
     gone_id = fresh_name(docs)
-    gone = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = contaminated(docs, items, id_col, text_col, least_item).select(F.col("doc_id").alias(gone_id)).distinct()
     return docs.join(gone, docs[id_col] == F.col(gone_id), "left_anti")

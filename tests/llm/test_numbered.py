@@ -1,10 +1,14 @@
 """The numbered queries against brute force, round trips and held-out labels."""
 
+import base64
 import collections
+import contextlib
+import gzip
 import hashlib
 import io
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -334,6 +338,63 @@ def test_decontamination_finds_short_and_much_changed_items(spark, monkeypatch,
     assert len(want) == 13 * 12 and got == want
 
 
+def test_one_row_for_a_document_that_meets_an_item_on_every_diagonal(spark):
+    items = spark.createDataFrame([(1, "same " * 30), (2, "alone"), (3, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 8000), (1, "same " * 8000), (2, "not alone here"), (3, "those two words there"), (4, "same")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(docs, items).collect()}
+    # Each end keeps the diagonals that still hold 13 of the item's words.
+    assert got == {(1, 1): (30, 30, 8000 - 30 + 1 + 2 * (30 - 13))}
+    assert set(map(lambda r: (r["doc_id"], r["item_id"]), decontaminate.contaminated(docs, items, least_item=1).collect())) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_long_base64_and_its_breaks_take_time_in_their_length():
+    began = time.time()
+    noise = base64.b64encode(np.random.default_rng(1).bytes(750_000)).decode()
+    assert secrets.secret_spans(noise)[0] == []
+    assert secrets.secret_spans("YWI/" * 50_000)[0] == []
+    assert secrets.secret_spans("H4sI/" * 20_000)[0] == []
+    assert time.time() - began < 20
+    inside = base64.b64encode(b"say " * 100_000 + b"password=abcdefghijkl1").decode()
+    base, spans, layers, unread = secrets.secret_spans(f"<img {inside}>")
+    assert [(a, k, b) for a, k, b in spans if (a, k, b) not in base] == [(5, 0, 5 + len(inside))] and unread == 0
+
+
+def peeled(text, depth=4):
+    """Every text that decoding whole runs of one encoding, or one base64 word, can give within some steps."""
+    seen, front = {text}, {text}
+    for _ in range(depth):
+        found = set()
+        for t in front:
+            found.add(re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(errors="replace"), t))
+            found.add(re.sub(r"(?:\\u[0-9A-Fa-f]{4})+", lambda m: m[0].encode().decode("unicode_escape"), t))
+            for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", t):
+                with contextlib.suppress(ValueError):
+                    data = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4), validate=True)
+                    if data[:2] == b"\x1f\x8b":
+                        data = gzip.decompress(data)
+                    if all(32 <= b < 127 for b in data):
+                        found.add(data.decode())
+        front = found - seen
+        seen |= found
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_secrets_under_random_layers_equal_plain_peeling(seed):
+    """Random nests of encodings: a secret is found if and only if peeling in every way shows it, and its span holds the outermost code of it."""
+    rng = np.random.default_rng(seed)
+    wraps = [lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t)]
+    coded = "password=abcdefghijkl" + str(seed) if rng.random() < 0.7 else "nothing to be found in here"
+    hidden = coded
+    for k in rng.integers(0, 4, int(rng.integers(1, 4))).tolist():
+        coded = wraps[k](coded)
+    text = f"before ({coded}) after"
+    base, spans, _, unread = secrets.secret_spans(text)
+    shown = any("password=" in t for t in peeled(text))
+    assert shown == ("password=" in hidden) == any(k == 0 for _, k, _ in spans) and not unread
+    assert all(a >= 8 and b <= 8 + len(coded) for a, k, b in spans if k == 0)
+
+
 def test_best_fit_respects_every_capacity():
     lengths = np.sort(np.random.default_rng(2).integers(1, 60, 300))[::-1]
     capacity = packing.Capacity(100, 4, 4000)
