@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import severity_name, severity_rank
+from ..session import cut
 from . import intervals
 
 
@@ -36,25 +38,53 @@ def fold(fused: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     return out.select(*keys, "session", "ts_start", "ts_end", "signal_count", "peak_score", severity_name(rank).alias("severity"), "detectors")
 
 
+def _free_of_equals(level: DataFrame) -> DataFrame:
+    """(source, id) of the incidents that no free one of the same severity hides: one that began strictly earlier and reaches them.
+
+    Each task streams its sources' incidents by start and holds how far the free ones reach; an open incident is free.
+    """
+    own = level.select("source", "id", "lo", "hi", "open").repartition("source").sortWithinPartitions("source", "lo", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, start, reach, later = None, -np.inf, -np.inf, -np.inf
+        for batch in batches:
+            kept = []
+            for k, (s, lo, hi, is_open) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "lo", "hi", "open")), strict=True)):
+                if s != source:
+                    source, start, reach, later = s, lo, -np.inf, -np.inf
+                if lo > start:
+                    start, reach = lo, max(reach, later)
+                if is_open or reach < lo:
+                    kept.append(k)
+                    later = max(later, hi)
+            yield batch.select(["source", "id"]).take(pa.array(kept, pa.int64()))
+
+    return own.mapInArrow(run, own.select("source", "id").schema)
+
+
 def suppress(incidents: DataFrame) -> DataFrame:
-    """Adds ``suppressed_by``: an overlapping incident that is itself not suppressed and more severe, or as severe and earlier. Chains are solved from the top within each island of overlapping incidents."""
-    spans = incidents.select("source", F.col("ts_start").alias("lo"), F.coalesce("ts_end", F.lit(float("inf"))).alias("hi"), "id", severity_rank(F.col("severity")).alias("rank"))
-    order = Window.partitionBy("source").orderBy("lo", "id")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("island", F.sum("_new").over(order)).drop("_new")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["rank", "lo", "id"], ascending=[False, True, True])
-        free, by = [], []
-        for r in rows.itertuples():
-            hit = next((f.id for f in free if f.lo <= r.hi and f.hi >= r.lo), None)
-            by.append(hit)
-            if hit is None:
-                free.append(r)
-        return pd.DataFrame({"source": rows["source"], "id": rows["id"], "suppressed_by": pd.array(by, "Int64")})
-
-    found = marked.groupBy("source", "island").applyInPandas(run, "source string, id long, suppressed_by long")
-    return incidents.drop("suppressed_by").join(found, ["source", "id"], "left")
+    """Adds ``suppressed_by``: of the incidents that overlap a closed one (ends included), are not suppressed themselves and are more
+    severe, or as severe and began earlier, the one that began first (the smaller id on a tie). An open incident is never
+    suppressed, and reaches on without an end.
+
+    Severities are solved from the top: what a free, more severe incident overlaps is hidden; the rest is swept by start.
+    """
+    first = incidents.select("source", "id", F.col("ts_start").alias("lo"), F.col("ts_end").alias("hi"), severity_rank(F.col("severity")).alias("rank"))
+    # An open incident reaches to the last time that its source has, which is as good as no end.
+    last = first.groupBy("source").agg(F.max(F.greatest("lo", "hi")).alias("_last"))
+    spans = cut(first.join(last, "source").select("source", "id", "lo", F.coalesce("hi", "_last").alias("hi"), "rank", F.col("hi").isNull().alias("open")))
+    free = None
+    for rank in (2, 1, 0):
+        level = spans.where(F.col("rank") == rank)
+        if free is not None:
+            level = level.where("open").unionByName(intervals.touches_any(level.where("not open"), free, how="left_anti"))
+        mine = level.join(_free_of_equals(level), ["source", "id"], "left_semi")
+        free = cut(mine if free is None else free.unionByName(mine))
+    hidden = spans.where("not open").join(free.select("source", "id"), ["source", "id"], "left_anti").withColumnsRenamed({"id": "own_id", "rank": "own_rank"})
+    met = intervals.overlap_join(hidden, free.select("source", "lo", "hi", "id", "rank"), ends=True)
+    hides = (F.col("rank") > F.col("own_rank")) | ((F.col("rank") == F.col("own_rank")) & (F.col("lo2") < F.col("lo")))
+    by = met.where(hides).groupBy("source", F.col("own_id").alias("id")).agg(F.min_by("id", F.struct("lo2", "id")).alias("suppressed_by"))
+    return incidents.drop("suppressed_by").join(by, ["source", "id"], "left")
 
 
 def budget(incidents: DataFrame, per_day: int = 8, ts: str = "ts_start", by: Sequence[str] = ("source",)) -> DataFrame:

@@ -41,23 +41,31 @@ def alarms(detections: DataFrame, merge: float = 60.0, keys: Sequence[str] = ("s
     return own.groupBy(*keys, F.col("island").alias("alarm")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("score").alias("peak"), F.count("*").alias("n"))
 
 
-def scores(alarms_: DataFrame, episodes_: DataFrame, normal: DataFrame | None = None, grace: float = 90.0, unit: float = 60.0, keys: Sequence[str] = ("source", "detector")) -> DataFrame:
-    """Per (keys): tp, fn, fp, precision, recall, f1, latency (median) and, with normal seconds (source, seconds), fp_per_hour.
+def scores(alarms_: DataFrame, episodes_: DataFrame, normal: DataFrame | None = None, grace: float = 90.0, unit: float = 60.0, detectors: Sequence[str] | None = None) -> DataFrame:
+    """Per source and detector: tp, fn, fp, precision, recall, f1 (0 where nothing counts), latency (median) and, with normal seconds (source, seconds), fp_per_hour.
 
-    An episode is found if an alarm overlaps it or the grace after it; what an alarm leaves outside counts max(1, floor(seconds / unit)) false ones.
+    Every source with an alarm or an episode has a row for each of ``detectors`` (all that any source has alarms of, if not
+    given), so that misses without an alarm and false alarms without an episode count. An episode is found if an alarm overlaps
+    it or the grace after it; what an alarm leaves outside counts max(1, floor(seconds / unit)) false ones.
     """
-    detectors = alarms_.select(*keys).distinct()
-    due = episodes_.select("source", F.col("id").alias("episode"), F.col("lo").alias("start"), (F.col("hi") + grace).alias("end")).join(detectors, "source")
+    keys = ["source", "detector"]
+    # A short list of names: the detectors themselves.
+    names = detectors if detectors is not None else sorted(r[0] for r in alarms_.select("detector").distinct().collect())
+    every = F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("detector")
+    grid = alarms_.select("source").union(episodes_.select("source")).distinct().select("source", every)
+    due = episodes_.select("source", F.col("id").alias("episode"), F.col("lo").alias("start"), (F.col("hi") + grace).alias("end"), every)
     met = intervals.overlap_join(due.withColumnsRenamed({"start": "lo", "end": "hi"}), alarms_.select(*keys, F.col("first").alias("lo"), F.col("last").alias("hi")), keys, ends=True)
     per = due.join(met.groupBy(*keys, "episode").agg(F.min("lo2").alias("first")), [*keys, "episode"], "left")
-    found = per.groupBy(*keys).agg(F.count("first").alias("tp"), (F.count("*") - F.count("first")).alias("fn"), F.expr("percentile(greatest(first, start) - start, 0.5)").alias("latency"))
-    blocks = episodes_.select("source", "lo", (F.col("hi") + grace).alias("hi"))
+    found = per.groupBy(*keys).agg(F.count("first").alias("tp"), (F.count("*") - F.count("first")).alias("fn"), F.expr("percentile(CASE WHEN first IS NOT NULL THEN greatest(first, start) - start END, 0.5)").alias("latency"))
+    blocks = episodes_.select("source", "lo", (F.col("hi") + grace).alias("hi"), every)
     segments = alarms_.select(*keys, F.col("alarm").alias("id"), F.col("first").alias("lo"), (F.col("last") + 1e-3).alias("hi"))
-    left = intervals.subtract(segments, blocks.join(detectors, "source").select(*keys, "lo", "hi"), keys)
+    left = intervals.subtract(segments, blocks, keys)
     falses = left.groupBy(*keys, "id").agg(F.sum(F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo")) / unit))).alias("n")).groupBy(*keys).agg(F.sum("n").alias("fp"))
-    out = found.join(falses, list(keys), "left").withColumn("fp", F.coalesce("fp", F.lit(0)).cast("long"))
-    out = out.withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
-    out = out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("tp", "fn", "fp")}
+    out = grid.join(found, keys, "left").join(falses, keys, "left").withColumns(counts)
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = out.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
+    out = out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     if normal is None:
         return out
     return out.join(normal.select("source", (F.col("seconds") / 3600).alias("hours")), "source", "left").withColumn("fp_per_hour", F.when(F.col("hours") >= 0.5, F.col("fp") / F.col("hours")))

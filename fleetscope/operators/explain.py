@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import attributable, group_key
-from .baseline import median_by
-from .joins import in_spans, nearest
+from .baseline import median_by, sigma_of
+from .joins import in_spans
 
 # Kinds in the order that breaks ties, and the kind that a trigger metric speaks for.
 KINDS = ("CPU", "IO", "MEMORY", "GPU", "THERMAL", "CONTENTION")
@@ -34,17 +34,41 @@ def recovery(samples: DataFrame, calm_run: int = 5, k: float = 2.0, keys: tuple[
     return runs.where(F.col("_n") == calm_run).groupBy(*keys).agg(F.min("ts").alias("recovery"))
 
 
-def refined_bounds(incidents: DataFrame, samples: DataFrame, before: float = 300.0, after: float = 600.0) -> DataFrame:
-    """(source, id, start, end): over all metrics (source, metric, ts, value, median, sigma) the widest span from onset to recovery within the margins; the incident's own where no metric tells."""
-    spans = incidents.select("source", "id", "ts_start", F.coalesce("ts_end", "ts_start").alias("ts_end"), (F.col("ts_start") - before).alias("lo"), (F.coalesce("ts_end", "ts_start") + after).alias("hi"))
-    met = in_spans(samples.where("sigma > 0"), spans)
+#: Metrics that can tell where an incident began and ended, in the order that breaks ties.
+BOUND_METRICS = ("cpu_total", "mem_percent", "disk_resp_ms", "disk_queue", "ctx_switches_ps")
+
+
+def prior_stats(spans: DataFrame, values: DataFrame, look_back: float, least: int) -> DataFrame:
+    """(source, id, metric, median, sigma) of the values (source, metric, ts, value) in the ``look_back`` seconds before each span's ``ts_start``; none with fewer than ``least``."""
+    before = spans.select("source", "id", (F.col("ts_start") - look_back).alias("lo"), F.col("ts_start").alias("hi"))
+    prior = in_spans(values.where(F.col("value").isNotNull()), before).where("ts < hi")
     keys = ("source", "id", "metric")
-    starts = onset(met.withColumn("signal_ts", F.col("ts_start")), keys=keys)
-    ends = recovery(met.withColumn("signal_ts", F.col("ts_end")), keys=keys)
-    both = starts.join(ends, list(keys), "left").join(spans.select("source", "id", "ts_start", "ts_end"), ["source", "id"])
-    width = F.struct((F.coalesce("recovery", "ts_end") - F.col("onset")).alias("w"), F.col("onset").alias("s"), F.coalesce("recovery", "ts_end").alias("e"))
-    widest = both.groupBy("source", "id").agg(F.max(width).alias("_w"))
-    return spans.join(widest, ["source", "id"], "left").select("source", "id", F.least("ts_start", F.coalesce("_w.s", "ts_start")).alias("start"), F.greatest("ts_end", F.coalesce("_w.e", "ts_end")).alias("end"))
+    medians = median_by(prior, keys)
+    spread = median_by(prior.join(medians, list(keys)).withColumn("value", F.abs(F.col("value") - F.col("median"))), keys, name="mad")
+    enough = prior.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return enough.join(medians, list(keys)).join(spread, list(keys)).select(*keys, "median", sigma_of(F.col("median"), F.col("mad")).alias("sigma"))
+
+
+def refined_bounds(incidents: DataFrame, metrics: DataFrame, columns: Sequence[str] = BOUND_METRICS, before: float = 300.0, after: float = 600.0, look_back: float = 1800.0, least: int = 60, calm_run: int = 15, least_hot: int = 3, calm_after: int = 5) -> DataFrame:
+    """(source, id, start, end): over all metrics the widest span from onset to recovery within the margins; the incident's own where none is wider.
+
+    What counts as usual is fixed by the time before the incident, so that a long one does not raise its own limit. A metric
+    that tells only where the incident began, or only where it ended, keeps the incident's other bound.
+    """
+    end = F.coalesce("ts_end", "ts_start")
+    spans = incidents.select("source", "id", "ts_start", end.alias("ts_end"), (F.col("ts_start") - before).alias("lo"), (end + after).alias("hi"))
+    own = [c for c in columns if c in metrics.columns]
+    values = metrics.select("source", "ts", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in own))).alias("v")).select("source", "ts", "v.metric", "v.value")
+    keys = ["source", "id", "metric"]
+    met = in_spans(values, spans).join(prior_stats(spans, values, look_back, least).where("sigma > 0"), keys)
+    starts = onset(met.where("ts <= ts_start").withColumn("signal_ts", F.col("ts_start")), calm_run, least_hot, keys=tuple(keys))
+    ends = recovery(met.where("ts >= ts_end").withColumn("signal_ts", F.col("ts_end")), calm_after, keys=tuple(keys))
+    both = starts.join(ends, keys, "full_outer").join(spans.select("source", "id", "ts_start", "ts_end"), ["source", "id"])
+    lo, hi = F.coalesce("onset", "ts_start"), F.coalesce("recovery", "ts_end")
+    order = F.array_position(F.array(*map(F.lit, own)), F.col("metric"))
+    widest = both.groupBy("source", "id").agg(F.max(F.struct((hi - lo).alias("w"), (-order).alias("o"), lo.alias("s"), hi.alias("e"))).alias("_w"))
+    wider = F.coalesce(F.col("_w.w") > F.col("ts_end") - F.col("ts_start"), F.lit(False))
+    return spans.join(widest, ["source", "id"], "left").select("source", "id", F.when(wider, F.col("_w.s")).otherwise(F.col("ts_start")).alias("start"), F.when(wider, F.col("_w.e")).otherwise(F.col("ts_end")).alias("end"))
 
 
 def peak_and_prior(incidents: DataFrame, metrics: DataFrame, columns: list[str], peak_by: str = "cpu_total", look_back: float = 1800.0) -> DataFrame:
@@ -62,12 +86,15 @@ def peak_and_prior(incidents: DataFrame, metrics: DataFrame, columns: list[str],
     return out
 
 
-def with_gpu(peaks: DataFrame, gpu: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """``peaks`` with gpu_util_percent, gpu_temp_c and throttle_reasons of the hottest GPU's sample nearest to each peak."""
-    at = F.struct(F.col("temp_c").alias("gpu_temp_c"), F.col("util_percent").alias("gpu_util_percent"), F.col("throttle_reasons").cast("string").alias("throttle_reasons"))
-    hottest = gpu.groupBy("source", "ts").agg(F.max(at).alias("_g"))
-    met = nearest(peaks.withColumnRenamed("peak_ts", "ts"), hottest, tolerance)
-    return met.select(*(F.col("ts").alias(c) if c == "peak_ts" else F.col(c) for c in peaks.columns), "_g.gpu_util_percent", "_g.gpu_temp_c", "_g.throttle_reasons")
+def with_gpu(peaks: DataFrame, incidents: DataFrame, gpu: DataFrame) -> DataFrame:
+    """``peaks`` with gpu_util_percent, gpu_temp_c and throttle_reasons of device 0's busiest sample inside each incident, the earliest on a tie.
+
+    Incidents without a peak row are kept if the device has a sample in them.
+    """
+    spans = incidents.select("source", "id", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
+    met = in_spans(gpu.where("gpu_index = 0 and util_percent is not null").select("source", "ts", "util_percent", "temp_c", F.col("throttle_reasons").cast("string").alias("throttle_reasons")), spans)
+    busiest = F.max_by(F.struct(F.col("util_percent").alias("gpu_util_percent"), F.col("temp_c").alias("gpu_temp_c"), "throttle_reasons"), F.struct("util_percent", -F.col("ts"))).alias("_g")
+    return peaks.join(met.groupBy("source", "id").agg(busiest), ["source", "id"], "full_outer").select(*peaks.columns, "_g.*")
 
 
 def _points(*terms: tuple[Column, float]) -> Column:
@@ -160,20 +187,22 @@ def lead_time(contributors: DataFrame, incidents: DataFrame, processes: DataFram
     return out.select("source", "id", F.col("contributor").alias("name"), F.when(F.col("reached") > F.col("first"), F.col("start") - F.col("reached")).alias("lead_s"))
 
 
-def analyze(incidents: DataFrame, metrics: DataFrame, baselines: DataFrame, processes: DataFrame, gpu: DataFrame | None = None) -> DataFrame:
+def analyze(incidents: DataFrame, metrics: DataFrame, processes: DataFrame, gpu: DataFrame | None = None) -> DataFrame:
     """Incidents (with ``trigger_metric``) with refined bounds, bottleneck, and contributors by the bottleneck's resource.
 
-    IO is told by bytes written, MEMORY by what programs hold more (a stock), every other kind by CPU, for which
+    IO is told by bytes read and written, MEMORY by what programs hold more (a stock), every other kind by CPU, for which
     ``attributable`` says whether it names a cause.
     """
-    bounds = refined_bounds(incidents, baselines)
+    bounds = refined_bounds(incidents, metrics)
     columns = [c for c in ("cpu_total", "disk_resp_ms", "disk_queue", "mem_percent", "swap_used_mb", "ctx_switches_ps", "cpu_perf_percent") if c in metrics.columns]
     peaks = peak_and_prior(incidents, metrics, columns)
-    peaks = peaks if gpu is None else with_gpu(peaks, gpu)
+    peaks = peaks if gpu is None else with_gpu(peaks, incidents, gpu)
+    traffic = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("io_read_bps", "io_write_bps") if c in processes.columns]
+    processes = processes.withColumn("io_bps", sum(traffic[1:], traffic[0])) if traffic else processes
     kinds = choose_kind(classify(peaks.join(incidents.select("source", "id", "trigger_metric"), ["source", "id"])))
     of_kind = bounds.join(kinds.select("source", "id", "bottleneck"), ["source", "id"], "left").withColumn("bottleneck", F.coalesce("bottleneck", F.lit("NONE")))
     parts = []
-    for condition, column, find in ((F.col("bottleneck") == "IO", "io_write_bps", flow_contributors), (F.col("bottleneck") == "MEMORY", "rss_mb", stock_contributors), (~F.col("bottleneck").isin("IO", "MEMORY"), "cpu_percent", flow_contributors)):
+    for condition, column, find in ((F.col("bottleneck") == "IO", "io_bps", flow_contributors), (F.col("bottleneck") == "MEMORY", "rss_mb", stock_contributors), (~F.col("bottleneck").isin("IO", "MEMORY"), "cpu_percent", flow_contributors)):
         own = of_kind.where(condition).drop("bottleneck")
         found = find(own, processes, column)
         parts.append(found.join(lead_time(found, own, processes, column), ["source", "id", "name"], "left").select("source", "id", "rank", "name", "share", "delta", "after", "pids", "lead_s", "is_new"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -64,20 +63,35 @@ def pending_lookups(names: DataFrame, info: DataFrame, most_attempts: int) -> Da
     return left.where(F.col("i.description").isNull() & (F.coalesce("i.attempts", F.lit(0)) < most_attempts)).select("source", "name")
 
 
+def process_parents(starts: DataFrame, look_back: float | None = None) -> DataFrame:
+    """Start events (source, pid, ppid, ts) with ``parent_ts``: when the instance of ``ppid`` that ran then had started; null if none is known.
+
+    A pid is used again, so an instance is a pid and its start. With ``look_back`` a start so much earlier is no parent.
+    """
+    marks = starts.select("source", F.col("pid").alias("ppid"), "ts", F.col("ts").alias("parent_ts"))
+    own = starts.where("ppid is not null and ppid <> pid")
+    out = backward(own, marks, "parent_ts", ("source", "ppid"))
+    near = F.col("parent_ts") if look_back is None else F.when(F.col("ts") - F.col("parent_ts") <= look_back, F.col("parent_ts"))
+    alone = starts.where("ppid is null or ppid = pid").withColumn("parent_ts", F.lit(None).cast("double"))
+    return out.withColumn("parent_ts", near).select(*starts.columns, "parent_ts").unionByName(alone)
+
+
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(source, root, pid, depth) of all processes below the roots (source, pid), by parent edges (source, ppid, pid).
+    """(source, root, pid, depth) of all processes below the roots (source, pid), by parent edges (source, ppid, pid); depth is the shortest.
 
-    One join a level, until a level brings nothing new; a process that was reached stays at its first depth, so cycles end.
+    By doubling: who is a root's descendant within 2^k steps, and everyone's 2^k-th ancestor, give the same for 2^(k+1); so a
+    chain of n takes log n joins. Cycles end once steps outnumber the processes.
     """
-    links = edges.select("source", F.col("ppid").alias("_parent"), F.col("pid").alias("_child")).where("_parent <> _child").distinct()
+    up = cut(edges.select("source", F.col("pid").alias("node"), F.col("ppid").alias("above")).where("node <> above and above is not null").distinct())
     reached = cut(roots.select("source", F.col("pid").alias("root"), "pid", F.lit(0).alias("depth")).distinct())
-    front = reached
-    for depth in itertools.count(1):
-        found = front.join(links, [front["source"] == links["source"], F.col("pid") == F.col("_parent")]).select(front["source"], "root", F.col("_child").alias("pid")).distinct()
-        front = cut(found.join(reached, ["source", "root", "pid"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        reached = cut(reached.unionByName(front))
+    n, steps = up.count(), 1
+    while steps <= max(n, 1) and not up.isEmpty():
+        far = reached.withColumnRenamed("pid", "above").join(up, ["source", "above"])
+        found = far.select("source", "root", F.col("node").alias("pid"), (F.col("depth") + steps).alias("depth"))
+        reached = cut(reached.unionByName(found).groupBy("source", "root", "pid").agg(F.min("depth").alias("depth")))
+        via = up.select("source", F.col("node").alias("above"), F.col("above").alias("top"))
+        up = cut(up.join(via, ["source", "above"]).select("source", "node", F.col("top").alias("above")).where("node <> above").distinct())
+        steps *= 2
     return reached
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import band, bucket_of, epoch, severity_name
 from ..operators import baseline, decide, derive, evaluate, explain, history, intervals, joins, leak, rollup, rules, usage
-from . import boards, dashboards, detection, detectors
+from . import boards, dashboards, detection, detectors, incidents
 from .base import DAY, DAYS, HOUR, START, H, S, as_long, host_of, islands_sql, rounded, samples
 
 def rollup_hourly(spark, sf_dir):
@@ -113,12 +113,6 @@ def latest_orders(spark, sf_dir):
     return joins.latest(o, ["o_custkey"], "at").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
 
 
-def descendants(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("all").alias("source"), F.floor(F.col("p_partkey") / 7).cast("long").alias("ppid"), F.col("p_partkey").cast("long").alias("pid"))
-    roots = p.join(p.select("source", F.col("pid").alias("ppid")), ["source", "ppid"], "left_anti").select("source", "pid")
-    return joins.descendants(p, roots).select("root", "pid", F.col("depth").cast("long").alias("depth"))
-
-
 def sessions(spark, sf_dir):
     e = samples(spark, sf_dir).select(F.col("pid").alias("source"), "ts", F.when(F.col("source") == "signup", "startup").when(F.col("source") == "purchase", "shutdown").alias("event")).where("event is not null")
     return rounded(usage.sessions(e, START + 30 * DAY), "lo", "hi")
@@ -179,47 +173,23 @@ def drift(spark, sf_dir):
     return rounded(leak.drift(levels, -1e9), "recent_level", "usual_level", "rise", "score")
 
 
-def _signals(spark, sf_dir) -> DataFrame:
-    s = samples(spark, sf_dir).where("value > 75")
-    return s.select(host_of(), "ts", F.col("source").alias("detector"), F.least(F.col("value") / 200, F.lit(1.0)).alias("score"), severity_name(band(F.col("value"), 120, 200)).alias("severity"), "id")
-
-
 def fusion(spark, sf_dir):
-    out = decide.fold(decide.fuse(_signals(spark, sf_dir), 3 * HOUR))
+    out = decide.fold(decide.fuse(incidents.signals(spark, sf_dir), 3 * HOUR))
     return rounded(rounded(out.select("source", "ts_start", "ts_end", "signal_count", "peak_score"), "ts_start", "ts_end"), "peak_score", places=6)
 
 
 def incident_severity(spark, sf_dir):
     """Each incident's severity, which rises with every signal once two detectors have spoken."""
-    out = decide.fold(decide.fuse(_signals(spark, sf_dir), 3 * HOUR))
+    out = decide.fold(decide.fuse(incidents.signals(spark, sf_dir), 3 * HOUR))
     return rounded(out.select("source", F.col("session").cast("long").alias("session"), "severity", F.concat_ws(",", "detectors").alias("detectors"), "ts_start"), "ts_start")
 
 
-def _incidents(spark, sf_dir) -> DataFrame:
-    s = samples(spark, sf_dir).where("value > 75")
-    return s.select(host_of(), "id", F.col("ts").alias("ts_start"), (F.col("ts") + F.col("value") * 60).alias("ts_end"), severity_name(band(F.col("value"), 120, 200)).alias("severity"))
-
-
-def suppression(spark, sf_dir):
-    """Chains of incidents that hide each other on one machine."""
-    return decide.suppress(_incidents(spark, sf_dir)).select("source", "id", "severity", "suppressed_by")
-
-
 def notification_budget(spark, sf_dir):
-    return decide.budget(_incidents(spark, sf_dir), 5).select("id", "notified", "notify_skipped")
-
-
-def _episodes(spark, sf_dir) -> DataFrame:
-    return samples(spark, sf_dir).where("source = 'error' and value > 60").select(host_of(), F.col("ts").alias("lo"), (F.col("ts") + 1800).alias("hi"), "id")
+    return decide.budget(incidents.incidents(spark, sf_dir), 5).select("id", "notified", "notify_skipped")
 
 
 def alarm_clusters(spark, sf_dir):
-    return rounded(rounded(evaluate.alarms(_signals(spark, sf_dir), HOUR).drop("alarm"), "first", "last"), "peak", places=6)
-
-
-def detector_scores(spark, sf_dir):
-    out = evaluate.scores(evaluate.alarms(_signals(spark, sf_dir), HOUR), _episodes(spark, sf_dir))
-    return rounded(out.select("source", "detector", "tp", "fn", "fp", "precision", "recall", "f1"), "precision", "recall", "f1", places=6)
+    return rounded(rounded(evaluate.alarms(incidents.signals(spark, sf_dir), HOUR).drop("alarm"), "first", "last"), "peak", places=6)
 
 
 def attribution(spark, sf_dir):
@@ -286,8 +256,8 @@ def leak_verdicts(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rollup_hourly, dominant_and_top, two_stage_rollup, distinct_activity, counter_rate, snapshot_diff, long_gaps, interval_union, interval_shared, interval_gaps, span_overlaps, excluded_buckets, near_marks, touched_hours, nearest_asof, backward_asof,
-    latest_orders, descendants, sessions, daily_usage, foreground_gap, fingerprints, day_index, two_tier_union, rolling_baseline, sustained_rule, cooled_rule, drift, fusion, incident_severity, suppression, notification_budget, alarm_clusters,
-    detector_scores, attribution, contributors, compare_previous, threshold_sweep, label_rates, top_programs, growth_rates, gap_markers, table_inventory, leak_verdicts,
+    latest_orders, sessions, daily_usage, foreground_gap, fingerprints, day_index, two_tier_union, rolling_baseline, sustained_rule, cooled_rule, drift, fusion, incident_severity, notification_budget, alarm_clusters,
+    attribution, contributors, compare_previous, threshold_sweep, label_rates, top_programs, growth_rates, gap_markers, table_inventory, leak_verdicts,
 )}
 
 
@@ -318,7 +288,6 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_asof": f"WITH {S}, j AS (SELECT a.id, b.id AS click_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.ts - b.ts) NULLS LAST, b.ts DESC) AS n FROM s a LEFT JOIN s b ON b.source = 'click' AND b.pid = a.pid AND abs(a.ts - b.ts) <= 43200 WHERE a.source = 'purchase') SELECT id, click_id FROM j WHERE n = 1",
     "backward_asof": f"WITH {S}, a AS (SELECT * FROM s WHERE source = 'purchase'), b AS (SELECT * FROM s WHERE source = 'click') SELECT a.id, b.id AS click_id FROM a ASOF LEFT JOIN b ON a.pid = b.pid AND a.ts >= b.ts",
     "latest_orders": "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
-    "descendants": "WITH RECURSIVE e AS (SELECT CAST(floor(p_partkey / 7) AS BIGINT) AS ppid, p_partkey AS pid FROM part), r AS (SELECT pid AS root, pid, CAST(0 AS BIGINT) AS depth FROM e WHERE ppid NOT IN (SELECT pid FROM e) UNION ALL SELECT r.root, e.pid, r.depth + 1 FROM r JOIN e ON e.ppid = r.pid AND e.pid <> e.ppid) SELECT root, pid, depth FROM r",
     "sessions": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {islands_sql('x', 'm')} SELECT source, round(lo, 3) AS lo, round(hi, 3) AS hi FROM m",
     "daily_usage": f"WITH {S}, e AS (SELECT pid AS source, ts, source AS ev, coalesce(lead(ts) OVER (PARTITION BY pid ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('signup', 'purchase')), x AS (SELECT source, ts AS lo, nx AS hi FROM e WHERE ev = 'signup' AND nx > ts), {islands_sql('x', 'm')}, st AS (SELECT pid AS source, ts, source AS name, coalesce(lead(ts) OVER (PARTITION BY pid, source ORDER BY ts), {START + 30 * DAY}) AS nx FROM s WHERE source IN ('click', 'view')), sp AS (SELECT st.source, st.name, st.ts AS lo, least(st.nx, coalesce(m.hi, st.nx), {START + 30 * DAY}) AS hi FROM st ASOF LEFT JOIN m ON m.source = st.source AND st.ts >= m.lo), us AS (SELECT source || '/' || name AS source, lo, hi FROM sp WHERE hi > lo), {islands_sql('us', 'un')}, sh AS (SELECT m.source, split_part(un.source, '/', 2) AS name, greatest(un.lo, m.lo) AS lo, least(un.hi, m.hi) AS hi FROM un JOIN m ON m.source = CAST(split_part(un.source, '/', 1) AS BIGINT) AND un.lo < m.hi AND un.hi > m.lo), dd AS (SELECT unnest(range({int(START // DAY)}, {int(START // DAY) + 31})) AS d), u AS (SELECT source, d, name, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS seconds FROM sh JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2, 3), o AS (SELECT source, d, sum(least(hi, (d + 1) * 86400) - greatest(lo, d * 86400)) AS observed FROM m JOIN dd ON lo < (d + 1) * 86400 AND hi > d * 86400 GROUP BY 1, 2), c AS (SELECT st.source, CAST(floor(ts / 86400) AS BIGINT) AS d, name, count(*) AS launches FROM st WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source = st.source AND abs(m.lo - st.ts) <= 60) GROUP BY 1, 2, 3) SELECT u.source, CAST(DATE '1970-01-01' + CAST(u.d AS INTEGER) AS DATE) AS day, u.name, round(seconds, 1) AS seconds, round(observed, 1) AS observed_seconds, coalesce(launches, 0) AS launches FROM u JOIN o ON o.source = u.source AND o.d = u.d LEFT JOIN c ON c.source = u.source AND c.d = u.d AND c.name = u.name",
     "foreground_gap": f"WITH {S}, b AS (SELECT {DAYS} AS day, source AS name, ts, lead(ts) OVER w - ts AS a, ts - lag(ts) OVER w AS p FROM s WINDOW w AS (PARTITION BY floor(ts / 86400) ORDER BY ts, source)) SELECT day, name, round(sum(least(coalesce(a, p), 600)), 1) AS seconds FROM b WHERE coalesce(a, p) IS NOT NULL GROUP BY 1, 2",
@@ -330,9 +299,7 @@ ORACLE_SQL: dict[str, str] = {
     "drift": f"WITH {S}, l AS (SELECT source, {DAYS} AS day, median(value) AS level FROM s WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS n FROM l), d AS (SELECT source, count(*) AS days, median(CASE WHEN n <= 3 THEN level END) AS a, median(CASE WHEN n > 3 AND n <= 17 THEN level END) AS b FROM r GROUP BY 1 HAVING count(*) >= 7) SELECT source, round(a, 3) AS recent_level, round(b, 3) AS usual_level, round(a - b, 3) AS rise, round(least(1.0, (a - b) / (3 * -1e9)), 3) AS score FROM d",
     "fusion": f"WITH {S}, {SESSION} SELECT source, round(min(ts), 3) AS ts_start, round(max(ts), 3) AS ts_end, count(*) AS signal_count, round(max(score), 6) AS peak_score FROM k GROUP BY source, session",
     "incident_severity": f"WITH RECURSIVE {S}, {SESSION}, o AS (SELECT *, row_number() OVER (PARTITION BY source, session ORDER BY ts, detector, score, rank) AS n, count(*) OVER (PARTITION BY source, session) AS m FROM k), f AS (SELECT source, session, n, m, rank, [detector] AS names, ts AS ts_start FROM o WHERE n = 1 UNION ALL SELECT o.source, o.session, o.n, o.m, CASE WHEN len(list_distinct(list_append(f.names, o.detector))) >= 2 THEN least(greatest(f.rank, o.rank) + 1, 2) ELSE greatest(f.rank, o.rank) END, list_distinct(list_append(f.names, o.detector)), f.ts_start FROM f JOIN o ON o.source = f.source AND o.session = f.session AND o.n = f.n + 1) SELECT source, session, {SEVERITY}[rank + 1] AS severity, array_to_string(list_sort(names), ',') AS detectors, round(ts_start, 3) AS ts_start FROM f WHERE n = m",
-    "suppression": f"WITH RECURSIVE {S}, i AS (SELECT {H} AS source, id, ts AS lo, ts + value * 60 AS hi, CASE WHEN value >= 200 THEN 2 WHEN value >= 120 THEN 1 ELSE 0 END AS rank FROM s WHERE value > 75), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank DESC, lo, id) AS n FROM i), c AS (SELECT a.source, a.n, a.id, a.rank, list(b.n ORDER BY b.n) FILTER (WHERE b.n IS NOT NULL) AS above FROM o a LEFT JOIN o b ON b.source = a.source AND b.n < a.n AND b.lo <= a.hi AND b.hi >= a.lo GROUP BY ALL), f AS (SELECT source, n, id, rank, CAST(NULL AS BIGINT) AS by_n, [n] AS free FROM c WHERE n = 1 UNION ALL SELECT c.source, c.n, c.id, c.rank, list_min(list_intersect(f.free, c.above)), CASE WHEN len(coalesce(list_intersect(f.free, c.above), [])) > 0 THEN f.free ELSE list_append(f.free, c.n) END FROM f JOIN c ON c.source = f.source AND c.n = f.n + 1) SELECT f.source, f.id, {SEVERITY}[f.rank + 1] AS severity, o.id AS suppressed_by FROM f LEFT JOIN o ON o.source = f.source AND o.n = f.by_n",
     "cooled_rule": f"WITH RECURSIVE {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20), e AS (SELECT source, ts, id FROM t WHERE ts - since >= 3600), c AS (SELECT source, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT e.source, min(e.ts) FROM c JOIN e ON e.source = c.source AND e.ts - c.ts >= 86400 GROUP BY 1) SELECT id FROM e JOIN c ON e.source = c.source AND e.ts = c.ts",
-    "detector_scores": f"WITH {S}, {ALARM}, e AS (SELECT {H} AS source, id, ts AS lo, ts + 1800 AS hi FROM s WHERE source = 'error' AND value > 60), d AS (SELECT DISTINCT source, detector FROM a), w AS (SELECT e.source, d.detector, e.id, bool_or(a.first IS NOT NULL) AS hit FROM e JOIN d ON d.source = e.source LEFT JOIN a ON a.source = e.source AND a.detector = d.detector AND a.first <= e.hi + 90 AND a.last >= e.lo GROUP BY ALL), p AS (SELECT source, detector, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn FROM w GROUP BY 1, 2), b AS (SELECT source, lo, hi + 90 AS hi FROM e), {islands_sql('b', 'm')}, g2 AS (SELECT a.source, a.detector, a.k, a.first AS lo, a.last + 0.001 AS hi FROM a), z AS (SELECT g2.*, m.lo AS blo, m.hi AS bhi FROM g2 JOIN m ON m.source = g2.source AND m.lo < g2.hi AND m.hi > g2.lo UNION ALL SELECT *, lo, lo FROM g2 UNION ALL SELECT *, hi, hi FROM g2), y AS (SELECT *, greatest(bhi, lo) AS f, lead(greatest(blo, lo)) OVER (PARTITION BY source, detector, k ORDER BY greatest(blo, lo), least(bhi, hi)) AS t FROM z), q AS (SELECT source, detector, CAST(sum(greatest(1, floor((t - f) / 60))) AS BIGINT) AS fp FROM y WHERE t > f GROUP BY 1, 2), x AS (SELECT p.source, p.detector, tp, fn, coalesce(fp, 0) AS fp, tp / nullif(tp + coalesce(fp, 0), 0) AS pr, tp / (tp + fn) AS rc FROM p LEFT JOIN q ON q.source = p.source AND q.detector = p.detector) SELECT source, detector, tp, fn, fp, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM x",
     "notification_budget": f"WITH {S}, i AS (SELECT {H} AS source, id, ts, value FROM s WHERE value > 75), n AS (SELECT *, row_number() OVER (PARTITION BY source, floor(ts / 86400), value >= 120 ORDER BY ts, id) AS k FROM i) SELECT id, (value >= 120 AND k <= 5) OR value >= 200 AS notified, CASE WHEN value < 120 THEN 'severity' WHEN k > 5 AND value < 200 THEN 'budget' END AS notify_skipped FROM n",
     "alarm_clusters": f"WITH {S}, {ALARM} SELECT source, detector, round(first, 3) AS first, round(last, 3) AS last, round(peak, 6) AS peak, n FROM a",
     "attribution": "WITH t AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, c_mktsegment AS name, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT CAST(m + INTERVAL 1 MONTH AS DATE) AS m, name, v AS b FROM t), d AS (SELECT coalesce(t.m, b.m) AS month, coalesce(t.name, b.name) AS name, coalesce(v, 0) - coalesce(b, 0) AS delta FROM t FULL JOIN b ON t.m = b.m AND t.name = b.name), p AS (SELECT *, delta / sum(delta) OVER (PARTITION BY month) AS share, row_number() OVER (PARTITION BY month ORDER BY delta DESC, name) AS rank FROM d WHERE delta > 0) SELECT month, name, round(delta, 2) AS delta, round(share, 2) AS share, rank FROM p WHERE rank <= 8",
@@ -345,5 +312,5 @@ ORACLE_SQL: dict[str, str] = {
     "gap_markers": f"WITH {S}, d AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) - ts AS g FROM s), t AS (SELECT source, list_sort(list(g))[count(g) // 2 + 1] AS u FROM d WHERE g IS NOT NULL GROUP BY 1 HAVING count(g) >= 2) SELECT d.source, round(ts + u, 3) AS ts FROM d JOIN t ON t.source = d.source WHERE g > 5 * u",
     "table_inventory": 'SELECT \'events\' AS "table", CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last, count(*) AS rows FROM events UNION ALL SELECT \'orders\', CAST(floor(min(epoch(o_orderdate))) AS BIGINT), CAST(floor(max(epoch(o_orderdate))) AS BIGINT), count(*) FROM orders',
 }
-QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES
-ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL
+QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES | incidents.QUERIES
+ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL | incidents.ORACLE_SQL

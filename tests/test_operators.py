@@ -148,8 +148,48 @@ def test_analysis_names_io_memory_and_gpu(spark):
     p = spark.createDataFrame(processes, "source string, ts double, pid long, name string, cpu_percent double, io_write_bps double, rss_mb double")
     g = spark.createDataFrame([("gpu", 2011.0, 0, 99.0, 91.0, "SwThermal")], "source string, ts double, gpu_index int, util_percent double, temp_c double, throttle_reasons string")
     i = spark.createDataFrame([(s, 1, 2000.0, 2300.0, None) for s in hot], "source string, id long, ts_start double, ts_end double, trigger_metric string")
-    none = spark.createDataFrame([], "source string, metric string, ts double, value double, median double, sigma double")
-    got = {r["source"]: r for r in explain.analyze(i, m, none, p, g).collect()}
+    got = {r["source"]: r for r in explain.analyze(i, m, p, g).collect()}
     assert {s: r["bottleneck"] for s, r in got.items()} == {"io": "IO", "memory": "MEMORY", "gpu": "THERMAL"}
     assert (got["io"]["contributors"][0]["name"], got["memory"]["contributors"][0]["name"]) == ("writer", "holder")
     assert (got["io"]["attributable"], got["gpu"]["attributable"]) == (True, False)
+
+
+def test_suppression_names_the_earliest_and_leaves_open_ones(spark):
+    rows = [("a", 1, 0.0, 5.0, "warning"), ("a", 2, 8.0, 20.0, "critical"), ("a", 3, 4.0, 9.0, "info"), ("b", 1, 0.0, 100.0, "critical"), ("b", 2, 50.0, None, "info"), ("b", 3, 900.0, 901.0, "info"),
+            ("c", 1, 0.0, 10.0, "info"), ("c", 2, 0.0, 10.0, "info"), ("c", 3, 9.0, 30.0, "info"), ("c", 4, 25.0, 26.0, "info")]
+    got = decide.suppress(spark.createDataFrame(rows, "source string, id long, ts_start double, ts_end double, severity string"))
+    # An open incident is never hidden and hides what follows; equals that begin together hide neither; a hidden one hides nothing.
+    assert {(r["source"], r["id"]): r["suppressed_by"] for r in got.collect()} == {("a", 1): None, ("a", 2): None, ("a", 3): 1, ("b", 1): None, ("b", 2): None, ("b", 3): 2, ("c", 1): None, ("c", 2): None, ("c", 3): 1, ("c", 4): None}
+
+
+def test_scores_count_misses_without_alarms_and_alarms_without_episodes(spark):
+    episodes = spark.createDataFrame([("hit", 1, 100.0, 200.0), ("missed", 1, 100.0, 200.0)], "source string, id long, lo double, hi double")
+    hits = spark.createDataFrame([("hit", "d", 130.0, 1.0), ("noisy", "d", 130.0, 1.0)], "source string, detector string, ts double, score double")
+    got = {r["source"]: (r["tp"], r["fn"], r["fp"], r["recall"], r["latency"]) for r in evaluate.scores(evaluate.alarms(hits), episodes).collect()}
+    assert got == {"hit": (1, 0, 0, 1.0, 30.0), "missed": (0, 1, 0, 0.0, None), "noisy": (0, 0, 1, 0.0, None)}
+    named = evaluate.scores(evaluate.alarms(hits.where("false")), episodes, detectors=["d", "e"]).collect()
+    assert sorted((r["source"], r["detector"], r["fn"]) for r in named) == [(s, d, 1) for s in ("hit", "missed") for d in "de"]
+
+
+def test_bounds_use_a_recovery_without_an_onset(spark):
+    rows = [("h", float(t), 20.0 + 0.1 * (t % 3) + (60.0 if 1000 <= t <= 1050 else 0.0)) for t in range(3000)]
+    i = spark.createDataFrame([("h", 1, 1000.0, 1000.0)], "source string, id long, ts_start double, ts_end double")
+    r = explain.refined_bounds(i, spark.createDataFrame(rows, "source string, ts double, cpu_total double")).first()
+    assert (r["start"], r["end"]) == (1000.0, 1055.0)
+
+
+def test_gpu_is_device_zero_at_its_busiest(spark):
+    i = spark.createDataFrame([("h", 1, 0.0, 100.0), ("g", 1, 0.0, 10.0)], "source string, id long, ts_start double, ts_end double")
+    gpu = spark.createDataFrame([("h", 5.0, 1, 99.0, 95.0, "x"), ("h", 90.0, 0, 80.0, 60.0, "a"), ("h", 50.0, 0, 70.0, 70.0, "b"), ("g", 3.0, 0, 10.0, 50.0, None), ("g", 99.0, 0, 98.0, 50.0, None)], "source string, ts double, gpu_index int, util_percent double, temp_c double, throttle_reasons string")
+    peaks = spark.createDataFrame([("h", 1, 3.0)], "source string, id long, peak_ts double")
+    got = {r["source"]: (r["peak_ts"], r["gpu_util_percent"], r["gpu_temp_c"], r["throttle_reasons"]) for r in explain.with_gpu(peaks, i, gpu).collect()}
+    assert got == {"h": (3.0, 80.0, 60.0, "a"), "g": (None, 10.0, 50.0, None)}
+
+
+def test_descendants_of_chains_cycles_and_reused_pids(spark):
+    chain = [("h", k, k + 1) for k in range(1, 40)] + [("h", 40, 41), ("h", 41, 40), ("h", 7, 7)]
+    got = joins.descendants(spark.createDataFrame(chain, "source string, ppid long, pid long"), spark.createDataFrame([("h", 1), ("h", 30)], "source string, pid long"))
+    assert sorted((r["root"], r["pid"], r["depth"]) for r in got.collect()) == sorted([(1, p, p - 1) for p in range(1, 42)] + [(30, p, p - 30) for p in range(30, 42)])
+    starts = spark.createDataFrame([("h", 5, 1, 10.0), ("h", 9, 5, 20.0), ("h", 5, 1, 30.0), ("h", 9, 5, 40.0), ("h", 8, 5, 5000.0)], "source string, pid long, ppid long, ts double")
+    parents = {(r["pid"], r["ts"]): r["parent_ts"] for r in joins.process_parents(starts, 3600.0).collect()}
+    assert parents == {(5, 10.0): None, (9, 20.0): 10.0, (5, 30.0): None, (9, 40.0): 30.0, (8, 5000.0): None}
