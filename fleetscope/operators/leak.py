@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import group_key
-from .baseline import spaced
+from ..functions.columns import group_key, severity_name
+from ..session import cut, written
+from .order_stats import sorted_groups
 
 
 @dataclass(frozen=True)
@@ -46,51 +48,228 @@ def judge(t: np.ndarray, x: np.ndarray, rule: LeakRule) -> tuple[float, float, f
     return delta, ratio, monotone, seconds, next((name for name, ok in gates if not ok), "")
 
 
-def leak_verdicts(samples: DataFrame, rule: LeakRule, keys: tuple[str, ...] = ("source", "pid", "name")) -> DataFrame:
-    """Per evaluated tick of a track: delta, ratio, monotone, seconds, last value, reason (empty: leaking). A fall below half of the window's peak starts the track anew."""
-    fields = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
-    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), "ts double, delta double, ratio double, monotone double, seconds double, last double, reason string"])
-    columns = [*keys, "ts", "delta", "ratio", "monotone", "seconds", "last", "reason"]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna(subset=[rule.metric]).sort_values("ts")
-        t, x = group["ts"].to_numpy(float), group[rule.metric].to_numpy(float)
-        key, start, out, due = [group[k].iloc[0] for k in keys] if len(group) else [], 0, [], -np.inf
-        for i in range(len(t)):
-            start = max(start, int(np.searchsorted(t, t[i] - rule.window, "left")))
-            if i > start and x[i] < rule.reset_share * x[start:i].max():
+class RangeMax:
+    """Largest value of any run of places, by tables of runs of 2^k."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 ** len(self.levels) <= len(x):
+            half = 2 ** (len(self.levels) - 1)
+            below = self.levels[-1]
+            self.levels.append(np.maximum(below[:-half], below[half:]))
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Over [first, last]; -inf where that is empty."""
+        first, last = np.asarray(first), np.asarray(last)
+        size = last - first + 1
+        out = np.full(size.shape, -np.inf)
+        level = np.frexp(np.maximum(size, 1))[1] - 1
+        for k in np.unique(level[size > 0]).tolist():
+            own = (level == k) & (size > 0)
+            out[own] = np.maximum(self.levels[k][first[own]], self.levels[k][last[own] - 2**k + 1])
+        return out
+
+
+class Track:
+    """One track's samples (rising times) of a chunk and of two windows before it.
+
+    A sample starts the track anew if more than a window passed since the one before, or if it lies below ``reset_share`` of
+    the largest held then: of those since the last start and within a window of the sample before.
+    """
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, rule: LeakRule):
+        self.t, self.x, self.rule = t, x, rule
+        before = np.concatenate([t[:1], t[:-1]])
+        self.held = np.searchsorted(t, before - rule.window)
+        self.top = RangeMax(x)
+        place = np.arange(len(t))
+        self.gap = (t - before > rule.window) | (place == 0)
+        # With nothing cut off the largest is largest, so no other sample can start the track anew.
+        top = self.top(self.held, place - 1)
+        self.may = np.flatnonzero(self.gap | (top > 0) & (x < rule.reset_share * top))
+
+    def starts(self, since: float, first: int) -> list[int]:
+        """Places from ``first`` on at which the track starts anew, if it last did so at ``since``."""
+        out, start = [], int(np.searchsorted(self.t, since))
+        for i in self.may[self.may >= first].tolist():
+            low = max(start, int(self.held[i]))
+            top = float(self.top([low], [i - 1])[0])
+            if self.gap[i] or top > 0 and self.x[i] < self.rule.reset_share * top:
+                out.append(i)
                 start = i
-            if t[i] >= due:
-                due = np.floor(t[i] / rule.grid) * rule.grid + rule.grid
-                out.append([*key, t[i], *judge(t[start : i + 1], x[start : i + 1], rule)[:4], x[i], judge(t[start : i + 1], x[start : i + 1], rule)[4]])
-        return pd.DataFrame(out, columns=columns)
-
-    return samples.select(*keys, "ts", F.col(rule.metric).cast("double").alias(rule.metric)).groupBy(*keys).applyInPandas(run, schema)
-
-
-def leak_signals(verdicts: DataFrame, rule: LeakRule, fingerprints: DataFrame | None = None) -> DataFrame:
-    """One signal a host and tick: the best leaking track not within its program's usual p99, spaced by the winner's cooldown."""
-    leaking = verdicts.where("reason = ''").withColumn("score", F.least(F.lit(1.0), F.col("delta") / (4 * rule.delta)))
-    if fingerprints is not None:
-        usual = fingerprints.where(F.col("stat") == rule.metric).select("source", "name", "p99")
-        leaking = leaking.join(usual, ["source", "name"], "left").where(F.col("p99").isNull() | (F.col("last") > F.col("p99")))
-    best = Window.partitionBy("source", "ts").orderBy(F.desc("score"), "name", "pid")
-    winners = leaking.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    kept = spaced(winners.select("source", "pid", "name", "ts"), rule.cooldown, ("source", "pid", "name"))
-    return winners.join(kept, ["source", "pid", "name", "ts"], "left_semi").withColumn("detector", F.lit("process_leak"))
-
-
-def group_growth(samples: DataFrame, metric: str = "rss_mb", least_members: int = 2) -> DataFrame:
-    """(source, pid, name, ts, growth) per program group: sum of the members' positive growth since their first sample; pid is the largest grower's."""
-    own = Window.partitionBy("source", "pid", "name").orderBy("ts")
-    grown = samples.withColumn("_g", F.greatest(F.col(metric) - F.first(metric).over(own), F.lit(0.0))).withColumn("_key", group_key(F.col("name"), F.col("pid")))
-    out = grown.groupBy("source", "_key", "ts").agg(F.sum("_g").alias("growth"), F.countDistinct("pid").alias("members"), F.max_by("pid", F.struct("_g", -F.col("pid"))).alias("pid"))
-    return out.where(F.col("members") >= least_members).withColumnRenamed("_key", "name")
-
-
-def group_leaks(samples: DataFrame, rule: LeakRule, share: float = 0.8) -> DataFrame:
-    """Groups whose summed growth passes ``share`` of the single process's gate."""
-    return group_growth(samples, rule.metric).where(F.col("growth") >= share * rule.delta)
+        return out
+
+    def table(self, first: int) -> list[tuple[float, float]]:
+        """(bound, last start) for each kind of past: if the track last started at ``bound`` or before (and after the bound
+        before it), it last starts in the chunk at the given time; NaN for not at all."""
+        if not (self.may >= first).any():
+            return []
+        old = self.x[:first]
+        # Places before the chunk that lie above all later ones: what is held from a past start on has the next of them as its largest.
+        later = np.append(np.maximum.accumulate(old[::-1])[::-1][1:], -np.inf)
+        records = np.flatnonzero(old > later).tolist() or [0]
+        out: list[tuple[float, float]] = []
+        for k, place in enumerate(records):
+            found = self.starts(float(self.t[place]) if first else -np.inf, first)
+            bound, last = float(self.t[place]) if k < len(records) - 1 else np.inf, float(self.t[found[-1]]) if found else np.nan
+            if out and (out[-1][1] == last or np.isnan(out[-1][1]) and np.isnan(last)):
+                out[-1] = (bound, last)
+            else:
+                out.append((bound, last))
+        return out
+
+
+TRACK_COLUMNS = "growth double, delta double, ratio double, monotone double, seconds double, last double, reason string"
+
+
+def tracks(samples: DataFrame, rule: LeakRule, keys: tuple[str, ...] = ("source", "pid", "name"), chunk: float = 4 * 3600.0, every: bool = True) -> DataFrame:
+    """(keys, ts, value, growth, delta, ratio, monotone, seconds, last, reason) for every sample: how much the track has grown
+    since the first sample that it holds and, at its first sample of each ``grid`` seconds, its verdict (an empty reason: leaking).
+
+    A track's life is cut into chunks of time, each with two windows before it. Nearly always nothing before those matters; where a
+    track started anew just before a chunk, its chunk is done again from there. To know that, chunks in which it may start anew
+    tell when it last does so as a function of when it did before, and these are applied in order. Null values and times are left
+    out. Without ``every`` only the samples with a verdict are given.
+    """
+    if chunk < 2 * rule.window or chunk % rule.grid:
+        raise ValueError("a chunk must hold two windows and whole steps of the grid")
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    own = samples.select(*keys, F.col("ts").cast("double").alias("ts"), F.col(rule.metric).cast("double").alias("value")).where("ts is not null and value is not null")
+    spread = own.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("ts") / chunk), F.floor((F.col("ts") + 2 * rule.window) / chunk)))).withColumn("_since", F.lit(None).cast("double"))
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_chunk long", "ts double", "value double", TRACK_COLUMNS, "_table array<struct<bound:double,last:double>>"])
+
+    def judged(groups: DataFrame) -> DataFrame:
+        order = [*keys, "_chunk"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in sorted_groups(batches, order):
+                t, x = group.column("ts").to_numpy(), group.column("value").to_numpy()
+                lo = group.column("_chunk")[0].as_py() * chunk
+                first, since = int(np.searchsorted(t, lo)), group.column("_since")[0].as_py()
+                if first == len(t):
+                    continue
+                track = Track(t, x, rule)
+                # A chunk done again begins with the sample that started its track anew.
+                begun = track.starts(-np.inf, first) if since is None else [0, *track.starts(since, 1)]
+                place = np.arange(len(t))
+                start = np.zeros(len(t), int)
+                start[begun] = begun
+                start = np.maximum(np.maximum.accumulate(start), np.searchsorted(t, t - rule.window))
+                cells = np.floor(t / rule.grid)
+                due = np.append(True, cells[1:] != cells[:-1])
+                table = [{"bound": a, "last": b} for a, b in track.table(first)] if since is None else []
+                places = np.flatnonzero((place >= first) & (due | every | (place == first) & bool(table)))
+                told = [(*judge(t[start[i] : i + 1], x[start[i] : i + 1], rule), float(x[i])) if due[i] else (None,) * 6 for i in places.tolist()]
+                delta, ratio, monotone, seconds, reason, last = zip(*told, strict=True) if told else ((),) * 6
+                rows = group.select([*order, "ts", "value"]).take(pa.array(places))
+                numbers = {"growth": (x - x[start])[places], "delta": delta, "ratio": ratio, "monotone": monotone, "seconds": seconds, "last": last}
+                for n, v in numbers.items():
+                    rows = rows.append_column(n, pa.array(v, pa.float64()))
+                rows = rows.append_column("reason", pa.array(reason, pa.string()))
+                kind = pa.list_(pa.struct([("bound", pa.float64()), ("last", pa.float64())]))
+                yield from rows.append_column("_table", pa.array(([table or None] + [None] * (len(places) - 1))[: len(places)], kind)).to_batches()
+
+        return groups.repartition(*order).sortWithinPartitions(*order, "ts").mapInArrow(run, schema)
+
+    done = written(judged(spread), "leak-tracks")
+    told = done.where("_table is not null").select(*keys, "_chunk", "_table").repartition(*keys).sortWithinPartitions(*keys, "_chunk")
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks that begin less than two windows after their track started anew, with when it did."""
+        key, since = None, -np.inf
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                name = tuple(row[k] for k in keys)
+                if name != key:
+                    key, since = name, -np.inf
+                last = next(s["last"] for s in row["_table"] if since <= s["bound"])
+                since = since if np.isnan(last) else last
+                end = (row["_chunk"] + 1) * chunk
+                if since > end - 2 * rule.window:
+                    out.append({**dict(zip(keys, key, strict=True)), "_chunk": row["_chunk"] + 1, "_since": since})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*(batch.schema.field(k) for k in keys), ("_chunk", pa.int64()), ("_since", pa.float64())]))
+
+    again = cut(told.mapInArrow(late, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_chunk long, _since double"])))
+    anew = judged(spread.drop("_since").join(again, [*keys, "_chunk"]).where("ts >= _since"))
+    kept = done.join(again.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti")
+    return kept.unionByName(anew).drop("_chunk", "_table")
+
+
+def leak_verdicts(samples: DataFrame, rule: LeakRule, keys: tuple[str, ...] = ("source", "pid", "name"), chunk: float = 4 * 3600.0) -> DataFrame:
+    """Per track and ``grid`` seconds: delta, ratio, monotone, seconds, last value, reason (empty: leaking), as ``tracks`` has them."""
+    return tracks(samples, rule, keys, chunk, every=False).where("reason is not null").select(*keys, "ts", "delta", "ratio", "monotone", "seconds", "last", "reason")
+
+
+def leak_signals(verdicts: DataFrame, rule: LeakRule, fingerprints: DataFrame | None = None, groups: DataFrame | None = None, share: float = 0.8) -> DataFrame:
+    """One signal a host and grid step: the best leaking track, spaced by each winner's cooldown.
+
+    A process scores by its ratio, at twice the rule's 1, and says nothing while within its program's usual p99; a group
+    (``groups``: verdicts of ``group_leaks``) scores by its growth, and wins against a process only with a higher score.
+    Severity comes from the value against the program's p99. A track whose cooldown runs leaves the place to the next best.
+    """
+    usual = None if fingerprints is None else fingerprints.where(F.col("stat") == rule.metric).select("source", "name", "p99")
+    with_p99 = lambda df: df.withColumn("p99", F.lit(None).cast("double")) if usual is None else df.join(usual, ["source", "name"], "left")
+    names = ("source", "pid", "name", "ts", "delta", "ratio", "monotone", "seconds", "last", "score", "members", "p99")
+    own = with_p99(verdicts.where("reason = ''")).where(F.col("p99").isNull() | (F.col("last") > F.col("p99")))
+    leaking = own.withColumn("score", F.least(F.lit(1.0), F.col("ratio") / (2 * rule.ratio))).withColumn("members", F.lit(1).cast("long")).select(*names)
+    if groups is not None:
+        many = with_p99(groups.where("reason = ''")).withColumn("score", F.least(F.lit(1.0), F.col("delta") / (2 * share * rule.delta))).withColumn("members", F.col("members").cast("long"))
+        leaking = leaking.unionByName(many.select(*names))
+    dealt = leaking.withColumn("_step", F.floor(F.col("ts") / rule.grid)).repartition("source").sortWithinPartitions("source", "_step", F.desc("score"), "members", "name", "pid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams each source's leaking tracks step by step; holds when each track last spoke."""
+        source, step, fired = None, None, {}
+        for batch in batches:
+            kept = []
+            for k, (s, at, ts, name, pid, members) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "_step", "ts", "name", "pid", "members")), strict=True)):
+                if s != source:
+                    source, step, fired = s, None, {}
+                who = (name, None if members > 1 else pid)
+                if at != step and not ts - fired.get(who, -np.inf) < rule.cooldown:
+                    step, fired[who] = at, ts
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rank, label = leak_risk(F.col("last"), F.col("p99"), F.col("monotone"))
+    out = dealt.mapInArrow(run, dealt.schema).withColumn("severity", severity_name(rank)).withColumn("severity_reason", label)
+    return out.withColumn("detector", F.lit("process_leak")).drop("_step", "p99")
+
+
+def group_growth(grown: DataFrame, window: float = 900.0, chunk: float = 4 * 3600.0, least_members: int = 2) -> DataFrame:
+    """(source, name, ts, growth, members, pid) per program group at each of its samples: the positive growth of all members summed, each
+    as its last sample within ``window`` left it; pid is the largest grower's of those sampled then. ``grown`` is ``tracks``' rows.
+
+    A member's growth counts from its sample to its next one, or for a window; so sums are running ones over steps up and down,
+    for each chunk of time with a window before it.
+    """
+    own = grown.select("source", "pid", F.col("name").alias("_name"), "ts", F.greatest("growth", F.lit(0.0)).alias("g"))
+    after = F.lead("ts").over(Window.partitionBy("source", "pid", "_name").orderBy("ts"))
+    gone = F.coalesce(after > F.col("ts") + window, F.lit(True))
+    lives = own.withColumn("_gone", gone).withColumn("_end", F.when(gone, F.col("ts") + window).otherwise(after))
+    cells = F.explode(F.sequence(F.floor(F.col("ts") / chunk), F.floor((F.col("ts") + window) / chunk))).alias("_chunk")
+    spread = lives.select("source", group_key(F.col("_name"), F.col("pid")).alias("name"), cells, "pid", "ts", "g", "_end", "_gone")
+    keys = ("source", "name", "_chunk")
+    up = spread.select(*keys, F.col("ts").alias("at"), F.lit(0).alias("late"), F.col("g").alias("step"), F.lit(1).alias("n"), "pid")
+    # What the next sample takes over ends with it; what ends with its window still counts at that time.
+    down = spread.select(*keys, F.col("_end").alias("at"), F.col("_gone").cast("int").alias("late"), (-F.col("g")).alias("step"), F.lit(-1).alias("n"), F.lit(None).cast("long").alias("pid"))
+    grower = F.max_by("pid", F.when(F.col("pid").isNotNull(), F.struct("step", -F.col("pid")))).alias("pid")
+    steps = up.unionByName(down).groupBy(*keys, "at", "late").agg(F.sum("step").alias("step"), F.sum("n").alias("n"), grower)
+    order = Window.partitionBy(*keys).orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    total = steps.withColumn("growth", F.round(F.sum("step").over(order), 6)).withColumn("members", F.sum("n").over(order))
+    mine = total.where(F.col("pid").isNotNull() & (F.floor(F.col("at") / chunk) == F.col("_chunk")))
+    return mine.where(F.col("members") >= least_members).select("source", "name", F.col("at").alias("ts"), "growth", "members", "pid")
+
+
+def group_leaks(samples: DataFrame, rule: LeakRule, share: float = 0.8, chunk: float = 4 * 3600.0) -> DataFrame:
+    """Verdicts of program groups: their members' summed growth as a track of its own, judged by ``share`` of the single process's growth and by steadiness, not by ratio.
+
+    Only times with two members or more and some growth count. Columns as ``leak_verdicts``, with pid and members.
+    """
+    sums = written(group_growth(tracks(samples, rule, chunk=chunk), rule.window, chunk).where("growth > 0"), "leak-groups")
+    own = replace(rule, metric="growth", delta=share * rule.delta, ratio=1.0)
+    return leak_verdicts(sums, own, ("source", "name"), chunk).join(sums.select("source", "name", "ts", "pid", "members"), ["source", "name", "ts"])
 
 
 def ram_gate(delta: float, ram_mb: Column, share: float = 0.02, least: float = 128.0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import band, bucket_of, epoch, severity_name
 from ..operators import baseline, decide, derive, evaluate, explain, history, intervals, joins, leak, rollup, rules, usage
-from . import boards, dashboards, detection, detectors, incidents
+from . import boards, dashboards, detection, detectors, incidents, leaks
 from .base import DAY, DAYS, HOUR, START, H, S, as_long, host_of, islands_sql, rounded, samples
 
 def rollup_hourly(spark, sf_dir):
@@ -247,17 +247,10 @@ def table_inventory(spark, sf_dir):
     return as_long(dashboards.inventory({"events": e.select(epoch("ts").alias("ts")), "orders": o.select(epoch("o_orderdate").alias("ts"))}), "first", "last")
 
 
-def leak_verdicts(spark, sf_dir):
-    """Rows only: tracks of users judged on a daily grid."""
-    rule = leak.LeakRule("value", 5.0, 1.2, 0.4, DAY, 5, 10 * DAY, DAY)
-    s = samples(spark, sf_dir).select(F.lit("all").alias("source"), "pid", "name", "ts", "value")
-    return leak.leak_verdicts(leak.may_grow(s, rule), rule).select("pid", F.round("ts", 3).alias("ts"), F.round("delta", 3).alias("delta"), "reason")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rollup_hourly, dominant_and_top, two_stage_rollup, distinct_activity, counter_rate, snapshot_diff, long_gaps, interval_union, interval_shared, interval_gaps, span_overlaps, excluded_buckets, near_marks, touched_hours, nearest_asof, backward_asof,
     latest_orders, sessions, daily_usage, foreground_gap, fingerprints, day_index, two_tier_union, rolling_baseline, sustained_rule, cooled_rule, drift, fusion, incident_severity, notification_budget, alarm_clusters,
-    attribution, contributors, compare_previous, threshold_sweep, label_rates, top_programs, growth_rates, gap_markers, table_inventory, leak_verdicts,
+    attribution, contributors, compare_previous, threshold_sweep, label_rates, top_programs, growth_rates, gap_markers, table_inventory,
 )}
 
 
@@ -312,5 +305,5 @@ ORACLE_SQL: dict[str, str] = {
     "gap_markers": f"WITH {S}, d AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) - ts AS g FROM s), t AS (SELECT source, list_sort(list(g))[count(g) // 2 + 1] AS u FROM d WHERE g IS NOT NULL GROUP BY 1 HAVING count(g) >= 2) SELECT d.source, round(ts + u, 3) AS ts FROM d JOIN t ON t.source = d.source WHERE g > 5 * u",
     "table_inventory": 'SELECT \'events\' AS "table", CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last, count(*) AS rows FROM events UNION ALL SELECT \'orders\', CAST(floor(min(epoch(o_orderdate))) AS BIGINT), CAST(floor(max(epoch(o_orderdate))) AS BIGINT), count(*) FROM orders',
 }
-QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES | incidents.QUERIES
-ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL | incidents.ORACLE_SQL
+QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES | incidents.QUERIES | leaks.QUERIES
+ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL | incidents.ORACLE_SQL | leaks.ORACLE_SQL
