@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators import intervals
 from ..operators.joins import in_spans, nearest
 from ..schemas import FINDINGS, TABLES
+from ..session import cut
 
 
 def scan(spark: SparkSession, root: str, name: str, streaming: bool = False) -> DataFrame:
@@ -39,11 +40,13 @@ def exported_days(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def export_days(rows: DataFrame, done: DataFrame, root: str, today: str, after_days: int) -> DataFrame:
-    """Writes the days that are old enough and not done yet, one partition a day, and returns (date, written, read) after a read back; equal counts allow a purge."""
+    """Writes the days that are old enough and not done yet, one partition a day, and returns (date, written, read) of these after a read back; equal counts allow a purge."""
     due = rows.withColumn("date", F.to_date(F.timestamp_seconds("ts"))).where(F.col("date") <= F.date_sub(F.lit(today).cast("date"), after_days)).join(done.select("date"), "date", "left_anti")
+    written = cut(due.groupBy("date").agg(F.count("*").alias("written")))
     due.repartitionByRange("date", "source", "ts").sortWithinPartitions("date", "source", "ts").write.partitionBy("date").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
-    there = rows.sparkSession.read.parquet(root).groupBy("date").agg(F.count("*").alias("read"))
-    return due.groupBy("date").agg(F.count("*").alias("written")).join(there, "date")
+    # A row for each day, so its dates prune the partitions that are read back.
+    there = rows.sparkSession.read.schema(due.schema).parquet(root).join(F.broadcast(written.select("date")), "date", "left_semi").groupBy("date").agg(F.count("*").alias("read"))
+    return written.join(there, "date")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -52,18 +55,32 @@ def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFr
     return one.unionByName(existing.join(one.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
-def export_findings(tables: Mapping[str, DataFrame], out: str) -> DataFrame:
-    """Writes the allowed tables and returns the manifest (table, row_count, missing, excluded_reason)."""
-    manifest = []
-    for name in TABLES:
-        if name not in FINDINGS:
-            manifest.append((name, None, name not in tables, "raw or private"))
-        elif name not in tables:
-            manifest.append((name, None, True, None))
-        else:
-            tables[name].write.mode("overwrite").parquet(f"{out}/{name}")
-            manifest.append((name, next(iter(tables.values())).sparkSession.read.parquet(f"{out}/{name}").count(), False, None))
-    spark = next(iter(tables.values())).sparkSession
+def pinned(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, list[str]]:
+    """The files that each table consists of now; a table that is not there has None. Listing all before any is read makes one point in time of them."""
+    out = {}
+    for name in names:
+        try:
+            out[name] = scan(spark, root, name).inputFiles()
+        except AnalysisException:
+            out[name] = None
+    return out
+
+
+def export_findings(spark: SparkSession, root: str, out: str, listed: Callable[[], None] = lambda: None) -> DataFrame:
+    """Copies the allowed tables as they are at one point in time and returns the manifest (table, row_count, missing, excluded_reason).
+
+    Rows that are added while it runs, in files of their own, are in none of the copies. Tables that may not leave, and those that
+    are not there, are told. ``listed`` is called between the listing and the first read.
+    """
+    files, manifest = pinned(spark, root, sorted(TABLES)), []
+    listed()
+    for name, own in files.items():
+        if name not in FINDINGS or own is None:
+            manifest.append((name, None, own is None, "raw or private" if name not in FINDINGS else None))
+            continue
+        rows = spark.read.schema(TABLES[name]).parquet(*own) if own else spark.createDataFrame([], TABLES[name])
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+        manifest.append((name, spark.read.schema(TABLES[name]).parquet(f"{out}/{name}").count(), False, None))
     return spark.createDataFrame(manifest, "table string, row_count long, missing boolean, excluded_reason string")
 
 
