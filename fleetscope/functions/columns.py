@@ -164,18 +164,21 @@ def attributable(kind: Column) -> Column:
     return F.coalesce(kind.isin(*ATTRIBUTABLE), F.lit(False))
 
 
-def incident_title(claim_wins: Column, claim: Column, label: Column, kind: Column, contributors: Column, evidence: Column) -> Column:
-    """The detector's sentence if its claim wins; else the top program with its share where one can be named; else the first evidence."""
+def incident_title(claim_wins: Column, claim: Column, label: Column, named: Column, contributors: Column, evidence: Column) -> Column:
+    """The detector's sentence if its claim wins; else the label with the top program and its share where one can be ``named``; else with the first evidence, if there is any."""
     top = F.get(contributors, F.lit(0))
-    named = F.format_string("%s — %s %d%%", label, top["name"], F.round(top["share"] * 100).cast("int"))
-    return F.when(claim_wins, claim).when(attributable(kind) & top.isNotNull(), named).otherwise(F.concat_ws(" — ", label, F.get(evidence, F.lit(0))))
+    program = F.format_string("%s — %s %d%%", label, top["name"], F.round(top["share"] * 100).cast("int"))
+    return F.when(claim_wins, claim).when(named & top.isNotNull(), program).otherwise(F.concat_ws(" — ", label, F.get(evidence, F.lit(0))))
 
 
 def incident_report(df: DataFrame) -> DataFrame:
-    """Adds ``report``: label, duration, evidence, detectors and the five largest contributors with lead notes, one a line."""
+    """Adds ``report`` to rows with title, start, end, evidence, triggers, overridden_from and contributors: title, duration, evidence, rules
+    that fired, what the metrics would have said where a trigger overrode them, and the five largest contributors with lead notes, one a line; null without a title."""
     lead = lambda c: F.when(c["is_new"], " (new)").when(c["lead_s"] > 0, F.format_string(" (%ds before)", c["lead_s"].cast("int"))).otherwise("")
     line = lambda c: F.concat(F.lit("- "), c["name"], F.format_string(" %d%%", F.round(c["share"] * 100).cast("int")), lead(c))
-    return df.withColumn("report", F.concat_ws("\n", F.col("title"), duration_text(F.coalesce("ts_end", "ts_start") - F.col("ts_start")), F.array_join("evidence", "; "), F.array_join("detectors", ", "), F.array_join(F.transform(F.slice("contributors", 1, 5), line), "\n")))
+    filled = lambda c: F.when(F.size(c) > 0, F.array_join(c, "; "))
+    lines = (F.col("title"), duration_text(F.col("end") - F.col("start")), filled(F.col("evidence")), F.concat(F.lit("rules: "), filled(F.col("triggers"))), F.concat(F.lit("instead of "), F.col("overridden_from")), F.array_join(F.transform(F.slice("contributors", 1, 5), line), "\n"))
+    return df.withColumn("report", F.when(F.col("title").isNotNull(), F.concat_ws("\n", *lines)))
 
 
 def visible_connections(connections: DataFrame, most: int) -> DataFrame:

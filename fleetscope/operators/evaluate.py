@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import severity_name
 from . import intervals
 from .baseline import observed_seconds
-from .joins import in_spans
+from .explain import traced
+from .joins import descendants, in_spans
 
 
 def episodes(faults: DataFrame, lo: float, hi: float, scenarios: Sequence[str] | None = None) -> DataFrame:
@@ -78,12 +79,73 @@ def normal_seconds(ticks: DataFrame, episodes_: DataFrame, grace: float = 90.0)
     return observed_seconds(in_spans(own, blocks, how="left_anti"))
 
 
+# Which resource the load of a fault scenario shows in, and the scenarios that make no load of their own.
+SCENARIO_RESOURCE = {"cpu_spin": "cpu", "memory_leak": "memory", "memory_leak_spread": "memory", "disk_thrash": "io", "handle_leak": "handles"}
+NOT_ATTRIBUTABLE = ("manual",)
+
+
+def fault_answers(faults: DataFrame, starts: DataFrame, processes: DataFrame, look_back: float = 3600.0) -> DataFrame:
+    """(source, id, lo, hi, resource, answer_pids, skipped) of labelled faults: the fault's process and all below it are right answers.
+
+    Process starts (source, ts, pid, ppid) from ``look_back`` seconds before the fault to its end make its tree, so that a pid
+    that is used again elsewhere brings no others in. ``skipped`` says why a fault cannot be scored, null if it can.
+    """
+    own = faults.select("source", "id", "scenario", "pid", F.col("ts_start").alias("lo"), F.col("ts_end").alias("hi"), "completed")
+    spans = own.where("pid is not null and hi is not null").select("source", "id", (F.col("lo") - look_back).alias("lo"), "hi", F.col("pid").alias("root"))
+    # Each fault's tree has a key of its own: a start can be in several faults' time.
+    edges = in_spans(starts.where("pid is not null and ppid is not null").select("source", "ts", "pid", "ppid"), spans).select(F.struct("source", "id").alias("source"), "pid", "ppid")
+    below = descendants(edges, spans.select(F.struct("source", "id").alias("source"), F.col("root").alias("pid")))
+    answers = below.groupBy(F.col("source.source").alias("source"), F.col("source.id").alias("id")).agg(F.array_sort(F.collect_set("pid")).alias("answer_pids"))
+    seen = in_spans(processes.select("source", "ts"), own.where("hi is not null").select("source", "id", "lo", "hi")).select("source", "id").distinct().withColumn("_seen", F.lit(True))
+    resource = F.element_at(F.create_map(*(F.lit(x) for pair in SCENARIO_RESOURCE.items() for x in pair)), F.col("scenario"))
+    skipped = F.when(F.col("scenario").isin(*NOT_ATTRIBUTABLE), "no_load").when(F.col("resource").isNull(), "unknown_scenario").when(F.col("hi").isNull(), "unfinished").when(~F.coalesce("completed", F.lit(False)), "no_symptom").when(F.col("pid").isNull(), "no_pid").when(F.col("_seen").isNull(), "no_process_metrics")
+    out = own.withColumn("resource", resource).join(answers, ["source", "id"], "left").join(seen, ["source", "id"], "left").withColumn("skipped", skipped)
+    return out.select("source", "id", "lo", "hi", "resource", "answer_pids", "skipped")
+
+
+def score_faults(answers: DataFrame, processes: DataFrame, before: tuple[float, float] = (150.0, 30.0), top: int = 8) -> DataFrame:
+    """(source, id, skipped, hit_rank): each fault traced by its scenario's resource over its own time; the rank of the first contributor whose pids meet the answer."""
+    spans = answers.where("skipped is null").select("source", "id", F.col("lo").alias("start"), F.col("hi").alias("end"), "resource")
+    hits = attribution_hits(traced(spans, processes, before, top), answers.where("skipped is null"))
+    return answers.select("source", "id", "skipped").join(hits, ["source", "id"], "left")
+
+
+def score_product(answers: DataFrame, analysed: DataFrame, incidents: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(source, id, skipped, incident, hit_rank): each fault by the analysis (source, id, contributors) of the incident that overlaps it longest.
+
+    A fault that made no incident, or whose metrics are gone so that nothing could be analysed anew, is skipped and says so.
+    """
+    due = answers.where("skipped is null")
+    faults = due.select("source", "id", "lo", "hi")
+    spans = incidents.select("source", F.col("id").alias("id2"), F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
+    met = intervals.overlap_join(faults, spans, ends=True).withColumn("_s", F.least("hi", "hi2") - F.greatest("lo", "lo2"))
+    longest = met.groupBy("source", "id").agg(F.max_by("id2", F.struct("_s", -F.col("lo2"), -F.col("id2"))).alias("incident"))
+    there = in_spans(metrics.select("source", "ts"), faults).select("source", "id").distinct().withColumn("_there", F.lit(True))
+    known = due.join(longest, ["source", "id"], "left").join(there, ["source", "id"], "left")
+    reason = F.when(F.col("incident").isNull(), "no_incident").when(F.col("_there").isNull(), "metrics_gone")
+    scored = known.withColumn("_why", reason)
+    ranked = analysed.select("source", F.col("id").alias("incident"), F.explode("contributors").alias("c")).select("source", "incident", "c.rank", "c.pids")
+    own = scored.where("_why is null").join(ranked, ["source", "incident"]).select("source", "id", "rank", "pids")
+    hits = attribution_hits(own, scored.where("_why is null"))
+    out = answers.select("source", "id", "skipped").join(scored.select("source", "id", "_why", "incident"), ["source", "id"], "left").join(hits, ["source", "id"], "left")
+    return out.select("source", "id", F.coalesce("skipped", "_why").alias("skipped"), "incident", "hit_rank")
+
+
 def attribution_hits(contributors: DataFrame, answers: DataFrame) -> DataFrame:
     """(source, id, hit_rank): rank of the first contributor whose pids meet the answer's (source, id, answer_pids); null for none."""
-    met = answers.join(contributors.select("source", "id", "rank", "pids"), ["source", "id"], "left")
+    met = answers.select("source", "id", "answer_pids").join(contributors.select("source", "id", "rank", "pids"), ["source", "id"], "left")
     return met.groupBy("source", "id").agg(F.min(F.when(F.arrays_overlap("pids", "answer_pids"), F.col("rank"))).alias("hit_rank"))
 
 
+def scoreboard(scored: DataFrame, window: tuple[float, float], at: float, notes: str = "") -> DataFrame:
+    """One row a detector over all sources, best first: counts added up, rates of the sums, ready to be appended to a history of runs."""
+    sums = scored.groupBy("detector").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.expr("percentile(latency, 0.5)").alias("latency"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = sums.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
+    out = out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return out.select(F.lit(float(at)).alias("ts"), "detector", F.lit(float(window[0])).alias("window_start"), F.lit(float(window[1])).alias("window_end"), "tp", "fp", "fn", "precision", "recall", "f1", "latency", F.lit(notes).alias("notes")).orderBy(F.desc("f1"), "detector")
+
+
 def attribution_rates(hits: DataFrame, least: int = 7, passing: float = 0.85) -> DataFrame:
     """n, top1, top3 and verdict (null below ``least`` samples)."""
     out = hits.agg(F.count("*").alias("n"), F.avg((F.coalesce("hit_rank", F.lit(99)) == 1).cast("int")).alias("top1"), F.avg((F.coalesce("hit_rank", F.lit(99)) <= 3).cast("int")).alias("top3"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import attributable, group_key
+from ..functions.columns import attributable, group_key, incident_report, incident_title
+from ..session import cut
 from .baseline import median_by, sigma_of
 from .joins import in_spans
 
@@ -132,11 +134,36 @@ def choose_kind(classified: DataFrame, trigger: str = "trigger_metric", ratio: f
     return classified.withColumn("bottleneck", F.when(beaten, F.col("bottleneck")).otherwise(own)).withColumn("overridden_from", F.when(beaten & own.isNotNull() & top.isNotNull(), own))
 
 
+#: Kinds that a detector's claim wins over: the machine as a whole shows nothing, or nothing that names a resource.
+CLAIM_WINS_OVER = ("NONE", "CONTENTION")
+#: What a claim's metric and a bottleneck's kind are traced by.
+CLAIM_RESOURCE: Mapping[str, str] = {"handles": "handles", "rss_mb": "memory"}
+KIND_RESOURCE: Mapping[str, str] = {"IO": "io", "MEMORY": "memory"}
+# What a bottleneck is called.
+KIND_LABELS: Mapping[str, str] = {"CPU": "CPU saturated", "IO": "disk waits", "MEMORY": "memory short", "GPU": "GPU saturated", "THERMAL": "thermal throttling", "CONTENTION": "contention", "NONE": "no bottleneck"}
+
+
 def detector_claim(incident_signals: DataFrame, signals: DataFrame) -> DataFrame:
-    """(source, incident_id, claim): metric, process, explanation and duration of the incident's best leak signal, the earliest on a tie."""
-    met = incident_signals.select("source", "incident_id", "ts", "detector").join(signals.select("source", "ts", "detector", F.col("score").alias("s"), "metric", "process", "explanation", "duration_s").where("metric is not null"), ["source", "ts", "detector"])
-    best = F.max_by(F.struct("metric", "process", "explanation", "duration_s"), F.struct("s", -F.col("ts")))
-    return met.groupBy("source", "incident_id").agg(best.alias("claim"))
+    """(source, incident_id, claim, triggers): metric, process, explanation, duration and time of the incident's best signal about a process's
+    resource (the earliest of equals; null without one), and the rules that fired, in order of their first signal."""
+    said = signals.select("source", "ts", "detector", F.col("score").alias("s"), "metric", "process", "explanation", "duration_s", F.coalesce("rules", F.array().cast("array<string>")).alias("rules") if "rules" in signals.columns else F.array().cast("array<string>").alias("rules"))
+    met = incident_signals.select("source", "incident_id", "ts", "detector").join(said, ["source", "ts", "detector"])
+    best = F.max_by(F.struct("metric", "process", "explanation", "duration_s", F.col("ts").alias("at")), F.when(F.col("metric").isin(*CLAIM_RESOURCE), F.struct(F.coalesce("s", F.lit(0.0)), -F.col("ts")))).alias("claim")
+    names = met.select("source", "incident_id", "ts", F.posexplode("rules").alias("place", "rule")).groupBy("source", "incident_id", "rule").agg(F.min(F.struct("ts", "place")).alias("first"))
+    triggers = names.groupBy("source", "incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "rule"))), lambda r: r["rule"]).alias("triggers"))
+    return met.groupBy("source", "incident_id").agg(best).join(triggers, ["source", "incident_id"], "left").withColumn("triggers", F.coalesce("triggers", F.array().cast("array<string>")))
+
+
+def resource_of(kind: Column, claim_wins: Column, metric: Column) -> Column:
+    """The resource that an incident's contributors are found by: the claim's if it wins, else the bottleneck's, else the CPU."""
+    lookup = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.when(claim_wins, F.element_at(lookup(CLAIM_RESOURCE), metric)).otherwise(F.coalesce(F.element_at(lookup(KIND_RESOURCE), kind), F.lit("cpu")))
+
+
+def evidence_lines(peaks: DataFrame, columns: Sequence[str]) -> Column:
+    """A line for each metric that stands three sigmas or more from what was usual, farthest first: ``metric usual -> value (z sigma)``."""
+    lines = [F.when(F.abs(F.col(f"{c}_z")) >= 3, F.struct(-F.abs(F.col(f"{c}_z")), F.format_string("%s %.1f -> %.1f (%.1f sigma)", F.lit(c), F.col(f"{c}_median"), F.col(c).cast("double"), F.col(f"{c}_z")).alias("line"))) for c in columns]
+    return F.transform(F.array_sort(F.array_compact(F.array(*lines))), lambda x: x["line"]) if lines else F.array().cast("array<string>")
 
 
 def _shares(deltas: DataFrame, top: int) -> DataFrame:
@@ -187,29 +214,51 @@ def lead_time(contributors: DataFrame, incidents: DataFrame, processes: DataFram
     return out.select("source", "id", F.col("contributor").alias("name"), F.when(F.col("reached") > F.col("first"), F.col("start") - F.col("reached")).alias("lead_s"))
 
 
-def analyze(incidents: DataFrame, metrics: DataFrame, processes: DataFrame, gpu: DataFrame | None = None) -> DataFrame:
-    """Incidents (with ``trigger_metric``) with refined bounds, bottleneck, and contributors by the bottleneck's resource.
-
-    IO is told by bytes read and written, MEMORY by what programs hold more (a stock), every other kind by CPU, for which
-    ``attributable`` says whether it names a cause.
+def traced(spans: DataFrame, processes: DataFrame, before: tuple[float, float] = (210.0, 30.0), top: int = 8) -> DataFrame:
+    """(source, id, rank, name, share, delta, after, pids, is_new, lead_s) for spans (source, id, start, end, resource): CPU and bytes
+    read and written as flows, memory and handles as stocks. A resource that ``processes`` has no column for names nobody."""
+    traffic = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("io_read_bps", "io_write_bps") if c in processes.columns]
+    rows = processes.withColumn("io_bps", sum(traffic[1:], traffic[0])) if traffic else processes
+    parts = []
+    for resource, column, stock in (("cpu", "cpu_percent", False), ("io", "io_bps", False), ("memory", "rss_mb", True), ("handles", "handles", True)):
+        if column not in rows.columns:
+            continue
+        own = spans.where(F.col("resource") == resource).drop("resource")
+        found = stock_contributors(own, rows, column, before[0], top) if stock else flow_contributors(own, rows, column, before, top)
+        parts.append(found.join(lead_time(found, own, rows, column), ["source", "id", "name"], "left").select("source", "id", "rank", "name", "share", "delta", "after", "pids", "is_new", "lead_s"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def analyze(incidents: DataFrame, metrics: DataFrame, processes: DataFrame, gpu: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """Incidents (with ``trigger_metric``) analysed: start, end, bottleneck, overridden_from, scores, claim_wins, resource, attributable,
+    contributors, evidence, triggers, title and report.
+
+    The bottleneck comes from the machine's metrics at the peak against the time before. Where these name no resource and a detector
+    (``claims``: ``detector_claim``'s rows) has named a process and its resource, the claim wins: contributors are found by its resource,
+    the start goes back by the time for which the detector counted, and its sentence is the title. A claim yields to every other
+    bottleneck, hardware states too. An incident without metrics has no bottleneck, title and report.
     """
     bounds = refined_bounds(incidents, metrics)
     columns = [c for c in ("cpu_total", "disk_resp_ms", "disk_queue", "mem_percent", "swap_used_mb", "ctx_switches_ps", "cpu_perf_percent") if c in metrics.columns]
     peaks = peak_and_prior(incidents, metrics, columns)
     peaks = peaks if gpu is None else with_gpu(peaks, incidents, gpu)
-    traffic = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("io_read_bps", "io_write_bps") if c in processes.columns]
-    processes = processes.withColumn("io_bps", sum(traffic[1:], traffic[0])) if traffic else processes
-    kinds = choose_kind(classify(peaks.join(incidents.select("source", "id", "trigger_metric"), ["source", "id"])))
-    of_kind = bounds.join(kinds.select("source", "id", "bottleneck"), ["source", "id"], "left").withColumn("bottleneck", F.coalesce("bottleneck", F.lit("NONE")))
-    parts = []
-    for condition, column, find in ((F.col("bottleneck") == "IO", "io_bps", flow_contributors), (F.col("bottleneck") == "MEMORY", "rss_mb", stock_contributors), (~F.col("bottleneck").isin("IO", "MEMORY"), "cpu_percent", flow_contributors)):
-        own = of_kind.where(condition).drop("bottleneck")
-        found = find(own, processes, column)
-        parts.append(found.join(lead_time(found, own, processes, column), ["source", "id", "name"], "left").select("source", "id", "rank", "name", "share", "delta", "after", "pids", "lead_s", "is_new"))
+    kinds = choose_kind(classify(peaks.join(incidents.select("source", "id", "trigger_metric"), ["source", "id"]))).withColumn("evidence", evidence_lines(peaks, columns))
+    own = bounds.join(kinds.select("source", "id", "bottleneck", "overridden_from", "scores", "evidence"), ["source", "id"], "left")
+    if claims is None:
+        own = own.withColumn("claim", F.lit(None).cast("struct<metric:string,process:string,explanation:string,duration_s:double,at:double>")).withColumn("triggers", F.array().cast("array<string>"))
+    else:
+        own = own.join(claims.withColumnRenamed("incident_id", "id"), ["source", "id"], "left")
+    wins = F.coalesce(F.col("bottleneck").isin(*CLAIM_WINS_OVER) & F.col("claim").isNotNull(), F.lit(False))
+    own = own.withColumn("claim_wins", wins).withColumn("resource", resource_of(F.col("bottleneck"), F.col("claim_wins"), F.col("claim.metric")))
+    back = F.when(F.col("claim_wins") & (F.col("claim.duration_s") > 0), F.col("claim.at") - F.col("claim.duration_s"))
+    own = cut(own.withColumn("start", F.least("start", back)).withColumn("attributable", F.col("claim_wins") | attributable(F.col("bottleneck"))))
     entry = F.struct("rank", "name", "share", "delta", "after", "pids", "lead_s", "is_new")
-    named = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "id").agg(F.array_sort(F.collect_list(entry)).alias("contributors"))
-    out = bounds.join(kinds.select("source", "id", "bottleneck", "overridden_from", "scores"), ["source", "id"], "left")
-    return out.withColumn("attributable", attributable(F.col("bottleneck"))).join(named, ["source", "id"], "left")
+    named = traced(own.select("source", "id", "start", "end", "resource"), processes).groupBy("source", "id").agg(F.array_sort(F.collect_list(entry)).alias("contributors"))
+    out = own.join(named, ["source", "id"], "left")
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in KIND_LABELS.items() for x in pair)), F.col("bottleneck"))
+    sentence = F.col("claim_wins") & (F.coalesce(F.col("claim.explanation"), F.lit("")) != "")
+    out = out.withColumn("title", F.when(F.col("bottleneck").isNotNull(), incident_title(sentence, F.col("claim.explanation"), label, F.col("attributable"), F.col("contributors"), F.col("evidence"))))
+    return incident_report(out).drop("claim")
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
