@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import backward, in_spans
+
 
 def counter_rate(samples: DataFrame, value: str, out: str, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Adds ``out``: change a second since the sample before; null on the first, on no time passed and on a counter that fell."""
@@ -51,7 +53,9 @@ def unclean_shutdowns(lifecycle: DataFrame, traces: DataFrame, boots: DataFrame,
     """Startups without an end before the next: (source, startup, ts of the last trace row, cause reboot or crash by the boot times)."""
     order = Window.partitionBy("source").orderBy("ts")
     open_ = lifecycle.where(F.col("event").isin("startup", "shutdown", "unclean_shutdown")).withColumn("next_event", F.lead("event").over(order)).withColumn("next_ts", F.lead("ts").over(order)).where("event = 'startup' and (next_event = 'startup' or next_event is null)").select("source", F.col("ts").alias("startup"), F.coalesce("next_ts", F.lit(float("inf"))).alias("until"))
-    last = open_.join(traces.select("source", F.col("ts").alias("trace")), "source").where("trace >= startup and trace < until").groupBy("source", "startup", "until").agg(F.max("trace").alias("ts"))
+    # The last trace row before the next event, by one pass over both; it counts if it comes after the startup.
+    marks = traces.select("source", "ts", F.col("ts").alias("trace"))
+    last = backward(open_.withColumn("ts", F.col("until") - 1e-6), marks, "trace").where("trace >= startup").select("source", "startup", "until", F.col("trace").alias("ts"))
     booted = last.join(boots.select("source", "boot_time"), "source", "left")
     between = (F.col("boot_time") > F.col("ts") - tolerance) & (F.col("boot_time") <= F.col("until") + tolerance)
     return booted.groupBy("source", "startup", "ts").agg(F.when(F.max(between.cast("int")) == 1, "reboot").otherwise("crash").alias("cause"))
@@ -60,8 +64,6 @@ def unclean_shutdowns(lifecycle: DataFrame, traces: DataFrame, boots: DataFrame,
 def with_suspect(ticks: DataFrame, events: DataFrame, after: float = 30.0, before: float = 1.0, step: float = 10.0) -> DataFrame:
     """Adds ``suspect``: close behind a gap or startup, or long after the tick before."""
     marks = events.where(F.col("event").isin("time_gap", "startup")).select("source", (F.col("ts") - before).alias("lo"), (F.col("ts") + after).alias("hi"))
-    from .joins import in_spans
-
     near = in_spans(ticks, marks, how="left_semi").select("source", "ts").distinct().withColumn("_near", F.lit(True))
     late = F.col("ts") - F.lag("ts").over(Window.partitionBy("source").orderBy("ts")) > step
     return ticks.withColumn("_late", late).join(near, ["source", "ts"], "left").withColumn("suspect", F.coalesce("_near", F.lit(False)) | F.coalesce("_late", F.lit(False))).drop("_near", "_late")

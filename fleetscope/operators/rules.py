@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_ci, severity_rank
+from ..session import cut
 from .baseline import spaced
 
 
@@ -137,12 +138,14 @@ Detector = Callable[[DataFrame], DataFrame]
 
 
 def run_detectors(ticks: DataFrame, detectors: Mapping[str, Detector]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All detectors' signals over one shared input, and what went wrong while planning any of them; the others still run."""
+    """All detectors' signals over one shared input, and what went wrong with any of them, while planning or while running; the others still run.
+
+    Each detector is a job of its own whose signals are written before the next begins, so that one that fails takes no other with it.
+    """
     out, failed = None, {}
     for name, detector in detectors.items():
         try:
-            signals = detector(ticks).withColumn("detector", F.lit(name)).select("source", "ts", "detector", "score", "severity")
-            signals.schema  # noqa: B018
+            signals = cut(detector(ticks).withColumn("detector", F.lit(name)).select("source", "ts", "detector", "score", "severity"))
         except Exception as error:  # a broken detector must not stop the others
             failed[name] = str(error).splitlines()[0]
             continue

@@ -193,3 +193,13 @@ def test_descendants_of_chains_cycles_and_reused_pids(spark):
     starts = spark.createDataFrame([("h", 5, 1, 10.0), ("h", 9, 5, 20.0), ("h", 5, 1, 30.0), ("h", 9, 5, 40.0), ("h", 8, 5, 5000.0)], "source string, pid long, ppid long, ts double")
     parents = {(r["pid"], r["ts"]): r["parent_ts"] for r in joins.process_parents(starts, 3600.0).collect()}
     assert parents == {(5, 10.0): None, (9, 20.0): 10.0, (5, 30.0): None, (9, 40.0): 30.0, (8, 5000.0): None}
+
+
+def test_a_detector_that_fails_while_running_stops_no_other(spark):
+    ticks = spark.createDataFrame([("h", float(t), 50.0) for t in range(5)], "source string, ts double, v double")
+
+    def breaks(df):
+        return df.select("source", "ts", F.raise_error(F.lit("broken inside")).cast("double").alias("score"), F.lit("info").alias("severity"))
+
+    found, failed = rules.run_detectors(ticks, {"all": rules.always, "bad": breaks, "unplanned": lambda df: df.select("nothing"), "limit": lambda df: rules.fixed_threshold(df, "v", 40.0, 2.0)})
+    assert {r["detector"]: r["count"] for r in found.groupBy("detector").count().collect()} == {"all": 5, "limit": 3} and set(failed) == {"bad", "unplanned"}
