@@ -23,7 +23,7 @@ from ..functions.columns import severity_rank
 from ..session import written
 from .baseline import Baseline, carried_stats, sigma_of
 from .order_stats import sorted_groups, window_stats
-from .rules import Rule, evidence, explained, rule_truth, score
+from .rules import Rule, evidence, explained, gap_segments, rule_truth, score
 
 #: Names in a condition's expression.
 F_NAMES = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
@@ -269,15 +269,19 @@ def with_axes(ticks: DataFrame, relative: Sequence[str], setup: Setup) -> DataFr
     return out
 
 
-def rule_detector(ticks: DataFrame, rules: Sequence[Rule], setup: Setup = Setup(), detector: str = "rules") -> DataFrame:
+def rule_detector(ticks: DataFrame, rules: Sequence[Rule], setup: Setup = Setup(), detector: str = "rules", gaps: DataFrame | None = None) -> DataFrame:
     """(source, ts, detector, score, severity, rule, fired, sustained_s, explanation, evidence): one signal for each tick on which rules fire.
 
     ``ticks`` has (source, ts) and raw metrics, for the program axis ``foreground_program``, and any machine variables that
     rules name; what a rule names and no column has counts as unknown. Conditions may name ``m_median``, ``m_mad``,
     ``m_sigma``, ``m_least``, ``m_most`` and, for gated metrics, ``m_load_*``. The most severe rule that fires speaks for the
     tick, the first of equals; its score and evidence compare each of its metrics with the usual window, whatever the
-    program. Suspect ticks and ticks without a time are passed over. A tick's own values are learnt before it is judged.
+    program. At ``gaps`` (source, ts), jumps in time, all that was learnt, held and fired is dropped: what lies between two of
+    them is a source of its own. Suspect ticks and ticks without a time are passed over. A tick's own values are learnt before it is judged.
     """
+    if gaps is not None:
+        parts = gap_segments(ticks.where("ts is not null"), gaps).withColumn("source", F.struct("source", "segment")).drop("segment")
+        return rule_detector(parts, rules, setup, detector).withColumn("source", F.col("source.source"))
     numeric, relative = numeric_metrics(rules), relative_metrics(rules)
     own = ticks.where(F.col("ts").isNotNull())
     own = own.where(~F.coalesce("suspect", F.lit(False))).drop("suspect") if "suspect" in ticks.columns else own

@@ -109,6 +109,26 @@ def test_a_hold_over_whole_chunks_and_its_cooldown(spark):
     assert got == [float(t) for t in range(first, 2000, 130)]
 
 
+@pytest.mark.parametrize("chunk", [300.0, 1e6])
+def test_nothing_runs_on_over_a_gap_in_time(spark, chunk):
+    rows = [("h", float(t), 1.0, 9.0, None, False, 0.0, None) for t in range(0, 2000)]
+    gaps = spark.createDataFrame([("h", 400.5), ("h", 900.0), ("h", 905.0), ("other", 700.0)], "source string, ts double")
+    rule = (Rule("long", (Condition("y", ">", "5"),), 350, 10_000, "info"), Rule("short", (Condition("y", ">", "5"),), 100, 200, "info"))
+    got = {r["ts"]: (r["fired"], r["sustained_s"]) for r in detect.rule_detector(spark.createDataFrame(rows, SCHEMA), rule, setup(chunk, False), gaps=gaps).collect()}
+    want = {}
+    for lo, hi in ((0, 401), (401, 900), (900, 905), (905, 2000)):
+        last = [None, None]
+        # Twenty ticks of a part are learnt before anything holds.
+        for t in range(lo + 19, hi):
+            held = t - (lo + 19)
+            fired = [k for k in (0, 1) if held >= rule[k].hold and (last[k] is None or t - last[k] >= rule[k].cooldown)]
+            for k in fired:
+                last[k] = t
+            if fired:
+                want[float(t)] = ([rule[k].name for k in fired], held)
+    assert got == want and any("long" in f for f, _ in want.values())
+
+
 def test_no_ticks_and_ticks_without_a_time(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert detect.rule_detector(empty, RULES, setup(300.0, True)).count() == 0
