@@ -154,5 +154,5 @@ def load_gated(samples: DataFrame, value: str, gate: str, least: float, keys: Se
 def observed_seconds(ticks: DataFrame, keys: Sequence[str] = ("source",), factor: float = 3.0) -> DataFrame:
     """Sum of the gaps that are no longer than ``factor`` times the median gap."""
     gaps = ticks.withColumn("_g", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts")) - F.col("ts")).where("_g is not null")
-    median = gaps.groupBy(*keys).agg(F.expr("percentile(_g, 0.5)").alias("_m"))
+    median = median_by(gaps, keys, "_g", "_m")
     return gaps.join(median, list(keys)).groupBy(*keys).agg(F.sum(F.when(F.col("_g") <= factor * F.col("_m"), F.col("_g"))).alias("seconds"))

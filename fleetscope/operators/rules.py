@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_ci, severity_rank
+from ..functions.columns import SEVERITIES, contains_ci, severity_rank, valid_expression
 from ..session import cut
 from .baseline import spaced
 
@@ -36,6 +36,55 @@ class Rule:
     metrics: Sequence[str] = field(default=())
 
 
+OPS = (">", ">=", "<", "<=", "==", "!=", "contains", "not_contains")
+_UNITS = {"": 1.0, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86_400.0}
+
+
+def seconds_of(text: str | float) -> float:
+    """Seconds of a number, or of a text such as 30s, 10m, 1.5h; ValueError for any other."""
+    found = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([smhd]?)\s*", str(text))
+    if not found:
+        raise ValueError(f"no duration: {text!r}")
+    return float(found[1]) * _UNITS[found[2]]
+
+
+def rules_from(entries: Sequence[Mapping], ticks: DataFrame) -> tuple[Rule, ...]:
+    """Rules from plain entries (name, when: {all or any: [{metric, op, value}]}, for, cooldown, severity, explain), all of them checked.
+
+    A value that is no number is a SQL expression over the columns of ``ticks`` and the baselines ``m_median``, ``m_mad``,
+    ``m_sigma``, ``m_least``, ``m_most`` and ``m_load_*`` of the compared metrics; it is resolved against them before any job
+    starts. ValueError names the rule and what is wrong with it.
+    """
+    out = []
+    for k, entry in enumerate(entries):
+        name = entry.get("name") or f"rule {k + 1}"
+        try:
+            when = entry.get("when") or {}
+            mode = next((m for m in ("all", "any") if m in when), None)
+            if mode is None or not when[mode]:
+                raise ValueError("no conditions under all or any")
+            conditions = tuple(Condition(str(c["metric"]), str(c["op"]), str(c["value"])) for c in when[mode])
+            if unknown := [c.op for c in conditions if c.op not in OPS]:
+                raise ValueError(f"unknown operator {unknown[0]!r}")
+            severity = entry.get("severity", "warning")
+            if severity not in SEVERITIES:
+                raise ValueError(f"unknown severity {severity!r}")
+            rule = Rule(name, conditions, seconds_of(entry.get("for", "30s")), seconds_of(entry.get("cooldown", "10m")), severity, mode, entry.get("explain", ""))
+            axes = [F.lit(None).cast("double").alias(f"{m}_{p}") for m in dict.fromkeys(c.metric for c in conditions) for p in ("median", "mad", "sigma", "least", "most", "load_median", "load_mad", "load_sigma")]
+            known = ticks.limit(0).select("*", *axes)
+            for c in conditions:
+                if c.metric not in ticks.columns:
+                    raise ValueError(f"unknown metric {c.metric!r}")
+                if c.op not in ("contains", "not_contains") and not valid_expression(known, c.value):
+                    raise ValueError(f"no expression over the ticks: {c.value!r}")
+        except (KeyError, TypeError) as error:
+            raise ValueError(f"{name}: {error!r}") from error
+        except ValueError as error:
+            raise ValueError(f"{name}: {error}") from error
+        out.append(rule)
+    return tuple(out)
+
+
 def truth(condition: Condition) -> Column:
     left = F.col(condition.metric)
     if condition.op in ("contains", "not_contains"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import band, bucket_of, epoch, severity_name
 from ..operators import baseline, decide, derive, evaluate, explain, history, intervals, joins, leak, rollup, rules, usage
-from . import boards, dashboards, detection, detectors, incidents, leaks, library
+from . import boards, dashboards, detection, detectors, incidents, leaks, library, reading
 from .base import DAY, DAYS, HOUR, START, H, S, as_long, host_of, islands_sql, rounded, samples
 
 def rollup_hourly(spark, sf_dir):
@@ -305,5 +305,5 @@ ORACLE_SQL: dict[str, str] = {
     "gap_markers": f"WITH {S}, d AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) - ts AS g FROM s), t AS (SELECT source, list_sort(list(g))[count(g) // 2 + 1] AS u FROM d WHERE g IS NOT NULL GROUP BY 1 HAVING count(g) >= 2) SELECT d.source, round(ts + u, 3) AS ts FROM d JOIN t ON t.source = d.source WHERE g > 5 * u",
     "table_inventory": 'SELECT \'events\' AS "table", CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last, count(*) AS rows FROM events UNION ALL SELECT \'orders\', CAST(floor(min(epoch(o_orderdate))) AS BIGINT), CAST(floor(max(epoch(o_orderdate))) AS BIGINT), count(*) FROM orders',
 }
-QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES | incidents.QUERIES | leaks.QUERIES | library.QUERIES
-ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL | incidents.ORACLE_SQL | leaks.ORACLE_SQL | library.ORACLE_SQL
+QUERIES |= boards.QUERIES | detection.QUERIES | detectors.QUERIES | incidents.QUERIES | leaks.QUERIES | library.QUERIES | reading.QUERIES
+ORACLE_SQL |= boards.ORACLE_SQL | detection.ORACLE_SQL | detectors.ORACLE_SQL | incidents.ORACLE_SQL | leaks.ORACLE_SQL | library.ORACLE_SQL | reading.ORACLE_SQL

@@ -47,6 +47,31 @@ def live_signals(signals: DataFrame, limit: int = 200) -> DataFrame:
     return signals.where("run_id is null").orderBy(F.desc("ts"), "detector").limit(limit)
 
 
+def rollup_state(progress: DataFrame, now: float) -> DataFrame:
+    """(name, upto, lag_minutes) of rollups: how far each table (name, hi: the end of a commit) has come, and how long ago that is; a table without commits has nulls."""
+    return progress.groupBy("name").agg(F.max("hi").alias("upto")).withColumn("lag_minutes", (now - F.col("upto")) / 60)
+
+
+def exports_and_span(exports: DataFrame, warm_days: DataFrame) -> DataFrame:
+    """(source, exports, exported_rows, first_day, last_day, days, missing_days): what has been exported (source, day, rows) beside the days that the warm tier has (source, day)."""
+    made = exports.groupBy("source").agg(F.count("*").alias("exports"), F.sum("rows").alias("exported_rows"))
+    span = warm_days.distinct().groupBy("source").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
+    out = made.join(span, "source", "full_outer").fillna(0, ["exports", "exported_rows", "days"])
+    return out.withColumn("missing_days", F.datediff("last_day", "first_day") + 1 - F.col("days"))
+
+
+def incident_signals(links: DataFrame, signals: DataFrame, limit: int = 50) -> DataFrame:
+    """(source, incident_id, ts, detector, score, rank): an incident's latest signals, best first at a time; a top-k report."""
+    met = links.select("source", "incident_id", "ts", "detector").join(signals.select("source", "ts", "detector", "score"), ["source", "ts", "detector"])
+    order = Window.partitionBy("source", "incident_id").orderBy(F.desc("ts"), F.desc("score"), "detector")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def shares(report: DataFrame, part: str, whole: str, name: str = "share") -> DataFrame:
+    """Adds ``name``: ``part`` of ``whole``, null where nothing was observed."""
+    return report.withColumn(name, F.try_divide(F.col(part), F.when(F.col(whole) > 0, F.col(whole))))
+
+
 def _during(incidents: DataFrame, faults: DataFrame) -> DataFrame:
     spans = incidents.select("source", "id", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
     marks = faults.select("source", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
@@ -134,6 +159,8 @@ def observer_alert(telemetry: DataFrame) -> DataFrame:
 def break_gaps(series: DataFrame, keys: Sequence[str] = ("source",), factor: float = 3.0) -> DataFrame:
     """The series (keys, ts, value) with a null point one typical step (upper median) after each point that a step over ``factor`` times it follows."""
     step = series.withColumn("_next", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts"))).withColumn("_step", F.col("_next") - F.col("ts"))
-    typical = step.where("_step is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("_step")).alias("_s")).where(F.size("_s") >= 2).select(*keys, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("_typical"))
+    own = Window.partitionBy(*keys)
+    ranked = step.where("_step is not null").withColumn("_n", F.count("*").over(own)).withColumn("_i", F.row_number().over(own.orderBy("_step")))
+    typical = ranked.where((F.col("_n") >= 2) & (F.col("_i") == F.floor(F.col("_n") / 2) + 1)).select(*keys, F.col("_step").alias("_typical"))
     added = step.join(typical, list(keys)).where(F.col("_step") > factor * F.col("_typical")).select(*keys, (F.col("ts") + F.col("_typical")).alias("ts"), F.lit(None).cast("double").alias("value"))
     return series.select(*keys, "ts", "value").unionByName(added)

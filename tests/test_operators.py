@@ -203,3 +203,14 @@ def test_a_detector_that_fails_while_running_stops_no_other(spark):
 
     found, failed = rules.run_detectors(ticks, {"all": rules.always, "bad": breaks, "unplanned": lambda df: df.select("nothing"), "limit": lambda df: rules.fixed_threshold(df, "v", 40.0, 2.0)})
     assert {r["detector"]: r["count"] for r in found.groupBy("detector").count().collect()} == {"all": 5, "limit": 3} and set(failed) == {"bad", "unplanned"}
+
+
+def test_rules_are_checked_before_any_job(spark):
+    ticks = spark.createDataFrame([], "source string, ts double, cpu double, note string, cores double")
+    good = {"name": "hot", "when": {"all": [{"metric": "cpu", "op": ">", "value": "cpu_median + 4 * cpu_sigma"}, {"metric": "cpu", "op": ">", "value": 60}, {"metric": "note", "op": "contains", "value": "X"}]}, "for": "90s", "cooldown": "1.5h", "severity": "critical"}
+    rule = rules.rules_from([good, {"when": {"any": [{"metric": "cpu", "op": "<", "value": "cores * 2"}]}}], ticks)
+    assert [(r.name, r.hold, r.cooldown, r.severity, r.mode) for r in rule] == [("hot", 90.0, 5400.0, "critical", "all"), ("rule 2", 30.0, 600.0, "warning", "any")]
+    one = lambda **c: {"name": "bad", "when": {"all": [{"metric": "cpu", "op": ">", "value": "1"} | c]}}
+    for entry, word in ((one(op="=~"), "operator"), (one(value="nothing + 1"), "expression"), (one(value="1 +"), "expression"), (one(metric="gpu"), "metric"), (one() | {"severity": "loud"}, "severity"), (one() | {"for": "soon"}, "duration"), ({"name": "bad"}, "conditions"), ({"name": "bad", "when": {"all": [{"op": ">"}]}}, "metric")):
+        with pytest.raises(ValueError, match=f"bad.*{word}"):
+            rules.rules_from([entry], ticks)
