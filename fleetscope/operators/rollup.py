@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,11 +88,16 @@ def metrics_1m(metrics: DataFrame, gpu: DataFrame, processes: DataFrame, gaps: D
     return out.withColumn("has_gap", F.coalesce("_gap", F.lit(False))).drop("_gap")
 
 
-def process_rollup(processes: DataFrame, size: float = 300.0, top: int = 20, value: str = "cpu_percent", second: str = "rss_mb", pid: str = "pid", places: int = 3) -> DataFrame:
-    """Two stages: sums over the pids of a name at each tick, then statistics per (source, bucket, name); the leaders by mean ``value`` and by largest ``second`` stay."""
-    ticks = processes.groupBy("source", "name", "ts").agg(F.sum(value).alias("_v"), F.sum(second).alias("_w"), F.countDistinct(pid).alias("_pids"))
+def process_rollup(processes: DataFrame, size: float = 300.0, top: int = 20, value: str = "cpu_percent", second: str = "rss_mb", pid: str = "pid", places: int = 3, further: Sequence[str] = ()) -> DataFrame:
+    """Two stages: sums over the pids of a name at each tick, then statistics per (source, bucket, name); the leaders by mean ``value`` and by largest ``second`` stay.
+
+    Each of ``further`` (bytes read and written, handles, threads) gives its sums' mean and largest, as ``{name}_mean`` and ``{name}_max``.
+    """
+    sums = [F.sum(c).alias(f"_f{k}") for k, c in enumerate(further)]
+    ticks = processes.groupBy("source", "name", "ts").agg(F.sum(value).alias("_v"), F.sum(second).alias("_w"), F.countDistinct(pid).alias("_pids"), *sums)
     stats = ticks.groupBy("source", bucket_of(F.col("ts"), size).alias("bucket"), "name").agg(
-        F.count("*").alias("sample_count"), mean3("_v", places).alias("value_mean"), pct_index("_v", 0.5).alias("value_p50"), pct_index("_v", 0.95).alias("value_p95"), pct_index("_v", 0.99).alias("value_p99"), max3("_v").alias("value_max"), mean3("_w", places).alias("second_mean"), max3("_w").alias("second_max"), F.max("_pids").alias("pids_max")
+        F.count("*").alias("sample_count"), mean3("_v", places).alias("value_mean"), pct_index("_v", 0.5).alias("value_p50"), pct_index("_v", 0.95).alias("value_p95"), pct_index("_v", 0.99).alias("value_p99"), max3("_v").alias("value_max"), mean3("_w", places).alias("second_mean"), max3("_w").alias("second_max"), F.max("_pids").alias("pids_max"),
+        *(x for k, c in enumerate(further) for x in (mean3(f"_f{k}", places).alias(f"{c}_mean"), max3(f"_f{k}").alias(f"{c}_max"))),
     )
     bucket = Window.partitionBy("source", "bucket")
     a = F.row_number().over(bucket.orderBy(F.col("value_mean").desc_nulls_last(), "name"))

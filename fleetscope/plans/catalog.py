@@ -28,8 +28,8 @@ def dominant_and_top(spark, sf_dir):
 
 
 def two_stage_rollup(spark, sf_dir):
-    s = samples(spark, sf_dir).select(F.lit("all").alias("source"), bucket_of(F.col("ts"), HOUR).alias("ts"), "pid", F.col("source").alias("name"), "value", F.abs("value").alias("size"))
-    return as_long(rollup.process_rollup(s, 6 * HOUR, 2, "value", "size", places=6), "bucket")
+    s = samples(spark, sf_dir).select(F.lit("all").alias("source"), bucket_of(F.col("ts"), HOUR).alias("ts"), "pid", F.col("source").alias("name"), "value", F.abs("value").alias("size"), (F.col("id") % 97).alias("handles"), (F.col("pid") % 5).alias("threads"))
+    return as_long(rollup.process_rollup(s, 6 * HOUR, 2, "value", "size", places=6, further=("handles", "threads")), "bucket", "handles_max", "threads_max")
 
 
 def distinct_activity(spark, sf_dir):
@@ -168,9 +168,10 @@ def cooled_rule(spark, sf_dir):
 
 
 def drift(spark, sf_dir):
-    s = samples(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / DAY).cast("long")).withColumn("load", F.lit(100.0))
-    levels = leak.daily_load_median(s, "value", "load", 80, 20)
-    return rounded(leak.drift(levels, -1e9), "recent_level", "usual_level", "rise", "score")
+    """Kinds whose level under load (twice the value) rose by one or more in the last three days that have load enough."""
+    s = samples(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / DAY).cast("long")).withColumn("load", F.col("value") * 2)
+    levels = leak.daily_load_median(s, "value", "load", 80, 2)
+    return rounded(leak.drift(levels, 1.0), "recent_level", "usual_level", "rise", "score")
 
 
 def fusion(spark, sf_dir):
@@ -222,10 +223,12 @@ def threshold_sweep(spark, sf_dir):
 
 
 def label_rates(spark, sf_dir):
+    """Documents as incidents: users' answers, automatic ones by language, and two sources during faults, where automatic ones don't count."""
     d, lab = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
-    met = d.select("doc_id", "source").join(lab, "doc_id", "left")
-    user = F.when(F.col("toxic") == 1, "real").when(F.col("quality") == 1, "normal")
-    i = met.select("source", user.alias("user_label"), F.lit(None).cast("string").alias("auto_label"), F.lit(False).alias("during_injection"))
+    met = d.select("doc_id", "source", "lang").join(lab, "doc_id", "left")
+    user = F.when(F.col("toxic") == 1, "real").when(F.col("quality") == 1, "normal").when(F.col("quality") == 0, "unknown")
+    auto = F.when(F.col("lang") == "de", "normal").when(F.col("lang") == "fr", "real")
+    i = met.select("source", user.alias("user_label"), auto.alias("auto_label"), F.col("source").isin("src1", "src2").alias("during_injection"))
     return rounded(dashboards.false_positive_rate(i), "rate", places=6)
 
 
@@ -266,7 +269,7 @@ SEVERITY = "['info', 'warning', 'critical']"
 ORACLE_SQL: dict[str, str] = {
     "rollup_hourly": f"WITH {S} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(value) AS n, round(avg(value), 6) AS mean, round(max(value), 3) AS max, round(stddev_pop(value), 6) AS std, round(list_sort(list(value))[CAST(round_even(0.95 * (count(value) - 1), 0) AS BIGINT) + 1], 3) AS p95, round(quantile_disc(value, 0.5), 3) AS p50 FROM s GROUP BY 1, 2",
     "dominant_and_top": f"WITH {S}, b AS (SELECT CAST(floor(ts / 86400) * 86400 AS BIGINT) AS bucket, source AS name, value, ts FROM s), c AS (SELECT bucket, name, count(*) AS n, sum(value) AS v FROM b GROUP BY 1, 2), t AS (SELECT bucket, count(DISTINCT ts) AS ticks, count(*) AS al FROM b GROUP BY 1), d AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, name) AS rn, row_number() OVER (PARTITION BY bucket ORDER BY v DESC, name) AS rv FROM c) SELECT 'all' AS source, t.bucket, x.name AS dominant, round(x.n / t.al, 3) AS dominant_ratio, y.name AS top_name, round(y.v / t.ticks, 3) AS top_share FROM t JOIN d x ON x.bucket = t.bucket AND x.rn = 1 JOIN d y ON y.bucket = t.bucket AND y.rv = 1",
-    "two_stage_rollup": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) * 3600 AS ts, pid, value, abs(value) AS size FROM s), t AS (SELECT name, ts, sum(value) AS v, sum(size) AS w, count(DISTINCT pid) AS p FROM b GROUP BY 1, 2), u AS (SELECT CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket, name, count(*) AS sample_count, round(avg(v), 6) AS value_mean, list_sort(list(v)) AS l, round(max(v), 3) AS value_max, round(avg(w), 6) AS second_mean, round(max(w), 3) AS second_max, max(p) AS pids_max FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value_mean DESC, name) AS a, row_number() OVER (PARTITION BY bucket ORDER BY second_max DESC, name) AS b FROM u) SELECT 'all' AS source, bucket, name, sample_count, value_mean, round(l[CAST(round_even(0.5 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p50, round(l[CAST(round_even(0.95 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p95, round(l[CAST(round_even(0.99 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p99, value_max, second_mean, second_max, pids_max FROM r WHERE a <= 2 OR b <= 2",
+    "two_stage_rollup": f"WITH {S}, b AS (SELECT source AS name, floor(ts / 3600) * 3600 AS ts, pid, value, abs(value) AS size, id % 97 AS hd, pid % 5 AS td FROM s), t AS (SELECT name, ts, sum(value) AS v, sum(size) AS w, count(DISTINCT pid) AS p, sum(hd) AS hd, sum(td) AS td FROM b GROUP BY 1, 2), u AS (SELECT CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket, name, count(*) AS sample_count, round(avg(v), 6) AS value_mean, list_sort(list(v)) AS l, round(max(v), 3) AS value_max, round(avg(w), 6) AS second_mean, round(max(w), 3) AS second_max, max(p) AS pids_max, round(avg(hd), 6) AS handles_mean, CAST(max(hd) AS BIGINT) AS handles_max, round(avg(td), 6) AS threads_mean, CAST(max(td) AS BIGINT) AS threads_max FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value_mean DESC, name) AS a, row_number() OVER (PARTITION BY bucket ORDER BY second_max DESC, name) AS b FROM u) SELECT 'all' AS source, bucket, name, sample_count, value_mean, round(l[CAST(round_even(0.5 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p50, round(l[CAST(round_even(0.95 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p95, round(l[CAST(round_even(0.99 * (sample_count - 1), 0) AS BIGINT) + 1], 3) AS value_p99, value_max, second_mean, second_max, pids_max, handles_mean, handles_max, threads_mean, threads_max FROM r WHERE a <= 2 OR b <= 2",
     "distinct_activity": f"WITH {S} SELECT source, {DAYS} AS day, count(DISTINCT pid) AS users, count(*) AS n FROM s GROUP BY 1, 2",
     "counter_rate": f"WITH {S}, d AS (SELECT id, value - lag(value) OVER w AS dv, ts - lag(ts) OVER w AS dt FROM s WINDOW w AS (PARTITION BY pid ORDER BY ts)) SELECT id, round(CASE WHEN dt > 0 AND dv >= 0 THEN dv / dt END, 6) AS rate FROM d",
     "snapshot_diff": f"WITH {S}, p AS (SELECT DISTINCT source, {DAYS} AS ts, pid FROM s), t AS (SELECT source, ts, row_number() OVER (PARTITION BY source ORDER BY ts) AS i, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS nx FROM (SELECT DISTINCT source, ts FROM p)), q AS (SELECT p.*, i, nx, lag(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS b, lead(i) OVER (PARTITION BY p.source, pid ORDER BY i) AS a FROM p JOIN t ON t.source = p.source AND t.ts = p.ts) SELECT source, ts, pid, 'start' AS event FROM q WHERE i > 1 AND (b IS NULL OR b < i - 1) UNION ALL SELECT source, nx, pid, 'exit' FROM q WHERE nx IS NOT NULL AND (a IS NULL OR a > i + 1)",
@@ -289,7 +292,16 @@ ORACLE_SQL: dict[str, str] = {
     "two_tier_union": f"WITH {S}, x AS (SELECT *, CAST(floor((ts - {START}) / 86400) AS BIGINT) AS day FROM s), w AS (SELECT * FROM x WHERE day < 15) SELECT source, day, 'warm' AS tier, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2 UNION ALL SELECT source, day, 'hot', count(*), round(sum(value), 2) FROM x WHERE day >= 10 AND NOT EXISTS (SELECT 1 FROM w WHERE w.source = x.source AND w.day = x.day) GROUP BY 1, 2",
     "rolling_baseline": f"WITH {S}, m AS (SELECT *, median(value) OVER f AS median, mad(value) OVER f AS mad, count(value) OVER f AS samples FROM s WINDOW f AS (PARTITION BY source ORDER BY ts RANGE BETWEEN 86400.0 PRECEDING AND CURRENT ROW)), g AS (SELECT *, greatest(mad * 1.4826, 0.001, abs(median) * 0.05) AS sg FROM m) SELECT id, round(median, 4) AS median, round(mad, 4) AS mad, samples, round(CASE WHEN samples >= 20 THEN (value - median) / sg END, 4) AS z FROM g",
     "sustained_rule": f"WITH {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20) SELECT id, round(ts - since, 3) AS held FROM t WHERE ts - since >= 21600",
-    "drift": f"WITH {S}, l AS (SELECT source, {DAYS} AS day, median(value) AS level FROM s WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS n FROM l), d AS (SELECT source, count(*) AS days, median(CASE WHEN n <= 3 THEN level END) AS a, median(CASE WHEN n > 3 AND n <= 17 THEN level END) AS b FROM r GROUP BY 1 HAVING count(*) >= 7) SELECT source, round(a, 3) AS recent_level, round(b, 3) AS usual_level, round(a - b, 3) AS rise, round(least(1.0, (a - b) / (3 * -1e9)), 3) AS score FROM d",
+    "drift": f"""
+WITH {S}, l AS (
+    SELECT source, {DAYS} AS day, median(value) AS level FROM s WHERE value * 2 >= 80 GROUP BY 1, 2 HAVING count(*) >= 2
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS n FROM l
+), d AS (
+    SELECT source, median(CASE WHEN n <= 3 THEN level END) AS a, median(CASE WHEN n > 3 AND n <= 17 THEN level END) AS b FROM r GROUP BY 1 HAVING count(*) >= 7
+)
+SELECT source, round(a, 3) AS recent_level, round(b, 3) AS usual_level, round(a - b, 3) AS rise, round(least(1.0, (a - b) / 3), 3) AS score FROM d WHERE a - b >= 1.0
+""",
     "fusion": f"WITH {S}, {SESSION} SELECT source, round(min(ts), 3) AS ts_start, round(max(ts), 3) AS ts_end, count(*) AS signal_count, round(max(score), 6) AS peak_score FROM k GROUP BY source, session",
     "incident_severity": f"WITH RECURSIVE {S}, {SESSION}, o AS (SELECT *, row_number() OVER (PARTITION BY source, session ORDER BY ts, detector, score, rank) AS n, count(*) OVER (PARTITION BY source, session) AS m FROM k), f AS (SELECT source, session, n, m, rank, [detector] AS names, ts AS ts_start FROM o WHERE n = 1 UNION ALL SELECT o.source, o.session, o.n, o.m, CASE WHEN len(list_distinct(list_append(f.names, o.detector))) >= 2 THEN least(greatest(f.rank, o.rank) + 1, 2) ELSE greatest(f.rank, o.rank) END, list_distinct(list_append(f.names, o.detector)), f.ts_start FROM f JOIN o ON o.source = f.source AND o.session = f.session AND o.n = f.n + 1) SELECT source, session, {SEVERITY}[rank + 1] AS severity, array_to_string(list_sort(names), ',') AS detectors, round(ts_start, 3) AS ts_start FROM f WHERE n = m",
     "cooled_rule": f"WITH RECURSIVE {S}, r AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts) AS k FROM s), t AS (SELECT *, min(ts) OVER (PARTITION BY source, k) AS since FROM r WHERE value > 20), e AS (SELECT source, ts, id FROM t WHERE ts - since >= 3600), c AS (SELECT source, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT e.source, min(e.ts) FROM c JOIN e ON e.source = c.source AND e.ts - c.ts >= 86400 GROUP BY 1) SELECT id FROM e JOIN c ON e.source = c.source AND e.ts = c.ts",
@@ -299,7 +311,15 @@ ORACLE_SQL: dict[str, str] = {
     "contributors": f"WITH {S}, i AS (SELECT id, ts AS st FROM s WHERE source = 'error' AND value > 75), o AS (SELECT i.id, s.pid, s.name, median(s.value) AS b FROM i JOIN s ON s.ts >= st - 36000 AND s.ts < st - 3600 GROUP BY ALL), n AS (SELECT i.id, s.pid, s.name, avg(s.value) AS a FROM i JOIN s ON s.ts >= st AND s.ts <= st + 7200 GROUP BY ALL), d AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(a, 0) - coalesce(b, 0) AS delta FROM o FULL JOIN n ON o.id = n.id AND o.pid = n.pid), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delta DESC, name) AS rank FROM d WHERE delta > 0) SELECT id, name, round(delta, 3) AS delta, rank FROM r WHERE rank <= 8",
     "compare_previous": f"WITH {S}, d AS (SELECT source, {DAYS} AS day, round(sum(value), 3) AS total FROM s GROUP BY 1, 2) SELECT *, round(total - lag(total) OVER (PARTITION BY source ORDER BY day), 3) AS delta FROM d",
     "threshold_sweep": f"WITH {S}, t(threshold) AS (VALUES (20.0::DOUBLE), (40.0), (60.0)) SELECT threshold, CASE WHEN value >= 100 THEN 'critical' WHEN value >= 50 THEN 'warning' ELSE 'info' END AS before, CASE WHEN value >= 2 * threshold THEN 'critical' WHEN value >= threshold THEN 'warning' ELSE 'info' END AS after, count(*) AS n FROM s, t GROUP BY 1, 2, 3",
-    "label_rates": "SELECT source, count(l) AS judged, count(*) FILTER (WHERE l = 'normal') AS normal, round(count(*) FILTER (WHERE l = 'normal') / nullif(count(l), 0), 6) AS rate FROM (SELECT d.source, CASE WHEN toxic = 1 THEN 'real' WHEN quality = 1 THEN 'normal' END AS l FROM documents d LEFT JOIN labels USING (doc_id)) GROUP BY 1",
+    "label_rates": """
+SELECT source, count(l) AS judged, count(*) FILTER (WHERE l = 'normal') AS normal, round(count(*) FILTER (WHERE l = 'normal') / nullif(count(l), 0), 6) AS rate
+FROM (
+    SELECT d.source, CASE WHEN toxic = 1 THEN 'real' WHEN quality = 1 THEN 'normal' WHEN quality = 0 THEN NULL
+                          WHEN d.source IN ('src1', 'src2') THEN NULL WHEN lang = 'de' THEN 'normal' WHEN lang = 'fr' THEN 'real' END AS l
+    FROM documents d LEFT JOIN labels USING (doc_id)
+)
+GROUP BY 1
+""",
     "top_programs": f"WITH {S} SELECT source AS name, count(DISTINCT pid) AS pids, round(avg(value), 3) AS cpu_avg, round(max(value), 3) AS cpu_max, max(id) AS handles_max FROM s WHERE ts >= {START + 20 * DAY} GROUP BY 1 ORDER BY avg(value) DESC LIMIT 15",
     "growth_rates": f"WITH {S} SELECT source, pid, round(CASE WHEN (max(ts) - min(ts)) / 3600 > 24 THEN (arg_max(value, ts) - arg_min(value, ts)) / ((max(ts) - min(ts)) / 3600) END, 6) AS growth_per_hour FROM s WHERE value IS NOT NULL GROUP BY 1, 2",
     "gap_markers": f"WITH {S}, d AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) - ts AS g FROM s), t AS (SELECT source, list_sort(list(g))[count(g) // 2 + 1] AS u FROM d WHERE g IS NOT NULL GROUP BY 1 HAVING count(g) >= 2) SELECT d.source, round(ts + u, 3) AS ts FROM d JOIN t ON t.source = d.source WHERE g > 5 * u",
