@@ -31,6 +31,8 @@ from .tokens import Memo, alone
 BATCH_POINTS, BLOCK = 1 << 19, 256
 #: Pieces whose ids a worker's memo holds; the memo changes no result.
 PIECES_HELD = 1 << 17
+#: Bytes of a piece up to which its pairs are looked through for each merge; a longer one's wait in a heap.
+SHORT_PIECE, NO_RANK = 48, 1 << 62
 
 #: States: nothing open; letters, numbers, others, one space that may lead a piece, or blanks open; letters of a contraction to come.
 CLOSED, LETTERS, NUMBERS, OTHERS, SPACE, BLANKS, ONE, TWO = range(8)
@@ -162,6 +164,8 @@ class RankEncoder:
         if (whole := rank(piece)) is not None:
             return [whole]
         n = len(piece)
+        if n <= SHORT_PIECE:
+            return self._merged_short([piece[k : k + 1] for k in range(n)])
         symbols: list[bytes | None] = [piece[k : k + 1] for k in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, k, piece[k : k + 2]) for k in range(n - 1) if (r := rank(piece[k : k + 2])) is not None]
@@ -181,6 +185,20 @@ class RankEncoder:
                 heappush(heap, (r, p, wider))
         return [self.ranks[s] for s in symbols if s is not None]
 
+    def _merged_short(self, symbols: list[bytes]) -> list[int]:
+        """``merged`` for a few symbols: the ranks of all adjacent pairs in a list, of which the least is looked for each time."""
+        ranks, none = self.ranks, NO_RANK
+        pairs = [ranks.get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs and (least := min(pairs)) < none:
+            k = pairs.index(least)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = ranks.get(symbols[k] + symbols[k + 1], none)
+            if k:
+                pairs[k - 1] = ranks.get(symbols[k - 1] + symbols[k], none)
+        return [ranks[s] for s in symbols]
+
     def _piece(self, piece: str) -> bytes:
         return array("i", self.merged(piece.encode())).tobytes()
 
@@ -218,7 +236,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def encode_texts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, ends): every whole text's ids, without special tokens, and the byte offset at which each ends.
+    """(doc_id, ids, ends): every whole text's ids, without special tokens, and the byte offset at which each ends (32-bit integers; a text has fewer bytes).
 
     One row per input row, repeated rows included; a null text counts as empty and has empty arrays, a null id stays null; an
     empty table gives no row; other columns are not read. Strings of special tokens are plain text. No shuffle.
@@ -228,7 +246,7 @@ def encode_texts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
         coder = rank_encoder(ranks)
         for batch in _batches(rows):
             for (doc_id, _), ids in zip(batch, coder.encode([t or "" for _, t in batch]), strict=True):
-                yield doc_id, ids.tobytes(), np.cumsum(coder.lengths[ids]).tobytes()
+                yield doc_id, ids.tobytes(), np.cumsum(coder.lengths[ids]).astype(np.int32).tobytes()
 
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary())])
     return map_rows(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), make, "doc_id long, ids binary, ends binary", arrow)
@@ -244,7 +262,7 @@ def decode_ids(encoded: DataFrame, ranks: str, first: int | None = None, last: i
         coder = rank_encoder(ranks)
         shown = list(map(str, range(len(coder.lengths))))
         for doc_id, data, offsets in rows:
-            ids, ends = np.frombuffer(data, np.int32), np.frombuffer(offsets, np.int64)
+            ids, ends = np.frombuffer(data, np.int32), np.frombuffer(offsets, np.int32)
             starts = ends - coder.lengths[ids]
             a = 0 if first is None else int(np.searchsorted(starts, first))
             b = len(ids) if last is None else int(np.searchsorted(ends, last, "right"))

@@ -67,6 +67,14 @@ def test_long_pieces_take_time_in_their_length(library):
     assert next(own.encode([text[:3000]])).tolist() == library.encode_ordinary(text[:3000])
 
 
+def test_short_pieces_merge_as_long_ones_do(monkeypatch):
+    own, rng = byte_bpe.rank_encoder(RANKS), random.Random(9)
+    pieces = ["".join(rng.choice("etaoinsh lr0é.") for _ in range(rng.randrange(2, 48))).encode()[:48] for _ in range(2000)]
+    short = [own.merged(p) for p in pieces]
+    monkeypatch.setattr(byte_bpe, "SHORT_PIECE", 0)
+    assert short == [own.merged(p) for p in pieces]
+
+
 def test_op12_query(spark, texts, library):
     rows = queries.op12_byte_bpe(spark, SF).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
