@@ -30,7 +30,7 @@ from .tokens import Memo, alone
 #: Code points scanned at once (a longer text is a batch of its own), and places of a block of the scan.
 BATCH_POINTS, BLOCK = 1 << 19, 256
 #: Pieces whose ids a worker's memo holds; the memo changes no result.
-PIECES_HELD = 1 << 17
+PIECES_HELD = 1 << 18
 #: Bytes of a piece up to which its pairs are looked through for each merge; a longer one's wait in a heap.
 SHORT_PIECE, NO_RANK = 48, 1 << 62
 
