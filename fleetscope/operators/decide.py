@@ -104,11 +104,11 @@ def observer_window(incidents: DataFrame, telemetry: DataFrame) -> DataFrame:
     return met.groupBy("source", "id").agg(F.count("*").alias("n"), F.max("cpu_percent").alias("cpu_max"), F.max("throttle_level").alias("throttle_max"), (F.max("drop_count") - F.min("drop_count")).alias("drops"))
 
 
-def auto_label(incidents: DataFrame, faults: DataFrame, seen: DataFrame, observer: DataFrame, excluded: Sequence[str] = (), observers: Sequence[str] = (), least_share: float = 0.15) -> DataFrame:
+def auto_label(incidents: DataFrame, faults: DataFrame, seen: DataFrame, observer: DataFrame, excluded: Sequence[str] = (), observers: Sequence[str] = (), least_share: float = 0.15, observer_pattern: str | None = None) -> DataFrame:
     """Adds ``auto_label`` and ``auto_label_reason`` for notified, unlabelled incidents outside faults: hardware limits are real; a user's program in the foreground is normal; else none, with the reason.
 
     A leader that may be the observer itself needs telemetry of the observer in the incident that shows neither throttling
-    nor drops; without any sample there is no label. Names are compared without case.
+    nor drops; without any sample there is no label. Names are compared without case; ``observer_pattern`` matches whole ones.
     """
     marks = faults.select("source", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
     spans = incidents.select("source", "id", F.col("ts_start").alias("lo"), F.coalesce("ts_end", "ts_start").alias("hi"))
@@ -119,11 +119,14 @@ def auto_label(incidents: DataFrame, faults: DataFrame, seen: DataFrame, observe
     rows = rows.withColumn("_lower", F.lower("_name")).join(known, ["source", "_lower"], "left")
     clean = F.coalesce((F.col("n") > 0) & (F.col("throttle_max") == 0) & (F.col("drops") == 0), F.lit(False))
     kind = F.upper(F.coalesce("bottleneck", F.lit("")))
+    observing = F.col("_lower").isin(*(x.lower() for x in observers), "")
+    if observer_pattern is not None:
+        observing = observing | F.col("_lower").rlike(f"^(?i:{observer_pattern})$")
     reason = (
         F.when(~F.coalesce("notified", F.lit(False)), "not_notified").when(F.coalesce("user_label", "auto_label").isNotNull(), "labelled").when(F.col("_fault"), "during_fault")
         .when(kind.isin(*HARDWARE_KINDS), "hardware_limit").when(~kind.isin(*WORKLOAD_KINDS), "no_workload")
         .when(F.col("_name").isNull() | ~F.coalesce(F.col("_share") >= least_share, F.lit(False)), "no_leader").when(F.col("_lower").isin(*(x.lower() for x in excluded), ""), "excluded")
-        .when(F.col("_lower").isin(*(x.lower() for x in observers), "") & ~clean, F.when(F.coalesce("n", F.lit(0)) == 0, "observer_unseen").otherwise("observer_busy")).when(~F.coalesce("_seen", F.lit(False)), "never_foreground").otherwise("user_workload")
+        .when(observing & ~clean, F.when(F.coalesce("n", F.lit(0)) == 0, "observer_unseen").otherwise("observer_busy")).when(~F.coalesce("_seen", F.lit(False)), "never_foreground").otherwise("user_workload")
     )
     label = F.when(F.col("_reason") == "hardware_limit", "real").when(F.col("_reason") == "user_workload", "normal")
     own = incidents.drop("auto_label", "auto_label_reason").columns

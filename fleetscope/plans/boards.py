@@ -44,8 +44,7 @@ def auto_labels(spark, sf_dir):
     seen = s.where("source = 'purchase'").select(host_of(), "name", F.lit(True).alias("foreground_seen")).distinct()
     views = s.where("source = 'view'").select(host_of(), "ts", F.col("value").alias("cpu_percent"), (F.col("value") > 150).cast("int").alias("throttle_level"), F.lit(0).cast("long").alias("drop_count"))
     i = incidents(spark, sf_dir)
-    names = [f"u{k}" for k in range(3, 2000, 10)]
-    return decide.auto_label(i, faults(spark, sf_dir), seen, decide.observer_window(i, views), ["U7", "u11"], names).select("source", "id", "auto_label", "auto_label_reason")
+    return decide.auto_label(i, faults(spark, sf_dir), seen, decide.observer_window(i, views), ["U7", "u11"], observer_pattern=".*3").select("source", "id", "auto_label", "auto_label_reason")
 
 
 def answer_queue(spark, sf_dir):
