@@ -13,8 +13,14 @@ from ..functions.columns import bucket_of
 from . import intervals
 
 
+def settled(c: Column, places: int = 3) -> Column:
+    """``c`` to some places, halves away from zero. Six places more are rounded first, so that the order in which numbers were added decides no half."""
+    return F.round(F.round(c, places + 6), places)
+
+
 def mean3(c: Column | str, places: int = 3) -> Column:
-    return F.round(F.avg(c), places)
+    """Settled at the three places of a rollup; more places are for comparisons and are rounded once."""
+    return settled(F.avg(c)) if places == 3 else F.round(F.avg(c), places)
 
 
 def max3(c: Column | str) -> Column:
@@ -26,7 +32,7 @@ def min3(c: Column | str) -> Column:
 
 
 def std3(c: Column | str, places: int = 3) -> Column:
-    return F.round(F.stddev_pop(c), places)
+    return settled(F.stddev_pop(c)) if places == 3 else F.round(F.stddev_pop(c), places)
 
 
 def pct_index(c: str, q: float) -> Column:
@@ -52,7 +58,7 @@ def minute_rollup(metrics: DataFrame, columns: Mapping[str, str] = MINUTE_COLUMN
     """One row per (source, bucket): sample_count, statistics of each column that is there, and the mean imbalance of cores. One shuffle."""
     made = [_MAKE[f](c).alias(f"{c}_{f}") for c, fs in columns.items() if c in metrics.columns for f in fs.split()]
     if {"cpu_max_core", "cpu_total"} <= set(metrics.columns):
-        made.append(F.round(F.avg(F.col("cpu_max_core") - F.col("cpu_total")), 3).alias("cpu_imbalance_mean"))
+        made.append(mean3(F.col("cpu_max_core") - F.col("cpu_total")).alias("cpu_imbalance_mean"))
     return metrics.groupBy("source", bucket_of(F.col("ts"), size).alias("bucket")).agg(F.count("cpu_total").alias("sample_count"), *made)
 
 
@@ -70,10 +76,10 @@ def dominant(rows: DataFrame, name: str = "name", by: Sequence[str] = ("source",
 
 def top_share(rows: DataFrame, value: str, name: str = "name", by: Sequence[str] = ("source", "bucket"), ts: str = "ts") -> DataFrame:
     """Name with the largest sum in each bucket and that sum over the bucket's distinct ticks; the least name on a tie."""
-    sums = rows.groupBy(*by, name).agg(F.sum(value).alias("_s"))
+    sums = rows.groupBy(*by, name).agg(F.round(F.sum(value), 9).alias("_s"))
     ticks = rows.groupBy(*by).agg(F.countDistinct(ts).alias("_ticks"))
     best = F.min(F.struct((-F.col("_s")).alias("s"), F.col(name).alias("name")))
-    return sums.groupBy(*by).agg(best.alias("_b")).join(ticks, list(by)).select(*by, F.col("_b.name").alias("top_name"), F.round(-F.col("_b.s") / F.col("_ticks"), 3).alias("top_share"))
+    return sums.groupBy(*by).agg(best.alias("_b")).join(ticks, list(by)).select(*by, F.col("_b.name").alias("top_name"), settled(-F.col("_b.s") / F.col("_ticks")).alias("top_share"))
 
 
 def metrics_1m(metrics: DataFrame, gpu: DataFrame, processes: DataFrame, gaps: DataFrame, size: float = 60.0) -> DataFrame:

@@ -38,6 +38,11 @@ def rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def settled_sql(number: str, places: int) -> str:
+    """``rollup.settled``: halves away from zero, decided on decimals and not on a double's last bits."""
+    return f"CAST(round(CAST({number} AS DECIMAL(38, {places + 6})), {places}) AS DOUBLE)"
+
+
 def islands_sql(source: str, name: str) -> str:
     """CTEs that merge the spans of ``source`` (source, lo, hi) into ``name``."""
     return f"{name}_r AS (SELECT *, max(hi) OVER (PARTITION BY source ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}), {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY lo, hi) AS island FROM {name}_r), {name} AS (SELECT source, min(lo) AS lo, max(hi) AS hi FROM {name}_i GROUP BY source, island)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of
 from ..operators import baseline, explain, rollup, rules
-from .base import DAY, HOUR, H, S, as_long, carried_sql, host_of, rounded, samples
+from .base import DAY, HOUR, H, S, as_long, carried_sql, host_of, rounded, samples, settled_sql
 
 #: Rules over samples of a machine: each is sustained and cooled down by itself.
 PACK = (
@@ -103,7 +103,7 @@ def _fired(k: str, condition: str, hold: float, cooldown: float) -> str:
 _SHOWN = "CAST(round(value, 1) AS VARCHAR)"
 ORACLE_SQL: dict[str, str] = {
     "rule_pack": f"WITH RECURSIVE {S}, {T}, {_fired('0', 'value > 40', 0, DAY)}, {_fired('1', "value > 30 AND contains(lower(name), 'c')", 0, 2 * DAY)}, {_fired('2', "(value > 15 OR contains(name, 'sign'))", 2 * HOUR, 3 * DAY)}, u AS (SELECT source, ts, 0 AS o, 'any' AS rule, 0 AS rank FROM f0 UNION ALL SELECT source, ts, 1, 'large', 1 FROM f1 UNION ALL SELECT source, ts, 2, 'long', 2 FROM f2), n AS (SELECT source, ts, string_agg(rule, ',' ORDER BY o) AS fired, arg_max(rule, rank) AS rule, max(rank) AS rank FROM u GROUP BY 1, 2) SELECT n.source, round(n.ts, 3) AS ts, rule, ['info', 'warning', 'critical'][rank + 1] AS severity, fired, CASE rule WHEN 'any' THEN 'value ' || {_SHOWN} WHEN 'large' THEN name || ' has ' || {_SHOWN} ELSE 'long' END AS explanation, 0.5::DOUBLE AS score FROM n JOIN h ON h.source = n.source AND h.ts = n.ts",
-    "minute_board": f"WITH {S}, {T}, b AS (SELECT *, CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket FROM h), m AS (SELECT source, bucket, count(*) AS sample_count, round(avg(value), 3) AS cpu_total_mean, round(max(value), 3) AS cpu_total_max, round(list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1], 3) AS cpu_total_p95, round(stddev_pop(value), 3) AS cpu_total_std, round(avg(value + pid % 7), 3) AS cpu_max_core_mean, round(avg((value + pid % 7) - value), 3) AS cpu_imbalance_mean FROM b GROUP BY 1, 2), g AS (SELECT source, bucket, round(avg(value), 3) AS gpu_util_mean, round(max(value), 3) AS gpu_temp_max, round(min(value), 3) AS gpu_clock_min FROM b WHERE name = 'view' GROUP BY 1, 2), c AS (SELECT source, bucket, name, count(*) AS n, sum(count(*)) OVER (PARTITION BY source, bucket) AS al, row_number() OVER (PARTITION BY source, bucket ORDER BY count(*) DESC, name) AS k FROM b WHERE value > 50 GROUP BY 1, 2, 3), d AS (SELECT source, bucket, name, sum(value * 1.00071::DOUBLE) AS v, row_number() OVER (PARTITION BY source, bucket ORDER BY sum(value * 1.00071::DOUBLE) DESC, name) AS k FROM b WHERE value > 0 GROUP BY 1, 2, 3), tk AS (SELECT source, bucket, count(DISTINCT ts) AS n FROM b WHERE value > 0 GROUP BY 1, 2), gp AS (SELECT DISTINCT source, CAST(21600 * unnest(range(CAST(floor(ts / 21600) AS BIGINT), CAST(floor((ts + 3600) / 21600) AS BIGINT) + 1)) AS BIGINT) AS bucket FROM h WHERE name = 'error' AND value > 150) SELECT m.*, gpu_util_mean, gpu_temp_max, gpu_clock_min, c.name AS fg_program, round(c.n / c.al, 3) AS fg_ratio, d.name AS top_cpu_program, round(d.v / tk.n, 3) AS top_cpu_share, gp.bucket IS NOT NULL AS has_gap FROM m LEFT JOIN g ON g.source = m.source AND g.bucket = m.bucket LEFT JOIN c ON c.source = m.source AND c.bucket = m.bucket AND c.k = 1 LEFT JOIN d ON d.source = m.source AND d.bucket = m.bucket AND d.k = 1 LEFT JOIN tk ON tk.source = m.source AND tk.bucket = m.bucket LEFT JOIN gp ON gp.source = m.source AND gp.bucket = m.bucket",
+    "minute_board": f"WITH {S}, {T}, b AS (SELECT *, CAST(floor(ts / 21600) * 21600 AS BIGINT) AS bucket FROM h), m AS (SELECT source, bucket, count(*) AS sample_count, {settled_sql("avg(value)", 3)} AS cpu_total_mean, round(max(value), 3) AS cpu_total_max, round(list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1], 3) AS cpu_total_p95, {settled_sql("stddev_pop(value)", 3)} AS cpu_total_std, {settled_sql("avg(value + pid % 7)", 3)} AS cpu_max_core_mean, {settled_sql("avg((value + pid % 7) - value)", 3)} AS cpu_imbalance_mean FROM b GROUP BY 1, 2), g AS (SELECT source, bucket, {settled_sql("avg(value)", 3)} AS gpu_util_mean, round(max(value), 3) AS gpu_temp_max, round(min(value), 3) AS gpu_clock_min FROM b WHERE name = 'view' GROUP BY 1, 2), c AS (SELECT source, bucket, name, count(*) AS n, sum(count(*)) OVER (PARTITION BY source, bucket) AS al, row_number() OVER (PARTITION BY source, bucket ORDER BY count(*) DESC, name) AS k FROM b WHERE value > 50 GROUP BY 1, 2, 3), d AS (SELECT source, bucket, name, round(sum(value * 1.00071::DOUBLE), 9) AS v, row_number() OVER (PARTITION BY source, bucket ORDER BY round(sum(value * 1.00071::DOUBLE), 9) DESC, name) AS k FROM b WHERE value > 0 GROUP BY 1, 2, 3), tk AS (SELECT source, bucket, count(DISTINCT ts) AS n FROM b WHERE value > 0 GROUP BY 1, 2), gp AS (SELECT DISTINCT source, CAST(21600 * unnest(range(CAST(floor(ts / 21600) AS BIGINT), CAST(floor((ts + 3600) / 21600) AS BIGINT) + 1)) AS BIGINT) AS bucket FROM h WHERE name = 'error' AND value > 150) SELECT m.*, gpu_util_mean, gpu_temp_max, gpu_clock_min, c.name AS fg_program, {settled_sql("c.n / c.al", 3)} AS fg_ratio, d.name AS top_cpu_program, {settled_sql("d.v / tk.n", 3)} AS top_cpu_share, gp.bucket IS NOT NULL AS has_gap FROM m LEFT JOIN g ON g.source = m.source AND g.bucket = m.bucket LEFT JOIN c ON c.source = m.source AND c.bucket = m.bucket AND c.k = 1 LEFT JOIN d ON d.source = m.source AND d.bucket = m.bucket AND d.k = 1 LEFT JOIN tk ON tk.source = m.source AND tk.bucket = m.bucket LEFT JOIN gp ON gp.source = m.source AND gp.bucket = m.bucket",
     "net_board": f"WITH {S}, {T} SELECT source, CAST(floor(floor(ts) / 86400) * 86400 AS BIGINT) AS bucket, name, round(count(*) / count(DISTINCT floor(ts)), 3) AS conns_mean, count(DISTINCT CASE WHEN value > 5 THEN pid % 11 END) AS remotes, count(DISTINCT CASE WHEN value > 5 THEN pid % 7 END) AS ports, count(*) FILTER (WHERE value < 10) AS listens FROM h GROUP BY 1, 2, 3",
     "backfilled": f"WITH {S}, {T} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS n, round(max(value), 3) AS max FROM h GROUP BY 1, 2 HAVING max(value) <= 20",
     "gated_baseline": f"""
