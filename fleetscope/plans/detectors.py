@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import detect
 from ..operators.baseline import Baseline
 from ..operators.rules import Condition, Rule
-from .base import DAY, HOUR, H, S, carried_sql, host_of, rounded, samples
+from .base import DAY, HOUR, H, S, carried_sql, host_of, rounded, samples, settled_sql
 
 RULES = (
     Rule("high", (Condition("cpu_total", ">", "cpu_total_median + 2 * cpu_total_sigma"), Condition("cpu_total", ">", "30")), 0, 12 * HOUR, "warning"),
@@ -38,7 +38,9 @@ def _shown(signals: DataFrame) -> DataFrame:
     """Signals with the evidence of both metrics as columns."""
     of = lambda m, p: F.element_at("evidence", m)[p]
     out = signals.select("source", "ts", "rule", "severity", F.concat_ws(",", "fired").alias("fired"), F.col("sustained_s").alias("held"), "score", "explanation", of("cpu_total", "median").alias("cpu_median"), of("cpu_total", "z").alias("cpu_z"), of("mem_percent", "sigma").alias("mem_sigma"))
-    return rounded(rounded(out, "ts", "held"), "score", "cpu_median", "cpu_z", "mem_sigma", places=5)
+    numbers = ("score", "cpu_median", "cpu_z", "mem_sigma")
+    # Eleven places first: a product's last bits decide no half.
+    return rounded(rounded(rounded(out, "ts", "held"), *numbers, places=11), *numbers, places=5)
 
 
 def rule_detector(spark, sf_dir):
@@ -70,8 +72,8 @@ WITH RECURSIVE {S}, t AS (
     SELECT *, median(c) OVER w AS cm0, mad(c) OVER w AS ca, count(c) OVER w AS cn, median(m) OVER w AS mm0, mad(m) OVER w AS ma, count(m) OVER w AS mn
     FROM t WINDOW w AS (PARTITION BY source ORDER BY ts RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW)
 ), r AS (
-    SELECT *, CASE WHEN cn >= 20 THEN cm0 END AS cm, CASE WHEN cn >= 20 THEN greatest(ca * 1.4826, abs(cm0) * 0.05) END AS cs,
-           CASE WHEN mn >= 20 THEN mm0 END AS mm, CASE WHEN mn >= 20 THEN greatest(ma * 1.4826, abs(mm0) * 0.05) END AS ms
+    SELECT *, CASE WHEN cn >= 20 THEN cm0 END AS cm, CASE WHEN cn >= 20 THEN nullif(greatest(ca * 1.4826, abs(cm0) * 0.05), 0) END AS cs,
+           CASE WHEN mn >= 20 THEN mm0 END AS mm, CASE WHEN mn >= 20 THEN nullif(greatest(ma * 1.4826, abs(mm0) * 0.05), 0) END AS ms
     FROM u WHERE cn >= 20 OR mn >= 20
 ), a AS (
     SELECT p.*, {median} AS xm, {sigma} AS xs, ld.md AS lm
@@ -97,9 +99,9 @@ WITH RECURSIVE {S}, t AS (
 )
 SELECT a.source, round(a.ts, 3) AS ts, ['high', 'kept', 'either', 'named', 'loaded'][fired.k + 1] AS rule, ['warning', 'info', 'critical', 'warning', 'info'][fired.k + 1] AS severity,
        fired.fired, round(round(a.ts - e.since, 1), 3) AS held,
-       round(coalesce(nullif(least(1.0, CASE fired.k WHEN 4 THEN abs((m - mm) / ms) WHEN 2 THEN greatest(abs((m - mm) / ms), abs((c - cm) / cs)) ELSE abs((c - cm) / cs) END / 8), 0), 0.5), 5) AS score,
+       {settled_sql('coalesce(nullif(least(1.0, CASE fired.k WHEN 4 THEN abs((m - mm) / ms) WHEN 2 THEN greatest(abs((m - mm) / ms), abs((c - cm) / cs)) ELSE abs((c - cm) / cs) END / 8), 0), 0.5)', 5)} AS score,
        CASE fired.k WHEN 1 THEN 'kept by ' || kind ELSE '' END AS explanation,
-       CASE WHEN fired.k <> 4 THEN round(cm, 5) END AS cpu_median, CASE WHEN fired.k <> 4 THEN round((c - cm) / cs, 5) END AS cpu_z, CASE WHEN fired.k IN (2, 4) THEN round(ms, 5) END AS mem_sigma
+       CASE WHEN fired.k <> 4 THEN {settled_sql('cm', 5)} END AS cpu_median, CASE WHEN fired.k <> 4 THEN {settled_sql('(c - cm) / cs', 5)} END AS cpu_z, CASE WHEN fired.k IN (2, 4) THEN {settled_sql('ms', 5)} END AS mem_sigma
 FROM fired JOIN a USING (source, ts) JOIN e ON e.k = fired.k AND e.source = a.source AND e.ts = a.ts
 """
 
