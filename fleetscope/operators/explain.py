@@ -200,7 +200,8 @@ def stock_contributors(incidents: DataFrame, processes: DataFrame, value: str, l
     marked = last.withColumn("_first", i <= q).withColumn("_end", i > n - q)
     growth = marked.groupBy("source", "id", "pid", "name").agg(F.expr("percentile(CASE WHEN _end THEN value END, 0.5)").alias("after"), F.expr("percentile(CASE WHEN _first THEN value END, 0.5)").alias("b"))
     keyed = growth.withColumn("name", group_key(F.col("name"), F.col("pid"))).groupBy("source", "id", "name")
-    sums = keyed.agg(F.sum(F.greatest(F.col("after") - F.col("b"), F.lit(0.0))).alias("delta"), F.sum("after").alias("after"), F.array_sort(F.collect_set("pid")).alias("pids"), F.lit(False).alias("is_new"))
+    # To the billionth: the order in which pids are added must not rank programs that grew alike.
+    sums = keyed.agg(F.round(F.sum(F.greatest(F.col("after") - F.col("b"), F.lit(0.0))), 9).alias("delta"), F.sum("after").alias("after"), F.array_sort(F.collect_set("pid")).alias("pids"), F.lit(False).alias("is_new"))
     return _shares(sums, top)
 
 

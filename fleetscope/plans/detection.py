@@ -124,5 +124,5 @@ UNION ALL
 SELECT id, round(md, 4), round(ma, 4), n FROM a WHERE name = 'view'
 """,
     "onsets": f"WITH {S}, {T}, i AS (SELECT source, id, ts AS st FROM h WHERE name = 'error' AND value > 100), m AS (SELECT i.source, i.id, i.st, h.ts, h.value >= 50 AS hot FROM i JOIN h ON h.source = i.source AND h.ts BETWEEN st - 86400 AND st + 86400), a AS (SELECT *, sum(hot::INT) OVER (PARTITION BY source, id ORDER BY ts DESC) AS run FROM m WHERE ts <= st), c AS (SELECT *, sum((NOT hot)::INT) OVER (PARTITION BY source, id, run ORDER BY ts DESC) AS calm FROM a), d AS (SELECT *, max((calm >= 4)::INT) OVER (PARTITION BY source, id ORDER BY ts DESC ROWS UNBOUNDED PRECEDING) AS stopped FROM c), o AS (SELECT source, id, min(ts) AS onset, count(*) AS hot FROM d WHERE stopped = 0 AND hot GROUP BY 1, 2 HAVING count(*) >= 2), e AS (SELECT *, sum(hot::INT) OVER (PARTITION BY source, id ORDER BY ts) AS run FROM m WHERE ts >= st), f AS (SELECT *, row_number() OVER (PARTITION BY source, id, run ORDER BY ts) AS n FROM e WHERE NOT hot), r AS (SELECT source, id, min(ts) AS recovery FROM f WHERE n = 3 GROUP BY 1, 2) SELECT coalesce(o.source, r.source) AS source, coalesce(o.id, r.id) AS id, round(onset, 3) AS onset, hot, round(recovery, 3) AS recovery FROM o FULL JOIN r ON r.source = o.source AND r.id = o.id",
-    "stock_growth": f"WITH {S}, {T}, i AS (SELECT source, id, ts AS st FROM h WHERE name = 'error' AND value > 100), m AS (SELECT i.source, i.id, h.pid, h.name, h.ts, h.value FROM i JOIN h ON h.source = i.source AND h.ts BETWEEN st - 172800 AND st), p AS (SELECT *, max(value) OVER (PARTITION BY source, id, pid, name ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM m), t AS (SELECT *, sum(CASE WHEN value < 0.5 * pk THEN 1 ELSE 0 END) OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS tr FROM p), l AS (SELECT *, max(tr) OVER (PARTITION BY source, id, pid, name) AS lt FROM t), q AS (SELECT *, count(*) OVER (PARTITION BY source, id, pid, name) AS n, row_number() OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS k FROM l WHERE tr = lt), g AS (SELECT source, id, pid, name, median(CASE WHEN k > n - greatest(floor(n / 4), 1) THEN value END) AS af, median(CASE WHEN k <= greatest(floor(n / 4), 1) THEN value END) AS be FROM q GROUP BY 1, 2, 3, 4), u AS (SELECT source, id, name, sum(greatest(af - be, 0)) AS delta, sum(af) AS after, count(DISTINCT pid) AS n_pids FROM g GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY delta DESC, name) AS rank FROM u WHERE delta > 0) SELECT source, id, name, round(delta, 3) AS delta, round(after, 3) AS after, rank, n_pids FROM r WHERE rank <= 8",
+    "stock_growth": f"WITH {S}, {T}, i AS (SELECT source, id, ts AS st FROM h WHERE name = 'error' AND value > 100), m AS (SELECT i.source, i.id, h.pid, h.name, h.ts, h.value FROM i JOIN h ON h.source = i.source AND h.ts BETWEEN st - 172800 AND st), p AS (SELECT *, max(value) OVER (PARTITION BY source, id, pid, name ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM m), t AS (SELECT *, sum(CASE WHEN value < 0.5 * pk THEN 1 ELSE 0 END) OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS tr FROM p), l AS (SELECT *, max(tr) OVER (PARTITION BY source, id, pid, name) AS lt FROM t), q AS (SELECT *, count(*) OVER (PARTITION BY source, id, pid, name) AS n, row_number() OVER (PARTITION BY source, id, pid, name ORDER BY ts) AS k FROM l WHERE tr = lt), g AS (SELECT source, id, pid, name, median(CASE WHEN k > n - greatest(floor(n / 4), 1) THEN value END) AS af, median(CASE WHEN k <= greatest(floor(n / 4), 1) THEN value END) AS be FROM q GROUP BY 1, 2, 3, 4), u AS (SELECT source, id, name, round(sum(greatest(af - be, 0)), 9) AS delta, sum(af) AS after, count(DISTINCT pid) AS n_pids FROM g GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY delta DESC, name) AS rank FROM u WHERE delta > 0) SELECT source, id, name, round(delta, 3) AS delta, round(after, 3) AS after, rank, n_pids FROM r WHERE rank <= 8",
 }
