@@ -56,9 +56,9 @@ def backfilled(spark, sf_dir):
 
 
 def gated_baseline(spark, sf_dir):
-    """Baselines learnt under load alone (large values), an hour apart at least, and carried to the other samples; null until five are learnt."""
+    """Baselines learnt under load alone (all large values) and carried to the other samples; null until five are learnt."""
     config = baseline.Baseline(DAY, 5)
-    out = baseline.load_gated(_hosts(spark, sf_dir), "value", "value", 30.0, config=config, spacing=HOUR)
+    out = baseline.load_gated(_hosts(spark, sf_dir), "value", "value", 30.0, config=config)
     return rounded(out.select("id", "median", "samples", "most"), "median", "most", places=4)
 
 
@@ -107,10 +107,11 @@ ORACLE_SQL: dict[str, str] = {
     "net_board": f"WITH {S}, {T} SELECT source, CAST(floor(floor(ts) / 86400) * 86400 AS BIGINT) AS bucket, name, round(count(*) / count(DISTINCT floor(ts)), 3) AS conns_mean, count(DISTINCT CASE WHEN value > 5 THEN pid % 11 END) AS remotes, count(DISTINCT CASE WHEN value > 5 THEN pid % 7 END) AS ports, count(*) FILTER (WHERE value < 10) AS listens FROM h GROUP BY 1, 2, 3",
     "backfilled": f"WITH {S}, {T} SELECT source, CAST(floor(ts / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS n, round(max(value), 3) AS max FROM h GROUP BY 1, 2 HAVING max(value) <= 20",
     "gated_baseline": f"""
-WITH RECURSIVE {S}, {T}, g AS (
-    SELECT source, ts, value AS v FROM h WHERE value >= 30
-), {carried_sql("l", "g", "source", HOUR, DAY, 5)}
-SELECT h.id, round(l.md, 4) AS median, l.n AS samples, round(l.mx, 4) AS most FROM h ASOF LEFT JOIN l ON h.source = l.source AND h.ts >= l.ts
+WITH {S}, {T}, l AS (
+    SELECT source, ts, median(value) OVER w AS md, count(*) OVER w AS n, max(value) OVER w AS mx FROM h WHERE value >= 30
+    WINDOW w AS (PARTITION BY source ORDER BY ts RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)
+)
+SELECT h.id, CASE WHEN n >= 5 THEN round(md, 4) END AS median, n AS samples, CASE WHEN n >= 5 THEN round(mx, 4) END AS most FROM h ASOF LEFT JOIN l ON h.source = l.source AND h.ts >= l.ts
 """,
     "program_baselines": f"""
 WITH RECURSIVE {S}, {T}, g AS (
