@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,10 +176,93 @@ def _shares(deltas: DataFrame, top: int) -> DataFrame:
     return positive.withColumn("share", F.col("delta") / total).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def flow_contributors(incidents: DataFrame, processes: DataFrame, value: str, before: tuple[float, float] = (210.0, 30.0), top: int = 8) -> DataFrame:
-    """(source, id, name, delta, after, pids, is_new, share, rank): growth of a flow (CPU, IO) by program: mean in the incident less the median before, summed over pids."""
-    own = incidents.select("source", "id", "start", "end")
-    rows = processes.select("source", "ts", "pid", "name", F.col(value).cast("double").alias("value"))
+#: Seconds of incident starts that a task takes at once, as a share of the time that an incident looks back.
+CHUNK_SHARE = 0.5
+FLOW_COLUMNS = "name string, delta double, after double, pids array<{pid}>, is_new boolean, share double, rank int"
+
+
+class _FlowChunk:
+    """The rows of the incidents of a chunk, laid out so that each incident costs a few passes over them."""
+
+    def __init__(self, rows: pa.Table):
+        codes, values = {}, {}
+        for c in ("key", "pid"):
+            encoded = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            order = pc.array_sort_indices(encoded.dictionary, null_placement="at_start").to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            codes[c], values[c] = place[encoded.indices.to_numpy()], encoded.dictionary.take(pa.array(order)).to_pylist()
+        self.names, self.pids = values["key"], values["pid"]
+        t, x = (rows.column(c).to_numpy() for c in ("ts", "value"))
+        order = np.lexsort((x, codes["pid"], codes["key"]))
+        key, pid, self.t, self.x = codes["key"][order], codes["pid"][order], t[order], x[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (pid[1:] != pid[:-1]))
+        #: Each row's process and each process's name, rising; rows of a process rise by value.
+        self.process, self.key, self.pid = np.cumsum(new) - 1, key[new], pid[new]
+        self.by_time = np.argsort(self.t, kind="stable")
+        self.times = self.t[self.by_time]
+
+    def top(self, start: float, end: float, before: tuple[float, float], top: int) -> list[tuple]:
+        n = len(self.key)
+        own = self.by_time[np.searchsorted(self.times, start) : np.searchsorted(self.times, end, "right")]
+        counts = np.bincount(self.process[own], minlength=n)
+        after = np.bincount(self.process[own], self.x[own], n) / np.maximum(counts, 1)
+        prior = np.flatnonzero((self.t >= start - before[0]) & (self.t < start - before[1]))
+        sizes = np.bincount(self.process[prior], minlength=n)
+        known = np.flatnonzero(sizes)
+        first, values, usual = (np.cumsum(sizes) - sizes)[known], self.x[prior], np.zeros(n)
+        usual[known] = (values[first + (sizes[known] - 1) // 2] + values[first + sizes[known] // 2]) / 2
+        sums = np.bincount(self.key, after, len(self.names))
+        delta = sums - np.bincount(self.key, usual, len(self.names))
+        grown = np.flatnonzero(delta > 0)
+        total = float(delta[grown].sum())
+        if len(grown) > top:
+            grown = grown[delta[grown] >= np.partition(delta[grown], len(grown) - top)[len(grown) - top]]
+        out = []
+        for rank, k in enumerate(grown[np.lexsort((grown, -delta[grown]))][:top].tolist(), 1):
+            a, b = np.searchsorted(self.key, k), np.searchsorted(self.key, k, "right")
+            seen = counts[a:b] > 0
+            out.append((self.names[k], float(delta[k]), float(sums[k]) if seen.any() else None, [p for p in (self.pids[i] for i in np.unique(self.pid[a:b][seen])) if p is not None], not sizes[a:b].any(), float(delta[k]) / total, rank))
+        return out
+
+
+def flow_contributors(incidents: DataFrame, processes: DataFrame, value: str, before: tuple[float, float] = (210.0, 30.0), top: int = 8, longest: float = 86_400.0) -> DataFrame:
+    """(source, id, name, delta, after, pids, is_new, share, rank): growth of a flow (CPU, IO) by program: mean in the incident less the median before, summed over pids.
+
+    Incidents are dealt by source and chunk of their start, and rows to the chunks that need them, a few times each; no row is
+    copied to every incident that holds it. Incidents of more than ``longest`` seconds go row by row through the shuffle.
+    """
+    chunk = before[0] * CHUNK_SHARE
+    rows = processes.select("source", "ts", "pid", "name", F.col(value).cast("double").alias("value")).where("ts is not null and value is not null")
+    own = incidents.select("source", "id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    short = F.coalesce(F.col("end") - F.col("start") <= longest, F.lit(False))
+    dealt = own.where(short).withColumn("_chunk", F.floor(F.col("start") / chunk))
+    needs = dealt.groupBy("source", F.col("_chunk").alias("_part")).agg((F.min("start") - before[0]).alias("lo"), F.max(F.greatest("end", F.col("start") - before[1])).alias("hi"))
+    # A pid and what it goes by tell a process as well as pid and name do.
+    named = rows.select("source", "ts", "pid", group_key(F.col("name"), F.col("pid")).alias("key"), "value")
+    met = in_spans(named, needs).select("source", "_part", "ts", "pid", "key", "value")
+    pid, kinds = met.schema["pid"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = f"source {kinds['source']}, id {kinds['id']}, " + FLOW_COLUMNS.format(pid=pid)
+
+    def run(spans: pa.Table, points: pa.Table) -> pa.Table:
+        spans = spans.sort_by([("start", "ascending"), ("end", "ascending")])
+        held, at, found, out = _FlowChunk(points) if len(points) and len(spans) else None, None, [], []
+        for source, who, start, end in zip(*(spans.column(c).to_pylist() for c in ("source", "id", "start", "end")), strict=True):
+            if held is not None and (start, end) != at:
+                at, found = (start, end), held.top(start, end, before, top)
+            out += [(source, who, *f) for f in found]
+        kinds = pa.schema([spans.schema.field("source"), spans.schema.field("id"), ("name", pa.string()), ("delta", pa.float64()), ("after", pa.float64()), ("pids", pa.list_(points.schema.field("pid").type)), ("is_new", pa.bool_()), ("share", pa.float64()), ("rank", pa.int32())])
+        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    made = dealt.groupBy("source", "_chunk").cogroup(met.groupBy("source", "_part")).applyInArrow(run, schema)
+    rest = own.where(~short)
+    if rest.isEmpty():
+        return made
+    return made.unionByName(_flow_by_rows(rest, rows, before, top).select(*made.columns))
+
+
+def _flow_by_rows(own: DataFrame, rows: DataFrame, before: tuple[float, float], top: int) -> DataFrame:
+    """``flow_contributors`` with a copy of each row for each incident that holds it."""
     prior = in_spans(rows, own.select("source", "id", (F.col("start") - before[0]).alias("lo"), (F.col("start") - before[1]).alias("hi"))).where("ts < hi")
     now = in_spans(rows, own.select("source", "id", F.col("start").alias("lo"), F.col("end").alias("hi")))
     old = median_by(prior, ("source", "id", "pid", "name"), name="b").withColumn("a", F.lit(None).cast("double"))
