@@ -48,17 +48,29 @@ def with_sigma(df: DataFrame, config: Baseline = Baseline()) -> DataFrame:
     return df.withColumn("sigma", F.when(F.col("samples") >= config.least_samples, sigma_of(F.col("median"), F.col("mad"), config)))
 
 
-def rolling_dense(samples: DataFrame, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline(), chunk: float = 6 * 3600.0) -> DataFrame:
-    """``rolling`` for dense series: each (keys, chunk of time) is one task's group, with the window before it looked back to."""
-    spread = samples.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col(ts) / chunk), F.floor((F.col(ts) + config.window) / chunk))))
+def rolling_dense(samples: DataFrame, value: str = "value", keys: Sequence[str] = ("source",), ts: str = "ts", config: Baseline = Baseline(), chunk: float | None = None, judged: Column | None = None) -> DataFrame:
+    """``rolling`` for dense series: each (keys, chunk of time) is one task's group, with the window before it looked back to.
+
+    A chunk has six hours, and two windows at least, so that a row is looked back to once at most. All rows are learnt;
+    with ``judged`` only those of which it is true come out.
+    """
+    chunk = max(6 * 3600.0, 2 * config.window) if chunk is None else chunk
+    named = samples if judged is None else samples.withColumn("_judged", F.coalesce(judged, F.lit(False)))
+    columns, some = samples.columns, judged is not None
+    spread = named.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col(ts) / chunk), F.floor((F.col(ts) + config.window) / chunk))))
     dealt = spread.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", ts)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields] + ["median double", "mad double", "samples long", "least double", "most double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, (*keys, "_chunk")):
             t, x = (group.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (ts, value))
-            mine = np.flatnonzero(np.floor(t / chunk) == group.column("_chunk")[0].as_py())
-            out, own = window_stats(t, x, config.window, mine), group.drop_columns("_chunk").take(pa.array(mine))
+            here = np.floor(t / chunk) == group.column("_chunk")[0].as_py()
+            if some:
+                here &= group.column("_judged").to_numpy(zero_copy_only=False)
+            mine = np.flatnonzero(here)
+            if not len(mine):
+                continue
+            out, own = window_stats(t, x, config.window, mine), group.select(columns).take(pa.array(mine))
             none = out[:, 2] == 0
             for k, name in enumerate(("median", "mad", "samples", "least", "most")):
                 own = own.append_column(name, pa.array(out[:, k].astype("int64")) if name == "samples" else pa.array(out[:, k], mask=none))
@@ -142,7 +154,7 @@ def conditional(samples: DataFrame, program: str = "program", value: str = "valu
     """Baselines per program: a known program's own, as its last sample left it and null until it has samples enough; the metric's over ``usual`` for rows without a program."""
     known = samples.where(F.col(program).isNotNull())
     own = carried_stats(known, known, value, [*keys, program], config, spacing)
-    plain = rolling_dense(samples, value, keys, config=usual or config).where(F.col(program).isNull())
+    plain = rolling_dense(samples, value, keys, config=usual or config, judged=F.col(program).isNull())
     return own.unionByName(plain.select(*own.columns))
 
 
