@@ -119,3 +119,33 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def group_blocks(batches: Iterator[pa.RecordBatch], keys: Sequence[str], least: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of ``keys`` from batches that are sorted by them, many at a time (some ``least`` rows, or one larger group), with the places where they begin."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = begins(table)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+            rest = table.slice(starts[-1])
+            held, rows = rest.to_batches(), rest.num_rows
+            # A group that goes on is put together anew only once it has doubled.
+            enough = max(least, 2 * rows)
+    if rows:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, begins(table)

@@ -27,7 +27,7 @@ def leak_verdicts(spark, sf_dir):
 
 def group_growth(spark, sf_dir):
     """How much the users of a program have grown together, as each one's last value within the window left it."""
-    out = leak.group_growth(leak.tracks(_users(spark, sf_dir), RULE, chunk=CHUNK), RULE.window, CHUNK)
+    out = leak.group_growth(leak.tracks(_users(spark, sf_dir), RULE, chunk=CHUNK, verdicts=False), RULE.window, CHUNK)
     return rounded(out.select("source", "name", F.floor("ts").alias("ts"), "growth", "members", "pid"), "growth", places=5)
 
 

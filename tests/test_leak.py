@@ -4,11 +4,12 @@ import collections
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions.columns import SHARED_HOSTS
-from fleetscope.operators import leak
+from fleetscope.operators import leak, order_stats
 
 RULE = leak.LeakRule("v", delta=30.0, ratio=1.2, monotone=0.6, duration=60.0, samples=8, window=120.0, grid=20.0, cooldown=200.0)
 SCHEMA = "source string, pid long, name string, ts double, v double"
@@ -115,3 +116,17 @@ def test_no_samples(spark):
     assert leak.tracks(empty, RULE, chunk=240.0).count() == 0 and leak.group_leaks(empty, RULE, chunk=240.0).count() == 0
     with pytest.raises(ValueError):
         leak.tracks(empty.withColumn("x", F.lit(1)), RULE, chunk=100.0)
+
+
+def test_steps_of_a_group_are_dealt_once(spark):
+    """What is shuffled for the sums is each growth once for a chunk, and neither the steps up and down nor the next samples apart."""
+    df = spark.createDataFrame(random_samples(9), SCHEMA)
+    grown = leak.tracks(df, RULE, chunk=240.0, verdicts=False)
+    assert grown.columns == ["source", "pid", "name", "ts", "value", "growth"]
+    whole = leak.tracks(df, RULE, chunk=240.0)
+    assert sorted(grown.collect()) == sorted(whole.select(grown.columns).collect())
+    sums = leak.group_growth(spark.createDataFrame(grown.collect(), grown.schema), RULE.window, 240.0)
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    sums.collect()
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
