@@ -130,3 +130,61 @@ def test_steps_of_a_group_are_dealt_once(spark):
     sums.collect()
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_many_tracks_at_once_equal_each_alone():
+    rng = np.random.default_rng(5)
+    parts = [(np.sort(rng.choice(4000, n, replace=n > 300).astype(float)), rng.exponential(50.0, n)) for n in rng.integers(1, 120, 60).tolist()]
+    times, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    begin = np.cumsum([0, *(len(t) for t, _ in parts[:-1])])
+    first = np.array([b + np.searchsorted(t, 2000.0) for b, (t, _) in zip(begin, parts, strict=True)])
+    rule = leak.replace(RULE, window=600.0, reset_share=0.2)
+    both = leak.Tracks(times, values, begin, rule)
+    both.listen(first)
+    chunk, bounds, lasts = both.table(first)
+    started = both.starts(begin - 1)
+    assert len(np.unique(chunk)) > 30
+    for k, (t, x) in enumerate(parts):
+
+        def starts(since, low=first[k] - begin[k], t=t, x=x):
+            out = []
+            for i in range(low, len(t)):
+                held = [x[j] for j in range(i) if t[j] >= t[i - 1] - rule.window and t[j] >= since]
+                if i == 0 or t[i] - t[i - 1] > rule.window or max(held) > 0 and x[i] < rule.reset_share * max(held):
+                    out.append(i)
+                    since = t[i]
+            return out
+
+        assert (started[(started >= begin[k]) & (started < begin[k] + len(t))] - begin[k]).tolist() == starts(-np.inf)
+        pasts = list(zip(bounds[chunk == k], lasts[chunk == k], strict=True))
+        for since in t[: first[k] - begin[k]].tolist() if pasts else ():
+            found = starts(since)
+            last = next(at for bound, at in pasts if since <= bound)
+            assert np.isnan(last) if not found else last == t[found[-1]]
+
+
+def test_windows_judged_at_once_equal_each_alone():
+    rng = np.random.default_rng(6)
+    t, x = np.arange(400.0), rng.choice([0.0, 0.0, 1.0, 3.0, 9.0], 400).cumsum() % 400
+    last = np.arange(400)
+    start = np.maximum(0, last - rng.integers(0, 60, 400))
+    rule = leak.replace(RULE, delta=20.0, duration=5.0, samples=4)
+    got = leak.judge(t, x, start, last, rule)
+    for k, (a, b) in enumerate(zip(start.tolist(), last.tolist(), strict=True)):
+        v = x[a : b + 1]
+        q = max(1, len(v) // 4)
+        low, high = statistics.median(v[:q]), statistics.median(v[-q:])
+        monotone = sum(q >= p for p, q in zip(v, v[1:])) / (len(v) - 1) if len(v) > 1 else 0.0
+        assert (got["delta"][k], got["ratio"][k], got["monotone"][k]) == (high - low, high / low if low > 0 else np.inf if high > 0 else 1.0, monotone)
+    assert len(set(got["reason"])) > 4
+
+
+def test_blocks_hold_whole_groups():
+    rows = [(name, pid, k) for name, pid in ((None, 1), (None, 2), ("a", None), ("a", 2), ("b", 2)) for k in range(7 if name != "a" else 40)]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(("name", "pid", "k"))})
+    for size, least in ((3, 5), (4, 20), (100, 1), (1, 1000)):
+        blocks = list(order_stats.group_blocks(table.to_batches(max_chunksize=size), ["name", "pid"], least))
+        assert [r for b, _ in blocks for r in zip(*b.to_pydict().values(), strict=True)] == rows
+        assert [b["k"][i].as_py() for b, begin in blocks for i in begin.tolist()] == [0] * 5
+        assert max(len(begin) for _, begin in blocks) > (least > 5)
+    assert not list(order_stats.group_blocks([], ["name"]))
