@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import attributable, group_key, incident_report, incident_title
-from ..session import cut
-from .baseline import median_by, sigma_of
+from ..session import cut, written
+from .baseline import Baseline, median_by
 from .joins import in_spans
 
 # Kinds in the order that breaks ties, and the kind that a trigger metric speaks for.
@@ -43,15 +43,46 @@ def recovery(samples: DataFrame, calm_run: int = 5, k: float = 2.0, keys: tuple[
 BOUND_METRICS = ("cpu_total", "mem_percent", "disk_resp_ms", "disk_queue", "ctx_switches_ps")
 
 
-def prior_stats(spans: DataFrame, values: DataFrame, look_back: float, least: int) -> DataFrame:
-    """(source, id, metric, median, sigma) of the values (source, metric, ts, value) in the ``look_back`` seconds before each span's ``ts_start``; none with fewer than ``least``."""
-    before = spans.select("source", "id", (F.col("ts_start") - look_back).alias("lo"), F.col("ts_start").alias("hi"))
-    prior = in_spans(values.where(F.col("value").isNotNull()), before).where("ts < hi")
-    keys = ("source", "id", "metric")
-    medians = median_by(prior, keys)
-    spread = median_by(prior.join(medians, list(keys)).withColumn("value", F.abs(F.col("value") - F.col("median"))), keys, name="mad")
-    enough = prior.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return enough.join(medians, list(keys)).join(spread, list(keys)).select(*keys, "median", sigma_of(F.col("median"), F.col("mad")).alias("sigma"))
+def _middle(values: np.ndarray) -> float:
+    """Median of sorted values; NaN is the largest, as in SQL."""
+    return float(values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+
+
+def _limit(prior: np.ndarray, least: int, k: float = 2.0) -> float | None:
+    """Median + k sigma of the values before an incident; none with fewer than ``least`` or without a sigma above 0."""
+    if len(prior) < max(least, 1):
+        return None
+    median, usual = _middle(np.sort(prior)), Baseline()
+    sigma = float(np.max([_middle(np.sort(np.abs(prior - median))) * 1.4826, usual.floor, abs(median) * usual.relative_floor]))
+    return None if sigma <= 0 else median + k * sigma
+
+
+def _calm(t: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calm samples since the last time with a hot one, up to each sample and up to the end of its time; samples of one time are met together."""
+    ends = np.append(t[1:] != t[:-1], True)
+    end = np.flatnonzero(ends)[np.cumsum(ends) - ends]
+    hots, calm = np.cumsum(hot)[end], np.cumsum(~hot)
+    before = np.append(0, calm[end][:-1])
+    base = np.maximum.accumulate(np.where(np.diff(hots, prepend=0) > 0, before, 0))
+    return calm - base, calm[end] - base
+
+
+def _onset(t: np.ndarray, hot: np.ndarray, calm_run: int, least_hot: int) -> float | None:
+    """``onset`` of one incident's samples, by rising time."""
+    t, hot = t[::-1], hot[::-1]
+    if not hot.any():
+        return None
+    stopped = np.flatnonzero(_calm(t, hot)[1] >= calm_run)
+    own = np.flatnonzero(hot[: stopped[0]] if len(stopped) else hot)
+    return float(t[own[-1]]) if len(own) >= max(least_hot, 1) else None
+
+
+def _recovery(t: np.ndarray, hot: np.ndarray, calm_run: int) -> float | None:
+    """``recovery`` of one incident's samples, by rising time."""
+    if not len(t):
+        return None
+    done = np.flatnonzero(~hot & (_calm(t, hot)[0] == calm_run))
+    return float(t[done[0]]) if len(done) else None
 
 
 def refined_bounds(incidents: DataFrame, metrics: DataFrame, columns: Sequence[str] = BOUND_METRICS, before: float = 300.0, after: float = 600.0, look_back: float = 1800.0, least: int = 60, calm_run: int = 15, least_hot: int = 3, calm_after: int = 5) -> DataFrame:
@@ -59,21 +90,67 @@ def refined_bounds(incidents: DataFrame, metrics: DataFrame, columns: Sequence[s
 
     What counts as usual is fixed by the time before the incident, so that a long one does not raise its own limit. A metric
     that tells only where the incident began, or only where it ended, keeps the incident's other bound.
+
+    Incidents are dealt by source and chunk of time, by their starts and then by their ends, and samples to the chunks that
+    need them, two or three times each; no sample is copied to every incident that holds it, and none for what lies inside a long one.
     """
-    end = F.coalesce("ts_end", "ts_start")
-    spans = incidents.select("source", "id", "ts_start", end.alias("ts_end"), (F.col("ts_start") - before).alias("lo"), (end + after).alias("hi"))
     own = [c for c in columns if c in metrics.columns]
-    values = metrics.select("source", "ts", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in own))).alias("v")).select("source", "ts", "v.metric", "v.value")
-    keys = ["source", "id", "metric"]
-    met = in_spans(values, spans).join(prior_stats(spans, values, look_back, least).where("sigma > 0"), keys)
-    starts = onset(met.where("ts <= ts_start").withColumn("signal_ts", F.col("ts_start")), calm_run, least_hot, keys=tuple(keys))
-    ends = recovery(met.where("ts >= ts_end").withColumn("signal_ts", F.col("ts_end")), calm_after, keys=tuple(keys))
-    both = starts.join(ends, keys, "full_outer").join(spans.select("source", "id", "ts_start", "ts_end"), ["source", "id"])
-    lo, hi = F.coalesce("onset", "ts_start"), F.coalesce("recovery", "ts_end")
-    order = F.array_position(F.array(*map(F.lit, own)), F.col("metric"))
-    widest = both.groupBy("source", "id").agg(F.max(F.struct((hi - lo).alias("w"), (-order).alias("o"), lo.alias("s"), hi.alias("e"))).alias("_w"))
-    wider = F.coalesce(F.col("_w.w") > F.col("ts_end") - F.col("ts_start"), F.lit(False))
-    return spans.join(widest, ["source", "id"], "left").select("source", "id", F.when(wider, F.col("_w.s")).otherwise(F.col("ts_start")).alias("start"), F.when(wider, F.col("_w.e")).otherwise(F.col("ts_end")).alias("end"))
+    back = max(look_back, before)
+    chunk = max(back, after, 1.0)
+    spans = incidents.select("source", "id", F.col("ts_start").cast("double").alias("ts_start"), F.coalesce("ts_end", "ts_start").cast("double").alias("ts_end"))
+    samples = metrics.select("source", F.col("ts").cast("double").alias("ts"), *(F.col(c).cast("double").alias(c) for c in own))
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+    told = f"source {kinds['source']}, id {kinds['id']}, ts_start double, ts_end double, limits array<double>, onsets array<double>"
+    names = ("source", "id", "ts_start", "ts_end")
+
+    def dealt(df: DataFrame, at: str, lo: Column, hi: Column):
+        """``df`` by chunk of ``at``, beside the samples between the least ``lo`` and the largest ``hi`` of each chunk."""
+        by = df.withColumn("_chunk", F.floor(F.col(at) / chunk))
+        needs = by.groupBy("source", F.col("_chunk").alias("_part")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).where("lo <= hi")
+        met = in_spans(samples, needs, cell=chunk).drop("lo", "hi")
+        return by.groupBy("source", "_chunk").cogroup(met.groupBy("source", "_part"))
+
+    def series(points: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Times and values of each metric by rising time, without nulls."""
+        points = points.sort_by("ts")
+        kept = [points.filter(pc.is_valid(points.column(c))) for c in own]
+        return [(p.column("ts").to_numpy(), p.column(c).to_numpy()) for p, c in zip(kept, own, strict=True)]
+
+    def part(t: np.ndarray, x: np.ndarray, lo: float, hi: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Times from ``lo`` to ``hi`` and whether they are hot."""
+        a, b = np.searchsorted(t, lo), np.searchsorted(t, hi, "right")
+        return t[a:b], (x[a:b] >= limit) | np.isnan(x[a:b])
+
+    def begin(spans: pa.Table, points: pa.Table) -> pa.Table:
+        """Each metric's limit and onset."""
+        held, limits, onsets = series(points), [], []
+        for start, end in zip(*(spans.column(c).to_pylist() for c in names[2:]), strict=True):
+            mine = [None if start is None else _limit(x[np.searchsorted(t, start - look_back) : np.searchsorted(t, start)], least) for t, x in held]
+            limits.append(mine)
+            onsets.append([None if limit is None else _onset(*part(t, x, start - before, min(start, end + after), limit), calm_run, least_hot) for (t, x), limit in zip(held, mine, strict=True)])
+        kind = pa.list_(pa.float64())
+        return spans.select(names).append_column("limits", pa.array(limits, kind)).append_column("onsets", pa.array(onsets, kind))
+
+    def finish(spans: pa.Table, points: pa.Table) -> pa.Table:
+        """The widest span of all metrics; the first of ``columns`` on a tie."""
+        held, starts, ends = series(points), [], []
+        for who, start, end, limits, onsets in zip(*(spans.column(c).to_pylist() for c in (*names[1:], "limits", "onsets")), strict=True):
+            best = (start, end)
+            for (t, x), limit, first in zip(held, limits, onsets, strict=True):
+                if who is None or limit is None:
+                    continue
+                last = _recovery(*part(t, x, max(end, start - before), end + after, limit), calm_after)
+                lo, hi = start if first is None else first, end if last is None else last
+                if hi - lo > best[1] - best[0]:
+                    best = (lo, hi)
+            starts.append(best[0])
+            ends.append(best[1])
+        return spans.select(["source", "id"]).append_column("start", pa.array(starts, pa.float64())).append_column("end", pa.array(ends, pa.float64()))
+
+    begun = dealt(spans, "ts_start", F.col("ts_start") - back, F.col("ts_start")).applyInArrow(begin, told)
+    # Read twice below, for the incidents and for what their chunks need.
+    begun = written(begun, "bounds-begun")
+    return dealt(begun, "ts_end", F.col("ts_end"), F.col("ts_end") + after).applyInArrow(finish, f"source {kinds['source']}, id {kinds['id']}, start double, `end` double")
 
 
 def peak_and_prior(incidents: DataFrame, metrics: DataFrame, columns: list[str], peak_by: str = "cpu_total", look_back: float = 1800.0) -> DataFrame:
