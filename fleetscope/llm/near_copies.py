@@ -1,7 +1,8 @@
 """Near copies: texts whose word shingles have a Jaccard similarity of 0.8 or more, as connected groups.
 
-A first pass takes SimHash fingerprints over distinct words through the pivot tables and blocks of ``simhash``; it joins
-most of a large group by few pairs. An exact prefix filter then gives every other pair that can reach the limit: shingles
+A first pass takes SimHash fingerprints over distinct words through blocks of equal sampled bits and the pivot tables of
+``simhash``; it joins most of a large group by few pairs, and a fingerprint goes to as many blocks whatever the number of
+texts. An exact prefix filter then gives every other pair that can reach the limit: shingles
 have one order, rare ones first, and two sets that are similar enough share one of their first shingles. A shared shingle's
 place in both orders bounds what the sets can share from there on, and so do 256 parities of either set, since every
 parity that differs shows a shingle that is not shared.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, discard, fresh_name, written
 from .arrow import map_rows
-from .simhash import block_links, signed, smallest_reachable, with_pivots
+from .simhash import pivot_table, signed, smallest_reachable, stars
 from .tokens import alone
 
 #: Texts looked at for frequent shingles, how many of them make one frequent, and the most that are kept. Frequent ones go
@@ -32,6 +33,8 @@ from .tokens import alone
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 17
 #: Nodes of a short list; nodes and shingles that a cell of a long list holds; entries of short lists that a task meets at once.
 SHORT_LIST, CELL_NODES, CELL_SHINGLES, MEET_ENTRIES = 48, 1024, 250_000, 100_000
+#: Nodes of a block of the first pass up to which all its pairs are tried; a larger one's groups are grown.
+BLOCK_PAIRS = 64
 #: Rows (of 8 to 40 bytes) up to which a counted table is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 _FACTORS = (2 * np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) + np.uint64(1)).tolist()
@@ -184,6 +187,43 @@ def _odd(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(-1, 4)
 
 
+def sampled_masks(n: int, tables: int) -> list[int]:
+    """``tables`` choices of bits, the same in every run, of so many bits that some 20 of ``n`` fingerprints that are not alike share them."""
+    size = max(1, n.bit_length() - 5)
+    return [sum(1 << int(k) for k in np.random.default_rng(table).choice(64, size, replace=False)) for table in range(tables)]
+
+
+def print_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) between fingerprints within ``distance`` bits that share the bits of one of ``distance`` + 1 choices.
+
+    Two that differ in few bits nearly always do. The more fingerprints there are, the more bits are chosen, so rows and
+    blocks grow with them alone; what is missed is for the prefix filter to find.
+    """
+    masks = sampled_masks(prints.count(), distance + 1)
+    cases = F.array(*(F.struct(F.lit(k).alias("low"), F.col("print").bitwiseAND(F.lit(signed(mask))).alias("hash")) for k, mask in enumerate(masks)))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in by_unit(batches, MEET_ENTRIES):
+            bits = table["print"].to_numpy().view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            sizes = np.diff(first, append=len(bits))
+            unit = np.repeat(np.arange(len(first)), sizes)
+            near = sizes > BLOCK_PAIRS
+            at, step, out = np.flatnonzero(~near[unit]), 1, [np.zeros((0, 2), np.int64)]
+            while len(at := at[at + step < len(unit)]) and len(at := at[unit[at] == unit[at + step]]):
+                near[unit[at[np.bitwise_count(bits[at] ^ bits[at + step]) <= distance]]] = True
+                step += 1
+            for k in np.flatnonzero(near).tolist():
+                own = bits[first[k] : first[k] + sizes[k]]
+                if found := stars(own, pivot_table(own), distance):
+                    out.append(own.view(np.int64)[np.asarray(found)])
+            links = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    dealt = prints.select("print", F.inline(cases)).withColumn("high", F.lit(0))
+    return dealt.repartition("low", "hash").sortWithinPartitions("low", "hash", "print").mapInArrow(link, "a long, b long").distinct()
+
+
 def prefix_pairs(lists: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     """Distinct (p, q) of the short lists' nodes that are of different groups and can have a similarity of ``least``."""
 
@@ -262,7 +302,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     # A text's node is the smallest of its rows.
     nodes = cut(read.groupBy("content").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("print").alias("print")))
     prints = cut(nodes.groupBy("print").agg(F.min("node").alias("first")))
-    links = block_links(cut(with_pivots(prints)), distance)
+    links = cut(print_links(prints.select("print"), distance))
     # A fingerprint's first text speaks for it; what that leaves unjoined meets by the prefix filter.
     same = nodes.join(prints, "print").where("node <> first").select(F.col("first").alias("p"), F.col("node").alias("q"))
     across = links.where("a <> b").join(prints.select(F.col("print").alias("a"), F.col("first").alias("p")), "a").join(prints.select(F.col("print").alias("b"), F.col("first").alias("q")), "b").select("p", "q")

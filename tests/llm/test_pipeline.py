@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetscope.llm import decontaminate, near_copies, secrets, toxicity
+from fleetscope.llm import decontaminate, near_copies, secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,6 +161,34 @@ def test_near_copies_without_a_first_pass(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near_copy_groups(texts)
 
 
+def test_first_pass_deals_each_fingerprint_a_fixed_number_of_times(spark, monkeypatch):
+    """Blocks that texts which are not alike would fill are parted by more bits, not dealt anew by every part of the rest."""
+    rng, rows = np.random.default_rng(8), []
+    counted = lambda cut: lambda df: rows.append((out := cut(df)).count()) or out
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 2)
+    for module in (simhash, near_copies):
+        monkeypatch.setattr(module, "cut", counted(module.cut))
+    texts = {k: " ".join(f"v{x}" for x in rng.integers(0, 5000, 60)) for k in range(400)}
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert all(r["doc_id"] == r["component_id"] for r in found.collect()) and max(rows) <= 2 * len(texts)
+
+
+def test_first_pass_links_what_is_alike(spark):
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    for k in range(0, 3000, 2):
+        prints[k + 1] = prints[k] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 63, 4).astype(np.uint64))
+    prints[:400] = prints[0] ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64))
+    own = sorted({int(x) for x in prints})
+    nodes = spark.createDataFrame([(x, x) for x in own], "print long, least long")
+    links = near_copies.print_links(nodes.select("print"), 8).collect()
+    assert all(0 < (a ^ b).bit_count() <= 8 for a, b in links)
+    group = {r["print"]: r["component_id"] for r in simhash.smallest_reachable(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len({group.get(int(x)) for x in prints[:400]}) == 1 and None not in {group.get(int(x)) for x in prints[:400]}
+    joined = [group.get(int(prints[k])) == group.get(int(prints[k + 1]), -1) for k in range(400, 3000, 2)]
+    assert np.mean(joined) > 0.95
+
+
 def test_near_copies_by_contiguous_edits(spark):
     rng = np.random.default_rng(7)
     texts, d = {}, 0
