@@ -38,6 +38,19 @@ def rounded(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def rounded_as_sql(df: DataFrame, *names: str, places: int = 3) -> DataFrame:
+    """``rounded`` as DuckDB's ``round`` has it: halves away from zero, told from the double's product with the power of ten. Spark rounds the shortest decimal, which near a half may go the other way."""
+    power = 10.0**places
+
+    def nearest(product: Column) -> Column:
+        size = F.abs(product)
+        # From 2^52 on a double has no fraction; infinity has none either.
+        whole = F.floor(size).cast("double")
+        return F.when(size < 2.0**52, F.signum(product) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0))).otherwise(product)
+
+    return df.withColumns({n: nearest(F.col(n) * power) / power for n in names})
+
+
 def settled_sql(number: str, places: int) -> str:
     """``rollup.settled``: halves away from zero, decided on decimals and not on a double's last bits."""
     return f"CAST(round(CAST({number} AS DECIMAL(38, {places + 6})), {places}) AS DOUBLE)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import leak
-from .base import DAY, H, S, host_of, rounded, samples
+from .base import DAY, H, S, host_of, rounded, rounded_as_sql, samples
 
 RULE = leak.LeakRule("value", delta=5.0, ratio=1.2, monotone=0.4, duration=DAY, samples=4, window=8 * DAY, grid=DAY, cooldown=3 * DAY, reset_share=0.1)
 CHUNK = 16 * DAY
@@ -22,7 +22,7 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leak_verdicts(spark, sf_dir):
     """Every user judged once a day over eight days, from its last deep fall on."""
     out = leak.leak_verdicts(_users(spark, sf_dir), RULE, chunk=CHUNK)
-    return rounded(out.select("source", "pid", "ts", "delta", "ratio", "monotone", "seconds", "last", "reason").withColumn("ts", F.floor("ts")), "delta", "ratio", "monotone", "seconds", "last", places=7)
+    return rounded_as_sql(out.select("source", "pid", "ts", "delta", "ratio", "monotone", "seconds", "last", "reason").withColumn("ts", F.floor("ts")), "delta", "ratio", "monotone", "seconds", "last", places=7)
 
 
 def group_growth(spark, sf_dir):
