@@ -28,9 +28,10 @@ from .arrow import map_rows
 from .simhash import pivot_table, signed, smallest_reachable, stars
 from .tokens import alone
 
-#: Texts looked at for frequent shingles, how many of them make one frequent, and the most that are kept. Frequent ones go
-#: last in the order, which keeps lists short; the filter is exact in any order.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 1 << 17
+#: Texts looked at for frequent shingles at least, their share of all, how many of them make one frequent, and the most that
+#: are kept. Frequent ones go last in the order, which keeps lists short; the filter is exact in any order. A fixed number of
+#: texts would let the lists of what is no longer seen as frequent grow with all texts, and what meets in them with the square.
+SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, MOST_FREQUENT = 20_000, 1 / 16, 4, 1 << 20
 #: Nodes of a short list; nodes and shingles that a cell of a long list holds; entries of short lists that a task meets at once.
 SHORT_LIST, CELL_NODES, CELL_SHINGLES, MEET_ENTRIES = 48, 1024, 250_000, 100_000
 #: Nodes of a block of the first pass up to which all its pairs are tried; a larger one's groups are grown.
@@ -77,7 +78,7 @@ def parities(hashes: np.ndarray) -> bytes:
 def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending hashes of the shingles that are frequent in a sample of ``texts`` (text), and their counts there."""
     n = texts.count()
-    some = texts.sample(SAMPLE_DOCS / n, 7) if n > SAMPLE_DOCS else texts
+    some = texts.sample(max(SAMPLE_SHARE, SAMPLE_DOCS / n), 7) if n > SAMPLE_DOCS else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,12 +333,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     smallest = found.groupBy("hash").agg(F.min("n").alias("n_min"))
     enough = F.ceil((F.col("n") + F.greatest(F.col("n_min"), least * F.col("n"))) * (least / (1 + least)) - 1e-6)
     entries = written(found.join(smallest, "hash").where(F.col("n") - F.col("place") >= enough).drop("n_min"), "list-entries")
+    discard(numbered, found)
     mix = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
     lists = cut(entries.groupBy("hash").agg(F.count("*").alias("m"), mix(1).alias("all"), mix(2).alias("mix"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").drop("lo", "hi"))
     links = first.unionByName(judged(cut(prefix_pairs(lists, entries, least))))
     links = links.unionByName(long_links(lists, entries, read.select(F.col("row").alias("node"), "whole"), least))
     links = cut(links.toDF("a", "b"))
-    discard(numbered, found, entries)
+    discard(entries)
     linked = smallest_reachable(nodes.select(F.col("node").alias("print"), "least"), links).withColumnRenamed("print", "node")
     components = cut(nodes.join(linked, "node", "left").select("content", F.coalesce("component_id", "least").alias("component_id")))
     return read.select("doc_id", "content").join(components, "content", "left").select("doc_id", "component_id")

@@ -173,6 +173,15 @@ def test_first_pass_deals_each_fingerprint_a_fixed_number_of_times(spark, monkey
     assert all(r["doc_id"] == r["component_id"] for r in found.collect()) and max(rows) <= 2 * len(texts)
 
 
+def test_frequent_shingles_are_told_from_a_share_of_all_texts(spark, monkeypatch):
+    """A shingle that one text in ten holds counts as frequent however many texts there are, beside a small least number of them."""
+    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", 20)
+    texts = spark.range(4000).selectExpr("concat_ws(' ', concat('u', id), if(id % 10 = 0, 'a b c d e', concat('v', id)), concat('w', id)) text")
+    hashes, counts = near_copies.frequent_shingles(texts, 5)
+    line = near_copies.shingle_hashes(near_copies.hashed_words([b"a", b"b", b"c", b"d", b"e"])[0], 5)
+    assert hashes.tolist() == line.tolist() and counts[0] >= 10
+
+
 def test_first_pass_links_what_is_alike(spark):
     rng = np.random.default_rng(9)
     prints = rng.integers(0, 2**63, 3000, dtype=np.uint64)
